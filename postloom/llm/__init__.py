@@ -1,0 +1 @@
+"""Training-data operators: each module holds one operator; ``queries`` registers them."""
