@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from . import pii, sharding
+from . import exact_dedup, near_dedup, pii, secrets, sharding
 from .common import read
 
 
+def op1_secrets(spark, sf_dir):
+    return secrets.op1_secrets(read(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.op3_pii(read(spark, sf_dir, "documents"))
 
 
+def op6_exact_dedup(spark, sf_dir):
+    return exact_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op9_sharding)}
+def op10_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), near_dedup.Settings(words=3, percent=85, bands=28, rows=6))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_pii, op6_exact_dedup, op9_sharding, op10_near_dedup)}
 SQL: dict[str, str] = {}
