@@ -105,18 +105,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept by the worker up to the longest run it has seen."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        size = max(n, 1 << 16)
+        for name, base in (("up", _BASE), ("down", _INVERSE)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _POWERS[name] = np.multiply.accumulate(x)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
 class RunHash:
     """Hashes of any runs of one byte array, each in constant time: a polynomial modulo 2**64 over prefix sums."""
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
-        power = np.full(n, _BASE, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.power = power
-        inverse = np.full(n, _INVERSE, np.uint64)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
+        self.power, inverse = _powers(n)
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(_BYTE[data] * inverse[:-1], out=self.sums[1:])
 
@@ -132,9 +140,26 @@ class RunHash:
         return mix(x + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def record_batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
-def sha_of_joined(col):
-    return F.sha2(F.array_join(col, ","), 256)
+def chunks(offsets: np.ndarray, limit: int):
+    """Runs (i, j) of rows of about ``limit`` bytes, one row at least."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def word_runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): the maximal runs of ``inside`` bytes within rows, and of each row the number of its first."""
+    flags = inside[data]
+    first, last = flags.copy(), flags.copy()
+    if len(data):
+        cut = offsets[(offsets > 0) & (offsets < len(data))]
+        before = np.concatenate([[False], flags[:-1]])
+        before[cut] = False
+        first &= ~before
+        after = np.concatenate([flags[1:], [False]])
+        after[cut - 1] = False
+        last &= ~after
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, RunHash, ids_of, materialize, partitions, text_bytes
+from .common import NULL_ID, RunHash, chunks, ids_of, materialize, partitions, text_bytes
 
 CAPACITY = 1 << 20  # bytes of a bucket
 MAX_DEPTH = 14
@@ -34,15 +34,6 @@ _ROWS = "doc_id long, key long, n_points long, sha binary, body binary, n long,
 _CHUNK = 4 << 20
 
 
-def _spans(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``limit`` bytes, one row at least."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        yield i, j
-        i = j
-
-
 def _chained(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
     """The small rows of some documents; the first of each different text also carries the entry."""
     n = len(ids)
@@ -86,7 +77,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (data, off) = ids_of(batch.column(0)), text_bytes(batch.column(1))
-            for i, j in _spans(off, _CHUNK):
+            for i, j in chunks(off, _CHUNK):
                 yield _chained(ids[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i])
 
     return docs.select("doc_id", "text").mapInArrow(run, _ROWS)

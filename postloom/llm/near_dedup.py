@@ -34,9 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import NULL_ID, RunHash, ids_of, materialize, mix, partitions, text_bytes
+from .common import NULL_ID, RunHash, chunks, ids_of, materialize, mix, partitions, text_bytes, word_runs
 from .components import components
-from .exact_dedup import _spans
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -58,20 +57,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     """(hashes, offsets): for each text its distinct shingles as sorted 64-bit words."""
     n = len(offsets) - 1
     data = _LOWER[data]
-    inside = ~_SPACE[data]
-    first = inside.copy()
-    last = inside.copy()
-    if len(data):
-        inner = offsets[(offsets > 0) & (offsets < len(data))]
-        before = np.concatenate([[False], inside[:-1]])
-        before[inner] = False
-        first &= ~before
-        after = np.concatenate([inside[1:], [False]])
-        after[inner - 1] = False
-        last &= ~after
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    start, end, word_at = word_runs(data, offsets, ~_SPACE)
     word = RunHash(data).of(start, end)
-    word_at = np.searchsorted(start, offsets)  # of each text, its first word
     count = np.diff(word_at)
     rolled = np.zeros(max(len(word) - words + 1, 0), np.uint64)
     for k in range(words):
@@ -119,7 +106,7 @@ def _signed(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (data, off) = ids_of(batch.column(0)), text_bytes(batch.column(1))
-            for i, j in _spans(off, _CHUNK):
+            for i, j in chunks(off, _CHUNK):
                 hashes, at = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], s.words)
                 n = j - i
                 high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -149,7 +136,7 @@ def _compared(s: Settings):
             pivots, others = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             data, off = text_bytes(batch.column(3))
             a, b = [], []
-            for i, j in _spans(off, _CHUNK):
+            for i, j in chunks(off, _CHUNK):
                 hashes, at = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], s.words)
                 for k in range(i, j):
                     mine = hashes[at[k - i] : at[k - i + 1]]

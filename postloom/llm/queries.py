@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, pii, secrets, sharding
+from . import decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, secrets, sharding, substrings
 from .common import read
 
 
@@ -10,14 +10,34 @@ def op1_secrets(spark, sf_dir):
     return secrets.op1_secrets(read(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark, sf_dir):
+    return packing.op2_packing(read(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.op3_pii(read(spark, sf_dir, "documents"))
 
 
+def op4_language(spark, sf_dir):
+    return language.op4_language(read(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark, sf_dir):
+    return substrings.op5_suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.op7_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.op8_decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -26,5 +46,6 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"), near_dedup.Settings(words=3, percent=85, bands=28, rows=6))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_pii, op6_exact_dedup, op9_sharding, op10_near_dedup)}
+_ALL = (op1_secrets, op2_packing, op3_pii, op4_language, op5_suffix_dedup, op6_exact_dedup, op7_quality, op8_decontaminate, op9_sharding, op10_near_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
