@@ -1,13 +1,65 @@
-"""Corpus pipeline (its stages follow as their operators are done)."""
+"""Corpus pipeline: raw documents -> packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns of
+``documents``. ``run`` cuts lineage between stages with a table in the shared folder. A stage joins its decisions on doc_id
+(null-safe), so rows that repeat an id stay or go together.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
+from postloom.llm.common import materialize, read
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = gone.select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for the highest grade."""
+    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.filter(F.col("tail_probability") >= quality.LEAST).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The longest document of each text, white space aside."""
+    return _without(docs, exact_dedup.dedup(docs).filter(~F.col("kept")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similarity 0.8 or more on shingles of five words."""
+    return _without(docs, near_dedup.near_dedup(docs, near_dedup.Settings()).filter(~F.col("kept")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return _without(docs, decontaminate.op8_decontaminate(docs, read(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences and their places."""
+    return packing.op2_packing(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+
+ORACLE_SQL = None  # a fitted classifier, MinHash and a tokenizer have no SQL; see tests/llm/test_pipeline.py
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if stage is not pack:
+            docs = materialize(docs, name.replace(" ", "-").lower())
     return docs
