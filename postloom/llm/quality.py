@@ -21,6 +21,7 @@ not looked at.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,34 +101,17 @@ class Model:
         return _logistic(score[:, None] - self.thresholds[None, :])
 
 
-def solve(sets: list[np.ndarray], grade: np.ndarray, rounds: int = 600, rate: float = 0.2, balance: float = 1.0, least: float = 15.0, share: float = 0.25, most: int = 4096) -> Model:
-    """Maximum likelihood by full-batch Adam under weights of at most zero.
+def solve(marks: np.ndarray, sets: list[np.ndarray], grade: np.ndarray, rounds: int = 600, rate: float = 0.2, balance: float = 1.0) -> Model:
+    """Maximum likelihood by full-batch Adam under weights of at most zero. ``sets`` hold places in ``marks``, which are sorted.
 
-    A mark takes part if higher grades have it less than ``share`` times as often as all have, with a chi-square of ``least``;
-    the ``most`` clearest ones do.
     ``balance`` is the power of the inverse frequency by which the grades weigh.
     """
     n = len(grade)
-    row = np.repeat(np.arange(n), [len(x) for x in sets])
-    kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
-    total = np.bincount(at, minlength=len(kinds))
-    clear = np.zeros(len(kinds))
-    for k in range(1, GRADES):
-        high = grade >= k
-        p = high.mean()
-        if 0 < p < 1:
-            held = np.bincount(at[high[row]], minlength=len(kinds))
-            chi = (held - total * p) ** 2 / (np.maximum(total * p * (1 - p) * (1 - total / n), 1e-9))
-            clear = np.maximum(clear, np.where((held < share * total * p) & (total >= 4), chi, 0))
-    chosen = np.sort(np.argsort(-clear, kind="stable")[:most])
-    chosen = chosen[clear[chosen] >= least]
-    number = np.full(len(kinds), -1)
-    number[chosen] = np.arange(len(chosen))
-    row, at = row[number[at] >= 0], number[at][number[at] >= 0]
+    row, at = np.repeat(np.arange(n), [len(x) for x in sets]), np.concatenate(sets).astype(np.int64)
     seen = np.bincount(grade, minlength=GRADES)
     cost = (n / np.maximum(seen, 1))[grade] ** balance
     cost /= cost.sum()
-    w = np.full(len(chosen), -1.0)
+    w = np.full(len(marks), -1.0)
     free = np.array([-4.0, np.log(2.0)])  # t0, log(t1 - t0)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, free)]
     every = np.arange(n)
@@ -147,7 +131,7 @@ def solve(sets: list[np.ndarray], grade: np.ndarray, rounds: int = 600, rate: fl
             v += 0.001 * (g * g - v)
             x -= rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
         np.minimum(w, 0, out=w)
-    return Model(kinds[chosen], w, np.array([free[0], free[0] + np.exp(free[1])]))
+    return Model(marks, w, np.array([free[0], free[0] + np.exp(free[1])]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -157,6 +141,25 @@ def graded(labels: DataFrame) -> DataFrame:
     return usable.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
+def telling_marks(rows: DataFrame, least: float = 15.0, share: float = 0.25, most: int = 4096) -> np.ndarray:
+    """The marks that may have a weight, sorted: those which higher grades have less than ``share`` times as often as all
+    have, with a chi-square of ``least``; at most the ``most`` clearest ones. rows: grade, marks."""
+    seen = {r.grade: r.n for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # a row a grade
+    n = sum(seen.values())
+    held = [F.count_if(F.col("grade") >= k).alias(f"h{k}") for k in range(1, GRADES)]
+    counts = rows.select("grade", F.explode("marks").alias("mark")).groupBy("mark").agg(F.count("*").alias("total"), *held)
+    total, clear = F.col("total"), [F.lit(0.0)]
+    for k in range(1, GRADES):
+        p = sum(c for g, c in seen.items() if g >= k) / max(n, 1)
+        if 0 < p < 1:
+            h = F.col(f"h{k}")
+            chi = F.pow(h - total * p, F.lit(2)) / F.greatest(total * p * (1 - p) * (1 - total / n), F.lit(1e-9))
+            clear.append(F.when((h < share * p * total) & (total >= 4), chi).otherwise(0.0))
+    best = counts.select("mark", F.greatest(*clear, F.lit(0.0)).alias("clear")).filter(F.col("clear") >= least)
+    chosen = best.orderBy(F.col("clear").desc(), "mark").limit(most).collect()
+    return np.sort(np.array([r.mark for r in chosen], np.int64).astype(np.uint32))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = graded(labels)
     n = chosen.count()
@@ -165,18 +168,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = text_bytes(batch.column(1))
+            data, off = text_bytes(batch.column(0))
             for i, j in chunks(off, _CHUNK):
                 marks, at = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                sets = [marks[at[k] : at[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sets, pa.binary())], names=["doc_id", "grade", "marks"])
+                digest = [hashlib.sha256(marks[at[k] : at[k + 1]]).digest() for k in range(j - i)]
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(marks.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(digest, pa.binary()), lists], names=["grade", "digest", "marks"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "grade")
-    rows = materialize(picked.mapInArrow(run, "doc_id long, grade int, marks binary"), "quality-sample")
-    different = rows.groupBy("marks").agg(F.min("grade").alias("grade")).orderBy("marks").collect()  # about ``sample`` rows
-    if not different:
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    rows = picked.mapInArrow(run, "grade int, digest binary, marks array<long>")
+    rows = rows.groupBy("digest").agg(F.min("grade").alias("grade"), F.first("marks").alias("marks"))  # copies count once
+    rows = materialize(rows, "quality-sample")
+    marks = telling_marks(rows)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, off = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            flat = flat.astype(np.uint32)
+            at = np.minimum(np.searchsorted(marks, flat), max(len(marks) - 1, 0))
+            hit = marks[at] == flat if len(marks) else np.zeros(len(flat), bool)
+            off = off - off[0]
+            sets = [at[a:z][hit[a:z]].astype(np.int32).tobytes() for a, z in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["grade", "told"])
+
+    few = rows.select("grade", "marks").mapInArrow(told, "grade int, told binary").collect()  # about ``sample`` rows of a few numbers
+    few.sort(key=lambda r: (r.told, r.grade))
+    if not few or not len(marks):
         return Model(np.zeros(0, np.uint32), np.zeros(0), np.array([-100.0, -99.0]))
-    return solve([np.frombuffer(r.marks, np.uint32) for r in different], np.array([r.grade for r in different]))
+    return solve(marks, [np.frombuffer(r.told, np.int32) for r in few], np.array([r.grade for r in few]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
