@@ -11,18 +11,13 @@ from .. import vocab
 from ..functions import text as T
 from ..functions import time as TM
 from ..functions import url as U
-from ..functions import vector as V
 from ..functions.identity import posting_key, short_id
 from ..operators import aggregates as A
 from ..operators import catalog as C
-from ..operators import coverage as K
 from ..operators import filters as B
 from ..operators import joins as J
 from ..operators import render as R
 from ..operators import scoring as S
-from ..operators import tracking as TR
-from ..sources import payloads as P
-from ..sources import tables as TB
 from . import bindings as V_
 from .bindings import AS_OF, WORDS
 
@@ -407,11 +402,7 @@ def d06_catalog_summary(spark, sf):
 SELECT coalesce(a.ats, b.ats) AS ats, coalesce(n_seed, 0) AS n_seed, coalesce(n_drift, 0) AS n_drift, coalesce(n_ats, 0) AS n_ats, coalesce(n_board, 0) AS n_board FROM a FULL JOIN b ON a.ats = b.ats""")
 def d07_drift_summary(spark, sf):
     c = V_.company(spark, sf)
-    return A_drift(c, C.drift(c, _detected(spark, sf)))
-
-
-def A_drift(seed, drifted):
-    return C.drift_summary(seed, drifted)
+    return C.drift_summary(c, C.drift(c, _detected(spark, sf)))
 
 
 @query(f"WITH {V_.KEYED}{_SEEN} SELECT count(*) AS n FROM v_seen")
