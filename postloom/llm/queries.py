@@ -48,4 +48,15 @@ def op10_near_dedup(spark, sf_dir):
 
 _ALL = (op1_secrets, op2_packing, op3_pii, op4_language, op5_suffix_dedup, op6_exact_dedup, op7_quality, op8_decontaminate, op9_sharding, op10_near_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_exact_dedup": """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT t, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op8_decontaminate": """WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+p AS (SELECT item_id, least(10, len(w)) AS n, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0), q AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS phrase FROM p),
+o AS (SELECT doc_id, n, i, w[i:i + n - 1] AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM q))),
+h AS (SELECT doc_id, item_id, o.n, i FROM o JOIN q ON o.phrase = q.phrase AND o.n = q.n), x AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)""",
+}

@@ -76,7 +76,7 @@ def grow(slot_map: DataFrame, n_shards: int) -> DataFrame:
     share; slots move into the new shard only.
     """
     shard = W.partitionBy("shard")
-    after = F.sum("bytes").over(shard.orderBy(F.col("bytes").desc(), "virtual_slot"))
+    after = F.sum("bytes").over(shard.orderBy("bytes", "virtual_slot"))  # small slots first: the rest is small
     total = F.sum("bytes").over(W.partitionBy())  # at most n_slots rows
     excess = F.sum("bytes").over(shard) - total / (n_shards + 1)
     return slot_map.withColumns({"after": after, "excess": excess}).select(
