@@ -7,13 +7,15 @@ permutation, shifted circularly by k places. Bands of the signature give candida
 1. One pass over the texts: size of the set, a 128-bit digest of it, and one word for each band.
 2. Documents of equal sets become one class, named by its smallest id; only classes go on. So exact copies, however
    many, cost one row.
-3. Classes that share a band meet in a bucket. Pairs are never listed within a bucket; instead, in each round, some of its
-   members are pivots (the first one, then the next two, four, ...) and are compared with the later members *of other
-   components only*. Links are joined to components after each round, and a bucket whose members all have one component
-   is done. Every pair of a bucket is compared or already connected, so no link is lost, and a large group of near copies
-   costs about one comparison a member.
-4. A comparison reads both whole sets. Comparisons are dealt by pivot and salt, so a pivot of very many members is
-   compared by many tasks.
+3. Classes that share a band meet in a bucket. Each bucket's pivot is the member with the most company in all its buckets
+   (for a group of near copies mostly their original), and all members of a pivot's buckets are the pivot's group. First
+   each class is compared with its best pivot only, and links are joined to components: so a large group of near copies
+   costs one comparison a member.
+4. A group whose members all have one component is done. In the others, members outside the group's largest component
+   (the strays) are compared with all members of other components, in blocks of strays by blocks of members: a task
+   gets two blocks of bounded size and finds all their intersections by one product of incidence matrices. It returns
+   links only. So each pair that shares a band is compared, or connected already.
+5. A comparison reads both whole sets. A pivot of very many members is compared by many tasks (salts, then blocks).
 
 Bands: with 28 bands of 6 rows a pair of similarity 0.85 is missed with probability 2e-6, and with 40 bands of 5 rows one
 of 0.8 with 1e-7; a pair of similarity 0.1 becomes a candidate with probability 3e-5 and 4e-4.
@@ -42,6 +44,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _CHUNK = 2 << 20
+_BLOCK = 1 << 16  # shingles, about, of a block of strays or members
 _SALT_ROWS = 256  # comparisons of one pivot that go to one task
 
 
@@ -102,6 +105,7 @@ def signature(s: np.ndarray, size: int) -> np.ndarray:
 
 def _signed(s: Settings):
     weights = mix(np.arange(1, s.rows + 1, dtype=np.uint64)) | np.uint64(1)
+    size = s.bands * s.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,20 +119,24 @@ def _signed(s: Settings):
                     own = hashes[at[k] : at[k + 1]]
                     if len(own):
                         high[k], low[k] = own.sum(), mix(own).sum()
-                        sig = signature(own, s.bands * s.rows).astype(np.uint64).reshape(s.bands, s.rows)
-                        bands[k] = mix((sig * weights).sum(1))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * s.bands), pa.array(bands.reshape(-1).view(np.int64)))
+                        sig = signature(own, size).astype(np.uint64)
+                        bands[k] = mix((sig.reshape(s.bands, s.rows) * weights).sum(1))
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64)))  # noqa: E731, B023
                 sizes = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j]), pa.array(sizes), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), flat],
+                    [pa.array(ids[i:j]), pa.array(sizes), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), listed(bands)],
                     names=["doc_id", "n", "high", "low", "bands"],
                 )
 
     return run
 
 
+def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _compared(s: Settings):
-    """Rows (pivot, salt, other, n, text), each pivot's own row first: (a, b) of the confirmed links."""
+    """Rows (pivot, salt, other, text), each pivot's own row first -> the links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, np.zeros(0, np.uint64)
@@ -145,33 +153,28 @@ def _compared(s: Settings):
                         continue
                     assert pivot == pivots[k], "a pivot's own text comes first"
                     common = len(np.intersect1d(own, mine, assume_unique=True))
-                    if 100 * common >= s.percent * (len(own) + len(mine) - common):
+                    union = len(own) + len(mine) - common
+                    if 100 * common >= s.percent * union:
                         a.append(pivot)
                         b.append(others[k])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield _links(a, b)
 
     return run
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(a, b) of candidates -> those whose full sets are similar enough."""
+    """(a, b) of candidates -> the links: those whose full sets are similar enough."""
     n = partitions(pairs.sparkSession)
     rank = F.row_number().over(W.partitionBy("a", "part").orderBy("b")) - 1
     parts = F.pmod(F.xxhash64("b"), F.lit(64))  # a pivot's members are ranked in 64 parts, then cut into salts
     pairs = pairs.withColumn("part", parts).withColumn("salt", F.col("part") + 64 * F.floor(rank / _SALT_ROWS)).drop("part")
     pairs = materialize(pairs, "near-pairs")
-    members = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
-    heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    members = pairs.join(texts.withColumnRenamed("id", "b").hint("merge"), "b").select("a", "salt", "b", "text")
+    heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a").hint("merge"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     dealt = members.unionByName(heads).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return materialize(dealt.mapInArrow(_compared(s), "a long, b long"), "near-links")
 
 
-def _unresolved(members: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component."""
-    mixed = members.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value")
-    return members.join(mixed, ["band", "value"])
-
-
 def classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(documents, classes): doc_id, n, high, low; and high, low, id (smallest), n, bands of each different set."""
     signed = docs.select("doc_id", "text").mapInArrow(_signed(s), "doc_id long, n long, high long, low long, bands array<long>")
@@ -182,41 +185,113 @@ def classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     return signed.select("doc_id", "n", "high", "low"), materialize(own, "near-classes")
 
 
+def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of ``x`` are similar enough to which of ``y``: a matrix of flags."""
+    xs, ys = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    kinds = np.intersect1d(np.concatenate(x), np.concatenate(y))
+
+    def incidence(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(kinds, flat), max(len(kinds) - 1, 0))
+        hit = kinds[at] == flat if len(kinds) else np.zeros(len(flat), bool)
+        out = np.zeros((len(sets), len(kinds)), np.float32)
+        out[np.repeat(np.arange(len(sets)), sizes)[hit], at[hit]] = 1
+        return out
+
+    common = (incidence(x, xs) @ incidence(y, ys).T).astype(np.int64)
+    return 100 * common >= percent * (xs[:, None] + ys[None, :] - common)
+
+
+def _crossed(s: Settings):
+    """Rows (a, i, j, stray, id, component, text), sorted by the first three -> the links between strays and members of other
+    components. A block's rows are cut into parts of bounded size, so a product's matrices are small."""
+
+    def parts(ids, components, sets):
+        at, size = 0, 0
+        for k in range(len(ids)):
+            if k > at and (size + len(sets[k]) > _BLOCK or k - at >= 256):
+                yield ids[at:k], components[at:k], sets[at:k]
+                at, size = k, 0
+            size += len(sets[k])
+        if len(ids) > at:
+            yield ids[at:], components[at:], sets[at:]
+
+    def crossed(rows: list[tuple]) -> pa.RecordBatch:
+        a, b = [], []
+        data, off = text_bytes(pa.array([r[3] for r in rows], pa.string()))
+        hashes, at = shingles(data, off, s.words)
+        sets = [hashes[x:z] for x, z in zip(at[:-1], at[1:])]
+        sides = []
+        for stray in (True, False):
+            k = [n for n, r in enumerate(rows) if r[0] == stray]
+            sides.append(list(parts(np.array([rows[n][1] for n in k]), np.array([rows[n][2] for n in k]), [sets[n] for n in k])))
+        for ids, components, own in sides[0]:
+            for ids2, components2, other in sides[1]:
+                x, y = np.nonzero(linked(own, other, s.percent) & (components[:, None] != components2[None, :]))
+                a += ids[x].tolist()
+                b += ids2[y].tolist()
+        return _links(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            for a, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and (a, i, j) != at:
+                    yield crossed(rows)
+                    rows = []
+                at = (a, i, j)
+                rows.append(tuple(row))
+        if rows:
+            yield crossed(rows)
+
+    return run
+
+
+def _strays(groups: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links of groups (a, id, n) that hold several components."""
+    labelled = groups.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = labelled.groupBy("a", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    held = held.groupBy("a").agg(F.count("*").alias("components"), F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("n").alias("all"), F.max(F.struct("c", "component", "n")).alias("top"))
+    cut = lambda c: F.greatest(F.ceil(c / _BLOCK), F.lit(1)).cast("int")
+    held = held.filter("components > 1").select("a", "main", cut(F.col("all")).alias("members"), cut(F.col("all") - F.col("top.n")).alias("strays"))
+    mixed = materialize(labelled.join(held, "a").withColumn("stray", F.col("component") != F.col("main")), "near-mixed")
+    own = lambda by: F.pmod(F.xxhash64("id"), F.col(by)).cast("int")
+    every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    cols = ["a", "i", "j", "stray", "id", "component"]
+    strays = mixed.filter("stray").select("a", "id", "component", own("strays").alias("i"), F.lit(True).alias("stray"), every("members").alias("j"))
+    members = mixed.select("a", "id", "component", own("members").alias("j"), F.lit(False).alias("stray"), every("strays").alias("i"))
+    dealt = strays.select(*cols).unionByName(members.select(*cols)).join(texts.hint("merge"), "id").select(*cols, "text")
+    dealt = dealt.repartition(partitions(groups.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j")
+    return dealt.mapInArrow(_crossed(s), "a long, b long")
+
+
 def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (see the contract of op10)."""
     signed, own = classes(docs, s)
+    bucket = ["band", "value"]
     bands = own.select("id", "n", F.posexplode("bands").alias("band", "value"))
-    shared = bands.groupBy("band", "value").agg(F.count("*").alias("c")).filter("c > 1").select("band", "value")
-    members = materialize(bands.join(shared, ["band", "value"]).withColumn("component", F.col("id")), "near-members")
-    wanted = members.select("id").distinct()
+    shared = bands.groupBy(*bucket).agg(F.count("*").alias("c")).filter("c > 1")
+    company = F.sum("c").over(W.partitionBy("id"))  # a row a band
+    members = bands.join(shared, bucket).withColumn("company", company).drop("c")
+    members = materialize(members, "near-members")
+    top = members.groupBy(*bucket).agg(F.max(F.struct("company", (-F.col("id")).alias("minus"), "n")).alias("p"))
+    top = top.select(*bucket, (-F.col("p.minus")).alias("a"), F.col("p.n").alias("na"), F.col("p.company").alias("ca"))
+    groups = members.join(top, bucket).groupBy("a", "id").agg(F.first("n").alias("n"), F.first("na").alias("na"), F.first("ca").alias("ca"), F.count("*").alias("together"))
+    groups = materialize(groups, "near-groups")
     null_safe = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))
     # an id that several rows repeat with different texts: the text of its class
-    texts = docs.select(null_safe.alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "id").dropDuplicates(["id"])
+    texts = docs.select(null_safe.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(groups.select("id").distinct().hint("merge"), "id").dropDuplicates(["id"])
     texts = materialize(texts, "near-texts")
-    links, labels = None, None
-    first, size = 0, 1  # pivots of this round: places [first, first + size) of each bucket
-    while True:
-        if first == 0:
-            least = members.groupBy("band", "value").agg(F.min(F.struct("id", "n")).alias("p"))
-            pairs = members.join(least, ["band", "value"]).select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), "n").filter("a < b")
-        else:
-            members = materialize(_unresolved(members.drop("component").join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))), "near-members")
-            if members.isEmpty():
-                break
-            at = F.row_number().over(W.partitionBy("band", "value").orderBy("id")) - 1
-            ranked = members.withColumn("at", at)
-            pivots = ranked.filter((F.col("at") >= first) & (F.col("at") < first + size))
-            pivots = pivots.select("band", "value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            pairs = ranked.filter(F.col("at") > first).select("band", "value", F.col("id").alias("b"), "n", "component").join(pivots, ["band", "value"])
-            pairs = pairs.filter("a < b and component <> ca").select("a", "na", "b", "n")
-        fits = 100 * F.least("n", "na") >= s.percent * F.greatest("n", "na")
-        found = _confirm(pairs.filter(fits).select("a", "b").distinct(), texts, s)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        first, size = first + size, 2 * size
-        if members.groupBy("band", "value").agg(F.count("*").alias("c")).filter(F.col("c") > first + 1).isEmpty():
-            break
-    named = own.select("high", "low", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select("high", "low", F.coalesce("component", "id").alias("component_id"))
+
+    best = groups.filter("a <> id").groupBy("id").agg(F.max_by(F.struct("a", "n", "na"), F.struct("together", "ca", "a")).alias("p"))
+    fits = 100 * F.least("p.n", "p.na") >= s.percent * F.greatest("p.n", "p.na")
+    links = _confirm(best.filter(fits).select(F.col("p.a").alias("a"), F.col("id").alias("b")), texts, s)
+    labels = materialize(components(links), "near-labels")
+    more = materialize(_strays(groups.select("a", "id", "n"), labels, texts, s), "near-stray-links")
+    labels = components(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("v", "id")
+
+    named = own.select("high", "low", "id").join(labels, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component_id"))
     filled = signed.filter("n > 0").join(named, ["high", "low"]).select("doc_id", "n", "component_id")
     empty = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     back = lambda c: F.when(c == int(NULL_ID), None).otherwise(c)
