@@ -123,5 +123,6 @@ def matched_missing(left: Column, right: Column) -> tuple[Column, Column]:
     return F.array_intersect(left, right), F.array_except(left, right)
 
 
-def distinct_urls(companies: DataFrame) -> Column:
-    return F.array_distinct(F.concat(F.array("career_url"), F.array(F.concat(F.lit("https://"), U.plain_domain(F.col("domain"))))))
+def distinct_urls() -> Column:
+    """A company's own URL and its domain's, in this order, each once."""
+    return F.array_distinct(F.array_compact(F.array("career_url", F.concat(F.lit("https://"), U.plain_domain(F.col("domain"))))))

@@ -344,11 +344,14 @@ def c10_match_roles(spark, sf):
     return J.match_roles(b, new).select("doc", F.col("place").alias("bullet_index"), "new_role")
 
 
-@query(f"WITH {V_.PROFILE} SELECT person_id, upper(array_to_string(core_skills, ',')) AS skills FROM v_profile, (SELECT count(*) AS n FROM documents) WHERE n > 0")
+@query("SELECT c_custkey AS person_id, lower(CASE WHEN c_custkey % 2 = 0 THEN 'File|' || c_mktsegment ELSE c_mktsegment || '|' || c_name END) AS skills, lower(c_mktsegment) AS seniority_level, false AS skip_niche FROM customer")
 def a17_load_profiles(spark, sf):
-    raw = V_.profiles(spark).withColumn("core_skills", F.transform("core_skills", lambda x: F.upper(x)))
-    some = V_.table(spark, sf, "documents").agg(F.count("*").alias("n")).filter("n > 0")
-    return S.load_profiles(raw).crossJoin(F.broadcast(some)).select("person_id", F.upper(F.array_join("core_skills", ",")).alias("skills"))
+    c = V_.table(spark, sf, "customer")
+    raw = c.select(
+        F.col("c_custkey").alias("person_id"), F.array("c_mktsegment", "c_name").alias("core_skills"), F.lit(None).cast("array<string>").alias("red_flags"),
+        F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("File"), F.col("c_mktsegment"))).alias("skills_file"), F.col("c_mktsegment").alias("seniority_level"), F.lit(None).cast("boolean").alias("skip_niche"),
+    )
+    return S.load_profiles(raw).select("person_id", F.array_join("core_skills", "|").alias("skills"), "seniority_level", "skip_niche")
 
 
 # ---- tracking ------------------------------------------------------------------------------------------------------

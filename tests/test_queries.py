@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from postloom.plans import nested, queries
+from postloom.plans import more, nested, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = queries.QUERIES | nested.QUERIES, queries.SQL | nested.SQL
+QUERIES, SQL = queries.QUERIES | nested.QUERIES | more.QUERIES, queries.SQL | nested.SQL | more.SQL
 
 
 @pytest.fixture(scope="module")
