@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-The grades come from two labels: 0 junk (quality 0), 1 well-formed but toxic, 2 good. All grades share one vector of
+The grades come from two labels: 0 toxic, 1 junk (quality 0, not toxic), 2 good. All grades share one vector of
 hashed-text weights w; ordered thresholds t0 < t1 cut the score s = w.x: P(grade <= k) = logistic(t_k - s). A document's
 expected grade and tail probability P(grade = 2) follow from s, and selection takes the tail.
 
@@ -136,7 +136,7 @@ def solve(marks: np.ndarray, sets: list[np.ndarray], grade: np.ndarray, rounds:
 
 def graded(labels: DataFrame) -> DataFrame:
     """doc_id, grade."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     usable = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     return usable.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
