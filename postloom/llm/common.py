@@ -105,7 +105,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[str, np.ndarray] = {}
+class _Local(dict):
+    """A cache that stays where it is: a function that travels takes it along empty."""
+
+    def __reduce__(self):
+        return _Local, ()
+
+
+_POWERS = _Local()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

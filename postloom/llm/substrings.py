@@ -5,7 +5,8 @@ read; suffixes are compared by real bytes. Sorting every suffix of the corpus wo
 text, so suffixes are dealt by a *leading token* that depends on their first ``size`` bytes only, and those that cannot
 repeat go early:
 
-1. Documents are packed into blocks (compressed, in a table of shared files). The token of a suffix is the least hash of
+1. Documents are packed into blocks (compressed, in a bucketed table of shared files, so later steps that send answers to
+   blocks shuffle the answers only). The token of a suffix is the least hash of
    the ``size - TOKEN + 1`` runs of TOKEN bytes in its first ``size`` bytes: suffixes with equal heads have equal tokens, and
    neighbouring suffixes mostly share one, so a block has about one token for 16 bytes.
 2. Splitters, quantiles of the tokens of some blocks, range-partition the tokens. A bucket sorts its tokens and tells the
@@ -24,6 +25,7 @@ result; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +34,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, RunHash, chunks, ids_of, materialize, partitions, ranges, text_bytes
+from .common import NULL_ID, RunHash, chunks, ids_of, materialize, partitions, ranges, shared_dir, text_bytes
 
 SIZE = 50
 TOKEN = 20
 BLOCK = 4 << 20  # bytes of text in a block
 BUCKET = 16 << 20  # bytes of text for which there is a bucket
 MAX_BUCKETS = 1 << 16
+PART = 1 << 18  # suffixes, about, that are sorted at once
 SAMPLE = 8  # blocks whose tokens give the splitters
 
 
 def _zip(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
 
 
 def _unzip(b: bytes, kind=np.uint8) -> np.ndarray:
@@ -64,7 +67,11 @@ def blocks_of(docs: DataFrame, name: str = "text", block: int = BLOCK) -> DataFr
                 yield pa.RecordBatch.from_arrays(row, names=["block", "n_bytes", "ids", "ends", "body"])
 
     schema = "block long, n_bytes long, ids binary, ends binary, body binary"
-    return materialize(docs.select("doc_id", name).mapInArrow(run, schema), "blocks")
+    spark, table = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    packed = docs.select("doc_id", name).mapInArrow(run, schema)
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    packed.write.bucketBy(4 * partitions(spark), "block").option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 class Block:
@@ -120,7 +127,10 @@ class Block:
         """(first, number): the first segment of each different run of text, and of each segment its run's number."""
         text = self.hash.of(self.lo, self.hi + self.size)
         _, first, number = np.unique(text ^ (self.token * np.uint64(0x9FB21C651E98DF25)), return_index=True, return_inverse=True)
-        return first, number
+        order = np.argsort(first)  # by place: neighbours are alike, which compresses well
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return first[order], rank[number]
 
 
 def _dealt(values: np.ndarray, splitters: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -197,6 +207,19 @@ def _word(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(token: np.ndarray, count: np.ndarray) -> Iterator[slice]:
+    """Runs sorted by token, cut between tokens into parts of about ``PART`` suffixes."""
+    if not len(token):
+        return
+    heads = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
+    upto = np.concatenate([[0], np.cumsum(count)])[heads]
+    a = 0
+    while a < len(heads) - 1:
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + PART, "right")) - 1)
+        yield slice(heads[a], heads[z])
+        a = z
+
+
 def _answers(size: int):
     """Runs of text of a bucket -> for each block, runs of suffixes whose head has a smaller document: number of the run in
     its block, first suffix in it, how many, and that document."""
@@ -204,12 +227,20 @@ def _answers(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches):
             load = lambda c, t: np.concatenate([_unzip(r[c], t) for r in rows])  # noqa: E731, B023
-            token, length, least, most, number = load("tokens", np.uint64), load("lengths", np.int64), load("least", np.int64), load("most", np.int64), load("numbers", np.int64)
-            text = load("data", np.uint8)
-            source = np.repeat(np.arange(len(rows)), [len(_unzip(r["lengths"], np.int64)) for r in rows])
+            token, length, least, number = load("tokens", np.uint64), load("lengths", np.int32).astype(np.int64), load("least", np.int64), load("numbers", np.int64)
+            most = least + load("most", np.int64)
+            texts = [_unzip(r["data"]) for r in rows]
+            text = np.concatenate(texts)
+            counts = [len(_unzip(r["lengths"], np.int32)) for r in rows]
+            source = np.repeat(np.arange(len(rows)), counts)
             begin = np.cumsum(length) - length
             # equal runs of several blocks become one, with the smallest document
-            _, first, same = np.unique(RunHash(text).of(begin, begin + length) ^ (token * np.uint64(0x9FB21C651E98DF25)), return_index=True, return_inverse=True)
+            key, at = [], 0
+            for part, n in zip(texts, counts):
+                x = begin[at : at + n] - (begin[at] if n else 0)
+                key.append(RunHash(part).of(x, x + length[at : at + n]))
+                at += n
+            _, first, same = np.unique(np.concatenate(key) ^ (token * np.uint64(0x9FB21C651E98DF25)), return_index=True, return_inverse=True)
             small = np.full(len(first), NULL_ID)
             np.minimum.at(small, same, least)
             own_token = token[first]
@@ -219,12 +250,16 @@ def _answers(size: int):
             count = length[first] - size + 1
             answer = np.repeat(small, count)
             offset = np.cumsum(count) - count
-            if len(tied):
-                at = ranges(begin[first[tied]], count[tied])  # the suffixes' places in the text
-                to = ranges(offset[tied], count[tied])
-                word = _word(text)
+            tied = tied[np.argsort(own_token[tied], kind="stable")]
+            for part in _parts(own_token[tied], count[tied]):
+                t = tied[part]
+                size_of = length[first[t]]
+                near = text[ranges(begin[first[t]], size_of)]
+                at = ranges(np.cumsum(size_of) - size_of, count[t])  # the suffixes' places
+                word = _word(near)
                 words = [word[at + k] for k in range(0, size - 7, 8)] + [word[at + size - 8]]
-                group = grouped(words, np.repeat(own_token[tied], count[tied]))
+                group = grouped(words, np.repeat(own_token[t], count[t]))
+                to = ranges(offset[t], count[t])
                 smallest = np.full(int(group.max()) + 1, NULL_ID)
                 np.minimum.at(smallest, group, answer[to])
                 answer[to] = smallest[group]
@@ -255,19 +290,16 @@ def _answers(size: int):
 _RUNS = "bucket long, block long, tokens binary, lengths binary, least binary, most binary, numbers binary, data binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, Block, list[bytes]]]:
-    """Each block with the rows that were sent to it."""
-    for key, rows in _by_key(batches):
-        own = [r for r in rows if r["body"] is not None]
-        if own:
-            yield key, Block(own[0]["ids"], own[0]["ends"], own[0]["body"], size), [r["data"] for r in rows if r["data"] is not None]
+def _met(blocks: DataFrame, sent: DataFrame, how: str) -> DataFrame:
+    """Blocks with all that was sent to them; the bucketed side is read in place."""
+    sent = sent.groupBy("block").agg(F.collect_list("data").alias("data"))
+    return blocks.join(sent, "block", how).select("block", "ids", "ends", "body", "data")
 
 
-def _met(blocks: DataFrame, sent: DataFrame) -> DataFrame:
-    """Blocks and the rows sent to them, each block's together."""
-    columns = ["block", "ids", "ends", "body", "data"]
-    both = blocks.select("block", "ids", "ends", "body").unionByName(sent, allowMissingColumns=True).select(*columns)
-    return both.repartition(4 * partitions(blocks.sparkSession), "block").sortWithinPartitions("block")
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOCK, texts: bool = False) -> DataFrame:
@@ -282,15 +314,14 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
 
     def sent_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows([batch]):
                 tokens = Block(r["ids"], r["ends"], r["body"], size).tokens()
                 for bucket, places in _dealt(tokens & ~np.uint64(1), splitters):
                     yield _one(bucket=bucket, block=r["block"], data=_zip(tokens[places]))
 
     def sent_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, b, data in _blocks(batches, size):
-            if not data:
-                continue
+        for r in _rows(batches):
+            key, data, b = r["block"], r["data"], Block(r["ids"], r["ends"], r["body"], size)
             shared = np.sort(np.concatenate([_unzip(d, np.uint64) for d in data]))
             first, number = b.runs()
             least, most = np.full(len(first), NULL_ID), np.full(len(first), np.iinfo(np.int64).min)
@@ -302,11 +333,12 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
             for bucket, places in _dealt(token[first[live]], splitters):
                 k = live[places]
                 lo, length = b.lo[first[k]], b.hi[first[k]] + size - b.lo[first[k]]
-                parts = (b.token[first[k]], length, least[k], most[k], k.astype(np.int64), b.data[ranges(lo, length)])
+                parts = (b.token[first[k]], length.astype(np.int32), least[k], most[k] - least[k], k.astype(np.int64), b.data[ranges(lo, length)])
                 yield _one(bucket=bucket, block=key, **dict(zip(("tokens", "lengths", "least", "most", "numbers", "data"), map(_zip, parts))))
 
     def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, b, data in _blocks(batches, size):
+        for r in _rows(batches):
+            data, b = r["data"], Block(r["ids"], r["ends"], r["body"], size)
             gone = np.zeros(len(b.data) + 1, np.int64)
             if data:
                 table = np.concatenate([_unzip(d, np.int64).reshape(4, -1) for d in data], axis=1)
@@ -346,10 +378,10 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
 
     tokens = blocks.select("ids", "ends", "body", "block").mapInArrow(sent_tokens, "bucket long, block long, data binary")
     shared = materialize(by_bucket(tokens).mapInArrow(_shared_tokens, "block long, data binary"), "shared-tokens")
-    runs = _met(blocks, shared).mapInArrow(sent_runs, _RUNS)
+    runs = _met(blocks, shared, "inner").mapInArrow(sent_runs, _RUNS)
     answers = materialize(by_bucket(runs).mapInArrow(_answers(size), "block long, data binary"), "answers")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return _met(blocks, answers).mapInArrow(cut_blocks, schema)
+    return _met(blocks, answers, "left").mapInArrow(cut_blocks, schema)
 
 
 def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
