@@ -30,11 +30,9 @@ def with_key(df: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: str = "key", order: tuple[str, ...] = ("scraped_at", "source_id")) -> DataFrame:
-    """The first row of each key. A partial minimum over the row's struct: a hot key meets in one task only as one row a
-    task."""
-    rest = [c for c in df.columns if c not in (key, *order)]
-    row = F.min(F.struct(*order, *rest)).alias("_row")
-    return df.groupBy(key).agg(row).select(key, "_row.*").select(*df.columns)
+    """The first row of each key. Spark limits the groups before the shuffle too, so a hot key crosses the network as one row a
+    task, and columns that no later step needs are pruned."""
+    return top_per(df, [key], [F.col(c) for c in order])
 
 
 def only_new(df: DataFrame, seen: DataFrame) -> DataFrame:
