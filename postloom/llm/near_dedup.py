@@ -254,6 +254,7 @@ def _strays(groups: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings)
     held = held.groupBy("a").agg(F.count("*").alias("components"), F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("n").alias("all"), F.max(F.struct("c", "component", "n")).alias("top"))
     cut = lambda c: F.greatest(F.ceil(c / _BLOCK), F.lit(1)).cast("int")
     held = held.filter("components > 1").select("a", "main", cut(F.col("all")).alias("members"), cut(F.col("all") - F.col("top.n")).alias("strays"))
+    held = materialize(held, "near-held")  # a table by itself, so that the join can split the rows of a hot pivot
     mixed = materialize(labelled.join(held, "a").withColumn("stray", F.col("component") != F.col("main")), "near-mixed")
     own = lambda by: F.pmod(F.xxhash64("id"), F.col(by)).cast("int")
     every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
