@@ -71,20 +71,18 @@ def _quoted(before: str, hit: Column, after: str = "") -> Column:
     return F.concat(F.lit(before + "'"), hit, F.lit("'" + after))
 
 
-def score(df: DataFrame, v: Vocabulary | None = None) -> DataFrame:
-    """Adds rule_adjustments (in rule order), matched_skills, missing_skills, notes, reason and score.
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are worked out once a row: a later filter on what is made of them isn't pushed below, where it would work
+    them out again for each of their uses."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
-    Rows hold a posting, a profile (see ``load_profiles``) and embedding_score.
-    """
+
+def prepare(postings: DataFrame, v: Vocabulary | None = None) -> DataFrame:
+    """Adds what scoring needs of a posting alone. Before a fan-out it is worked out once a posting, not once a pair."""
     v = v or Vocabulary()
     title, desc = F.col("_title"), F.col("_desc")
-    df = df.withColumns({"_title": F.lower(empty(F.col("title"))), "_desc": F.lower(empty(F.col("description_text")))})
-    matched = F.filter("core_skills", lambda s: T.phrase_present(desc, s))
-    df = df.withColumns({
-        "_target": T.first_of(title, F.col("target_titles")),
-        "_flag_title": T.first_of(title, F.col("red_flags")),
-        "_flag_desc": T.first_of(desc, F.col("red_flags")),
-        "_flag_own": T.first_of(desc, F.col("desc_red_flags")),
+    df = _once(postings, {"_title": F.lower(empty(F.col("title"))), "_desc": F.lower(empty(F.col("description_text")))})
+    return _once(df, {
         "_sponsor": T.first_token(desc, v.no_sponsorship),
         "_non_tech": T.first_token(title, v.non_tech),
         "_ambiguous": T.first_token(title, v.ambiguous),
@@ -93,7 +91,24 @@ def score(df: DataFrame, v: Vocabulary | None = None) -> DataFrame:
         "_niche": T.count_tokens(desc, v.niche),
         "_coding": T.count_tokens(title, v.coding) + T.count_tokens(desc, v.coding),
         "_place": location_class(F.col("location"), v),
-        "matched_skills": matched,
+    })
+
+
+def score(df: DataFrame, v: Vocabulary | None = None) -> DataFrame:
+    """Adds rule_adjustments (in rule order), matched_skills, missing_skills, notes, reason and score.
+
+    Rows hold a posting (prepared or not), a profile (see ``load_profiles``) and embedding_score.
+    """
+    v = v or Vocabulary()
+    if "_niche" not in df.columns:
+        df = prepare(df, v)
+    title, desc = F.col("_title"), F.col("_desc")
+    df = _once(df, {
+        "_target": T.first_of(title, F.col("target_titles")),
+        "_flag_title": T.first_of(title, F.col("red_flags")),
+        "_flag_desc": T.first_of(desc, F.col("red_flags")),
+        "_flag_own": T.first_of(desc, F.col("desc_red_flags")),
+        "matched_skills": F.filter("core_skills", lambda s: T.phrase_present(desc, s)),
     })
     niche_on = ~F.col("skip_niche")
     c = F.col

@@ -500,7 +500,7 @@ def g02_matched_missing(spark, sf):
 
 
 def _scored(spark, sf):
-    df = S.fan_out(V_.post(spark, sf), S.load_profiles(V_.profiles(spark))).withColumn("embedding_score", (F.col("doc_id") % 100) / 100.0)
+    df = S.fan_out(S.prepare(V_.post(spark, sf), WORDS), S.load_profiles(V_.profiles(spark))).withColumn("embedding_score", (F.col("doc_id") % 100) / 100.0)
     return S.score(df, WORDS)
 
 
