@@ -343,6 +343,22 @@ def test_packing(spark):
     assert packing.op2_packing(empty(spark)).count() == 0
 
 
+def test_packing_matches_added_tokens(spark):
+    """The ids of the tokenizer's file with nothing set but add_special_tokens=False, by either library."""
+    tokenizers = pytest.importorskip("tokenizers")
+    P = pytest.importorskip("public_tokenizers")
+    t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"{end}{end}", f"é  {end}  \n x", f"<|endoftext |> {end[:-1]}", f"naïve {end} " * 3000, "x" * 300 + f"{end}'s", f"a{end}" + " " * 1_200_000 + f"b{end}"]
+    rows = packing.op2_packing(frame(spark, list(enumerate(texts)))).collect()
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], np.uint32)
+        own = [r for r in rows if r.doc_id == i]
+        assert sum(r.length for r in own) == len(ids)
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+
+
 def test_packed_sequences_hold_the_ids(spark):
     docs = frame(spark, ROWS[:20])
     cut = packing.pieces(docs)
