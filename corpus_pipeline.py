@@ -1,8 +1,8 @@
 """Corpus pipeline: raw documents -> packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns of
-``documents``. ``run`` cuts lineage between stages with a table in the shared folder. A stage joins its decisions on doc_id
-(null-safe), so rows that repeat an id stay or go together.
+``documents``. ``run`` cuts lineage between stages with a table in the shared folder. A stage that drops rows first writes
+its input with a key for each row, decides on that key and drops by it, so null and repeated ids do no harm.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from postloom.llm.common import materialize, read
+from postloom.llm.common import materialize, numbered, read
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+ROW = "_row"
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(gone.select(ROW), ROW, "left_anti").drop(ROW)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +29,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest document of each text, white space aside."""
-    return _without(docs, exact_dedup.dedup(docs).filter(~F.col("kept")))
+    rows = numbered(docs, ROW, "rows")
+    return _without(rows, exact_dedup.extra(rows, ROW))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more on shingles of five words."""
-    return _without(docs, near_dedup.near_dedup(docs, near_dedup.Settings()).filter(~F.col("kept")))
+    rows = numbered(docs, ROW, "rows")
+    return _without(rows, near_dedup.near_dedup(rows, near_dedup.Settings(), ROW).filter(~F.col("kept")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    return _without(docs, decontaminate.op8_decontaminate(docs, read(spark, sf_dir, "benchmark")).filter("contaminated"))
+    rows = numbered(docs, ROW, "rows")
+    found = decontaminate.op8_decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return _without(rows, found.filter("contaminated").withColumnRenamed("doc_id", ROW))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

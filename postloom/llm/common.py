@@ -36,6 +36,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, row: str, name: str) -> DataFrame:
+    """``docs`` with a key for each row, whatever its id: a table, so that every reader sees the same keys."""
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,8 @@ from its own (proximity match); 0 is the exact phrase.
 Test items go to the tasks in blocks of at most ``block_bytes`` of text, so what is broadcast is bounded; a larger
 benchmark means more blocks, each against the whole index.
 
-Defined cases: a null or empty text has no words, and such an item has no window; repeated items count once; repeated rows
+Defined cases: a null or empty text has no words, and such an item has no window; repeated items count once;
+a null item_id names no item, but the windows of its text are hits; repeated rows
 of a document each have a result; an empty benchmark leaves everything clean; an empty table gives an empty result; other
 columns are not looked at.
 """
@@ -64,14 +65,14 @@ def build_index(docs: DataFrame, name: str = "text") -> DataFrame:
 class Phrases:
     """Windows of test items: of each different phrase its terms, and the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         held: dict[tuple[int, ...], set[str]] = {}
         data, off = text_bytes(pa.array([t for _, t in items], pa.string()))
         word, first = terms(data, off)
         for k, (item, _) in enumerate(items):
             own = word[first[k] : first[k + 1]].tolist()
             for a in range(max(1, len(own) - window + 1) if own else 0):
-                held.setdefault(tuple(own[a : a + window]), set()).add(item)
+                held.setdefault(tuple(own[a : a + window]), set()).update(() if item is None else (item,))
         self.terms = np.unique(np.array([t for p in held for t in p], np.uint64))
         self.phrases = [np.searchsorted(self.terms, np.array(p, np.uint64)) for p in held]
         self.items = [sorted(x) for x in held.values()]
@@ -149,7 +150,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     found = None
     for k in range(n):
         rows = [(r.item_id, r.text) for r in dealt.filter(F.col("block") == k).collect()]  # about block_bytes
-        part = index.mapInArrow(_searched(Phrases(sorted(rows), window), slop), schema)
+        part = index.mapInArrow(_searched(Phrases(sorted(rows, key=lambda r: (r[0] or "", r[1])), window), slop), schema)
         if n > 1:  # documents keep their place in the index: segment and number
             part = materialize(part.withColumn("at", F.monotonically_increasing_id()), "phrase-hits")
         found = part if found is None else found.unionByName(part)

@@ -11,7 +11,7 @@
 
 Defined cases: null counts as empty, and all texts without a sign beside white space are equal; among equal texts the one
 with the most code points, then the smallest id stays (a null id is the largest); rows that repeat an id and a text are one
-document, counted each, and stay or go together; an empty table gives an empty result; other columns are not looked at.
+document, counted each, and stay or go together in ``dedup``, while ``extra`` leaves one row of each text; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ CAPACITY = 1 << 20  # bytes of a bucket
 MAX_DEPTH = 14
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_ROWS = "doc_id long, key long, n_points long, sha binary, body binary, n long, best_points long, best_id long"
+_ROWS = "doc_id long, row long, key long, n_points long, sha binary, body binary, n long, best_points long, best_id long, best_row long"
 _CHUNK = 4 << 20
 
 
-def _chained(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+def _chained(ids: np.ndarray, own: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
     """The small rows of some documents; the first of each different text also carries the entry."""
     n = len(ids)
     count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
@@ -57,7 +57,7 @@ def _chained(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.Recor
             first[i] = True
         total[j] += 1
         b = best[j]
-        if (-points[i], ids[i]) < (-points[b], ids[b]):
+        if (-points[i], ids[i], own[i]) < (-points[b], ids[b], own[b]):
             best[j] = i
     bodies = [view[bounds[i] : bounds[i + 1]] for i in range(n)]
     sha = pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary())
@@ -65,22 +65,24 @@ def _chained(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.Recor
     at = best[np.arange(n)]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(ids), pa.array(keys), pa.array(points.astype(np.int64)), sha,
+            pa.array(ids), pa.array(own), pa.array(keys), pa.array(points.astype(np.int64)), sha,
             pa.array([b if f else None for b, f in zip(bodies, first.tolist())], pa.binary()),
-            pa.array(total, mask=blank), pa.array(points[at].astype(np.int64), mask=blank), pa.array(ids[at], mask=blank),
+            pa.array(total, mask=blank), pa.array(points[at].astype(np.int64), mask=blank), pa.array(ids[at], mask=blank), pa.array(own[at], mask=blank),
         ],
-        names=["doc_id", "key", "n_points", "sha", "body", "n", "best_points", "best_id"],
+        names=["doc_id", "row", "key", "n_points", "sha", "body", "n", "best_points", "best_id", "best_row"],
     )
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, row: str | None = None) -> DataFrame:
+    own = F.col(row) if row else F.lit(0).cast("long")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, (data, off) = ids_of(batch.column(0)), text_bytes(batch.column(1))
+            ids, own, (data, off) = ids_of(batch.column(0)), ids_of(batch.column(2)), text_bytes(batch.column(1))
             for i, j in chunks(off, _CHUNK):
-                yield _chained(ids[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i])
+                yield _chained(ids[i:j], own[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ROWS)
+    return docs.select("doc_id", "text", own.alias("row")).mapInArrow(run, _ROWS)
 
 
 def directory(prefix_bytes: dict[int, int], depth: int, capacity: int = CAPACITY) -> list[int]:
@@ -117,28 +119,28 @@ def _prefix(depth: int):
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries sorted by bucket and key -> the index. The chain of a key goes on over the ends of batches."""
-    names = ["bucket", "key", "place", "sha", "n", "keep_points", "keep_id"]
+    names = ["bucket", "key", "place", "sha", "n", "keep_points", "keep_id", "keep_row"]
     out: list[list] = []
     chain: list[list] = []
     at = None
 
     def flush() -> None:
-        for place, (_, sha, n, points, doc) in enumerate(chain):
-            out.append([*at, place, sha, n, -points, doc])
+        for place, (_, sha, n, points, doc, row) in enumerate(chain):
+            out.append([*at, place, sha, n, -points, doc, row])
         chain.clear()
 
     for batch in batches:
-        for bucket, key, body, sha, n, points, doc in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, key, body, sha, n, points, doc, row in zip(*(c.to_pylist() for c in batch.columns)):
             if (bucket, key) != at:
                 flush()
                 at = (bucket, key)
             for link in chain:
                 if link[0] == body:
                     link[2] += n
-                    link[3:] = min(link[3:], [-points, doc])
+                    link[3:] = min(link[3:], [-points, doc, row])
                     break
             else:
-                chain.append([body, sha, n, -points, doc])
+                chain.append([body, sha, n, -points, doc, row])
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=_INDEX)
             out = []
@@ -147,7 +149,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=_INDEX)
 
 
-_INDEX = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("place", pa.int32()), ("sha", pa.binary()), ("n", pa.int64()), ("keep_points", pa.int64()), ("keep_id", pa.int64())])
+_INDEX = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("place", pa.int32()), ("sha", pa.binary()), ("n", pa.int64()), ("keep_points", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64())])
 
 
 def build_index(rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -161,11 +163,11 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     dealt = (
         entries.withColumn("slot", _prefix(depth))
         .join(F.broadcast(slot_table), "slot")
-        .select("bucket", "key", "body", "sha", "n", "best_points", "best_id")
+        .select("bucket", "key", "body", "sha", "n", "best_points", "best_id", "best_row")
         .repartition(max(partitions(spark), 1), "bucket")
         .sortWithinPartitions("bucket", "key")
     )
-    schema = "bucket int, key long, place int, sha binary, n long, keep_points long, keep_id long"
+    schema = "bucket int, key long, place int, sha binary, n long, keep_points long, keep_id long, keep_row long"
     return materialize(dealt.mapInArrow(_owners, schema), "exact-index")
 
 
@@ -182,3 +184,10 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH)
         (F.col("doc_id") == F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def extra(docs: DataFrame, row: str) -> DataFrame:
+    """``row`` of all rows but one of each text: among equals the one that ``dedup`` keeps, then the least key stays."""
+    rows = materialize(keyed(docs, row), "exact-keys")
+    found = rows.select("row", "key", "sha").join(build_index(rows).select("key", "sha", "keep_row"), ["key", "sha"])
+    return found.filter("row <> keep_row").select(F.col("row").alias(row))

@@ -5,7 +5,7 @@ signature: coordinate k is the least value over the set of ``second((first(x) +
 permutation, shifted circularly by k places. Bands of the signature give candidates; links are confirmed on full sets.
 
 1. One pass over the texts: size of the set, a 128-bit digest of it, and one word for each band.
-2. Documents of equal sets become one class, named by its smallest id; only classes go on. So exact copies, however
+2. Documents of equal sets become one class, named by the row of its smallest id; only classes go on. So exact copies, however
    many, cost one row.
 3. Classes that share a band meet in a bucket. Each bucket's pivot is the member with the most company in all its buckets
    (for a group of near copies mostly their original), and all members of a pivot's buckets are the pivot's group. First
@@ -21,8 +21,9 @@ Bands: with 28 bands of 6 rows a pair of similarity 0.85 is missed with probabil
 of 0.8 with 1e-7; a pair of similarity 0.1 becomes a candidate with probability 3e-5 and 4e-4.
 
 Defined cases: a document without words has an empty set, belongs to no class and keeps itself; with fewer words than a
-shingle has, the whole sequence is the one shingle; rows that repeat an id are one document of the class of each text; a
-null id is larger than any other; an empty table gives an empty result; other columns are not looked at.
+shingle has, the whole sequence is the one shingle; rows are told apart by a key of their own, so of rows that
+repeat an id, or have none, each is in the class of its own text and one of a component is kept; a null id is larger than any
+other; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import NULL_ID, RunHash, chunks, ids_of, materialize, mix, partitions, text_bytes, word_runs
+from .common import NULL_ID, RunHash, chunks, ids_of, materialize, mix, numbered, partitions, text_bytes, word_runs
 from .components import components
 
 _SPACE = np.zeros(256, bool)
@@ -109,7 +110,7 @@ def _signed(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, (data, off) = ids_of(batch.column(0)), text_bytes(batch.column(1))
+            ids, (data, off), own_rows = ids_of(batch.column(0)), text_bytes(batch.column(1)), batch.column(2)
             for i, j in chunks(off, _CHUNK):
                 hashes, at = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], s.words)
                 n = j - i
@@ -124,8 +125,8 @@ def _signed(s: Settings):
                 listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64)))  # noqa: E731, B023
                 sizes = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j]), pa.array(sizes), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), listed(bands)],
-                    names=["doc_id", "n", "high", "low", "bands"],
+                    [pa.array(ids[i:j]), own_rows.slice(i, n), pa.array(sizes), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), listed(bands)],
+                    names=["doc_id", "row", "n", "high", "low", "bands"],
                 )
 
     return run
@@ -176,13 +177,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(documents, classes): doc_id, n, high, low; and high, low, id (smallest), n, bands of each different set."""
-    signed = docs.select("doc_id", "text").mapInArrow(_signed(s), "doc_id long, n long, high long, low long, bands array<long>")
+    """(rows, classes): row, doc_id, n, high, low; and high, low, n, bands of each different set, doc_id (its smallest) and
+    id (the row that has it, the first of several)."""
+    signed = docs.select("doc_id", "text", "row").mapInArrow(_signed(s), "doc_id long, row long, n long, high long, low long, bands array<long>")
     signed = materialize(signed, "near-signed")
-    own = signed.filter("n > 0").groupBy("high", "low", "n").agg(F.min("doc_id").alias("id"))
-    firsts = signed.filter("n > 0").withColumnRenamed("doc_id", "id").dropDuplicates(["id", "high", "low"])
-    own = own.join(firsts.select("id", "high", "low", "bands"), ["id", "high", "low"])
-    return signed.select("doc_id", "n", "high", "low"), materialize(own, "near-classes")
+    own = signed.filter("n > 0").groupBy("high", "low", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    own = own.select("high", "low", "n", "first.doc_id", F.col("first.row").alias("id"))
+    own = own.join(signed.filter("n > 0").select(F.col("row").alias("id"), "bands"), "id")
+    return signed.select("row", "doc_id", "n", "high", "low"), materialize(own, "near-classes")
 
 
 def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
@@ -266,8 +268,19 @@ def _strays(groups: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings)
     return dealt.mapInArrow(_crossed(s), "a long, b long")
 
 
-def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (see the contract of op10)."""
+def _led(own: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, lead_id, lead: of each class in a component with others, the smallest doc_id in the component and its row."""
+    roots = labels.select(F.col("component").alias("id"), "component").distinct()
+    ends = labels.select("id", "component").unionByName(roots).join(own.select("id", "doc_id"), "id")
+    ends = materialize(ends, "near-ends")  # a table by itself, so that the join can split the rows of a large component
+    leads = ends.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("p"))
+    leads = leads.select("component", F.col("p.doc_id").alias("lead_id"), F.col("p.id").alias("lead"))
+    return materialize(ends.join(leads, "component").select("id", "lead_id", "lead"), "near-leads")
+
+
+def near_dedup(docs: DataFrame, s: Settings = Settings(), row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (see the contract of op10), and ``row`` where the caller has keys of rows."""
+    docs = docs.select(F.col(row).alias("row"), "doc_id", "text") if row else numbered(docs.select("doc_id", "text"), "row", "near-rows")
     signed, own = classes(docs, s)
     bucket = ["band", "value"]
     bands = own.select("id", "n", F.posexplode("bands").alias("band", "value"))
@@ -279,10 +292,8 @@ def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     top = top.select(*bucket, (-F.col("p.minus")).alias("a"), F.col("p.n").alias("na"), F.col("p.company").alias("ca"))
     groups = members.join(top, bucket).groupBy("a", "id").agg(F.first("n").alias("n"), F.first("na").alias("na"), F.first("ca").alias("ca"), F.count("*").alias("together"))
     groups = materialize(groups, "near-groups")
-    null_safe = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))
-    # an id that several rows repeat with different texts: the text of its class
-    texts = docs.select(null_safe.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(groups.select("id").distinct().hint("merge"), "id").dropDuplicates(["id"])
+    texts = docs.select(F.col("row").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(groups.select("id").distinct().hint("merge"), "id")
     texts = materialize(texts, "near-texts")
 
     best = groups.filter("a <> id").groupBy("id").agg(F.max_by(F.struct("a", "n", "na"), F.struct("together", "ca", "a")).alias("p"))
@@ -292,13 +303,15 @@ def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     more = materialize(_strays(groups.select("a", "id", "n"), labels, texts, s), "near-stray-links")
     labels = components(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("v", "id")
 
-    named = own.select("high", "low", "id").join(labels, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component_id"))
-    filled = signed.filter("n > 0").join(named, ["high", "low"]).select("doc_id", "n", "component_id")
-    empty = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    named = own.select("high", "low", "id", "doc_id").join(_led(own, labels), "id", "left")
+    named = named.select("high", "low", F.coalesce("lead_id", "doc_id").alias("component_id"), F.coalesce("lead", "id").alias("lead"))
+    filled = signed.filter("n > 0").join(named, ["high", "low"]).select("row", "doc_id", "n", "component_id", "lead")
+    empty = signed.filter("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("row").alias("lead"))
     back = lambda c: F.when(c == int(NULL_ID), None).otherwise(c)
     return filled.unionByName(empty).select(
+        *([F.col("row").alias(row)] if row else []),
         back(F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         back(F.col("component_id")).alias("component_id"),
-        (F.col("doc_id") == F.col("component_id")).alias("kept"),
+        (F.col("row") == F.col("lead")).alias("kept"),
     )

@@ -197,6 +197,18 @@ def test_near_dedup(spark, s):
     assert near_dedup.near_dedup(empty(spark), s).count() == 0
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    """Every row has a class of its own text: unlike texts of one id are not joined, and no link of theirs is lost."""
+    a, b, c = (" ".join(words(120)) for _ in range(3))
+    rows = [(None, a), (None, b), (7, a + " zz"), (7, c), (3, c + " zz"), (None, b + " zz"), (None, b), (8, "x"), (8, "x")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_dedup(frame(spark, rows), near_dedup.Settings()).collect())
+    n = len(shingle_set(a, 5)), len(shingle_set(b, 5)), len(shingle_set(c, 5))
+    flags = sorted(k for i, _, p, k in got if (i, p) == (0, 0))
+    assert flags == [False, False, True]  # of b one row stays
+    want = [(0, n[0], 7, False), (7, n[0] + 1, 7, True), (7, n[2], 3, False), (3, n[2] + 1, 3, True), (8, 1, 8, False), (8, 1, 8, True)]
+    assert sorted(r for r in got if (r[0], r[2]) != (0, 0)) == sorted(want)
+
+
 def test_near_dedup_of_a_family(spark, monkeypatch):
     """Near copies by degrees, in small blocks: links between strays are found, whatever connects them."""
     base = " ".join(words(120))
@@ -275,6 +287,16 @@ def test_decontaminate(spark):
     assert decontaminate.op8_decontaminate(empty(spark), df).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_decontaminate_by_an_item_without_an_id(spark, block):
+    passage = ROWS[6][1]
+    items = spark.createDataFrame([(None, passage), (None, passage), (3, passage), (None, "only here it is"), (4, "two")], "item_id long, text string")
+    docs = frame(spark, [(1, "x " + passage), (2, "only here it is"), (3, "no"), (None, "two")])
+    got = {r.doc_id: (len(r.hits), r["items"]) for r in decontaminate.search(decontaminate.build_index(docs), items, block_bytes=block).collect()}
+    assert got == {1: (40, ["3"]), 2: (4, []), 3: (0, []), None: (1, ["4"])}
+    assert {r.doc_id: r.contaminated for r in decontaminate.op8_decontaminate(docs, items).collect()} == {1: True, 2: True, 3: False, None: True}
+
+
 def test_proximity(spark):
     docs = frame(spark, [(1, "a b x c d"), (2, "a b c d"), (3, "d c b a")])
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")

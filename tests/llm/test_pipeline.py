@@ -41,6 +41,23 @@ def test_stages(spark, tmp_path):
     assert sorted(texts(kept)) == sorted(i for i, w in brute_hits(list(before.items()), [(1, ROWS[6][1])]).items() if not w[-1])
 
 
+def test_stages_of_null_and_repeated_ids(spark, tmp_path):
+    """Rows without an id, and unlike texts of one id, are judged each by itself; one row of each group stays."""
+    sf = folder(spark, tmp_path)
+    a, b, c, d = (" ".join(words(150)) for _ in range(4))
+    edited = lambda t, n: t.replace(" ", f" w{n} ", 1)
+    bad = "x " + ROWS[6][1]
+    kept = lambda stage, rows: sorted(r.text for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf).collect())
+    ids = [None, None, None, None, 5, 5, 5, 5, 6, None]
+    rows = list(zip(ids, [a, b, a, a, c, d, c, c, a, ""]))
+    assert kept(corpus_pipeline.drop_copies, rows) == sorted([a, b, c, d, ""])
+    rows = list(zip(ids, [a, b, edited(a, 1), a, c, d, edited(c, 1), c, edited(a, 2), ""]))
+    out = kept(corpus_pipeline.drop_near_copies, rows)
+    assert len(out) == 5 and {"", b, d, edited(a, 2)} < set(out)  # id 6 is the only one in a's group
+    rows = [(None, a), (None, bad), (5, bad), (5, b), (None, c), (5, d), (None, "")]
+    assert kept(corpus_pipeline.drop_contaminated, rows) == sorted([a, b, c, d, ""])
+
+
 def test_run(spark, tmp_path):
     out = corpus_pipeline.run(spark, folder(spark, tmp_path)).collect()
     assert len(corpus_pipeline.STAGES) == 5 and out
