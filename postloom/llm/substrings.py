@@ -11,10 +11,14 @@ repeat go early:
    neighbouring suffixes mostly share one, so a block has about one token for 16 bytes.
 2. Splitters, quantiles of the tokens of some blocks, range-partition the tokens. A bucket sorts its tokens and tells the
    blocks which tokens occur in more than one document. A block sends each token once, so a passage that a third of all
-   documents share costs one entry a block. Equal tokens never straddle a splitter, so there is no boundary to mend.
+   documents share costs one entry a block. Equal tokens never straddle a splitter, so there is no boundary to mend. A block
+   also tells how many suffixes it would send for each token: tokens of more than ``PART`` in all are *hot* (a list of at
+   most 65,536).
 3. Each block sends the suffixes of shared tokens, as runs of text, each different run once with its smallest and largest
    document. The bucket sorts the suffixes of its runs by multikey quicksort over words of 8 bytes, going on only with
-   suffixes that are still tied, and finds the smallest document for each different head.
+   suffixes that are still tied, and finds the smallest document for each different head. A hot token's suffixes go one by
+   one, each different head of a block once, and are dealt on by a hash of the whole head: equal heads still meet, and no
+   bucket gets the whole token.
 4. Each block takes those answers, marks the suffixes whose head has a smaller document, and cuts what they cover.
 
 Defined cases: a null or empty text keeps its no bytes; texts of fewer than ``size`` bytes never lose any; rows that repeat
@@ -41,7 +45,7 @@ TOKEN = 20
 BLOCK = 4 << 20  # bytes of text in a block
 BUCKET = 16 << 20  # bytes of text for which there is a bucket
 MAX_BUCKETS = 1 << 16
-PART = 1 << 18  # suffixes, about, that are sorted at once
+PART = 1 << 18  # suffixes, about, that are sorted at once; a token of more is hot
 SAMPLE = 8  # blocks whose tokens give the splitters
 
 
@@ -112,6 +116,31 @@ class Block:
         self.token = least[self.lo]
         self.doc = np.searchsorted(self.ends, self.lo, "right")
 
+    def split(self, hot: np.ndarray) -> None:
+        """Cuts the segments of the hot tokens (sorted) into one for each suffix."""
+        mine = within(self.token & ~np.uint64(1), hot)
+        if not mine.any():
+            return
+        number = np.where(mine, self.hi - self.lo + 1, 1)
+        of = np.repeat(np.arange(len(number)), number)
+        self.lo, hi = ranges(self.lo, number), self.hi[of]
+        self.hi = np.where(mine[of], self.lo, hi)
+        self.token, self.doc = self.token[of], self.doc[of]
+
+    def buckets(self, segments: np.ndarray, hot: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+        """Where segments go: by token, or, of a hot token, by their whole head."""
+        token, lo = self.token[segments] & ~np.uint64(1), self.lo[segments]
+        head = self.hash.of(lo, lo + self.size) % np.uint64(len(splitters) + 1)
+        return np.where(within(token, hot), head.astype(np.int64), np.searchsorted(splitters, token, "right"))
+
+    def suffixes(self, tokens: np.ndarray) -> np.ndarray:
+        """How many suffixes of different runs the block has for each of its ``tokens``, in their order."""
+        if not len(tokens):
+            return np.zeros(0, np.int64)
+        first, _ = self.runs()
+        at = np.searchsorted(tokens & ~np.uint64(1), self.token[first] & ~np.uint64(1))
+        return np.bincount(at, self.hi[first] - self.lo[first] + 1, len(tokens)).astype(np.int64)
+
     def tokens(self) -> np.ndarray:
         """The block's different tokens, sorted, with the last bit telling whether several of its documents hold it."""
         if not len(self.token):
@@ -133,9 +162,15 @@ class Block:
         return first[order], rank[number]
 
 
-def _dealt(values: np.ndarray, splitters: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(bucket, places) of each bucket that has some of the values."""
-    bucket = np.searchsorted(splitters, values, "right")
+def within(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values are among ``held``, which is sorted."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
+
+
+def _dealt(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places) of each bucket that there is."""
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order])) + 1
     return [(int(bucket[p[0]]), p) for p in np.split(order, cut) if len(p)]
@@ -160,23 +195,33 @@ def _one(**row) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row.values()], names=list(row))
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _by_key(batches):
-        parts = [_unzip(r["data"], np.uint64) for r in rows]
-        token = np.concatenate(parts)
-        order = np.argsort(token >> np.uint64(1), kind="stable")
-        plain = token[order] >> np.uint64(1)
-        head = np.concatenate([[True], plain[1:] != plain[:-1]])
-        group = np.cumsum(head) - 1
-        shared = (np.bincount(group) > 1) | (np.bincount(group, weights=(token[order] & np.uint64(1)).astype(float)) > 0)
-        flag = np.zeros(len(token), bool)
-        flag[order] = shared[group]
-        at = 0
-        for r, p in zip(rows, parts):
-            mine = p[flag[at : at + len(p)]] & ~np.uint64(1)
-            at += len(p)
-            if len(mine):
-                yield _one(block=r["block"], data=_zip(mine))
+def _shared_tokens(hot: int):
+    """Tokens of a bucket -> for each block those that several documents hold, and as block -1 those of more than ``hot``
+    suffixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_key(batches):
+            parts = [_unzip(r["data"], np.uint64) for r in rows]
+            token = np.concatenate(parts)
+            count = np.concatenate([_unzip(r["counts"], np.uint32) for r in rows])
+            order = np.argsort(token >> np.uint64(1), kind="stable")
+            plain = token[order] >> np.uint64(1)
+            head = np.concatenate([[True], plain[1:] != plain[:-1]])
+            group = np.cumsum(head) - 1
+            shared = (np.bincount(group) > 1) | (np.bincount(group, weights=(token[order] & np.uint64(1)).astype(float)) > 0)
+            many = plain[head][shared & (np.bincount(group, weights=count[order]) > hot)] << np.uint64(1)
+            if len(many):
+                yield _one(block=-1, data=_zip(many))
+            flag = np.zeros(len(token), bool)
+            flag[order] = shared[group]
+            at = 0
+            for r, p in zip(rows, parts):
+                mine = p[flag[at : at + len(p)]] & ~np.uint64(1)
+                at += len(p)
+                if len(mine):
+                    yield _one(block=r["block"], data=_zip(mine))
+
+    return run
 
 
 def grouped(words: list[np.ndarray], group: np.ndarray) -> np.ndarray:
@@ -302,7 +347,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOCK, texts: bool = False) -> DataFrame:
+def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOCK, texts: bool = False, part: int = PART) -> DataFrame:
     """Of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also kept (binary)."""
     spark = docs.sparkSession
     blocks = blocks_of(docs, name, block)
@@ -315,14 +360,17 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
     def sent_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in _rows([batch]):
-                tokens = Block(r["ids"], r["ends"], r["body"], size).tokens()
-                for bucket, places in _dealt(tokens & ~np.uint64(1), splitters):
-                    yield _one(bucket=bucket, block=r["block"], data=_zip(tokens[places]))
+                b = Block(r["ids"], r["ends"], r["body"], size)
+                tokens = b.tokens()
+                counts = b.suffixes(tokens).astype(np.uint32)
+                for bucket, places in _dealt(np.searchsorted(splitters, tokens & ~np.uint64(1), "right")):
+                    yield _one(bucket=bucket, block=r["block"], data=_zip(tokens[places]), counts=_zip(counts[places]))
 
     def sent_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             key, data, b = r["block"], r["data"], Block(r["ids"], r["ends"], r["body"], size)
             shared = np.sort(np.concatenate([_unzip(d, np.uint64) for d in data]))
+            b.split(hot)
             first, number = b.runs()
             least, most = np.full(len(first), NULL_ID), np.full(len(first), np.iinfo(np.int64).min)
             np.minimum.at(least, number, b.ids[b.doc])
@@ -330,7 +378,7 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
             token = b.token & ~np.uint64(1)
             at = np.minimum(np.searchsorted(shared, token[first]), len(shared) - 1)
             live = np.flatnonzero(shared[at] == token[first])
-            for bucket, places in _dealt(token[first[live]], splitters):
+            for bucket, places in _dealt(b.buckets(first[live], hot, splitters)):
                 k = live[places]
                 lo, length = b.lo[first[k]], b.hi[first[k]] + size - b.lo[first[k]]
                 parts = (b.token[first[k]], length.astype(np.int32), least[k], most[k] - least[k], k.astype(np.int64), b.data[ranges(lo, length)])
@@ -339,6 +387,7 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
     def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             data, b = r["data"], Block(r["ids"], r["ends"], r["body"], size)
+            b.split(hot)
             gone = np.zeros(len(b.data) + 1, np.int64)
             if data:
                 table = np.concatenate([_unzip(d, np.int64).reshape(4, -1) for d in data], axis=1)
@@ -376,8 +425,11 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
 
-    tokens = blocks.select("ids", "ends", "body", "block").mapInArrow(sent_tokens, "bucket long, block long, data binary")
-    shared = materialize(by_bucket(tokens).mapInArrow(_shared_tokens, "block long, data binary"), "shared-tokens")
+    tokens = blocks.select("ids", "ends", "body", "block").mapInArrow(sent_tokens, "bucket long, block long, data binary, counts binary")
+    shared = by_bucket(tokens).mapInArrow(_shared_tokens(max(part, total // MAX_BUCKETS)), "block long, data binary")
+    shared = materialize(shared, "shared-tokens")
+    found = [_unzip(r.data, np.uint64) for r in shared.filter("block = -1").collect()]  # MAX_BUCKETS tokens at most
+    hot = np.sort(np.concatenate([*found, np.zeros(0, np.uint64)]))
     runs = _met(blocks, shared, "inner").mapInArrow(sent_runs, _RUNS)
     answers = materialize(by_bucket(runs).mapInArrow(_answers(size), "block long, data binary"), "answers")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts

@@ -246,6 +246,39 @@ def test_substrings(spark, block):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
+@pytest.mark.parametrize("block", [600, 1 << 20])
+def test_substrings_of_hot_tokens(spark, block):
+    """Documents share a line and go on differently: with any token hot, the result is the same."""
+    line = "Licensed under the terms of the common licence. "
+    rows = ROWS + [(1000 + n, " ".join(words(8)) + line + " ".join(words(12))) for n in range(60)]
+    rows += [(2000 + n, line + rows[-1 - 7 * n][1][-70:]) for n in range(5)] + [(3000, rows[-1][1])]
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = brute_cut(rows, 50)
+    for part in (0, 40):
+        assert found(substrings.cut(frame(spark, rows), block=block, part=part), *columns) == want
+
+
+def test_hot_token_is_dealt_to_many_buckets():
+    line = "Licensed under the terms of the common licence. "
+    texts = [(line + " ".join(words(12))).encode()[:110] for _ in range(400)]
+    ends = np.cumsum([len(t) for t in texts])
+    splitters = np.sort(rng.integers(0, 2**63, 99, dtype=np.uint64) >> np.uint64(5))
+    b = substrings.Block(substrings._zip(np.arange(400)), substrings._zip(ends), substrings._zip(b"".join(texts)), 50)
+    tokens = b.tokens()
+    count = b.suffixes(tokens)
+    hot = np.sort(tokens[count > 1000] & ~np.uint64(1))
+    assert len(hot) and sum(count) == sum(b.hi[b.runs()[0]] - b.lo[b.runs()[0]] + 1)
+    b.split(hot)
+    first, number = b.runs()
+    mine = first[substrings.within(b.token[first] & ~np.uint64(1), hot)]
+    bucket = b.buckets(mine, hot, splitters)
+    assert np.bincount(bucket).max() < 0.1 * len(mine)
+    by_head = {}
+    for k, to in zip(mine, bucket):
+        assert b.lo[k] == b.hi[k] and by_head.setdefault(bytes(b.data[b.lo[k] : b.lo[k] + 50]), to) == to
+    assert len(by_head) == len(mine)  # each different head of the block goes once
+
+
 def test_substrings_of_nothing(spark):
     assert substrings.cut(empty(spark)).count() == 0
 
