@@ -28,6 +28,24 @@ class Kind:
     base: bool = True  # kept whatever its score
 
 
+# The length of an account code by country, after the IBAN registry.
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Codes of the listed countries at their own length, so what follows one is left out; other codes as far as they go, or
+    to the next listed one."""
+    known = "(?:" + "|".join(c for codes in IBAN.values() for c in codes.split()) + ")[0-9]{2}"
+    own = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{size - 4}}}+(?![A-Za-z0-9])" for size, codes in IBAN.items())
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{known})\x20?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{own}|{other})"
+
+
 # The kinds in the order in which their spans are listed.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9,
@@ -38,12 +56,12 @@ KINDS = (
          ("card", "visa", "credit", "payment"), ("order", "serial")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6,
          ("phone", "tel", "call", "mobile"), ("sum", "total")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.8,
+    Kind("iban", _iban(), None, 0.8,
          ("iban", "account", "bank"), (), False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3,
          ("ssn", "social security", "tax id"), (), False),
 )
-WINDOW = 40  # code points of context before a span
+WINDOW = 40  # code points of context on either side of a span
 STEP = 0.2  # what a context word adds or takes
 LEAST = 0.5  # score from which a span of the method's own kinds is reported
 
@@ -115,7 +133,8 @@ def detect(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         def scored(x: Column) -> Column:
             start = x["e"] - F.length(x["m"])
             size = F.least(start, F.lit(WINDOW))
-            context = F.lower(F.substring(F.col("_text"), start - size + 1, size))
+            before, after = F.substring(F.col("_text"), start - size + 1, size), F.substring(F.col("_text"), x["e"] + 1, F.lit(WINDOW))
+            context = F.lower(F.concat_ws("\n", before, after))
             score = k.score + F.when(_near(context, k.near), STEP).otherwise(0.0) - F.when(_near(context, k.far), STEP).otherwise(0.0)
             return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), x["e"].alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 

@@ -145,6 +145,21 @@ def test_pii(spark):
     assert pii.op3_pii(empty(spark)).count() == 0
 
 
+def test_pii_of_account_codes_and_context_behind(spark):
+    """A code ends where its country's codes end, whatever follows; context words count on both sides."""
+    zz = "ZZ%02d" % (98 - int("123456789012345" + "3535" + "00") % 97) + "123456789012345"  # a code of no listed country
+    cases = {
+        "IBAN: DE89370400440532013000 BIC COBADEFFXXX": ["iban:6:28"], "DE89 3704 0044 0532 0130 00 BIC": ["iban:0:27"],
+        "GB82 WEST 1234 5698 7654 32 US": ["iban:0:27"], "NO93 8601 1117 947 NO9386011117947 12": ["iban:0:18", "iban:19:34"],
+        "FR1420041010050500013M02606 7": ["iban:0:27"], "MT84MALT011000012345MTLCAST001S AND": ["iban:0:31"],
+        f"{zz} DE89370400440532013000 X": ["iban:0:19", "iban:20:42"], "DE89370400440532013001 A": [], "DE89370400440532013000A": [],
+        "123-45-6789 is my SSN": ["ssn:0:11"], "123-45-6789": [], "123-45-6789" + " " * 40 + "ssn": [], "é 123-45-6789 (tax ID)": ["ssn:2:13"],
+    }
+    got = found(pii.op3_pii(frame(spark, list(enumerate(cases)))), "doc_id", "spans")
+    for i, (text, want) in enumerate(cases.items()):
+        assert [x for x in got[i][0].split(",") if x.startswith(("iban", "ssn"))] == want, text
+
+
 # ---- dedup ---------------------------------------------------------------------------------------------------------
 
 
