@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -17,14 +18,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session, as in tests, may go without
+    the setting; it gets one beside its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+_LEFT: list[tuple[str, str]] = []  # what operators wrote in this session: ("path" or "table", name)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that operators wrote to the shared folder so far. Call it when their results have been used."""
+    while _LEFT:
+        kind, name = _LEFT.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to a table in the shared folder and read it back.
 
@@ -32,6 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT.append(("path", path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -85,6 +104,38 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - first, sizes)
 
 
+# ---- words --------------------------------------------------------------------------------------------------------
+
+
+def coded_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(codes, held, first): the words of all rows in order as numbers, the different words by number (their real bytes, so
+    equal numbers mean equal words), and of each row the number of its first word. A word is a maximal run of ``inside``."""
+    start, end, first = word_runs(data, offsets, inside)
+    bounds = np.concatenate([[0], np.cumsum(end - start)])
+    held = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside[data]])]).dictionary_encode()
+    return held.indices.to_numpy().astype(np.int64), held.dictionary, first
+
+
+def hash_words(held: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: by blocks of 8 bytes, each mixed in before the next; long words by BLAKE2."""
+    data, off = text_bytes(held)
+    size = np.diff(off)
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live = np.flatnonzero(size <= 64)
+    for at in range(0, 64, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        spare = np.maximum(at + 8 - size[live], 0).astype(np.uint64)
+        block = (eight[off[live] + at] << (spare * np.uint64(8))) >> (spare * np.uint64(8))
+        out[live] = mix((out[live] ^ block) * np.uint64(0xA0761D6478BD642F) + np.uint64(at))
+    for k in np.flatnonzero(size > 64).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[off[k] : off[k + 1]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 # ---- hashes of byte runs ------------------------------------------------------------------------------------------
 
 
@@ -132,7 +183,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunHash:
-    """Hashes of any runs of one byte array, each in constant time: a polynomial modulo 2**64 over prefix sums."""
+    """Hashes of any runs of one byte array, each in constant time: a polynomial modulo 2**64 over prefix sums.
+
+    Only a first sieve: some long runs collide by construction (Thue-Morse strings), so whoever takes equal hashes for equal
+    runs must compare the bytes.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1

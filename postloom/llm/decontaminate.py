@@ -1,18 +1,21 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index holds every word of the training texts: segments of documents, each with its sorted terms (64-bit words) and
-their places. A segment is one row of a table of shared files, so the index is built without a shuffle and is scanned in
-parallel. Test phrases are looked up segment by segment: the list of a phrase's rarest term, shifted by the term's offset,
-is intersected with the other terms' shifted lists, rarest first. With ``slop`` a term may stand up to that many places
-from its own (proximity match); 0 is the exact phrase.
+The index holds every word of the training texts: segments of documents, each with its different terms (their bytes) and
+the places of each term. A segment is one row of a table of shared files, so the index is built without a shuffle and is
+scanned in parallel. Test phrases are looked up segment by segment: the list of a phrase's rarest term, shifted by the
+term's offset, is intersected with the other terms' shifted lists, rarest first, for many phrases at once. Terms meet by
+their bytes, never by a hash. With ``slop`` each term may stand up to that many places from its own, counted from some start
+(proximity match); 0 is the exact phrase.
 
-Test items go to the tasks in blocks of at most ``block_bytes`` of text, so what is broadcast is bounded; a larger
-benchmark means more blocks, each against the whole index.
+Test items go to the tasks in blocks of at most ``block_bytes`` of text (an item is never cut), and tasks make the phrases:
+a block of 4 MB has at most two million windows, 80 MB as numbers. A larger benchmark means more blocks, each against the
+whole index.
 
 Defined cases: a null or empty text has no words, and such an item has no window; repeated items count once;
 a null item_id names no item, but the windows of its text are hits; repeated rows
 of a document each have a result; an empty benchmark leaves everything clean; an empty table gives an empty result; other
-columns are not looked at.
+columns are not looked at. doc_id is an integer. A worker holds one segment (a text longer than 4 MB is one) some ten times
+over.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, RunHash, chunks, ids_of, materialize, ranges, text_bytes, word_runs
+from .common import NULL_ID, chunks, coded_words, ids_of, materialize, ranges, text_bytes
 
 WINDOW = 10
 GAP = 64  # free places between documents: more than any slop
@@ -33,14 +37,13 @@ _LOWER[0x41:0x5B] += 0x20
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _CHUNK = 4 << 20
-_INDEX = "ids binary, sizes binary, terms binary, first binary, places binary"
+_INDEX = "ids binary, sizes binary, terms array<binary>, first binary, places binary"
+_LIVE = 1 << 20  # starts of phrases, about, that are intersected at once
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, first): the words of each text in order, and the number of each text's first word."""
-    data = _LOWER[data]
-    start, end, first = word_runs(data, offsets, _WORD)
-    return RunHash(data).of(start, end), first
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(codes, terms, first): the words of each text in order, the different words, and the number of each text's first."""
+    return coded_words(_LOWER[data], offsets, _WORD)
 
 
 def build_index(docs: DataFrame, name: str = "text") -> DataFrame:
@@ -50,98 +53,106 @@ def build_index(docs: DataFrame, name: str = "text") -> DataFrame:
         for batch in batches:
             ids, (data, off) = ids_of(batch.column(0)), text_bytes(batch.column(1))
             for i, j in chunks(off, _CHUNK):
-                word, first = terms(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                word, held, first = terms(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 sizes = np.diff(first)
                 place = np.arange(len(word)) + np.repeat(GAP * np.arange(j - i), sizes)
                 order = np.argsort(word, kind="stable")
-                word = word[order]
-                head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-                parts = (ids[i:j], sizes, word[head], np.append(head, len(word)).astype(np.uint32), place[order].astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["ids", "sizes", "terms", "first", "places"])
+                head = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(held)))])
+                parts = [pa.array([p.tobytes()], pa.binary()) for p in (ids[i:j], sizes, head.astype(np.uint32), place[order].astype(np.uint32))]
+                listed = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held.cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays([*parts[:2], listed, *parts[2:]], names=["ids", "sizes", "terms", "first", "places"])
 
     return materialize(docs.select("doc_id", name).mapInArrow(run, _INDEX), "word-index")
 
 
 class Phrases:
-    """Windows of test items: of each different phrase its terms, and the items that hold it."""
+    """Windows of test items: of each its terms and the item that holds it."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        held: dict[tuple[int, ...], set[str]] = {}
-        data, off = text_bytes(pa.array([t for _, t in items], pa.string()))
-        word, first = terms(data, off)
-        for k, (item, _) in enumerate(items):
-            own = word[first[k] : first[k + 1]].tolist()
-            for a in range(max(1, len(own) - window + 1) if own else 0):
-                held.setdefault(tuple(own[a : a + window]), set()).update(() if item is None else (item,))
-        self.terms = np.unique(np.array([t for p in held for t in p], np.uint64))
-        self.phrases = [np.searchsorted(self.terms, np.array(p, np.uint64)) for p in held]
-        self.items = [sorted(x) for x in held.values()]
-        widest = max(map(len, self.phrases), default=1)
-        self.matrix = np.full((len(self.phrases), widest), -1, np.int64)
-        for row, p in zip(self.matrix, self.phrases):
-            row[: len(p)] = p
-
-
-def matches(phrases: Phrases, own: np.ndarray, first: np.ndarray, places: np.ndarray, slop: int = 0):
-    """(phrase number, start places) of each phrase that occurs in a segment."""
-    if not len(own) or not len(phrases.terms):
+        self.names = [name for name, _ in items]
+        word, self.terms, first = terms(*text_bytes(pa.array([t for _, t in items], pa.large_string())))
+        count = np.diff(first)
+        number = np.where(count < window, count > 0, count - window + 1)
+        self.item = np.repeat(np.arange(len(items)), number)
+        self.size = np.minimum(count, window)[self.item]
+        at = ranges(first[:-1], number)[:, None] + np.arange(window)
+        word = np.append(word, np.zeros(window, np.int64)).astype(np.int32)
+        self.matrix = np.where(np.arange(window) < self.size[:, None], word[at], np.int32(-1))
+
+
+def matches(phrases: Phrases, own: pa.Array, first: np.ndarray, places: np.ndarray, slop: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """(phrase numbers, start places, a place of a term): the phrases that occur in a segment of the terms ``own``."""
+    if not len(own) or not len(phrases.matrix):
         return
-    at = np.minimum(np.searchsorted(own, phrases.terms), len(own) - 1)
-    there = own[at] == phrases.terms
-    count = np.where(there, first[at + 1].astype(np.int64) - first[at], 0)
-    least = np.where(phrases.matrix >= 0, count[phrases.matrix], np.iinfo(np.int64).max).min(1)
-    lists: dict[int, np.ndarray] = {}
-
-    def places_of(term: int) -> np.ndarray:
-        if term not in lists:
-            lists[term] = places[first[at[term]] : first[at[term] + 1]].astype(np.int64)
-        return lists[term]
-
-    for k in np.flatnonzero(least > 0).tolist():
-        phrase = phrases.phrases[k]
-        by_rarity = np.argsort(count[phrase], kind="stable")
-        start = None
-        for offset in by_rarity.tolist():
-            found = places_of(int(phrase[offset]))
-            if start is None:
-                start = found - offset
-                continue
-            want = start + (offset - slop)
-            near = np.minimum(np.searchsorted(found, want), len(found) - 1)
-            start = start[(found[near] >= want) & (found[near] <= want + 2 * slop)]
-            if not len(start):
-                break
-        if len(start):
-            yield k, start
-
-
-def _searched(phrases: Phrases, slop: int):
+    at = pc.index_in(phrases.terms.cast(pa.binary()), own).fill_null(-1).to_numpy().astype(np.int64)
+    first = first.astype(np.int64)
+    count = np.where(at >= 0, first[at + 1] - first[at], 0)
+    none = np.iinfo(np.int64).max
+    held = np.where(phrases.matrix >= 0, count[phrases.matrix], none)
+    there = np.flatnonzero(held.min(1) > 0)
+    held = held[there]
+    by_rarity = np.argsort(held, axis=1, kind="stable")
+    rarest = held.min(1)
+    # the lists one after the other, as one sorted array: a list is found by its term, a place in it by bisection
+    span = int(places.max(initial=0)) + phrases.matrix.shape[1] + 2 * slop + 2
+    lists = np.repeat(np.arange(len(first) - 1), np.diff(first)) * span + places
+    upto = np.concatenate([[0], np.cumsum(rarest)])
+    a = 0
+    while a < len(there):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + _LIVE, "right")) - 1)
+        row = np.repeat(np.arange(a, z), rarest[a:z])
+        where = places[ranges(first[at[phrases.matrix[there[a:z], by_rarity[a:z, 0]]]], rarest[a:z])].astype(np.int64)
+        start = where - by_rarity[row, 0]
+        if slop:
+            row, where = np.repeat(row, 2 * slop + 1), np.repeat(where, 2 * slop + 1)
+            start = (start[:, None] + np.arange(-slop, slop + 1)).reshape(-1)
+        for k in range(1, phrases.matrix.shape[1]):
+            offset = by_rarity[row, k]
+            code = phrases.matrix[there[row], offset]
+            term = at[code]
+            low = np.maximum(start + offset - slop, 0)
+            want = term * span + low
+            near = lists[np.minimum(np.searchsorted(lists, want), len(lists) - 1)]
+            ok = (near >= want) & (near <= term * span + start + offset + slop) | (code < 0)
+            row, start, where = row[ok], start[ok], where[ok]
+        if len(row):
+            yield there[row], start, where
+        a = z
+
+
+def _searched(items: list[tuple[str | None, str | None]], window: int, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(items, window)
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
+            for n in range(batch.num_rows):
+                row = {c: batch.column(c)[n] for c in batch.schema.names}
+                ids, sizes, first, places = (np.frombuffer(row[c].as_py(), t) for c, t in (("ids", np.int64), ("sizes", np.int64), ("first", np.uint32), ("places", np.uint32)))
                 base = np.cumsum(sizes + GAP) - (sizes + GAP)
-                hit = np.zeros(int((sizes + GAP).sum()) + 1, bool)
-                items: dict[int, set[str]] = {}
-                parts = (np.frombuffer(row[c], t) for c, t in (("terms", np.uint64), ("first", np.uint32), ("places", np.uint32)))
-                for k, start in matches(phrases, *parts, slop):
-                    start = np.maximum(start, 0)
-                    hit[ranges(start, np.full(len(start), len(phrases.phrases[k])))] = True
-                    for d in np.unique(np.searchsorted(base, start, "right") - 1).tolist():
-                        items.setdefault(d, set()).update(phrases.items[k])
-                hits = np.flatnonzero(hit)
+                hit = np.zeros(int((sizes + GAP).sum()) + window + 1, np.int64)
+                held = [np.zeros(0, np.int64)]
+                for phrase, start, where in matches(phrases, row["terms"].values, first, places, slop):
+                    np.add.at(hit, np.maximum(start, 0), 1)
+                    np.subtract.at(hit, np.maximum(start + phrases.size[phrase], 0), 1)
+                    held.append(np.unique((np.searchsorted(base, where, "right") - 1) * len(items) + phrases.item[phrase]))
+                hits = np.flatnonzero(np.cumsum(hit) > 0)
                 lo, hi = np.searchsorted(hits, base), np.searchsorted(hits, base + sizes)
                 listed = [(hits[lo[d] : hi[d]] - base[d]).tolist() if hi[d] > lo[d] else [] for d in range(len(ids))]
+                names: list[set[str]] = [set() for _ in range(len(ids))]
+                for pair in np.unique(np.concatenate(held)).tolist():
+                    if (name := phrases.names[pair % len(items)]) is not None:
+                        names[pair // len(items)].add(name)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(sizes), pa.array(listed, pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in range(len(ids))], pa.list_(pa.string()))],
+                    [pa.array(ids), pa.array(sizes), pa.array(listed, pa.list_(pa.int64())), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
                     names=["doc_id", "n_words", "hits", "items"],
                 )
 
     return run
 
 
-def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = 16 << 20) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = 4 << 20) -> DataFrame:
     """Of each document: doc_id, n_words, hits (places of the words in matches), items (ids whose windows occur)."""
+    if not 0 <= slop < GAP // 2:
+        raise ValueError(f"slop must be less than {GAP // 2}, or a match could reach into the next document")
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
@@ -150,7 +161,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     found = None
     for k in range(n):
         rows = [(r.item_id, r.text) for r in dealt.filter(F.col("block") == k).collect()]  # about block_bytes
-        part = index.mapInArrow(_searched(Phrases(sorted(rows, key=lambda r: (r[0] or "", r[1])), window), slop), schema)
+        part = index.mapInArrow(_searched(sorted(rows, key=lambda r: (r[0] or "", r[1])), window, slop), schema)
         if n > 1:  # documents keep their place in the index: segment and number
             part = materialize(part.withColumn("at", F.monotonically_increasing_id()), "phrase-hits")
         found = part if found is None else found.unionByName(part)

@@ -4,9 +4,9 @@ A document is the set of its distinct word shingles. Two fixed permutations of 3
 signature: coordinate k is the least value over the set of ``second((first(x) + k) mod 2**32)``, that is the second
 permutation, shifted circularly by k places. Bands of the signature give candidates; links are confirmed on full sets.
 
-1. One pass over the texts: size of the set, a 128-bit digest of it, and one word for each band.
-2. Documents of equal sets become one class, named by the row of its smallest id; only classes go on. So exact copies, however
-   many, cost one row.
+1. One pass over the texts: size of the set, SHA-256 of the word sequence, and one word for each band.
+2. Documents of one word sequence become one class, named by the row of its smallest id; only classes go on. So exact copies,
+   however many, cost one row. Different sequences with equal sets share all bands and are compared like any others.
 3. Classes that share a band meet in a bucket. Each bucket's pivot is the member with the most company in all its buckets
    (for a group of near copies mostly their original), and all members of a pivot's buckets are the pivot's group. First
    each class is compared with its best pivot only, and links are joined to components: so a large group of near copies
@@ -15,11 +15,17 @@ permutation, shifted circularly by k places. Bands of the signature give candida
    (the strays) are compared with all members of other components, in blocks of strays by blocks of members: a task
    gets two blocks of bounded size and finds all their intersections by one product of incidence matrices. It returns
    links only. So each pair that shares a band is compared, or connected already.
-5. A comparison reads both whole sets. A pivot of very many members is compared by many tasks (salts, then blocks).
+   Only members whose sizes allow the similarity meet: classes of sizes fall into length bands, and a stray's band meets
+   itself and its two neighbours.
+5. A comparison reads both whole texts and numbers their words and shingles exactly (equal numbers, equal bytes); hashes
+   decide on candidates only. A pivot of very many members is compared by many tasks (salts, then blocks).
 
 Bands: with 28 bands of 6 rows a pair of similarity 0.85 is missed with probability 2e-6, and with 40 bands of 5 rows one
 of 0.8 with 1e-7; a pair of similarity 0.1 becomes a candidate with probability 3e-5 and 4e-4.
 
+A worker holds a text a few times over (its words, shingles and their hashes: about 100 bytes a word), so the longest text
+sets its memory. doc_id is an integer.
+
 Defined cases: a document without words has an empty set, belongs to no class and keeps itself; with fewer words than a
 shingle has, the whole sequence is the one shingle; rows are told apart by a key of their own, so of rows that
 repeat an id, or have none, each is in the class of its own text and one of a component is kept; a null id is larger than any
@@ -28,6 +34,8 @@ other; an empty table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import NULL_ID, RunHash, chunks, ids_of, materialize, mix, numbered, partitions, text_bytes, word_runs
+from .common import NULL_ID, chunks, coded_words, hash_words, ids_of, materialize, mix, numbered, partitions, ranges, text_bytes
 from .components import components
 
 _SPACE = np.zeros(256, bool)
@@ -46,6 +54,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _CHUNK = 2 << 20
 _BLOCK = 1 << 16  # shingles, about, of a block of strays or members
+_BLOCK_ROWS = 256  # rows, about, of such a block
 _SALT_ROWS = 256  # comparisons of one pivot that go to one task
 
 
@@ -57,31 +66,43 @@ class Settings:
     rows: int = 5
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): for each text its distinct shingles as sorted 64-bit words."""
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, offsets, hashes): for each text its distinct shingles as sorted numbers, and the 64-bit hash of each number.
+    Among these texts equal numbers mean equal words; elsewhere only hashes can be compared."""
     n = len(offsets) - 1
-    data = _LOWER[data]
-    start, end, word_at = word_runs(data, offsets, ~_SPACE)
-    word = RunHash(data).of(start, end)
-    count = np.diff(word_at)
-    rolled = np.zeros(max(len(word) - words + 1, 0), np.uint64)
+    code, held, first = coded_words(_LOWER[data], offsets, ~_SPACE)
+    count = np.diff(first)
+    number = np.where(count < words, count > 0, count - words + 1)
+    doc, at = np.repeat(np.arange(n), number), ranges(first[:-1], number)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(n + 1, np.int64), np.zeros(0, np.uint64)
+    size, code = np.minimum(count, words)[doc], np.append(code, np.zeros(words, np.int64))
+    base = len(held) + 1  # 0: no such word
+    kind, kinds = code[at] + 1, base
+    for k in range(1, words):
+        if kinds * base >= 1 << 62:
+            seen, kind = np.unique(kind, return_inverse=True)
+            kinds = len(seen)
+        kind, kinds = kind * base + np.where(k < size, code[at + k] + 1, 0), kinds * base
+    seen, where, kind = np.unique(kind, return_index=True, return_inverse=True)
+    own = np.unique(doc * len(seen) + kind)
+    word = hash_words(held)
+    at, size = at[where], size[where]
+    hashes = mix(size.astype(np.uint64))
     for k in range(words):
-        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + word[k : k + len(rolled)])
-    sets, sizes = [], np.zeros(n, np.int64)
-    for i in range(n):
-        a, c = int(word_at[i]), int(count[i])
-        if c == 0:
-            continue
-        if c >= words:
-            s = np.unique(rolled[a : a + c - words + 1])
-        else:
-            h = np.zeros(1, np.uint64)
-            for k in range(c):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word[a + k : a + k + 1])
-            s = mix(h + np.uint64(c))
-        sets.append(s)
-        sizes[i] = len(s)
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
+        hashes = np.where(k < size, mix(hashes * np.uint64(0x9E3779B97F4A7C15) + word[code[at + k]]), hashes)
+    return own % len(seen), np.searchsorted(own, np.arange(n + 1) * len(seen)), hashes
+
+
+def sequences(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """SHA-256 of each text's words in lower case with one space between them."""
+    data = _LOWER[data]
+    space = _SPACE[data]
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # the first space after a word; one that begins a text is stripped
+    off = np.concatenate([[0], np.cumsum(keep)])[offsets].tolist()
+    plain = np.where(space, np.uint8(0x20), data)[keep].tobytes()
+    return [hashlib.sha256(plain[a:z].strip(b" ")).digest() for a, z in zip(off[:-1], off[1:])]
 
 
 def _permuted(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -112,21 +133,16 @@ def _signed(s: Settings):
         for batch in batches:
             ids, (data, off), own_rows = ids_of(batch.column(0)), text_bytes(batch.column(1)), batch.column(2)
             for i, j in chunks(off, _CHUNK):
-                hashes, at = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], s.words)
-                n = j - i
-                high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                part, n = (data[off[i] : off[j]], off[i : j + 1] - off[i]), j - i
+                kinds, at, hashes = shingles(*part, s.words)
                 bands = np.zeros((n, s.bands), np.uint64)
-                for k in range(n):
-                    own = hashes[at[k] : at[k + 1]]
-                    if len(own):
-                        high[k], low[k] = own.sum(), mix(own).sum()
-                        sig = signature(own, size).astype(np.uint64)
-                        bands[k] = mix((sig.reshape(s.bands, s.rows) * weights).sum(1))
-                listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64)))  # noqa: E731, B023
-                sizes = np.diff(at)
+                for k in np.flatnonzero(np.diff(at)).tolist():
+                    sig = signature(hashes[kinds[at[k] : at[k + 1]]], size).astype(np.uint64)
+                    bands[k] = mix((sig.reshape(s.bands, s.rows) * weights).sum(1))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * s.bands), pa.array(bands.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j]), own_rows.slice(i, n), pa.array(sizes), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), listed(bands)],
-                    names=["doc_id", "row", "n", "high", "low", "bands"],
+                    [pa.array(ids[i:j]), own_rows.slice(i, n), pa.array(np.diff(at)), pa.array(sequences(*part), pa.binary()), listed],
+                    names=["doc_id", "row", "n", "sha", "bands"],
                 )
 
     return run
@@ -140,17 +156,19 @@ def _compared(s: Settings):
     """Rows (pivot, salt, other, text), each pivot's own row first -> the links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, np.zeros(0, np.uint64)
+        pivot, head = None, np.zeros(0, np.uint8)
         for batch in batches:
             pivots, others = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             data, off = text_bytes(batch.column(3))
             a, b = [], []
             for i, j in chunks(off, _CHUNK):
-                hashes, at = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], s.words)
+                # the pivot that is open comes along, so its shingles are numbered with the others'
+                kinds, at, _ = shingles(np.concatenate([head, data[off[i] : off[j]]]), np.concatenate([[0], off[i : j + 1] - off[i] + len(head)]), s.words)
+                own = kinds[: at[1]]
                 for k in range(i, j):
-                    mine = hashes[at[k - i] : at[k - i + 1]]
+                    mine = kinds[at[k - i + 1] : at[k - i + 2]]
                     if others[k] is None:
-                        pivot, own = int(pivots[k]), mine
+                        pivot, own, head = int(pivots[k]), mine, data[off[k] : off[k + 1]]
                         continue
                     assert pivot == pivots[k], "a pivot's own text comes first"
                     common = len(np.intersect1d(own, mine, assume_unique=True))
@@ -177,14 +195,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): row, doc_id, n, high, low; and high, low, n, bands of each different set, doc_id (its smallest) and
+    """(rows, classes): row, doc_id, n, sha; and sha, n, bands of each different word sequence, doc_id (its smallest) and
     id (the row that has it, the first of several)."""
-    signed = docs.select("doc_id", "text", "row").mapInArrow(_signed(s), "doc_id long, row long, n long, high long, low long, bands array<long>")
+    signed = docs.select("doc_id", "text", "row").mapInArrow(_signed(s), "doc_id long, row long, n long, sha binary, bands array<long>")
     signed = materialize(signed, "near-signed")
-    own = signed.filter("n > 0").groupBy("high", "low", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    own = own.select("high", "low", "n", "first.doc_id", F.col("first.row").alias("id"))
+    own = signed.filter("n > 0").groupBy("sha", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    own = own.select("sha", "n", "first.doc_id", F.col("first.row").alias("id"))
     own = own.join(signed.filter("n > 0").select(F.col("row").alias("id"), "bands"), "id")
-    return signed.select("row", "doc_id", "n", "high", "low"), materialize(own, "near-classes")
+    return signed.select("row", "doc_id", "n", "sha"), materialize(own, "near-classes")
 
 
 def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
@@ -205,13 +223,13 @@ def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray
 
 
 def _crossed(s: Settings):
-    """Rows (a, i, j, stray, id, component, text), sorted by the first three -> the links between strays and members of other
-    components. A block's rows are cut into parts of bounded size, so a product's matrices are small."""
+    """Rows (a, size, i, j, stray, id, component, text), sorted by the first four -> the links between strays and members of
+    other components. A block's rows are cut into parts of bounded size, so a product's matrices are small."""
 
     def parts(ids, components, sets):
         at, size = 0, 0
         for k in range(len(ids)):
-            if k > at and (size + len(sets[k]) > _BLOCK or k - at >= 256):
+            if k > at and (size + len(sets[k]) > _BLOCK or k - at >= _BLOCK_ROWS):
                 yield ids[at:k], components[at:k], sets[at:k]
                 at, size = k, 0
             size += len(sets[k])
@@ -221,8 +239,8 @@ def _crossed(s: Settings):
     def crossed(rows: list[tuple]) -> pa.RecordBatch:
         a, b = [], []
         data, off = text_bytes(pa.array([r[3] for r in rows], pa.string()))
-        hashes, at = shingles(data, off, s.words)
-        sets = [hashes[x:z] for x, z in zip(at[:-1], at[1:])]
+        kinds, at, _ = shingles(data, off, s.words)
+        sets = [kinds[x:z] for x, z in zip(at[:-1], at[1:])]
         sides = []
         for stray in (True, False):
             k = [n for n, r in enumerate(rows) if r[0] == stray]
@@ -237,11 +255,11 @@ def _crossed(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in batches:
-            for a, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and (a, i, j) != at:
+            for a, size, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and (a, size, i, j) != at:
                     yield crossed(rows)
                     rows = []
-                at = (a, i, j)
+                at = (a, size, i, j)
                 rows.append(tuple(row))
         if rows:
             yield crossed(rows)
@@ -252,19 +270,26 @@ def _crossed(s: Settings):
 def _strays(groups: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Links of groups (a, id, n) that hold several components."""
     labelled = groups.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    held = labelled.groupBy("a", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    held = held.groupBy("a").agg(F.count("*").alias("components"), F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("n").alias("all"), F.max(F.struct("c", "component", "n")).alias("top"))
-    cut = lambda c: F.greatest(F.ceil(c / _BLOCK), F.lit(1)).cast("int")
-    held = held.filter("components > 1").select("a", "main", cut(F.col("all")).alias("members"), cut(F.col("all") - F.col("top.n")).alias("strays"))
+    held = labelled.groupBy("a", "component").agg(F.count("*").alias("c"))
+    held = held.groupBy("a").agg(F.count("*").alias("components"), F.max(F.struct("c", "component")).alias("top"))
+    held = held.filter("components > 1").select("a", F.col("top.component").alias("main"))
     held = materialize(held, "near-held")  # a table by itself, so that the join can split the rows of a hot pivot
-    mixed = materialize(labelled.join(held, "a").withColumn("stray", F.col("component") != F.col("main")), "near-mixed")
+    # sizes fall into bands; a pair that is similar enough lies in one band or in two neighbouring ones
+    width = math.log(100 / s.percent) * (1 + 1e-9)
+    mixed = labelled.join(held, "a").select("a", "id", "component", (F.col("component") != F.col("main")).alias("stray"), "n", F.floor(F.log("n") / width).alias("size"))
+    mixed = materialize(mixed, "near-mixed")
+    about = F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1))
+    strays = mixed.filter("stray").select("a", "id", "component", "n", about.alias("size"))
+    cut = lambda c: F.greatest(F.ceil(F.sum("n") / _BLOCK), F.ceil(F.count("*") / _BLOCK_ROWS)).cast("int").alias(c)
+    blocks = mixed.groupBy("a", "size").agg(cut("members")).join(strays.groupBy("a", "size").agg(cut("strays")), ["a", "size"])
+    blocks = materialize(blocks, "near-blocks")
     own = lambda by: F.pmod(F.xxhash64("id"), F.col(by)).cast("int")
     every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
-    cols = ["a", "i", "j", "stray", "id", "component"]
-    strays = mixed.filter("stray").select("a", "id", "component", own("strays").alias("i"), F.lit(True).alias("stray"), every("members").alias("j"))
-    members = mixed.select("a", "id", "component", own("members").alias("j"), F.lit(False).alias("stray"), every("strays").alias("i"))
+    cols = ["a", "size", "i", "j", "stray", "id", "component"]
+    strays = strays.join(blocks, ["a", "size"]).select("a", "size", "id", "component", own("strays").alias("i"), F.lit(True).alias("stray"), every("members").alias("j"))
+    members = mixed.join(blocks, ["a", "size"]).select("a", "size", "id", "component", own("members").alias("j"), F.lit(False).alias("stray"), every("strays").alias("i"))
     dealt = strays.select(*cols).unionByName(members.select(*cols)).join(texts.hint("merge"), "id").select(*cols, "text")
-    dealt = dealt.repartition(partitions(groups.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j")
+    dealt = dealt.repartition(partitions(groups.sparkSession), "a", "size", "i", "j").sortWithinPartitions("a", "size", "i", "j")
     return dealt.mapInArrow(_crossed(s), "a long, b long")
 
 
@@ -303,9 +328,9 @@ def near_dedup(docs: DataFrame, s: Settings = Settings(), row: str | None = None
     more = materialize(_strays(groups.select("a", "id", "n"), labels, texts, s), "near-stray-links")
     labels = components(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("v", "id")
 
-    named = own.select("high", "low", "id", "doc_id").join(_led(own, labels), "id", "left")
-    named = named.select("high", "low", F.coalesce("lead_id", "doc_id").alias("component_id"), F.coalesce("lead", "id").alias("lead"))
-    filled = signed.filter("n > 0").join(named, ["high", "low"]).select("row", "doc_id", "n", "component_id", "lead")
+    named = own.select("sha", "id", "doc_id").join(_led(own, labels), "id", "left")
+    named = named.select("sha", F.coalesce("lead_id", "doc_id").alias("component_id"), F.coalesce("lead", "id").alias("lead"))
+    filled = signed.filter("n > 0").join(named, "sha").select("row", "doc_id", "n", "component_id", "lead")
     empty = signed.filter("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("row").alias("lead"))
     back = lambda c: F.when(c == int(NULL_ID), None).otherwise(c)
     return filled.unionByName(empty).select(

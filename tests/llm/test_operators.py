@@ -303,6 +303,36 @@ def test_substrings_of_nothing(spark):
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
+def thue_morse(n, swap=False):
+    """Strings on which polynomial hashes modulo a power of two agree, whatever the base."""
+    return "".join("ba"[(bin(k).count("1") + swap) % 2 == 0] for k in range(n))
+
+
+ALIKE = [(1, thue_morse(2048)), (2, thue_morse(2048, True)), (3, thue_morse(4096)), (4, thue_morse(4096, True)), (5, f"x {thue_morse(1024)} y z"), (6, f"x {thue_morse(1024, True)} y z")]
+
+
+def test_strings_on_which_simple_hashes_agree(spark):
+    docs = frame(spark, ALIKE + [(7, "y " + thue_morse(2048) + " z w q")])
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    rows = ALIKE + [(7, "y " + thue_morse(2048) + " z w q")]
+    items = [(1, thue_morse(2048)), (2, f"x {thue_morse(1024, True)} y"), (3, thue_morse(4096, True))]
+    got = found(decontaminate.op8_decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")), *columns)
+    assert got == brute_hits(rows, items)
+    s = near_dedup.Settings(3, 85, 28, 6)
+    assert found(near_dedup.near_dedup(docs, s), "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows, 3, 85)
+    for block in (600, 1 << 20):
+        assert found(substrings.cut(docs, block=block), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_cut(rows, 50)
+    plain = found(exact_dedup.dedup(docs), "doc_id", "group_size")
+    assert set(plain.values()) == {(1,)}
+
+
+def test_near_dedup_of_equal_sets(spark):
+    """Different sequences of one set of shingles are linked, by comparison."""
+    rows = [(1, "a b c " * 5), (2, "a b c " * 9), (3, "A  b c " * 5), (4, "a b c d"), (5, "a b c a b c")]
+    s = near_dedup.Settings(3, 85, 28, 6)
+    assert found(near_dedup.near_dedup(frame(spark, rows), s), "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows, 3, 85)
+
+
 def brute_hits(rows, items):
     phrases = defaultdict(set)
     for i, t in items:
@@ -351,6 +381,26 @@ def test_proximity(spark):
     index = decontaminate.build_index(docs)
     hit = lambda slop: {r.doc_id for r in decontaminate.search(index, items, slop=slop).collect() if r.hits}
     assert hit(0) == {2} and hit(1) == {1, 2}
+    with pytest.raises(ValueError):
+        decontaminate.search(index, items, slop=64)
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_proximity_is_brute_force(spark, slop):
+    own = [(i, " ".join(rng.choice(list("abcdefg"), rng.integers(0, 40)))) for i in range(60)]
+    items = [(k, " ".join(rng.choice(list("abcdefg"), rng.integers(1, 7)))) for k in range(12)]
+    want = {}
+    for i, t in own:
+        w, hit, who = t.split(), set(), set()
+        for k, p in items:
+            p = p.split()
+            for n, term in enumerate(p):
+                for at in range(-len(p), len(w) + len(p)):
+                    if all(any(0 <= x < len(w) and w[x] == y for x in range(at + m - slop, at + m + slop + 1)) for m, y in enumerate(p)):
+                        who.add(str(k))
+        want[i] = sorted(who)
+    got = decontaminate.search(decontaminate.build_index(frame(spark, own)), spark.createDataFrame(items, "item_id long, text string"), slop=slop)
+    assert {r.doc_id: sorted(r["items"]) for r in got.collect()} == want
 
 
 # ---- sharding, packing ---------------------------------------------------------------------------------------------
@@ -385,7 +435,6 @@ def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     P = pytest.importorskip("public_tokenizers")
     t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     extra = [(500, "<|endoftext|> é  \t\t  x" + " " * 3000), (501, "a" * 5000), (502, "naïve   42 " * 3000)]
     rows = packing.op2_packing(frame(spark, ROWS + extra)).collect()
     by = defaultdict(list)
