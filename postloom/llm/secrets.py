@@ -5,8 +5,10 @@ separator, a value) get a guess cost: the cheapest segmentation of the value int
 sequences, keyboard walks and brute-force spans, found by dynamic programming and given as log10 of the guesses. Values that
 cost at least ``least`` are reported as spans of kind ``guess``.
 
-Each document is read on its own and whole, so there is no shuffle. The dynamic program looks at a bounded number of spans
-that end at each place, so its time is linear in the value.
+Each document is read on its own and whole, so there is no shuffle. The minimum is over all segmentations: spans of bounded
+length (words, dates) are tried one by one, and for spans of any length (repeats, sequences, walks) the price grows with the
+logarithm of the length, so the best start for each end comes from a stack of candidates that overtake each other once. The
+time is linear in the value.
 
 Defined cases: a null or empty text has no spans; repeated rows each have their result; an empty table gives an empty
 result; columns of the input besides the chosen ones are not looked at.
@@ -33,8 +35,8 @@ CONTEXT_WORDS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api
                  "private_key", "access_key", "auth_key", "bearer")
 _BASE_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 CONTEXT = re.compile(
-    r"""(?ai:passw(?:or)?d|passphrase|pwd|(?:client_)?secret|token|api[_-]?key|credentials?|(?:private|access|auth)_key|bearer)"""
-    r"""["']?[\x20\t]{0,3}(?:=>|->|:=|[:=]|\x20(?ai:is|was)\x20)[\x20\t]{0,3}["'`]?([^\x00-\x20"'`<>,;]{6,})"""
+    r"""(?ai:passw(?:or)?d|passphrase|pwd|(?:client_)?secret|token|api[_-]?key|credentials?|(?:private|access|auth)_key|\bbearer)"""
+    r"""(?ai:_[a-z]{1,10}){0,2}["']?(?:[\x20\t]{0,3}(?:=>|->|:=|[:=])|\x20(?ai:is|was)\x20|(?<=[Rr])\x20)[\x20\t]{0,3}["'`]?([^\x00-\x20"'`<>,;]{6,})"""
 )
 
 # Frequent words of passwords, most frequent first; a word's rank is the number of guesses it takes.
@@ -57,6 +59,8 @@ _AT = {c: (y, x + y / 2) for y, row in enumerate(ROWS) for x, c in enumerate(row
 NEXT = {c: {d for d in _AT if d != c and abs(_AT[c][0] - _AT[d][0]) <= 1 and abs(_AT[c][1] - _AT[d][1]) <= 1} for c in _AT}
 _YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12]\d|0?[1-9])"
 DATE = re.compile(rf"{_YEAR}([-/._]?){_MONTH}\1{_DAY}|{_DAY}([-/._]?){_MONTH}\2{_YEAR}|{_YEAR}")
+DATE_LENGTHS = (4, 6, 7, 8, 9, 10)
+TURN = 0.7  # log10 of the guesses for each straight part of a walk
 LEAST = 9.0  # log10 of the guesses from which a value counts as a secret
 JOINT = math.log10(2)  # for each further span of a segmentation
 
@@ -65,61 +69,104 @@ def _sign_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-def _run_ends(value: str, same) -> list[int]:
-    """For each place, the end of the run of neighbours that ``same`` joins from there on."""
-    end = [len(value)] * len(value)
-    for i in range(len(value) - 2, -1, -1):
-        end[i] = end[i + 1] if same(value[i], value[i + 1]) else i + 1
-    return end
-
-
-def segmentation(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+class _Run:
+    """The spans of any length in one kind of run: the cheapest span that ends at each place.
+
+    A span [i, j) of a run costs ``worth[i] + log10(j - i)`` (and what depends on j alone). Of two starts the older one, if it
+    is worth no more, overtakes the newer at a known place and stays ahead. So the stack holds starts from old to new, where
+    each is overtaken by the one below it, the upper ones first.
+    """
+
+    def __init__(self, least: int):
+        self.least, self.begin, self.stack = least, 0, []  # (start, worth)
+
+    def restart(self, at: int) -> None:
+        self.begin, self.stack = at, []
+
+    @staticmethod
+    def _overtakes(old: tuple[int, float], new: tuple[int, float]) -> float:
+        """The place from which the older start is as cheap as the newer one."""
+        d = new[1] - old[1]
+        if d <= 0:
+            return math.inf
+        if d > 300:
+            return new[0]
+        grown = 10.0**d
+        return (grown * new[0] - old[0]) / (grown - 1)
+
+    def add(self, start: int, worth: float, at: int) -> None:
+        new, stack = (start, worth), self.stack
+        while stack:
+            meet = self._overtakes(stack[-1], new)
+            if meet <= at:
+                return
+            if meet == math.inf or len(stack) > 1 and meet >= self._overtakes(stack[-2], stack[-1]):
+                stack.pop()
+            else:
+                break
+        stack.append(new)
+
+    def cheapest(self, at: int) -> tuple[float, int] | None:
+        stack = self.stack
+        while len(stack) > 1 and self._overtakes(stack[-2], stack[-1]) <= at:
+            stack.pop()
+        return (stack[-1][1] + math.log10(at - stack[-1][0]), stack[-1][0]) if stack else None
+
+
+def _word_cost(value: str, low: str, plain: str, i: int, j: int, ranks: dict[str, int]) -> float:
+    """Of [i, j) as a word: its rank, and whether letters are large or replaced by other signs."""
+    cost = min((math.log10(rank + 1) + extra for text, extra in ((low, 0.0), (plain, 0.6)) if (rank := ranks.get(text[i:j]))), default=math.inf)
+    return cost if value[i:j] == low[i:j] else cost + (0.3 if value[i + 1 : j] == low[i + 1 : j] else 1.0)
+
+
+def segmentation(value: str, ranks: dict[str, int] = RANK, longest: int = LONGEST_WORD) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses that ``value`` takes, and its cheapest segmentation as (kind, start, end)."""
     n = len(value)
     low = value.lower()
     low = low if len(low) == n else value
     plain = low.translate(LEET)
+    ways = [_way(low, k) if low[k + 1] in NEXT.get(low[k], ()) else None for k in range(n - 1)]
+    turns = [0] * (n + 1)  # turns before each place
+    for k in range(1, n - 1):
+        turns[k + 1] = turns[k] + (ways[k - 1] != ways[k])
+    joined = {
+        "repeat": lambda k: low[k] == low[k + 1], "up": lambda k: ord(low[k + 1]) - ord(low[k]) == 1,
+        "down": lambda k: ord(low[k]) - ord(low[k + 1]) == 1, "walk": lambda k: ways[k] is not None,
+    }
+    runs = {kind: _Run(4 if kind == "walk" else 3) for kind in joined}
     best = [0.0] + [math.inf] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
-    repeat_end = _run_ends(low, lambda a, b: a == b)
-    up_end = _run_ends(low, lambda a, b: ord(b) - ord(a) == 1)
-    down_end = _run_ends(low, lambda a, b: ord(a) - ord(b) == 1)
-    walk_end = _run_ends(low, lambda a, b: b in NEXT.get(a, ()))
-
-    def offer(kind: str, i: int, j: int, cost: float) -> None:
-        cost += best[i] + (JOINT if i else 0.0)
-        if cost < best[j]:
-            best[j], back[j] = cost, (kind, i)
-
-    for i in range(n):
-        # brute force runs on without a joint
-        go = best[i] + _sign_cost(value[i]) + (0.0 if not i or back[i][0] == "brute" else JOINT)
-        if go < best[i + 1]:
-            best[i + 1], back[i + 1] = go, ("brute", i)
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            for text, extra in ((low, 0.0), (plain, 0.6)):
-                if rank := RANK.get(text[i:j]):
-                    variants = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i + 1 : j] == low[i + 1 : j] else 1.0
-                    offer("word", i, j, math.log10(rank + 1) + extra + variants)
-                    break
-        if (m := DATE.match(value, i)) and m.end() - i >= 4:
-            offer("date", i, m.end(), math.log10(150 if m.end() - i == 4 else 365 * 150))
-        if repeat_end[i] - i >= 3:
-            offer("repeat", i, repeat_end[i], _sign_cost(value[i]) + math.log10(repeat_end[i] - i))
-        for end in (up_end[i], down_end[i]):
-            if end - i >= 3:
-                offer("sequence", i, end, 1.0 + math.log10(end - i))
-        if walk_end[i] - i >= 4:
-            steps = walk_end[i] - i
-            turns = sum(1 for k in range(i + 1, walk_end[i] - 1) if _way(low, k - 1) != _way(low, k))
-            offer("walk", i, walk_end[i], math.log10(len(_AT) * steps) + 0.7 * (turns + 1))
+    brute, began = math.inf, 0  # the cheapest segmentation that ends in a brute-force span, and where that span begins
+    for j in range(1, n + 1):
+        sign, fresh = _sign_cost(value[j - 1]), best[j - 1] + (JOINT if j > 1 else 0.0)
+        if fresh < brute:
+            brute, began = fresh, j - 1
+        brute += sign
+        offers = [(brute, "brute", began)]
+        for i in range(max(0, j - longest), j - 1):
+            if (cost := _word_cost(value, low, plain, i, j, ranks)) < math.inf:
+                offers.append((best[i] + (JOINT if i else 0.0) + cost, "word", i))
+        if value[j - 1].isdigit():
+            for size in DATE_LENGTHS:
+                if size <= j and DATE.fullmatch(value, j - size, j):
+                    i = j - size
+                    offers.append((best[i] + (JOINT if i else 0.0) + math.log10(150 if size == 4 else 365 * 150), "date", i))
+        for kind, run in runs.items():
+            if j > 1 and not joined[kind](j - 2):
+                run.restart(j - 1)
+            i = j - run.least
+            if i >= run.begin:
+                run.add(i, best[i] + (JOINT if i else 0.0) - (TURN * turns[i + 1] if kind == "walk" else 0.0), j)
+            if found := run.cheapest(j):
+                cost, i = found
+                cost += sign if kind == "repeat" else math.log10(len(_AT)) + TURN * (turns[j - 1] + 1) if kind == "walk" else 1.0
+                offers.append((cost, "sequence" if kind in ("up", "down") else kind, i))
+        best[j], *where = min(offers)
+        back[j] = tuple(where)
     spans, j = [], n
     while j:
         kind, i = back[j]
-        if spans and kind == spans[-1][0] == "brute":
-            spans[-1] = ("brute", i, spans[-1][2])
-        else:
-            spans.append((kind, i, j))
+        spans.append((kind, i, j))
         j = i
     return best[n], spans[::-1]
 
