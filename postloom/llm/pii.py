@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Only DataFrame functions. Places come from the pieces between the matches: the pieces' and the matches' lengths add up to
-the end of each match, in code points. Every pattern begins where its run of characters begins (or where the last match
+the end of each match, in code points (prefix sums by doubling). Contexts come from chunks of ``CHUNK`` code points, found by
+their number, so a text of n signs and m matches takes n + m log m steps. Every pattern begins where its run of characters begins (or where the last match
 ended) and its loops are possessive, so matching is linear in the text and needs no stack, however long a run is.
 
 Defined cases: a null or empty text has no spans; repeated rows each have their result; an empty table gives an empty
@@ -61,6 +62,7 @@ KINDS = (
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3,
          ("ssn", "social security", "tax id"), (), False),
 )
+CHUNK = 64  # code points of a chunk of text, at least WINDOW
 WINDOW = 40  # code points of context on either side of a span
 STEP = 0.2  # what a context word adds or takes
 LEAST = 0.5  # score from which a span of the method's own kinds is reported
@@ -116,15 +118,28 @@ def detect(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         return F.when(F.contains(F.col("_text"), F.lit(k.needs)), all_).otherwise(none) if k.needs else all_
 
     df = df.select("*", *(proposals(k).alias(f"_m_{k.name}") for k in KINDS))
+    found_any = reduce(lambda a, n: a | (F.size(F.col(f"_m_{n}")) > 0), names, F.lit(False))
+    chunks = F.when(found_any, F.regexp_extract_all(F.col("_text"), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(none)
+
+    def sums(steps: Column) -> Column:
+        """The sums of all beginnings of an array: each round adds what stands 1, 2, 4, ... places before."""
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(steps))).cast("int"))
+        before = lambda a, i, k: F.coalesce(F.get(a, i - F.pow(F.lit(2), k).cast("int")), F.lit(0))
+        return F.aggregate(rounds, steps, lambda a, k: F.transform(a, lambda x, i: x + before(a, i, k)))
 
     def ends(k: Kind) -> Column:
         found = F.col(f"_m_{k.name}")
         pieces = F.slice(F.split(F.col("_text"), k.pattern, -1), F.lit(1), F.size(found))
         steps = F.zip_with(pieces, found, lambda p, m: F.length(p) + F.length(m))
-        sums = F.aggregate(steps, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-        return F.when(F.size(found) > 0, F.slice(sums, F.lit(2), F.size(found))).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(found) > 0, sums(steps)).otherwise(F.array().cast("array<int>"))
+
+    df = df.select("*", chunks.alias("_chunks"), *(ends(k).alias(f"_e_{k.name}") for k in KINDS))
 
-    df = df.select("*", *(ends(k).alias(f"_e_{k.name}") for k in KINDS))
+    def part(start: Column, size: Column) -> Column:
+        """``size`` code points of the text from ``start`` on; WINDOW at most."""
+        number = F.floor(start / CHUNK).cast("int")
+        own = lambda n: F.coalesce(F.get(F.col("_chunks"), n), F.lit(""))
+        return F.substring(F.concat(own(number), own(number + 1)), start - CHUNK * number + 1, size)
 
     def spans(k: Kind) -> Column:
         both = F.arrays_zip(F.col(f"_m_{k.name}").alias("m"), F.col(f"_e_{k.name}").alias("e"))
@@ -133,8 +148,7 @@ def detect(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         def scored(x: Column) -> Column:
             start = x["e"] - F.length(x["m"])
             size = F.least(start, F.lit(WINDOW))
-            before, after = F.substring(F.col("_text"), start - size + 1, size), F.substring(F.col("_text"), x["e"] + 1, F.lit(WINDOW))
-            context = F.lower(F.concat_ws("\n", before, after))
+            context = F.lower(F.concat_ws("\n", part(start - size, size), part(x["e"], F.lit(WINDOW))))
             score = k.score + F.when(_near(context, k.near), STEP).otherwise(0.0) - F.when(_near(context, k.far), STEP).otherwise(0.0)
             return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), x["e"].alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 

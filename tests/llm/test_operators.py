@@ -187,6 +187,43 @@ def test_pii(spark):
     assert pii.op3_pii(empty(spark)).count() == 0
 
 
+def test_pii_of_many_matches_is_linear(spark):
+    """All kinds against brute force on many matches; twice the matches take about twice the time."""
+    unit = "mail a1@b.co, ip 10.0.0.%d é😀 card 4111 1111 1111 1111 tel +1 743 555 3824 ssn 123-45-6789 IBAN GB82WEST12345698765432;"
+    text = lambda n: "".join(unit % (i % 300) for i in range(n))
+    seconds = []
+    for n in (200, 10_000, 20_000):
+        start = time.perf_counter()
+        (row,) = pii.op3_pii(frame(spark, [(1, text(n))])).collect()
+        seconds.append(time.perf_counter() - start)
+        assert row.base_sha256 == hashlib.sha256(base_pii(text(n)).encode()).hexdigest()
+        own = [f"{k}:{m.start()}:{m.end()}" for k, p in (("iban", "GB82WEST12345698765432"), ("ssn", "123-45-6789")) for m in re.finditer(p, text(n))]
+        assert row.spans.split(",")[-2 * n :] == own
+    assert seconds[2] < 3 * seconds[1] + 5 and seconds[2] < 60
+    (row,) = pii.op3_pii(frame(spark, [(1, "a@b.c " * 200_000)])).collect()
+    assert row.n_email == 200_000
+
+
+def brute_context(text, start, end):
+    return (text[max(0, start - 40) : start] + "\n" + text[end : end + 40]).lower()
+
+
+def test_pii_scores(spark):
+    """Scores against their definition, over contexts of every reach."""
+    rows = [(i, "é😀" * (i % 7) + "x" * (i % 50) + ["ssn ", "tax id", "", "bank"][i % 4] + " " * (i % 45) + "123-45-6789" + " " * (i % 43) + ["SSN", "", "iban"][i % 3] + " GB82WEST12345698765432 host 1.2.3.4" + "y" * (i % 80)) for i in range(300)]
+    got = found(pii.op3_pii(frame(spark, rows)), "doc_id", "spans", "scores")
+    kinds = {k.name: k for k in pii.KINDS}
+    for i, t in rows:
+        want = []
+        for name, p in (("ip", r"1\.2\.3\.4"), ("iban", "GB82WEST12345698765432"), ("ssn", "123-45-6789")):
+            for m in re.finditer(p, t):
+                k, around = kinds[name], brute_context(t, m.start(), m.end())
+                score = min(1.0, k.score + 0.2 * any(w in around for w in k.near) - 0.2 * any(w in around for w in k.far))
+                if k.base or score >= 0.5:
+                    want.append((f"{name}:{m.start()}:{m.end()}", round(score, 2)))
+        assert list(zip(got[i][0].split(","), map(float, got[i][1].split(",")))) == want
+
+
 def test_pii_of_account_codes_and_context_behind(spark):
     """A code ends where its country's codes end, whatever follows; context words count on both sides."""
     zz = "ZZ%02d" % (98 - int("123456789012345" + "3535" + "00") % 97) + "123456789012345"  # a code of no listed country
