@@ -38,9 +38,10 @@ def first_of(text: Column, tokens: Column) -> Column:
 
 
 def phrase_present(low: Column, needle: Column) -> Column:
-    """Whether a phrase occurs: as a substring if it has a space or one of ``+#.-``, else as a whole word."""
+    """Whether a phrase occurs: as a substring if it has a space or one of ``+#.-``, else as a whole word. A pattern is tried
+    only where the phrase is a substring, as each phrase's pattern must be compiled."""
     n = F.lower(F.trim(needle))
-    word = F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b")))
+    word = F.contains(low, n) & F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b")))
     return F.when(n == "", False).when(n.rlike(r"[ +#.\-]"), F.contains(low, n)).otherwise(word)
 
 
@@ -95,7 +96,7 @@ def strip_marker(c: Column) -> Column:
 
 
 def slug(c: Column, size: int = 40) -> Column:
-    return F.substring(F.regexp_replace(c, r"(?U)[^\w-]", "-"), 1, size)
+    return F.substring(F.regexp_replace(c, r"[^\p{L}\p{N}_-]", "-"), 1, size)
 
 
 def loose_json(c: Column) -> Column:

@@ -9,13 +9,15 @@ from pyspark.sql.window import Window as W
 from .filters import role_class
 
 
+# The statuses that a person's summary counts.
+SUMMARY = ("applied", "screening", "interview", "offer", "rejected")
+
+
 def application_summary(df: DataFrame) -> DataFrame:
-    """Per person: total, counts by status, average score to two places."""
-    n = lambda s: F.count_if(F.col("status") == s)
-    return df.groupBy("person_id").agg(
-        F.count("*").alias("total"), n("applied").alias("applied"), n("interview").alias("interviews"), n("offer").alias("offers"),
-        n("rejected").alias("rejected"), n("pending_review").alias("pending"), F.bround(F.avg("match_score"), 2).alias("avg_score"),
-    )
+    """Per person: total, counts by status, average score to two places (half away from zero, as decimals are rounded)."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    average = F.round(F.avg("match_score").cast("decimal(30,15)"), 2).cast("double")
+    return df.groupBy("person_id").agg(F.count("*").alias("total"), *map(n, SUMMARY), average.alias("avg_match_score"))
 
 
 def application_stats(df: DataFrame) -> DataFrame:
@@ -77,15 +79,16 @@ def latest(df: DataFrame, key: str, order: list[str], values: list[str]) -> Data
 
 
 def fetch_health(df: DataFrame, failures: int = 3, cooldown: int = 30, key: str = "company", at: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Adds streak (failures in a row so far) and state at each outcome: open from ``failures`` on; half_open if the last
-    outcome of an open one lies ``cooldown`` seconds back; else closed. ``ok`` says whether the fetch went well."""
+    """Adds streak (failures in a row so far), state_before and state at each outcome: open from ``failures`` on; half_open
+    where the last failure of an open one lies more than ``cooldown`` seconds back; else closed. ``ok`` says whether the fetch
+    went well. The windows hold one company's outcomes in one task, sorted on disk where they are many."""
     w = W.partitionBy(key).orderBy(at, tie)
     df = df.withColumn("_island", F.sum(F.col("ok").cast("int")).over(w))
     inside = W.partitionBy(key, "_island").orderBy(at, tie)
     df = df.withColumn("streak", F.sum((~F.col("ok")).cast("int")).over(inside))
-    before, gap = F.lag("streak").over(w), F.unix_seconds(F.col(at)) - F.unix_seconds(F.lag(at).over(w))
+    before, gap = F.lag("streak").over(w), F.unix_micros(F.col(at)) - F.unix_micros(F.lag(at).over(w))
     state = F.when(~F.col("ok"), F.when(F.col("streak") >= failures, "open").otherwise("closed")).otherwise("closed")
-    probed = F.when((F.coalesce(before, F.lit(0)) >= failures) & (gap >= cooldown), "half_open").when(F.coalesce(before, F.lit(0)) >= failures, "open").otherwise("closed")
+    probed = F.when((F.coalesce(before, F.lit(0)) >= failures) & (gap > cooldown * 1_000_000), "half_open").when(F.coalesce(before, F.lit(0)) >= failures, "open").otherwise("closed")
     return df.withColumns({"state_before": probed, "state": state}).drop("_island")
 
 

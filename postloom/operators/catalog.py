@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.text import empty
 
@@ -69,17 +70,30 @@ def catalog(companies: DataFrame, verified: Column) -> DataFrame:
 
 
 def drift(seed: DataFrame, detected: DataFrame) -> DataFrame:
-    """Seed entries whose detected vendor or board differs; undiscovered and custom ones are left out."""
+    """Seed entries whose detected vendor or board differs; a board counts where both sides have one. Undiscovered and
+    ``custom_html`` detections, and seeds without a vendor, are left out."""
     s = seed.select("name", "domain", F.col("ats").alias("seed_ats"), F.col("board_id").alias("seed_board_id"))
-    d = detected.select("name", "detected_ats", "detected_board_id", "confidence").filter("detected_ats <> 'undiscovered'")
+    d = detected.select("name", "detected_ats", "detected_board_id", "confidence").filter("detected_ats not in ('undiscovered', 'custom_html')")
     ats = F.col("seed_ats") != F.col("detected_ats")
-    board = F.lower(empty(F.col("seed_board_id"))) != F.lower(empty(F.col("detected_board_id")))
+    seeded, found = empty(F.col("seed_board_id")), empty(F.col("detected_board_id"))
+    board = (seeded != "") & (found != "") & (F.lower(seeded) != F.lower(found))
     kind = F.when(ats, "ats_change").when(board, "board_id_change")
-    return s.filter("seed_ats <> 'custom'").join(d, "name").withColumn("kind", kind).filter("kind is not null")
+    return s.filter("seed_ats <> ''").join(d, "name").withColumn("kind", kind).filter("kind is not null")
+
+
+def _failed(detected: DataFrame) -> Column:
+    return empty(F.col("error")) != "" if "error" in detected.columns else F.lit(False)
 
 
 def catalog_summary(detected: DataFrame) -> DataFrame:
-    return detected.groupBy("detected_ats").agg(F.count("*").alias("n"), F.count_if(F.col("detected_ats") != "undiscovered").alias("discovered"))
+    """Counts by vendor, the largest first (``place``, from 1; a row a vendor), with the discovered and the failed ones."""
+    counts = detected.groupBy("detected_ats").agg(F.count("*").alias("n"), F.count_if(F.col("detected_ats") != "undiscovered").alias("discovered"), F.count_if(_failed(detected)).alias("errors"))
+    return counts.withColumn("place", F.row_number().over(W.partitionBy().orderBy(F.col("n").desc(), "detected_ats"))).orderBy("place")
+
+
+def catalog_errors(detected: DataFrame) -> DataFrame:
+    """name, domain, error of the companies that failed."""
+    return detected.filter(_failed(detected)).select("name", "domain", "error")
 
 
 def drift_summary(seed: DataFrame, drifted: DataFrame) -> DataFrame:
@@ -89,13 +103,25 @@ def drift_summary(seed: DataFrame, drifted: DataFrame) -> DataFrame:
     return a.join(b, "ats", "full_outer").select("ats", *(zero(c) for c in ("n_seed", "n_drift", "n_ats", "n_board")))
 
 
-def catalog_document(detected: DataFrame, shards: int = 16) -> DataFrame:
-    """The catalog as JSON documents: one header with counts, and the entries in ``shards`` documents by name's hash, so no
-    document grows without bound. Nulls are left out."""
-    entry = F.to_json(F.struct(*detected.columns))
-    part = F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")
-    body = detected.select(part.alias("part"), "name", entry.alias("entry")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("name", "entry"))).alias("e"))
-    body = body.select("part", F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["entry"]), ","), F.lit("]")).alias("document"))
-    head = detected.agg(F.count("*").alias("total"), F.count_if(F.col("detected_ats") != "undiscovered").alias("discovered"))
-    head = head.select(F.lit(-1).alias("part"), F.to_json(F.struct("total", "discovered")).alias("document"))
-    return head.unionByName(body)
+# The fields of an entry, in order.
+ENTRY = ("name", "domain", "careers_url", "final_url", "detected_ats", "detected_board_id", "detected_workday_tenant", "detected_workday_board", "api_endpoint", "confidence", "last_verified")
+ENTRIES = 1000  # of a document, about
+
+
+def catalog_document(detected: DataFrame, generated_at: str, entries: int = ENTRIES) -> DataFrame:
+    """The catalog as JSON documents (section, part, document): ``head`` with generated_at, total, discovered and the summary
+    by vendor, the largest first; ``companies`` and ``errors``, by hash of the name in documents of about ``entries`` each.
+    Nulls are left out."""
+    by = catalog_summary(detected)
+    counts = F.transform(F.array_sort(F.collect_list(F.struct("place", "detected_ats", "n"))), lambda x: F.struct(x["detected_ats"], x["n"]))  # a row a vendor
+    head = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("discovered"), F.lit(0)).alias("discovered"), F.map_from_entries(counts).alias("summary"))
+    head = head.select(F.lit("head").alias("section"), F.lit(0).alias("part"), F.to_json(F.struct(F.lit(generated_at).alias("generated_at"), "total", "discovered", "summary")).alias("document"))
+
+    def parted(rows: DataFrame, section: str, fields: list[str]) -> DataFrame:
+        n = max(1, -(-rows.count() // entries))
+        part = F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")
+        body = rows.select(part.alias("part"), "name", F.to_json(F.struct(*fields)).alias("entry")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("name", "entry"))).alias("e"))
+        return body.select(F.lit(section).alias("section"), "part", F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["entry"]), ","), F.lit("]")).alias("document"))
+
+    out = head.unionByName(parted(detected, "companies", [c for c in ENTRY if c in detected.columns]))
+    return out.unionByName(parted(catalog_errors(detected), "errors", ["name", "domain", "error"])) if "error" in detected.columns else out

@@ -24,12 +24,12 @@ def vocabulary_terms(text: Column, vocab: list[str]) -> Column:
         return F.when(hit, F.struct(F.replace(s["text"], t, F.repeat(F.lit(" "), F.length(t))).alias("text"), F.array_append(s["found"], t).alias("found"))).otherwise(s)
 
     left = F.aggregate(F.array(*map(F.lit, many)) if many else F.array().cast("array<string>"), state, step)
-    words = [F.when(F.regexp_like(left["text"], F.lit(rf"(?U)\b\Q{t}\E\b")), t) for t in single]
+    words = [F.when(F.contains(left["text"], F.lit(t)) & F.regexp_like(left["text"], F.lit(rf"(?U)\b\Q{t}\E\b")), t) for t in single]
     return F.array_sort(F.concat(left["found"], F.array_compact(F.array(*words)) if words else F.array().cast("array<string>")))
 
 
 def present(low: Column, term: Column) -> Column:
-    word = F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), term, F.lit(r"\E\b")))
+    word = F.contains(low, term) & F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), term, F.lit(r"\E\b")))
     return F.when(F.contains(term, F.lit(" ")), F.contains(low, term)).otherwise(word)
 
 
@@ -124,9 +124,43 @@ def match_or_default(df: DataFrame, column: str, variant: Column) -> DataFrame:
     return df.withColumns({"score": F.coalesce("_m.score", F.lit(0.0)), "visa_ok": F.coalesce("_m.visa_ok", F.lit(True)), "reasoning": F.when(bad, "parse failure").otherwise(empty(F.col("_m.reasoning"))), "recommended_variant": F.coalesce("_m.recommended_variant", variant)}).drop("_m")
 
 
-def match_report(scored: DataFrame, coverage: DataFrame, rubric: DataFrame, key: str = "key") -> DataFrame:
-    """One row a posting and person: its score, coverage and rubric side by side."""
-    return scored.join(coverage.drop(*(c for c in coverage.columns if c in scored.columns and c != key)), key, "left").join(rubric.select(key, "rubric"), key, "left")
+# The parts of a plan that a report reads, and the axes of a recruiter's rubric.
+PLAN = """jd_intelligence struct<company_type: string, priority_frame: string, required_skills: array<string>, preferred_skills: array<string>,
+core_responsibilities: array<string>, hidden_keywords: array<string>>, jd_requirements array<string>, skills_reordered struct<lead_with: array<string>>,
+skills_to_emphasize array<string>, missing_skill_risks array<string>, interview_callback_estimate string, experience array<struct<rewrites: array<struct<confidence: string>>>>"""
+AXES = ("jd_match", "achievement_density", "technical_specificity", "clarity", "shortlist_signal")
+
+
+def _is(value: str):
+    return lambda x: x == value
+
+
+def match_report(jobs: DataFrame, plans: DataFrame, coverage: DataFrame, rubrics: DataFrame, archetype: Column, key: str = "key") -> DataFrame:
+    """One row a job with the 27 fields of its match report.
+
+    jobs: key, company, title, url, location, remote, scraped_at, tailored_at, person, score. plans: key, plan (JSON). coverage:
+    key, ats_score, matched_keywords, missing_keywords, jd_keywords. rubrics: key, recruiter (JSON of ``AXES``). A job without a
+    plan has empty lists, one without a rubric no recruiter's score.
+    """
+    none = F.array().cast("array<string>")
+    plans = plans.select(key, F.from_json("plan", PLAN).alias("p"))
+    total = sum((F.coalesce(F.get_json_object("recruiter", f"$.{a}").cast("int"), F.lit(0)) for a in AXES), F.lit(0))
+    rubrics = rubrics.select(key, "recruiter", F.greatest(F.lit(0), F.least(F.lit(100), total)).alias("recruiter_score"))
+    j = jobs.join(plans, key, "left").join(coverage.select(key, "ats_score", "matched_keywords", "missing_keywords", "jd_keywords"), key, "left").join(rubrics, key, "left")
+    listed = lambda c: F.coalesce(F.col(c), none)
+    first = lambda a, b: F.when(F.size(listed(a)) > 0, F.col(a)).otherwise(listed(b))
+    level = lambda r: F.upper(empty(r["confidence"]))
+    rewrites = F.flatten(F.transform(F.coalesce("p.experience", F.array().cast("array<struct<rewrites: array<struct<confidence: string>>>>")), lambda e: F.coalesce(e["rewrites"], F.array().cast("array<struct<confidence: string>>"))))
+    kinds = F.transform(rewrites, lambda r: F.when(level(r).isin(CONFIDENCES), level(r)).otherwise("UNKNOWN"))
+    return j.select(
+        key, "company", "title", "url", "location", "remote", "scraped_at", "tailored_at", "person", F.col("score").alias("raw_match_score"), "ats_score",
+        F.col("matched_keywords").alias("ats_keywords_matched"), F.col("missing_keywords").alias("ats_keywords_missing"), F.size("jd_keywords").alias("ats_keywords_total"),
+        "recruiter_score", F.col("recruiter").alias("recruiter_breakdown"), archetype.alias("archetype"), "p.jd_intelligence.company_type", "p.jd_intelligence.priority_frame",
+        *(listed(f"p.jd_intelligence.{c}").alias(f"jd_{c}") for c in ("required_skills", "preferred_skills", "core_responsibilities", "hidden_keywords")),
+        first("p.jd_intelligence.required_skills", "p.jd_requirements").alias("jd_requirements"), first("p.skills_reordered.lead_with", "p.skills_to_emphasize").alias("skills_emphasized"),
+        listed("p.missing_skill_risks").alias("missing_skill_risks"), "p.interview_callback_estimate",
+        F.struct(*(F.size(F.filter(kinds, _is(c))).alias(c) for c in CONFIDENCES)).alias("confidence_breakdown"),
+    )
 
 
 def any_word(words: list[str]) -> str:

@@ -86,13 +86,15 @@ def not_in_set(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
 def alias_lookup(names: DataFrame, aliases: DataFrame, name: str = "name", default: str = "default") -> DataFrame:
     """The value of the alias that equals a name, else of the first (by rank) that the name contains, else the default.
 
-    aliases: alias, value, rank.
+    aliases: alias, value, rank. Equal names meet by a hash join; only the different names without an equal alias are searched
+    for each alias (at most ``MAX_SMALL``).
     """
     table = small(aliases.select(F.lower("alias").alias("_alias"), "value", "rank"))
     low = F.lower(empty(F.col(name)))
     distinct = names.select(name).distinct()
-    hits = distinct.join(table, F.contains(low, F.col("_alias")))
-    best = hits.groupBy(name).agg(F.min_by("value", F.struct((low != F.col("_alias")).alias("part"), "rank")).alias("_value"))
+    equal = distinct.join(table, low == F.col("_alias"))
+    rest = distinct.join(equal.select(name), name, "left_anti").join(table, F.contains(low, F.col("_alias")))
+    best = equal.unionByName(rest).groupBy(name).agg(F.min_by("value", "rank").alias("_value"))
     return names.join(best, name, "left").select(*names.columns, F.coalesce("_value", F.lit(default)).alias("value"))
 
 

@@ -69,6 +69,7 @@ def adjustments_table(m: Column) -> Column:
 STEPS = ["resume tailored", "cover letter generated", "applied", "heard back", "interview", "offer"]
 
 
+# The report's headings and labels, as in ``alert_text``.
 def report_text(dedup_id: Column, reviewed: Column, scraped: Column | None = None, source: str = "streaming-pipeline") -> Column:
     scraped = F.col("scraped_at").cast("string") if scraped is None else scraped
     signals = F.array_join(F.transform("legitimacy_signals", lambda s: F.concat(F.lit("- "), s)), "\n")
@@ -102,7 +103,7 @@ def _dedup_id() -> Column:
     return short_id(posting_key(F.col("company"), F.col("source_id")))
 
 
-def tracker_row(df: DataFrame, added: Column, person: str = "sai") -> DataFrame:
+def tracker_row(df: DataFrame, added: Column, person: str) -> DataFrame:
     """The 22 text columns of a tracker row of a scored posting; fields that later steps fill are blank."""
     blank = F.lit("")
     cols = {
@@ -117,15 +118,15 @@ def tracker_row(df: DataFrame, added: Column, person: str = "sai") -> DataFrame:
     return df.select(*(c.alias(n) for n, c in cols.items()))
 
 
-def tracker_row_full(df: DataFrame, added: Column) -> DataFrame:
-    """The 22 columns from a flat row: absent fields are blank, a score of at most 1 is shown as percents."""
+def tracker_row_full(df: DataFrame, added: Column, person: str) -> DataFrame:
+    """The 22 columns from a flat row; ``person`` stands where a row names none: absent fields are blank, a score of at most 1 is shown as percents."""
     have = set(df.columns)
     s = lambda k, default="": F.coalesce(F.col(k).cast("string"), F.lit("" if k in have else default)) if k in have else F.lit(default)
     score = F.col("match_score")
     shown_score = F.when(score.isNull(), "").when(score <= 1.0, F.concat(T.percent(score), F.lit("%"))).otherwise(score.cast("string")) if "match_score" in have else F.lit("")
     flag = lambda k, default: T.yes_no(F.coalesce(F.col(k), F.lit(False))) if k in have else F.lit(default)
     cols = {
-        "dedup_id": F.col("dedup_id"), "date_added": F.date_format(added, "yyyy-MM-dd HH:mm"), "person": s("person", "sai"), "company": s("company"),
+        "dedup_id": F.col("dedup_id"), "date_added": F.date_format(added, "yyyy-MM-dd HH:mm"), "person": s("person", person), "company": s("company"),
         "title": s("title"), "department": s("department"), "location": s("location"), "remote": flag("remote", "No"), "source": s("source"),
         "match_score": shown_score, "ats_score": s("ats_score"), "recruiter_score": s("recruiter_score"), "archetype": s("archetype"),
         "visa_ok": flag("visa_ok", "Yes"), "apply_url": s("url"), "drive_folder_link": s("drive_folder_link"), "resume_url": s("resume_url"),

@@ -11,6 +11,8 @@ from ..vocab import Vocabulary
 AS_OF = "2024-01-31 06:00:00"
 PLACES = ["San Francisco, CA", "Bangalore, India", "London, UK", "Remote", "Austin, TX", "Berlin, Germany"]
 DEPARTMENTS = ["Cloud", "Sales", "Data", ""]
+STATUSES = ["applied", "screening", "interview", "offer", "rejected", "pending_review", "skipped"]
+PERSON = "someone"
 VENDORS = ["greenhouse", "lever", "ashby", "workday", "smartrecruiters", "custom", "zoho"]
 
 # word lists whose members occur in the tables' texts
@@ -84,11 +86,11 @@ OBS = "v_obs AS (SELECT event_id, CAST(user_id AS VARCHAR) AS company, event_typ
 
 def app(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    status = F.when(F.col("o_orderstatus") == "P", "applied").when(F.col("o_orderstatus") == "F", "offer").otherwise("rejected")
+    status = _pick(STATUSES, F.col("o_orderkey") + F.col("o_custkey"))
     return o.select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("p"), (F.col("o_custkey") % 7).cast("string")).alias("person_id"), status.alias("status"), (F.col("o_totalprice") / 500000).alias("match_score"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
 
 
-APP = """v_app AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'p' || (o_custkey % 7) AS person_id, CASE o_orderstatus WHEN 'P' THEN 'applied' WHEN 'F' THEN 'offer' ELSE 'rejected' END AS status,
+APP = f"""v_app AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'p' || (o_custkey % 7) AS person_id, {STATUSES}[(o_orderkey + o_custkey) % 7 + 1] AS status,
 o_totalprice / 500000 AS match_score, strftime(o_orderdate, '%Y-%m-%d') AS created_at FROM orders)"""
 
 

@@ -15,7 +15,7 @@ from ..sources import payloads as P
 from ..sources import tables as TB
 from ..streaming import jobs
 from . import bindings as V_
-from .queries import _SEEN, _list, _seen
+from .queries import _DETECTED, _SEEN, _detected, _list, _seen
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -51,10 +51,10 @@ def _iso() -> Column:
 
 
 def _body() -> Column:
-    return F.concat(F.lit("<p>"), F.col("title"), F.lit("</p>"))
+    return F.concat(F.lit("<p>"), F.coalesce("description_text", F.lit("")), F.lit("</p>"))
 
 
-_STRIP = "trim(regexp_replace(regexp_replace(regexp_replace('<p>' || title || '</p>', '<[^>]*(>|$)', ' ', 'g'), '>', '', 'g'), '\\s+', ' ', 'g'))"
+_STRIP = "trim(regexp_replace(regexp_replace(regexp_replace('<p>' || coalesce(description_text, '') || '</p>', '<[^>]*(>|$)', ' ', 'g'), '>', '', 'g'), '\\s+', ' ', 'g'))"
 _OUT = ["company", "source", "source_id", "title", "description_text", "url", "location", "department", "remote"]
 
 
@@ -72,11 +72,11 @@ def a03_greenhouse(spark, sf):
     return _shown(P.normalize_greenhouse(_pages(V_.post(spark, sf), row, _jobs("jobs"))))
 
 
-@query(_expected("lever", "CASE WHEN doc_id % 2 = 0 THEN title ELSE " + _STRIP.replace("'</p>'", "'</p> more'") + " END", location="CASE WHEN doc_id % 3 = 0 THEN 'Elsewhere' ELSE location END", remote="doc_id % 3 <> 0 AND contains(lower(location), 'remote')", where="title <> ''"))
+@query(_expected("lever", "CASE WHEN doc_id % 2 = 0 AND description_text <> '' THEN description_text ELSE " + _STRIP.replace("'</p>'", "'</p> more'") + " END", location="CASE WHEN doc_id % 3 = 0 THEN 'Elsewhere' ELSE location END", remote="doc_id % 3 <> 0 AND contains(lower(location), 'remote')", where="title <> ''"))
 def a04_lever(spark, sf):
     i = F.col("doc_id")
     place = F.when(i % 3 == 0, "").otherwise(F.col("location"))
-    row = F.struct(F.col("source_id").alias("id"), F.col("title").alias("text"), _body().alias("description"), F.lit("more").alias("additional"), F.when(i % 2 == 0, F.col("title")).otherwise("").alias("descriptionPlain"), F.col("url").alias("hostedUrl"), (F.unix_seconds("posted_at") * 1000).alias("createdAt"), F.struct(place.alias("location"), F.col("department").alias("team"), F.array(F.lit("Elsewhere")).alias("allLocations")).alias("categories"))
+    row = F.struct(F.col("source_id").alias("id"), F.col("title").alias("text"), _body().alias("description"), F.lit("more").alias("additional"), F.when(i % 2 == 0, F.col("description_text")).otherwise("").alias("descriptionPlain"), F.col("url").alias("hostedUrl"), (F.unix_seconds("posted_at") * 1000).alias("createdAt"), F.struct(place.alias("location"), F.col("department").alias("team"), F.array(F.lit("Elsewhere")).alias("allLocations")).alias("categories"))
     return _shown(P.normalize_lever(_pages(V_.post(spark, sf).filter("title <> ''"), row), first_location=True))
 
 
@@ -191,19 +191,59 @@ def a18_load_targets(spark, sf):
     return TB.load_targets(raw).select("name", F.col("at").alias("place"), "url")
 
 
-@query(f"WITH {V_.COMPANY} SELECT 'total' AS what, CAST(count(*) AS VARCHAR) AS value FROM v_company UNION ALL SELECT name, ats FROM v_company")
+@query(f"""WITH {V_.POST} SELECT kind, source_id, title FROM v_post, (VALUES ('greenhouse'), ('ashby'), ('amazon')) k(kind) WHERE doc_id % 3 <> 2""")
+def a12_route(spark, sf):
+    """Pages of several vendors in one table, each by its kind; those of an unknown kind give no rows."""
+    post = V_.post(spark, sf)
+    rows = {
+        "greenhouse": F.struct(F.col("doc_id").alias("id"), "title", F.col("url").alias("absolute_url")),
+        "ashby": F.struct(F.col("source_id").alias("id"), "title", F.col("url").alias("jobUrl")),
+        "amazon": F.struct(F.col("doc_id").alias("id_icims"), "title"),
+        "nobody": F.struct("title"),
+    }
+    known = {kind: _pages(post.filter("doc_id % 3 <> 2" if kind != "nobody" else "true"), row, _jobs("jobs")).withColumn("kind", F.lit(kind)) for kind, row in rows.items()}
+    out = P.route_payloads(J.union_postings(*known.values()))
+    return out.select(F.col("source").alias("kind"), "source_id", "title")
+
+
+@query(f"WITH {V_.POST} SELECT source_id, title FROM v_post WHERE octet_length(encode(to_json(struct_pack(source_id := source_id, title := title, text := description_text)))) <= 524288")
+def a16_topic(spark, sf):
+    """Rows written to a topic and read back as a stream; messages over the limit are dropped."""
+    path = jobs.shared_dir(spark, "topic")
+    TB.write_topic(V_.post(spark, sf).select("source_id", "title", F.col("description_text").alias("text")), path)
+    return jobs.drain(TB.read_topic(spark, path, "source_id string, title string, text string"), "topic-rows").select("source_id", "title")
+
+
+@query(f"WITH {V_.APP} SELECT id, person_id, status, CAST(CAST(id AS BIGINT) % 100 AS VARCHAR) AS company, CAST(NULL AS VARCHAR) AS notes FROM v_app")
+def a19_applications(spark, sf):
+    """Applications written and read back with the columns of a schema: missing ones are null, others are cast or dropped."""
+    path = jobs.shared_dir(spark, "applications")
+    V_.app(spark, sf).withColumns({"company": F.col("id").cast("long") % 100, "extra": F.lit(1)}).write.parquet(path)
+    return TB.read_applications(spark, path, "id string, person_id string, status string, company string, notes string")
+
+
+@query(f"""WITH {V_.COMPANY}{_DETECTED}, c AS (SELECT detected_ats, count(*) AS n FROM v_detected GROUP BY detected_ats)
+SELECT 'total' AS what, CAST(count(*) AS VARCHAR) AS value FROM v_detected UNION ALL SELECT 'discovered', CAST(count(*) FILTER (detected_ats <> 'undiscovered') AS VARCHAR) FROM v_detected UNION ALL SELECT 'generated_at', '{V_.AS_OF}'
+UNION ALL SELECT 'summary', '{{' || string_agg('"' || detected_ats || '":' || n, ',' ORDER BY n DESC, detected_ats) || '}}' FROM c
+UNION ALL SELECT 'company ' || name, detected_ats || '|' || detected_board_id FROM v_detected UNION ALL SELECT 'error ' || name, domain || '|' || error FROM v_detected WHERE error <> ''""")
 def a20_catalog_document(spark, sf):
-    c = V_.company(spark, sf).select("name", F.col("ats").alias("detected_ats"), F.lit(None).cast("string").alias("api_endpoint"))
-    docs = C.catalog_document(c)
-    head = docs.filter("part = -1").select(F.lit("total").alias("what"), F.get_json_object("document", "$.total").alias("value"))
-    body = docs.filter("part >= 0").select(F.explode(F.from_json("document", "array<struct<name: string, detected_ats: string>>")).alias("e")).select(F.col("e.name").alias("what"), F.col("e.detected_ats").alias("value"))
-    return head.unionByName(body)
+    docs = C.catalog_document(_detected(spark, sf), V_.AS_OF, 20)
+    head = docs.filter("section = 'head'").select(F.explode(F.array(*(F.struct(F.lit(k).alias("what"), F.get_json_object("document", f"$.{k}").alias("value")) for k in ("total", "discovered", "generated_at", "summary")))).alias("h")).select("h.*")
+
+    def listed(section: str, word: str, a: str, b: str) -> DataFrame:
+        rows = docs.filter(F.col("section") == section).select(F.explode(F.from_json("document", f"array<struct<name: string, {a}: string, {b}: string>>")).alias("e"))
+        return rows.select(F.concat(F.lit(word), F.col("e.name")).alias("what"), F.concat_ws("|", f"e.{a}", f"e.{b}").alias("value"))
+
+    return head.unionByName(listed("companies", "company ", "detected_ats", "detected_board_id")).unionByName(listed("errors", "error ", "domain", "error"))
 
 
-@query(f"WITH {V_.KEYED} SELECT substr(key, 1, 16) AS dedup_id, 'local:' || substr(key, 1, 16) || '/report.md' AS path FROM v_keyed")
+@query(f"WITH {V_.KEYED} SELECT substr(key, 1, 16) AS dedup_id, 'local:' || substr(key, 1, 16) || '/report.md' AS path, description_text AS report FROM v_keyed")
 def a21_reports(spark, sf):
-    df = V_.keyed(spark, sf).select(F.substring("key", 1, 16).alias("dedup_id"), F.col("title").alias("report"))
-    return TB.report_documents(df).select("dedup_id", "path")
+    """Reports written as one file a key, and read back by their path."""
+    root = jobs.shared_dir(spark, "reports")
+    df = V_.keyed(spark, sf).select(F.substring("key", 1, 16).alias("dedup_id"), F.col("description_text").alias("report"))
+    TB.write_reports(df, root)
+    return TB.read_reports(spark, root)
 
 
 # ---- vendor detection ----------------------------------------------------------------------------------------------
@@ -264,13 +304,32 @@ def i08_blob(spark, sf):
     return K.resume_blob(b, plan)
 
 
-@query(f"WITH {V_.KEYED} SELECT key, (doc_id % 100) / 100.0::DOUBLE AS score, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 50 AS INTEGER) END AS coverage, CAST(least(100, doc_id % 120) AS INTEGER) AS rubric FROM v_keyed")
+_REPORT_SQL = {
+    "key": "key", "company": "company", "title": "title", "url": "url", "location": "location", "remote": "remote", "scraped_at": "strftime(scraped_at, '%Y-%m-%d')",
+    "tailored_at": "'2024-02-01'", "person": f"'{V_.PERSON}'", "raw_match_score": "(doc_id % 100) / 100.0::DOUBLE", "ats_score": "CAST(doc_id % 50 AS INTEGER)",
+    "ats_keywords_matched": "'the|and'", "ats_keywords_missing": "'zzz'", "ats_keywords_total": "3", "recruiter_score": "CASE WHEN doc_id % 2 = 0 THEN CAST(least(100, doc_id % 70 + 50) AS INTEGER) END",
+    "recruiter_breakdown": "CASE WHEN doc_id % 2 = 0 THEN '{\"jd_match\":' || doc_id % 70 || ',\"clarity\":50}' END", "archetype": "'builder'",
+    "company_type": "CASE WHEN doc_id % 5 <> 0 THEN 'startup' END", "priority_frame": "CASE WHEN doc_id % 5 <> 0 THEN 'scale' END",
+    "jd_required_skills": "CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 THEN 'a|b' ELSE '' END", "jd_preferred_skills": "CASE WHEN doc_id % 5 <> 0 THEN 'c' ELSE '' END",
+    "jd_core_responsibilities": "''", "jd_hidden_keywords": "''", "jd_requirements": "CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 THEN 'a|b' ELSE 'legacy' END",
+    "skills_emphasized": "CASE WHEN doc_id % 4 = 0 THEN 'lead' ELSE 'old' END", "missing_skill_risks": "''", "interview_callback_estimate": "'40%'",
+    "confidence_breakdown": "'{\"HIGH\":1,\"MEDIUM\":0,\"LOW\":0,\"UNKNOWN\":' || doc_id % 2 || '}'",
+}
+
+
+@query(f"WITH {V_.KEYED} SELECT {', '.join(f'{v} AS {k}' for k, v in _REPORT_SQL.items())} FROM v_keyed")
 def i09_report(spark, sf):
-    k = V_.keyed(spark, sf)
-    scored = k.select("key", ((F.col("doc_id") % 100) / 100.0).alias("score"))
-    cov = k.filter("doc_id % 2 = 0").select("key", (F.col("doc_id") % 50).cast("int").alias("coverage"))
-    rub = k.select("key", F.least(F.lit(100), F.col("doc_id") % 120).cast("int").alias("rubric"))
-    return K.match_report(scored, cov, rub).select("key", "score", "coverage", "rubric")
+    k, i = V_.keyed(spark, sf), F.col("doc_id")
+    jobs_ = k.select("key", "company", "title", "url", "location", "remote", F.date_format("scraped_at", "yyyy-MM-dd").alias("scraped_at"), F.lit("2024-02-01").alias("tailored_at"), F.lit(V_.PERSON).alias("person"), ((i % 100) / 100.0).alias("score"))
+    array = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    jdi = F.struct(F.lit("startup").alias("company_type"), F.lit("scale").alias("priority_frame"), F.when(i % 3 == 0, array("a", "b")).otherwise(array()).alias("required_skills"), array("c").alias("preferred_skills"))
+    rewrites = F.concat(F.array(F.struct(F.lit("high").alias("confidence"))), F.when(i % 2 == 1, F.array(F.struct(F.lit("sure").alias("confidence")))).otherwise(F.array().cast("array<struct<confidence:string>>")))
+    plan = F.struct(F.when(i % 5 != 0, jdi).alias("jd_intelligence"), array("legacy").alias("jd_requirements"), F.when(i % 4 == 0, F.struct(array("lead").alias("lead_with"))).alias("skills_reordered"), array("old").alias("skills_to_emphasize"), F.lit("40%").alias("interview_callback_estimate"), F.array(F.struct(rewrites.alias("rewrites"))).alias("experience"))
+    cov = k.select("key", (i % 50).cast("int").alias("ats_score"), array("the", "and").alias("matched_keywords"), array("zzz").alias("missing_keywords"), array("the", "and", "zzz").alias("jd_keywords"))
+    rub = k.filter("doc_id % 2 = 0").select("key", F.to_json(F.struct((i % 70).alias("jd_match"), F.lit(50).alias("clarity"))).alias("recruiter"))
+    out = K.match_report(jobs_, k.select("key", F.to_json(plan).alias("plan")), cov, rub, F.lit("builder"))
+    text = lambda f: F.array_join(f.name, "|") if f.dataType.typeName() == "array" else F.to_json(f.name) if f.dataType.typeName() == "struct" else F.col(f.name)
+    return out.select(*(text(f).alias(f.name) for f in out.schema))
 
 
 @query(f"WITH {V_.POST} SELECT source_id, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE (doc_id % 100) / 100.0 END::DOUBLE AS score, doc_id % 3 = 0 OR doc_id % 2 = 0 AS visa_ok, CASE WHEN doc_id % 3 = 0 THEN 'parse failure' ELSE 'fine' END AS reasoning, 'first' AS recommended_variant FROM v_post")

@@ -255,9 +255,9 @@ def h01_dates(spark, sf):
     return df.select("source_id", TM.age_days(iso, F.lit(AS_OF).cast("timestamp")).alias("age"), F.date_format(named, "yyyy-MM-dd").alias("named"))
 
 
-@query(f"WITH {V_.POST} SELECT source_id, regexp_replace(title, '[*_\\[\\]()]', '', 'g') AS plain, left(regexp_replace(title, '[^A-Za-z0-9_\\-]', '-', 'g'), 40) AS slug, trim(regexp_replace(lower(trim(title)), '\\s+', ' ', 'g')) AS bullet FROM v_post WHERE regexp_matches(title, '^[\\x20-\\x7E]*$')")
+@query(f"WITH {V_.POST} SELECT source_id, regexp_replace(title, '[*_\\[\\]()]', '', 'g') AS plain, left(regexp_replace(title, '[^\\pL\\pN_\\-]', '-', 'g'), 40) AS slug, trim(regexp_replace(lower(trim(title)), '\\s+', ' ', 'g')) AS bullet FROM v_post")
 def h16_text_forms(spark, sf):
-    df = V_.post(spark, sf).filter(F.col("title").rlike(r"^[\x20-\x7E]*$"))
+    df = V_.post(spark, sf)
     return df.select("source_id", T.strip_markdown(F.col("title")).alias("plain"), T.slug(F.col("title")).alias("slug"), T.bullet_key(F.col("title")).alias("bullet"))
 
 
@@ -309,14 +309,14 @@ def c03_fan_out(spark, sf):
 def _detected(spark, sf):
     c, k = V_.company(spark, sf), F.col("suppkey")
     ats = F.when(k % 5 == 0, V_._pick(V_.VENDORS, k + 1)).when(k % 11 == 0, "undiscovered").otherwise(F.col("ats"))
-    board = F.when(k % 7 == 0, F.concat("board_id", F.lit("x"))).otherwise(F.upper("board_id"))
-    return c.select("name", ats.alias("detected_ats"), board.alias("detected_board_id"), F.lit("high").alias("confidence"))
+    board = F.when(k % 7 == 0, F.concat("board_id", F.lit("x"))).when(k % 13 == 0, "").otherwise(F.upper("board_id"))
+    return c.select("name", "domain", ats.alias("detected_ats"), board.alias("detected_board_id"), F.lit("high").alias("confidence"), F.when(k % 11 == 0, "timeout").when(k % 17 == 0, "").alias("error"))
 
 
-_DETECTED = f""", v_detected AS (SELECT name, CASE WHEN suppkey % 5 = 0 THEN {V_.VENDORS}[(suppkey + 1) % 7 + 1] WHEN suppkey % 11 = 0 THEN 'undiscovered' ELSE ats END AS detected_ats,
-CASE WHEN suppkey % 7 = 0 THEN board_id || 'x' ELSE upper(board_id) END AS detected_board_id FROM v_company),
-v_drift AS (SELECT s.name, s.ats AS seed_ats, d.detected_ats, CASE WHEN s.ats <> d.detected_ats THEN 'ats_change' WHEN lower(s.board_id) <> lower(d.detected_board_id) THEN 'board_id_change' END AS kind
-FROM v_company s JOIN v_detected d ON s.name = d.name WHERE s.ats <> 'custom' AND d.detected_ats <> 'undiscovered')"""
+_DETECTED = f""", v_detected AS (SELECT name, domain, CASE WHEN suppkey % 11 = 0 THEN 'timeout' WHEN suppkey % 17 = 0 THEN '' END AS error, CASE WHEN suppkey % 5 = 0 THEN {V_.VENDORS}[(suppkey + 1) % 7 + 1] WHEN suppkey % 11 = 0 THEN 'undiscovered' ELSE ats END AS detected_ats,
+CASE WHEN suppkey % 7 = 0 THEN board_id || 'x' WHEN suppkey % 13 = 0 THEN '' ELSE upper(board_id) END AS detected_board_id FROM v_company),
+v_drift AS (SELECT s.name, s.ats AS seed_ats, d.detected_ats, CASE WHEN s.ats <> d.detected_ats THEN 'ats_change' WHEN s.board_id <> '' AND d.detected_board_id <> '' AND lower(s.board_id) <> lower(d.detected_board_id) THEN 'board_id_change' END AS kind
+FROM v_company s JOIN v_detected d ON s.name = d.name WHERE s.ats <> '' AND d.detected_ats NOT IN ('undiscovered', 'custom_html'))"""
 
 
 @query(f"WITH {V_.COMPANY}{_DETECTED} SELECT name, seed_ats, detected_ats, kind FROM v_drift WHERE kind IS NOT NULL")
@@ -367,8 +367,8 @@ def c09_alias(spark, sf):
 # ---- aggregates ----------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {V_.APP} SELECT person_id, count(*) AS total, count(*) FILTER (status = 'applied') AS applied, count(*) FILTER (status = 'interview') AS interviews, count(*) FILTER (status = 'offer') AS offers, count(*) FILTER (status = 'rejected') AS rejected,
-count(*) FILTER (status = 'pending_review') AS pending, round_even(avg(match_score), 2) AS avg_score FROM v_app GROUP BY person_id""")
+@query(f"""WITH {V_.APP} SELECT person_id, count(*) AS total, count(*) FILTER (status = 'applied') AS applied, count(*) FILTER (status = 'screening') AS screening, count(*) FILTER (status = 'interview') AS interview, count(*) FILTER (status = 'offer') AS offer,
+count(*) FILTER (status = 'rejected') AS rejected, CAST(round(CAST(avg(match_score) AS DECIMAL(30, 15)), 2) AS DOUBLE) AS avg_match_score FROM v_app GROUP BY person_id""")
 def d01_app_summary(spark, sf):
     return A.application_summary(V_.app(spark, sf))
 
@@ -393,9 +393,14 @@ def d05_company_tally(spark, sf):
     return A.company_tally(V_.company(spark, sf))
 
 
-@query(f"WITH {V_.COMPANY}{_DETECTED} SELECT detected_ats, count(*) AS n, count(*) FILTER (detected_ats <> 'undiscovered') AS discovered FROM v_detected GROUP BY detected_ats")
+@query(f"WITH {V_.COMPANY}{_DETECTED} SELECT detected_ats, count(*) AS n, count(*) FILTER (detected_ats <> 'undiscovered') AS discovered, count(*) FILTER (error <> '') AS errors, row_number() OVER (ORDER BY count(*) DESC, detected_ats) AS place FROM v_detected GROUP BY detected_ats")
 def d06_catalog_summary(spark, sf):
-    return C.catalog_summary(_detected(spark, sf))
+    return C.catalog_summary(_detected(spark, sf)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {V_.COMPANY}{_DETECTED} SELECT name, domain, error FROM v_detected WHERE error <> ''")
+def d06_catalog_errors(spark, sf):
+    return C.catalog_errors(_detected(spark, sf))
 
 
 @query(f"""WITH {V_.COMPANY}{_DETECTED}, a AS (SELECT ats, count(*) AS n_seed FROM v_company GROUP BY ats), b AS (SELECT seed_ats AS ats, count(*) AS n_drift, count(*) FILTER (kind = 'ats_change') AS n_ats, count(*) FILTER (kind = 'board_id_change') AS n_board FROM v_drift WHERE kind IS NOT NULL GROUP BY seed_ats)
@@ -456,8 +461,8 @@ def e05_latest_status(spark, sf):
 
 
 @query(f"""WITH {V_.OBS}, i AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY company ORDER BY ts, event_id) AS island FROM v_obs), s AS (SELECT *, sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY company, island ORDER BY ts, event_id) AS streak FROM i),
-b AS (SELECT *, coalesce(lag(streak) OVER w, 0) AS before, floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS gap FROM s WINDOW w AS (PARTITION BY company ORDER BY ts, event_id))
-SELECT event_id, CAST(streak AS BIGINT) AS streak, CASE WHEN before >= 2 AND gap >= 3600 THEN 'half_open' WHEN before >= 2 THEN 'open' ELSE 'closed' END AS state_before, CASE WHEN NOT ok AND streak >= 2 THEN 'open' ELSE 'closed' END AS state FROM b""")
+b AS (SELECT *, coalesce(lag(streak) OVER w, 0) AS before, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM s WINDOW w AS (PARTITION BY company ORDER BY ts, event_id))
+SELECT event_id, CAST(streak AS BIGINT) AS streak, CASE WHEN before >= 2 AND gap > 3600000000 THEN 'half_open' WHEN before >= 2 THEN 'open' ELSE 'closed' END AS state_before, CASE WHEN NOT ok AND streak >= 2 THEN 'open' ELSE 'closed' END AS state FROM b""")
 def e06_fetch_health(spark, sf):
     return A.fetch_health(V_.obs(spark, sf), 2, 3600).select("event_id", "streak", "state_before", "state")
 
@@ -644,20 +649,20 @@ def i16_report(spark, sf):
     return _flat(spark, sf).select("source_id", "person_id", R.report_text(key, F.lit(AS_OF).cast("timestamp"), F.col("scraped_text")).alias("report"))
 
 
-@query(f"""{_SCORED} SELECT substr(sha256(lower(company) || '|' || source_id), 1, 16) AS dedup_id, '2024-01-31 06:00' AS date_added, 'sai' AS person, company, title, department, location, CASE WHEN remote THEN 'Yes' ELSE 'No' END AS remote, source,
+@query(f"""{_SCORED} SELECT substr(sha256(lower(company) || '|' || source_id), 1, 16) AS dedup_id, '2024-01-31 06:00' AS date_added, '{V_.PERSON}' AS person, company, title, department, location, CASE WHEN remote THEN 'Yes' ELSE 'No' END AS remote, source,
 CAST(round_even(score * 100, 0) AS INTEGER) || '%' AS match_score, '' AS ats_score, '' AS recruiter_score, '' AS archetype, CASE WHEN contains(lower(reason), 'no sponsorship') THEN 'No' ELSE 'Yes' END AS visa_ok, url AS apply_url, '' AS drive_folder_link, '' AS resume_url, '' AS cover_letter_url,
 '' AS required_skills, '' AS missing_skills, 'NEW' AS status, left(reason, 300) AS notes FROM v_scored WHERE person_id <> 'p3'""")
 def i17_tracker_row(spark, sf):
-    return R.tracker_row(_flat(spark, sf), F.lit(AS_OF).cast("timestamp"))
+    return R.tracker_row(_flat(spark, sf), F.lit(AS_OF).cast("timestamp"), V_.PERSON)
 
 
-@query(f"""WITH {V_.KEYED} SELECT substr(key, 1, 16) AS dedup_id, '2024-01-31 06:00' AS date_added, 'sai' AS person, company, title, department, location, CASE WHEN remote THEN 'Yes' ELSE 'No' END AS remote, source,
+@query(f"""WITH {V_.KEYED} SELECT substr(key, 1, 16) AS dedup_id, '2024-01-31 06:00' AS date_added, '{V_.PERSON}' AS person, company, title, department, location, CASE WHEN remote THEN 'Yes' ELSE 'No' END AS remote, source,
 CASE WHEN doc_id % 10 = 0 THEN '' ELSE CAST(round_even((doc_id % 100) / 100.0::DOUBLE * 100, 0) AS INTEGER) || '%' END AS match_score, CAST(doc_id % 90 AS VARCHAR) AS ats_score, '' AS recruiter_score, '' AS archetype, 'Yes' AS visa_ok, url AS apply_url, '' AS drive_folder_link, '' AS resume_url, '' AS cover_letter_url,
 '' AS required_skills, '' AS missing_skills, 'NEW' AS status, left(description_text, 500) AS notes FROM v_keyed""")
 def i18_tracker_full(spark, sf):
     i = F.col("doc_id")
     df = V_.keyed(spark, sf).select(short_id(F.col("key")).alias("dedup_id"), "company", "title", "department", "location", "remote", "source", F.when(i % 10 != 0, (i % 100) / 100.0).alias("match_score"), (i % 90).alias("ats_score"), "url", F.col("description_text").alias("notes"))
-    return R.tracker_row_full(df, F.lit(AS_OF).cast("timestamp"))
+    return R.tracker_row_full(df, F.lit(AS_OF).cast("timestamp"), V_.PERSON)
 
 
 @query(f"""WITH {V_.KEYED} SELECT substr(key, 1, 16) AS dedup_id, '2024-01-31 06:00' AS date_added, company, title, CAST(round_even((doc_id % 100) / 100.0::DOUBLE * 100, 0) AS INTEGER) || '%' AS score, CASE WHEN doc_id % 4 = 0 THEN 'No' ELSE 'Yes' END AS visa_ok, location, CASE WHEN remote THEN 'Yes' ELSE 'No' END AS remote, url AS apply_url,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -91,7 +93,27 @@ def report_documents(df: DataFrame, dedup_id: str = "dedup_id", text: str = "rep
     return df.select(dedup_id, F.concat(F.lit("local:"), F.col(dedup_id), F.lit("/report.md")).alias("path"), F.col(text).alias("report"))
 
 
-def write_reports(df: DataFrame, path: str, dedup_id: str = "dedup_id", text: str = "report") -> None:
-    """Reports as text files under a folder for the first two signs of the key, so the number of folders is bounded."""
-    out = df.select(F.substring(dedup_id, 1, 2).alias("shard"), F.to_json(F.struct(F.col(dedup_id).alias("dedup_id"), F.col(text).alias("report"))).alias("value"))
-    out.write.mode("append").partitionBy("shard").text(path)
+def write_reports(df: DataFrame, root: str, dedup_id: str = "dedup_id", text: str = "report") -> None:
+    """Each report as the file ``<root>/<dedup_id>/report.md``, written by the tasks; a repeated task writes the same files.
+    ``root`` may be on any file system that Arrow opens by its address."""
+    from pyarrow import fs
+
+    address = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    address = "file://" + address.removeprefix("file:") if address.startswith("file:") and not address.startswith("file://") else address
+
+    def write(rows: Iterator[Row]) -> None:
+        files, base = fs.FileSystem.from_uri(address)
+        for row in rows:
+            folder = f"{base}/{row[0]}"
+            files.create_dir(folder, recursive=True)
+            with files.open_output_stream(f"{folder}/report.md") as out:
+                out.write((row[1] or "").encode())
+
+    df.select(dedup_id, text).foreachPartition(write)
+
+
+def read_reports(spark: SparkSession, root: str) -> DataFrame:
+    """dedup_id, path and report of what ``write_reports`` wrote."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "report.md").option("recursiveFileLookup", "true").load(root)
+    own = F.element_at(F.split("path", "/"), -2)
+    return rows.select(own.alias("dedup_id"), F.concat(F.lit("local:"), own, F.lit("/report.md")).alias("path"), F.col("content").cast("string").alias("report"))
