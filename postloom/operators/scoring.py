@@ -77,12 +77,19 @@ def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def prepare(postings: DataFrame, v: Vocabulary | None = None) -> DataFrame:
-    """Adds what scoring needs of a posting alone. Before a fan-out it is worked out once a posting, not once a pair."""
+def skills_of(profiles: DataFrame) -> list[str]:
+    """The different skills of profiles that are few enough to be broadcast."""
+    return sorted(r.s for r in profiles.limit(MAX_PROFILES).select(F.explode("core_skills").alias("s")).distinct().collect())
+
+
+def prepare(postings: DataFrame, v: Vocabulary | None = None, skills: list[str] | None = None) -> DataFrame:
+    """Adds what scoring needs of a posting alone. Before a fan-out it is worked out once a posting, not once a pair; so are
+    the ``skills`` that its text holds, where all profiles' skills are given (see ``skills_of``)."""
     v = v or Vocabulary()
     title, desc = F.col("_title"), F.col("_desc")
     df = _once(postings, {"_title": F.lower(empty(F.col("title"))), "_desc": F.lower(empty(F.col("description_text")))})
-    return _once(df, {
+    held = {} if skills is None else {"_skills": F.filter(F.lit(skills) if skills else F.array().cast("array<string>"), lambda s: T.phrase_present(desc, s))}
+    return _once(df, held | {
         "_sponsor": T.first_token(desc, v.no_sponsorship),
         "_non_tech": T.first_token(title, v.non_tech),
         "_ambiguous": T.first_token(title, v.ambiguous),
@@ -108,7 +115,7 @@ def score(df: DataFrame, v: Vocabulary | None = None) -> DataFrame:
         "_flag_title": T.first_of(title, F.col("red_flags")),
         "_flag_desc": T.first_of(desc, F.col("red_flags")),
         "_flag_own": T.first_of(desc, F.col("desc_red_flags")),
-        "matched_skills": F.filter("core_skills", lambda s: T.phrase_present(desc, s)),
+        "matched_skills": F.filter("core_skills", lambda s: F.array_contains("_skills", s) if "_skills" in df.columns else T.phrase_present(desc, s)),
     })
     niche_on = ~F.col("skip_niche")
     c = F.col

@@ -31,7 +31,8 @@ def mark_notified(seen: DataFrame, keys: DataFrame) -> DataFrame:
 
 def parse_callbacks(df: DataFrame, actions: dict[str, str] = ACTIONS) -> DataFrame:
     """(data, ts) -> short_id, status, ts; unknown actions and malformed ids are dropped."""
-    action, sid = F.substring_index("data", ":", 1), F.substring_index("data", ":", -1)
+    action = F.substring_index("data", ":", 1)
+    sid = F.expr("substring(data, instr(data, ':') + 1)")  # all behind the first colon
     status = F.element_at(F.create_map(*(F.lit(x) for kv in actions.items() for x in kv)), action)
     return df.select(sid.alias("short_id"), status.alias("status"), "ts").filter((F.length("short_id") == 16) & F.col("status").isNotNull())
 

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import time as TM
 from ..operators import aggregates as A
+from ..functions.identity import posting_key, short_id
 from ..operators import joins as J
+from ..operators import render as R
 from ..operators import scoring as S
 from ..streaming import jobs
 from . import bindings as V_
 from .bindings import WORDS
 from .nested import _events, _word
-from .queries import _RULES, _SCORED, _SEEN, _list, _scored, _seen
+from .queries import _RULES, _SCORED, _SEEN, _list, _report_sql, _scored, _seen
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -102,14 +104,26 @@ def h20_numbers(spark, sf):
 
 # ---- streams -------------------------------------------------------------------------------------------------------
 
-_GATED = f"""WITH {V_.OBS}, s AS (SELECT event_id, title, round_even(greatest(0, least(1, (k % 100) / 100.0::DOUBLE + CASE title WHEN 'view' THEN 0.1 WHEN 'error' THEN -0.25 ELSE 0 END)), 4) AS score FROM v_obs), g AS (SELECT * FROM s WHERE score >= 0.5)"""
+_GATED = f"""WITH {V_.OBS}, s AS (SELECT event_id, company, title, ts, (k % 100) / 100.0::DOUBLE AS e, round_even(greatest(0, least(1, (k % 100) / 100.0::DOUBLE + CASE title WHEN 'view' THEN 0.1 WHEN 'error' THEN -0.25 ELSE 0 END)), 4) AS score FROM v_obs), g AS (SELECT *, 'https://jobs.example.com/e/' || event_id AS url,
+'semantic match ' || printf('%.2f', round_even(e, 2)) || CASE title WHEN 'view' THEN '; title matches target ''view''' WHEN 'error' THEN '; red flag ''error'' in title' ELSE '; no rule adjustments applied' END AS reason, strftime(ts, '%Y-%m-%d %H:%M') AS shown_at, substr(sha256(lower(company) || '|' || event_id), 1, 16) AS dedup_id FROM s WHERE score >= 0.5)"""
+
+
+def _posted(e: DataFrame) -> DataFrame:
+    """Events as postings."""
+    i = F.col("event_id")
+    return e.select(
+        "event_id", i.cast("string").alias("source_id"), F.lit("events").alias("source"), "title", "company", F.lit("").alias("description_text"), F.lit("").alias("location"), F.lit("").alias("department"), (i % 3 == 0).alias("remote"),
+        F.concat(F.lit("https://jobs.example.com/e/"), i.cast("string")).alias("url"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("scraped_at"), ((F.col("k") % 100) / 100.0).alias("embedding_score"), F.lit("").alias("legitimacy_tier"), F.array().cast("array<string>").alias("legitimacy_signals"),
+    )
+
+
+def _profile(spark) -> DataFrame:
+    return S.load_profiles(spark.createDataFrame([("live", [], ["view"], ["error"], [], "", True, "")], V_.PROFILE_SCHEMA))
 
 
 def _live(spark, sf) -> DataFrame:
     """Events as postings, each scored against one profile, as a stream."""
-    e = _events(spark, sf).select("event_id", "title", "company", F.lit("").alias("description_text"), F.lit("").alias("location"), ((F.col("k") % 100) / 100.0).alias("embedding_score"))
-    profile = spark.createDataFrame([("live", [], ["view"], ["error"], [], "", True, "")], V_.PROFILE_SCHEMA)
-    return S.score(S.fan_out(e, S.load_profiles(profile)), WORDS).filter(F.col("score") >= 0.5)
+    return S.score(S.fan_out(_posted(_events(spark, sf)), _profile(spark)), WORDS).filter(F.col("score") >= 0.5)
 
 
 @query(f"{_GATED} SELECT event_id, score FROM g")
@@ -117,12 +131,39 @@ def j01_scoring(spark, sf):
     return jobs.drain(_live(spark, sf).select("event_id", "score"), "scored").select("event_id", "score")
 
 
-@query(f"{_GATED} SELECT 'alert' AS sink, event_id FROM g UNION ALL SELECT 'report', event_id FROM g UNION ALL SELECT 'tracker', event_id FROM g")
+@query(f"{_GATED} SELECT event_id, score FROM g")
+def j01_triggered(spark, sf):
+    """The same as a job with a trigger, stopped once it has taken what there is."""
+    out = jobs.shared_dir(spark, "triggered")
+    score = lambda rows: S.score(S.fan_out(rows, _profile(spark)), WORDS).select("event_id", "score")
+    running = jobs.score_stream(_posted(_events(spark, sf)), score, f"{out}/rows", f"{out}/checkpoint", 0.5)
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.schema("event_id long, score double").parquet(f"{out}/rows").select("event_id", "score")
+
+
+_ALERT = """'*NEW MATCH — ' || company || '*' || chr(10) || '*' || title || '*' || chr(10) || 'Score: ' || CAST(round_even(score * 100, 0) AS INTEGER) || '% | Remote: ' || CASE WHEN event_id % 3 = 0 THEN 'yes' ELSE 'no' END || ' | Location TBD' || chr(10) || chr(10)
+|| '*Why match:* ' || reason || chr(10) || chr(10) || '*Skills you have:* -' || chr(10) || '*Gaps:* none' || chr(10) || chr(10) || '[Apply](' || url || ')' || chr(10) || chr(10) || '_scraped ' || shown_at || ' UTC_'"""
+_RULED = """CASE title WHEN 'view' THEN '| Rule | Adjustment |' || chr(10) || '|------|-----------:|' || chr(10) || '| target_title_match | +0.100 |' WHEN 'error' THEN '| Rule | Adjustment |' || chr(10) || '|------|-----------:|' || chr(10) || '| red_flag_penalty | -0.250 |' ELSE '_no rule adjustments applied_' END"""
+_REPORT = _report_sql("dedup_id", "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')", "score", "e", "'Legitimacy: not assessed'", "url", "'TBD'", "event_id % 3 = 0", "reason", "'-'", "'none'", _RULED)
+_TRACKED = f"dedup_id || '|{V_.PERSON}|' || company || '|' || title || '|' || CASE WHEN event_id % 3 = 0 THEN 'Yes' ELSE 'No' END || '|' || CAST(round_even(score * 100, 0) AS INTEGER) || '%|Yes|' || url || '|NEW|' || reason"
+
+
+@query(f"{_GATED} SELECT 'alert' AS sink, {_ALERT} AS text FROM g UNION ALL SELECT 'report', {_REPORT} FROM g UNION ALL SELECT 'tracker', {_TRACKED} FROM g")
 def j05_sinks(spark, sf):
-    out = jobs.shared_dir(spark, "sinks")
-    sinks = {name: (lambda df, name=name: df.select(F.lit(name).alias("sink"), "event_id")) for name in ("alert", "report", "tracker")}
+    """Each batch as alerts, reports and tracker rows."""
+    out, at = jobs.shared_dir(spark, "sinks"), F.lit(V_.AS_OF).cast("timestamp")
+    key = short_id(posting_key(F.col("company"), F.col("source_id")))
+    shown = ("dedup_id", "person", "company", "title", "remote", "match_score", "visa_ok", "apply_url", "status", "notes")
+    sinks = {
+        "alert": lambda df: df.select(R.alert_text(F.col("scraped_at")).alias("text")),
+        "report": lambda df: df.select(R.report_text(key, at, F.col("scraped_at")).alias("text")),
+        "tracker": lambda df: R.tracker_row(df, at, V_.PERSON).select(F.concat_ws("|", *shown).alias("text")),
+    }
     jobs.start(_live(spark, sf), jobs.fan_out_sinks(sinks, out), f"{out}/checkpoint").awaitTermination()
-    return J.union_postings(*(spark.read.parquet(f"{out}/{name}") for name in sinks)).select("sink", "event_id")
+    return J.union_postings(*(spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("sink"), "text") for name in sinks))
 
 
 @query(f"WITH {V_.KEYED}{_SEEN} SELECT key, score FROM v_seen WHERE notified = 0 AND score >= 0.65 ORDER BY score DESC, first_seen_at DESC, key LIMIT 50")

@@ -477,8 +477,45 @@ def j04_minute_counts(spark, sf):
     return last.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "r.*")
 
 
-@query(f"""WITH {V_.OBS}, l AS (SELECT company, max(event_id) FILTER (ts = m) AS last FROM (SELECT *, max(ts) OVER (PARTITION BY company) AS m FROM v_obs) GROUP BY company), i AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY company ORDER BY ts, event_id) AS island FROM v_obs), s AS (SELECT *, sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY company, island ORDER BY ts, event_id) AS streak FROM i)
-SELECT s.company, CAST(streak AS BIGINT) AS streak, CASE WHEN streak >= 3 THEN 'open' ELSE 'closed' END AS state FROM s JOIN l ON s.company = l.company AND s.event_id = l.last""")
+_ACTIONS = {"view": "applied", "click": "interview", "purchase": "offer", "signup": "dance"}  # an unknown action; errors have a bad id
+_CALLED = f"""c AS (SELECT company, CASE title WHEN 'view' THEN 'APPLIED' WHEN 'click' THEN 'INTERVIEW' ELSE 'OFFER' END AS status FROM v_obs WHERE title IN ('view', 'click', 'purchase')
+QUALIFY row_number() OVER (PARTITION BY company ORDER BY ts DESC, 2 DESC) = 1)"""
+
+
+@query(f"WITH {V_.OBS}, {_CALLED}, s AS (SELECT DISTINCT company FROM v_obs) SELECT company, sha256(company || '|x') AS key, coalesce(status, 'NEW') AS status FROM s LEFT JOIN c USING (company)")
+def j06_status_stream(spark, sf):
+    """Callbacks as a stream over a keyed table of postings."""
+    from ..functions.identity import posting_key, short_id
+
+    path = jobs.shared_dir(spark, "status")
+    seen = V_.obs(spark, sf).select("company", posting_key(F.col("company"), F.lit("x")).alias("key"), F.lit("NEW").alias("status"), F.lit(None).cast("timestamp").alias("status_updated_at")).distinct()
+    jobs.keyed_table(seen, f"{path}/seen")
+    action = F.element_at(F.create_map(*(F.lit(x) for kv in _ACTIONS.items() for x in kv)), F.col("title"))
+    sid = short_id(posting_key(F.col("company"), F.lit("x")))
+    calls = _events(spark, sf).select(F.coalesce(F.concat(action, F.lit(":"), sid), F.lit("applied:short")).alias("data"), "ts")
+    jobs.start(calls, jobs.status_batch(f"{path}/seen", seen.schema), f"{path}/checkpoint").awaitTermination()
+    return jobs.read_keyed(spark, f"{path}/seen", seen.schema).select("company", "key", "status")
+
+
+@query(f"""WITH {V_.OBS}, n AS (SELECT sha256(company || '|x') AS key, company, title AS note, k FROM v_obs QUALIFY row_number() OVER (PARTITION BY company ORDER BY ts DESC, event_id DESC) = 1)
+SELECT key, company, note, k FROM n UNION ALL SELECT sha256('old' || (user_id % 50) || '|x'), 'old' || (user_id % 50), 'kept', NULL FROM events GROUP BY user_id % 50""")
+def j07_upsert_stream(spark, sf):
+    """Rows upserted from a stream: the last one of a key replaces the old row, other rows stay."""
+    from ..functions.identity import posting_key
+
+    path, key = jobs.shared_dir(spark, "upsert"), posting_key(F.col("company"), F.lit("x")).alias("key")
+    old = V_.obs(spark, sf).select("company").distinct().unionByName(V_.obs(spark, sf).select(F.concat(F.lit("old"), (F.col("company").cast("long") % 50).cast("string")).alias("company")).distinct())
+    old = old.select(key, "company", F.lit("kept").alias("note"), F.lit(None).cast("long").alias("k"))
+    jobs.keyed_table(old, f"{path}/rows")
+    new = _events(spark, sf).select(key, "company", F.col("title").alias("note"), "k", F.struct("ts", "event_id").alias("at"))
+    jobs.start(new, jobs.upsert_batch(f"{path}/rows", old.schema, "key", "at"), f"{path}/checkpoint").awaitTermination()
+    return jobs.read_keyed(spark, f"{path}/rows", old.schema)
+
+
+@query(f"""WITH {V_.OBS}, i AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY company ORDER BY ts, event_id) AS island FROM v_obs), s AS (SELECT *, sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY company, island ORDER BY ts, event_id) AS streak FROM i),
+l AS (SELECT company, streak, ts FROM s QUALIFY row_number() OVER (PARTITION BY company ORDER BY ts DESC, event_id DESC) = 1)
+SELECT company, CAST(streak AS BIGINT) AS streak, CASE WHEN streak < 3 THEN 'closed' WHEN epoch_ms(ts) + 30000 < (SELECT epoch_ms(max(ts)) FROM v_obs) THEN 'half_open' ELSE 'open' END AS state FROM l""")
 def j08_health(spark, sf):
+    """All outcomes as a stream, then the timers that are due by the last watermark."""
     rows = jobs.drain(jobs.fetch_health(_events(spark, sf).select("company", "ts", "event_id", "ok")), "health")
     return rows.groupBy("company").agg(F.max_by(F.struct("streak", "state"), "batch").alias("r")).select("company", "r.*")

@@ -261,7 +261,10 @@ def h16_text_forms(spark, sf):
     return df.select("source_id", T.strip_markdown(F.col("title")).alias("plain"), T.slug(F.col("title")).alias("slug"), T.bullet_key(F.col("title")).alias("bullet"))
 
 
-@query()
+_SENTENCES = "string_split(regexp_replace(description_text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"""WITH {V_.POST} SELECT source_id, trim(regexp_replace(array_to_string(list_filter({_SENTENCES}, lambda x: NOT regexp_matches(lower(x), '(^|[^\\pL\\pN_])(license|the)($|[^\\pL\\pN_])')), ' '), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM v_post""")
 def h21_scrub(spark, sf):
     return V_.post(spark, sf).select("source_id", T.scrub_sentences(F.col("description_text"), ["license", "the"]).alias("text"))
 
@@ -505,7 +508,8 @@ def g02_matched_missing(spark, sf):
 
 
 def _scored(spark, sf):
-    df = S.fan_out(S.prepare(V_.post(spark, sf), WORDS), S.load_profiles(V_.profiles(spark))).withColumn("embedding_score", (F.col("doc_id") % 100) / 100.0)
+    profiles = S.load_profiles(V_.profiles(spark))
+    df = S.fan_out(S.prepare(V_.post(spark, sf), WORDS, S.skills_of(profiles)), profiles).withColumn("embedding_score", (F.col("doc_id") % 100) / 100.0)
     return S.score(df, WORDS)
 
 
@@ -643,7 +647,26 @@ def f05_adjustments(spark, sf):
     return _flat(spark, sf).select("source_id", "person_id", R.adjustments_table(F.col("rule_adjustments")).alias("adjustments"))
 
 
-@query()
+def _report_sql(key: str, scraped: str, score: str, embedding: str, tier: str, url: str, location: str, remote: str, reason: str, have: str, gaps: str, table: str) -> str:
+    """The report as SQL, line by line."""
+    pct = f"CAST(round_even({score} * 100, 0) AS INTEGER)"
+    lines = [
+        "'# ' || company || ' — ' || title", "", f"'**dedup_id:** `' || {key} || '`  '", "'**source:** streaming-pipeline  '", f"'**posted/scraped:** ' || {scraped} || '  '",
+        f"'**reviewed:** {AS_OF[:16]} UTC'", "", "'## Summary'", "", f"'- **Score:** ' || printf('%.2f', round_even({score}, 2)) || ' (' || {pct} || '%)'", f"'- **Embedding score:** ' || printf('%.2f', round_even({embedding}, 2))",
+        f"'- **' || {tier} || '**'", f"'- **Apply URL:** [' || {url} || '](' || {url} || ')'", f"'- **Location:** ' || {location} || ' (remote: ' || CASE WHEN {remote} THEN 'yes' ELSE 'no' END || ')'", "",
+        "'## Why match'", "", reason, "", "'## Skills'", "", f"'- **You have:** ' || {have}", f"'- **Gaps:** ' || {gaps}", "", "'## Score breakdown'", "", table, "",
+        "'## Posting legitimacy signals'", "", "'_no signals recorded_'", "", "'## Application status'", "",
+        *(f"'- [ ] {x}'" for x in ("resume tailored", "cover letter generated", "applied", "heard back", "interview", "offer")), "",
+        f"'_Update by editing this file or via the Telegram inline buttons (dedup_id `' || {key} || '`)._'", "",
+    ]
+    return " || chr(10) || ".join(x or "''" for x in lines)
+
+
+_TIER = """CASE doc_id % 4 WHEN 0 THEN 'Legitimacy: HIGH (likely real, active opening)' WHEN 1 THEN 'Legitimacy: PROCEED WITH CAUTION (mixed signals)' WHEN 2 THEN 'Legitimacy: SUSPICIOUS (multiple ghost-job indicators)' ELSE 'Legitimacy: not assessed' END"""
+
+
+@query(f"""{_SCORED} SELECT source_id, person_id, {_report_sql("substr(sha256(lower(company) || '|' || source_id), 1, 16)", "strftime(scraped_at, '%Y-%m-%dT%H:%M:%SZ')", "score", "embedding_score", _TIER, "url", "location", "remote", "reason",
+"coalesce(nullif(array_to_string(matched, ', '), ''), '-')", "coalesce(nullif(array_to_string(missing, ', '), ''), 'none')", _TABLE)} AS report FROM v_scored WHERE person_id <> 'p3'""")
 def i16_report(spark, sf):
     key = short_id(posting_key(F.col("company"), F.col("source_id")))
     return _flat(spark, sf).select("source_id", "person_id", R.report_text(key, F.lit(AS_OF).cast("timestamp"), F.col("scraped_text")).alias("report"))

@@ -10,18 +10,25 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import tracking as TR
 from ..operators.joins import only_new
 
 
+PREFIX = 2  # leading signs of a key that name its part of a keyed table
+COMPACT = 32  # batches after which the parts of an append-only table are written anew
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which is set here only where it is unset."""
+    """A new folder under ``spark.checkpoint.dir``; a local session without the setting gets one beside its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -45,7 +52,8 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def score_stream(postings: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, least: float = 0.65, seconds: int = 1):
-    """Micro-batch scoring: a stateless projection, gated, written batch by batch."""
+    """Micro-batch scoring every ``seconds``: a stateless projection, gated, written batch by batch. How much a batch takes is
+    up to the source (``maxFilesPerTrigger`` and the like)."""
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
@@ -53,26 +61,84 @@ def score_stream(postings: DataFrame, score: Callable[[DataFrame], DataFrame], o
     return start(score(postings).filter(F.col("score") >= least), write, checkpoint, processingTime=f"{seconds} seconds")
 
 
+# ---- keyed tables: Parquet parts by the leading signs of the key, so a batch reads and writes the parts it touches -----
+
+
+def _part(key: str) -> Column:
+    return F.substring(key, 1, PREFIX)
+
+
+def _touched(rows: DataFrame, key: str) -> list[str]:
+    return [r.p for r in rows.select(_part(key).alias("p")).distinct().collect()]  # at most 16**PREFIX
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at ``path``, its part as column ``p``; empty where there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema.add("p", "string"))
+    return spark.read.schema(schema.add("p", "string")).parquet(path)
+
+
+def _replace(rows: DataFrame, path: str, stage: str) -> None:
+    """The parts that ``rows`` (with ``p``) belong to become ``rows``. They may be read from ``path``, so they are staged."""
+    rows.write.mode("overwrite").parquet(stage)
+    staged = rows.sparkSession.read.schema(rows.schema).parquet(stage)
+    staged.repartition("p").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("p").parquet(path)
+
+
 def dedup_batch(seen_path: str, new_path: str) -> Callable[[DataFrame, int], None]:
-    """Permanent dedup: first-wins rows of unseen keys go to the seen table and on; a repeated batch does not count its own
-    rows as seen."""
+    """Permanent dedup: first-wins rows of unseen keys go to the seen table and on. A batch reads the parts that its keys are
+    in. A repeated batch does not count its own rows as seen; that it appends them again does no harm, and every ``COMPACT``
+    batches the table is written anew."""
+    schema = StructType().add("key", "string").add("batch", "integer")
 
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        seen = spark.read.schema("key string, batch int").option("basePath", seen_path).option("ignoreMissingFiles", "true")
-        try:
-            known = seen.parquet(seen_path).filter(F.col("batch") < batch)
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], "key string, batch int")
-        new = only_new(rows, known)
-        new.write.mode("overwrite").parquet(f"{new_path}/batch={batch}")
-        spark.read.parquet(f"{new_path}/batch={batch}").select("key").write.mode("overwrite").parquet(f"{seen_path}/batch={batch}")
+        known = _read(spark, seen_path, schema).filter((F.col("batch") < batch) & F.col("p").isin(_touched(rows, "key")))
+        only_new(rows, known).write.mode("overwrite").parquet(f"{new_path}/batch={batch}")
+        new = spark.read.parquet(f"{new_path}/batch={batch}").select("key", F.lit(batch).alias("batch"), _part("key").alias("p"))
+        new.repartition("p").write.mode("append").partitionBy("p").parquet(seen_path)
+        if batch % COMPACT == COMPACT - 1:
+            whole = _read(spark, seen_path, schema).groupBy("key", "p").agg(F.min("batch").alias("batch"))
+            _replace(whole.select("key", "batch", "p"), seen_path, f"{seen_path}-stage")
+
+    return write
+
+
+def upsert_batch(path: str, schema: StructType, key: str = "dedup_id", order: str | None = None, preserve: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
+    """Keyed upsert of a batch: the last row of a key (by ``order``) replaces the old one as a whole."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        if order:
+            rows = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+        new = rows.select(*schema.names)
+        old = _read(rows.sparkSession, path, schema).filter(F.col("p").isin(_touched(new, key))).drop("p")
+        _replace(TR.upsert(old, new, key, preserve).withColumn("p", _part(key)), path, f"{path}-stage")
 
     return write
 
 
+def status_batch(path: str, schema: StructType) -> Callable[[DataFrame, int], None]:
+    """Callbacks (data, ts) change rows of a keyed table of postings (column key); unknown actions and ids are ignored."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        calls = TR.parse_callbacks(rows)
+        old = _read(rows.sparkSession, path, schema).filter(F.col("p").isin(_touched(calls, "short_id")))
+        _replace(TR.apply_status(old, calls), path, f"{path}-stage")
+
+    return write
+
+
+def keyed_table(df: DataFrame, path: str, key: str = "key") -> None:
+    """A table that ``upsert_batch`` and ``status_batch`` can change."""
+    df.withColumn("p", _part(key)).repartition("p").write.partitionBy("p").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return _read(spark, path, schema).drop("p")
+
+
 def ttl_dedup(df: DataFrame, key: list[str], at: str = "ts", days: int = 30) -> DataFrame:
     """First sighting of each key within ``days``; state is freed by the watermark."""
     return df.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(key)
@@ -96,27 +162,34 @@ def fan_out_sinks(sinks: dict[str, Callable[[DataFrame], DataFrame]], out: str)
     return write
 
 
-def status_batch(seen_path: str) -> Callable[[DataFrame, int], None]:
-    """Callbacks (data, ts) change the seen table, which is rewritten as a new version a batch."""
-
-    def write(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        seen = spark.read.parquet(f"{seen_path}/version={batch}")
-        TR.apply_status(seen, TR.parse_callbacks(rows)).write.mode("overwrite").parquet(f"{seen_path}/version={batch + 1}")
-
-    return write
-
+def fetch_health(df: DataFrame, failures: int = 3, cooldown: int = 30, late: str = "0 seconds") -> DataFrame:
+    """Live state of each company from a stream of outcomes (company, ts, event_id, ok): streak and state after each batch.
 
-def fetch_health(df: DataFrame, failures: int = 3, cooldown: int = 30) -> DataFrame:
-    """Live state of each company from a stream of outcomes (company, ts, event_id, ok): streak and state after the batch."""
+    A company is open from ``failures`` failures in a row on; a timer in event time makes it half_open once the watermark is
+    more than ``cooldown`` seconds past its last failure; a success closes it. The state is two numbers a company. Of a batch's
+    rows a task keeps only the failures behind the last success seen so far.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, last = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ok, ts in zip(rows["ok"], rows["ts"]):
-            streak, last = (0 if ok else streak + 1), int(ts.timestamp())
+        if state.hasTimedOut:
+            name = "half_open"
+        else:
+            good, failed = None, []
+            for rows in batches:
+                at = pd.MultiIndex.from_arrays([rows["ts"], rows["event_id"]])
+                ok = at[rows["ok"].to_numpy(bool)]
+                if len(ok) and (good is None or ok.max() > good):
+                    good = ok.max()
+                failed = [x for x in [*failed, *at[~rows["ok"].to_numpy(bool)]] if good is None or x > good]
+            streak = len(failed) + (0 if good is not None else streak)
+            last = int(max(failed)[0].timestamp() * 1000) if failed else 0 if good is not None else last
+            name = "open" if streak >= failures else "closed"
         state.update((int(streak), last))
-        name = "open" if streak >= failures else "closed"
-        yield pd.DataFrame({"company": [key[0]], "streak": [streak], "state": [name], "open_until": [last + cooldown if name == "open" else None]}).astype({"open_until": "Int64"})
+        if name == "open":
+            # a timer can't lie in the past; one that does fires with the next step of the watermark
+            state.setTimeoutTimestamp(max(last + cooldown * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"company": [key[0]], "streak": [streak], "state": [name]})
 
-    return df.groupBy("company").applyInPandasWithState(step, "company string, streak long, state string, open_until long", "streak long, last long", "append", GroupStateTimeout.NoTimeout)
+    df = df.withWatermark("ts", late)
+    return df.groupBy("company").applyInPandasWithState(step, "company string, streak long, state string", "streak long, last long", "append", GroupStateTimeout.EventTimeTimeout)
