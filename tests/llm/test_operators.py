@@ -558,31 +558,62 @@ def test_packing_matches_added_tokens(spark):
 
 
 def test_packed_sequences_hold_the_ids(spark):
-    docs = frame(spark, ROWS[:20])
-    cut = packing.pieces(docs)
-    placed = packing.pack(cut.select("doc_id", "piece", "length"), ["doc_id", "piece"])
+    """Also of rows that repeat an id or have none."""
+    docs = frame(spark, ROWS[:20] + [(None, "a b"), (None, "c"), (ROWS[0][0], "again"), (ROWS[0][0], "again")])
+    cut = packing.cut_table(docs)
+    placed = packing.pack(cut.select("doc_id", "piece", "length", "row"))
+    assert placed.count() == cut.count()
     whole = {r.sequence_id: np.frombuffer(r.ids, np.uint32) for r in packing.sequences(cut, placed).collect()}
-    ids = {(r.doc_id, r.piece): np.frombuffer(r.ids, np.uint32) for r in cut.collect()}
+    ids = {r.row: np.frombuffer(r.ids, np.uint32) for r in cut.collect()}
     for r in placed.collect():
-        assert (whole[r.sequence_id][r.offset : r.offset + r.length] == ids[r.doc_id, r.piece]).all()
+        assert (whole[r.sequence_id][r.offset : r.offset + r.length] == ids[r.row]).all()
+    assert sum(map(len, whole.values())) == sum(map(len, ids.values()))
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_sweep_is_best_fit(seed):
+def check_best_fit(lengths, sequence, offset, size, held=()):
+    """Each piece, in order, went to the smallest gap that was large enough, and to a new sequence only without one."""
+    gaps = dict(enumerate(held))
+    for x, s, o in zip(lengths.tolist(), sequence.tolist(), offset.tolist()):
+        fit = [g for g in gaps.values() if g >= x]
+        assert (gaps[s] == min(fit)) if fit else s not in gaps
+        assert o == size - gaps.get(s, size)
+        gaps[s] = gaps.get(s, size) - x
+    return gaps
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sweep_is_best_fit_piece_by_piece(seed):
     r = np.random.default_rng(seed)
-    lengths = np.sort(r.integers(1, 101, 300))[::-1]
-    gaps = []
-    for x in lengths:  # best fit, one at a time
-        fit = [g for g in gaps if g >= x]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - x)
-        else:
-            gaps.append(100 - x)
-    counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True))}
-    runs, n = packing.sweep(counts, 100)
-    assert n == len(gaps)
-    assert {k: sum(1 for _ in range(v)) for k, v in counts.items()} == counts and len(runs) > 0
+    lengths = np.sort(r.integers(1, 101 if seed % 2 else 40, 400))[::-1].astype(np.int64)
+    held = np.sort(r.integers(1, 100, 30 * (seed > 2))).astype(np.int64)
+    sequence, offset, left, given = packing.swept(lengths, held, 100, False)
+    # equal lengths are ranked one after the other, each into the gap that its rank reaches first
+    gaps = check_best_fit(lengths, sequence, offset, 100, held.tolist())
+    assert {k: v for k, v in enumerate(left.tolist())} == gaps
+    assert given is None or given >= len(held) and left[given] == max(left[len(held) :])
+
+
+@pytest.mark.parametrize("lane", [300, 1000, 10_000])
+def test_rounds_of_lanes(spark, lane):
+    """However many lanes there are, sequences are gapless and about as few as of best fit on all pieces."""
+    r = np.random.default_rng(3)
+    for most, spare in ((100, 2), (2048, 2), (1000, 3)):
+        lengths = r.integers(1, most, 3000)
+        rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "row long, length long").repartition(5)
+        got = packing.pack(rows, 2048, lane, 6).collect()
+        assert sorted(x.row for x in got) == list(range(3000)) and all(x.length == lengths[x.row] for x in got)
+        bins = defaultdict(list)
+        for x in got:
+            bins[x.sequence_id].append((x.offset, x.length))
+        for parts in bins.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        alone = packing.swept(np.sort(lengths)[::-1].astype(np.int64), np.zeros(0, np.int64), 2048, True)[2]
+        assert len(bins) <= len(alone) * (1.02 if lane < 3000 else 1) + spare * (lane < 3000)  # one lane is best fit on all
+    assert packing.pack(rows.limit(0)).count() == 0
 
 
 # ---- classifiers ---------------------------------------------------------------------------------------------------
