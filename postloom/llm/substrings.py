@@ -2,24 +2,29 @@
 
 A byte goes if a string of ``size`` bytes that covers it also starts in a document with a smaller id. All whole texts are
 read; suffixes are compared by real bytes. Sorting every suffix of the corpus would move some 50 bytes for each byte of
-text, so suffixes are dealt by a *leading token* that depends on their first ``size`` bytes only, and those that cannot
-repeat go early:
+text, so neighbouring suffixes travel together, sorted by the *leading token* of one of them, and those that cannot repeat go
+early:
 
 1. Documents are packed into blocks (compressed, in a bucketed table of shared files, so later steps that send answers to
-   blocks shuffle the answers only). The token of a suffix is the least hash of
-   the ``size - TOKEN + 1`` runs of TOKEN bytes in its first ``size`` bytes: suffixes with equal heads have equal tokens, and
-   neighbouring suffixes mostly share one, so a block has about one token for 16 bytes.
-2. Splitters, quantiles of the tokens of some blocks, range-partition the tokens. A bucket sorts its tokens and tells the
-   blocks which tokens occur in more than one document. A block sends each token once, so a passage that a third of all
-   documents share costs one entry a block. Equal tokens never straddle a splitter, so there is no boundary to mend. A block
-   also tells how many suffixes it would send for each token: tokens of more than ``PART`` in all are *hot* (a list of at
-   most 65,536).
+   blocks shuffle the answers only). Of the suffixes that start in the first ``size - TOKEN + 1`` bytes of a suffix, the one
+   whose TOKEN leading bytes have the least hash is its *anchor*: suffixes with equal heads have equal anchors, and
+   neighbouring suffixes mostly share one, so a block has about one anchor for 16 bytes. The anchor's token is its four
+   leading bytes, then 32 bits of the hash of the rest, so tokens sort as the anchors' leading bytes do.
+2. Splitters, quantiles of the tokens of some blocks, range-partition the anchors by their leading bytes. A bucket sorts its
+   tokens and tells the blocks which tokens occur in more than one document. A block sends each token once, so a passage that
+   a third of all documents share costs one entry a block. A block also tells how many suffixes it would send for each token:
+   tokens of more than ``PART`` in all are *hot* (a list of at most a few for each bucket).
 3. Each block sends the suffixes of shared tokens, as runs of text, each different run once with its smallest and largest
    document. The bucket sorts the suffixes of its runs by multikey quicksort over words of 8 bytes, going on only with
-   suffixes that are still tied, and finds the smallest document for each different head. A hot token's suffixes go one by
-   one, each different head of a block once, and are dealt on by a hash of the whole head: equal heads still meet, and no
-   bucket gets the whole token.
-4. Each block takes those answers, marks the suffixes whose head has a smaller document, and cuts what they cover.
+   suffixes that are still tied, and finds the smallest document for each different head. A hot token straddles the
+   splitters: its suffixes go one by one, each different head of a block once, to the bucket of a hash of the whole head.
+4. Equal heads that lie in different parts of a bucket, or in different buckets, do not exist, since tokens and heads are cut
+   as wholes: so comparing neighbours across a boundary always finds different heads, and is left out.
+5. Each block takes those answers, marks the suffixes whose head has a smaller document, and cuts what they cover.
+
+Hashes choose anchors and bring candidates together; runs that have equal hashes are merged only if their bytes are equal.
+A task holds a bucket: about BUCKET bytes of text, and more than that only above ``MAX_BUCKETS`` buckets (16 TB of text).
+doc_id is an integer.
 
 Defined cases: a null or empty text keeps its no bytes; texts of fewer than ``size`` bytes never lose any; rows that repeat
 an id are one document, so they don't cut each other; a null id is larger than any other; an empty table gives an empty
@@ -38,15 +43,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, RunHash, chunks, ids_of, materialize, partitions, ranges, shared_dir, text_bytes
+from .common import _LEFT, NULL_ID, RunHash, chunks, ids_of, materialize, partitions, ranges, shared_dir, text_bytes
 
 SIZE = 50
 TOKEN = 20
 BLOCK = 4 << 20  # bytes of text in a block
 BUCKET = 16 << 20  # bytes of text for which there is a bucket
-MAX_BUCKETS = 1 << 16
+MAX_BUCKETS = 1 << 20
 PART = 1 << 18  # suffixes, about, that are sorted at once; a token of more is hot
-SAMPLE = 8  # blocks whose tokens give the splitters
+SAMPLE = 8  # blocks, at least, whose tokens give the splitters
+PER_BLOCK = 1 << 15  # splitters, at most, for a sampled block
 
 
 def _zip(x: np.ndarray | bytes) -> bytes:
@@ -72,8 +78,9 @@ def blocks_of(docs: DataFrame, name: str = "text", block: int = BLOCK) -> DataFr
 
     schema = "block long, n_bytes long, ids binary, ends binary, body binary"
     spark, table = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    packed = docs.select("doc_id", name).mapInArrow(run, schema)
+    packed = docs.select("doc_id", name).mapInArrow(run, schema).repartition(4 * partitions(spark), "block")  # one file a bucket
     path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    _LEFT.extend([("path", path), ("table", table)])
     packed.write.bucketBy(4 * partitions(spark), "block").option("path", path).saveAsTable(table)
     return spark.table(table)
 
@@ -91,8 +98,9 @@ class Block:
             self.lo = self.hi = self.doc = np.zeros(0, np.int64)
             self.token = np.zeros(0, np.uint64)
             return
-        # least hash of size - TOKEN + 1 neighbours, by doubling
-        least = self.hash.every(TOKEN)
+        # least hash of size - TOKEN + 1 neighbours, by doubling; the anchor's leading bytes come along
+        lead = np.ndarray(len(data) - 3, ">u4", data, strides=(1,))[: len(data) - TOKEN + 1].astype(np.uint64)
+        least = (self.hash.every(TOKEN) & ~np.uint64(0xFFFFFFFF)) | lead
         width, want = 1, size - TOKEN + 1
         while width < want:
             step = min(width, want - width)
@@ -113,7 +121,7 @@ class Block:
         at = np.searchsorted(stop, self.lo)
         first_stop = np.append(stop, n)[at]
         self.hi = np.minimum(nxt, first_stop) - 1
-        self.token = least[self.lo]
+        self.token = (least[self.lo] << np.uint64(32)) | (least[self.lo] >> np.uint64(32))
         self.doc = np.searchsorted(self.ends, self.lo, "right")
 
     def split(self, hot: np.ndarray) -> None:
@@ -155,13 +163,42 @@ class Block:
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """(first, number): the first segment of each different run of text, and of each segment its run's number."""
         text = self.hash.of(self.lo, self.hi + self.size)
-        _, first, number = np.unique(text ^ (self.token * np.uint64(0x9FB21C651E98DF25)), return_index=True, return_inverse=True)
+        first, number = merged(text ^ (self.token * np.uint64(0x9FB21C651E98DF25)), self.data, self.lo, self.hi + self.size - self.lo)
         order = np.argsort(first)  # by place: neighbours are alike, which compresses well
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         return first[order], rank[number]
 
 
+def alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """Whether the runs of ``size`` (8 or more) bytes from a and from b on are equal, pair by pair, by words of 8 bytes."""
+    eight = np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,))
+    words = -(-size // 8)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    same = np.ones(len(a), bool)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + limit, "right")) - 1)
+        of = np.repeat(np.arange(i, j), words[i:j])
+        k = np.minimum(8 * (np.arange(len(of)) + upto[i] - upto[of]), size[of] - 8)  # the last word overlaps
+        same[of[eight[a[of] + k] != eight[b[of] + k]]] = False
+        i = j
+    return same
+
+
+def merged(key: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of runs, those of equal keys and equal bytes as one. One whose bytes differ from those of the first of
+    its key stays by itself, which is as right."""
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    other = np.flatnonzero(first[number] != np.arange(len(key)))
+    head = first[number[other]]
+    same = size[other] == size[head]
+    same[same] = alike(data, begin[other[same]], begin[head[same]], size[other[same]])
+    odd = other[~same]
+    number[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate([first, odd]), number
+
+
 def within(values: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Which values are among ``held``, which is sorted."""
     if not len(held):
@@ -285,7 +322,7 @@ def _answers(size: int):
                 x = begin[at : at + n] - (begin[at] if n else 0)
                 key.append(RunHash(part).of(x, x + length[at : at + n]))
                 at += n
-            _, first, same = np.unique(np.concatenate(key) ^ (token * np.uint64(0x9FB21C651E98DF25)), return_index=True, return_inverse=True)
+            first, same = merged(np.concatenate(key) ^ (token * np.uint64(0x9FB21C651E98DF25)), text, begin, length)
             small = np.full(len(first), NULL_ID)
             np.minimum.at(small, same, least)
             own_token = token[first]
@@ -353,7 +390,13 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
     blocks = blocks_of(docs, name, block)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n = min(MAX_BUCKETS, max(4 * partitions(spark), -(-total // BUCKET)))
-    sample = [Block(r.ids, r.ends, r.body, size).tokens() for r in blocks.select("ids", "ends", "body").limit(SAMPLE).collect()]
+    chosen = blocks.orderBy(F.xxhash64("block")).select("ids", "ends", "body").limit(max(SAMPLE, -(-n // PER_BLOCK)))  # 40 at most
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            yield _one(data=_zip(Block(r["ids"], r["ends"], r["body"], size).tokens()))
+
+    sample = [_unzip(r.data, np.uint64) for r in chosen.mapInArrow(tokens_of, "data binary").collect()]  # 2 MB a block
     seen = np.sort(np.concatenate([*sample, np.zeros(0, np.uint64)])) & ~np.uint64(1)
     splitters = np.unique(seen[np.linspace(0, len(seen) - 1, n + 1).astype(np.int64)[1:-1]]) if len(seen) else seen
 
