@@ -1,10 +1,12 @@
 """Exact dedup by an extendible-hash index on shared files.
 
-1. Every task reads whole texts, drops white space, and chains the rows of a batch by key (64 bits of a hash) and then by
-   bytes. It writes one small row a document, and one *entry* for each different text of the batch: so a text that a third
+1. Every task reads whole texts, drops white space, and chains the rows of a batch by key (64 bits of the text's SHA-256) and then
+   by bytes. It writes one small row a document, and one *entry* for each different text of the batch: so a text that a third
    of all rows hold leaves a task once, not once a row.
 2. The directory starts with one bucket and doubles while a bucket holds more bytes than ``capacity``; a directory slot is
-   the leading bits of the key. It has at most ``2**max_depth`` slots, whatever the input.
+   the leading bits of the key. Its greatest depth follows the bytes (buckets can split down to half of ``capacity`` and
+   less), up to ``2**max_depth`` slots: 1 TB of different text in buckets of 1 MB. Beyond that buckets grow, which owners
+   don't mind, as they read their entries as a stream and hold one chain at a time.
 3. Owner tasks get the entries of whole buckets, sorted by key, chain what shares a key, compare bytes, and write the
    index: bucket, key, place in the chain, digest, number of rows, and the row that stays.
 4. The small rows meet the index by key and digest; Spark splits the partition of a hot key on the rows' side.
@@ -20,14 +22,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, RunHash, chunks, ids_of, materialize, partitions, text_bytes
+from .common import NULL_ID, chunks, ids_of, materialize, partitions, text_bytes
 
 CAPACITY = 1 << 20  # bytes of a bucket
-MAX_DEPTH = 14
+MAX_DEPTH = 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ROWS = "doc_id long, row long, key long, n_points long, sha binary, body binary, n long, best_points long, best_id long, best_row long"
@@ -42,8 +45,9 @@ def _chained(ids: np.ndarray, own: np.ndarray, data: np.ndarray, offsets: np.nda
     keep = ~_SPACE[data]
     off = np.concatenate([[0], np.cumsum(keep)])[offsets]
     data = data[keep]
-    keys = RunHash(data).of(off[:-1], off[1:]).view(np.int64)
     view, bounds = data.tobytes(), off.tolist()
+    digests = [hashlib.sha256(view[a:z]).digest() for a, z in zip(bounds[:-1], bounds[1:])]
+    keys = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 4)[:, 0].astype(np.int64)
     chains: dict[int, list[int]] = {}
     total, best, first = np.zeros(n, np.int64), np.arange(n), np.zeros(n, bool)
     for i, key in enumerate(keys.tolist()):
@@ -60,7 +64,7 @@ def _chained(ids: np.ndarray, own: np.ndarray, data: np.ndarray, offsets: np.nda
         if (-points[i], ids[i], own[i]) < (-points[b], ids[b], own[b]):
             best[j] = i
     bodies = [view[bounds[i] : bounds[i + 1]] for i in range(n)]
-    sha = pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary())
+    sha = pa.array(digests, pa.binary())
     blank = ~first
     at = best[np.arange(n)]
     return pa.RecordBatch.from_arrays(
@@ -85,32 +89,22 @@ def keyed(docs: DataFrame, row: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text", own.alias("row")).mapInArrow(run, _ROWS)
 
 
-def directory(prefix_bytes: dict[int, int], depth: int, capacity: int = CAPACITY) -> list[int]:
+def directory(prefix_bytes: dict[int, int], depth: int, capacity: int = CAPACITY) -> np.ndarray:
     """Slot -> bucket. ``prefix_bytes``: bytes under each prefix of ``depth`` bits. The directory doubles while a bucket
     that its own depth still lets split holds more than ``capacity``; both halves of a split bucket get their own slots."""
-    sums = [np.zeros(1 << depth, np.int64)]
-    for p, b in prefix_bytes.items():
-        sums[0][p] = b
-    while len(sums[-1]) > 1:
-        sums.append(sums[-1].reshape(-1, 2).sum(1))
-    sums.reverse()  # sums[d][p]: bytes under prefix p of d bits
-    slots, at, d = [(0, 0)], [0], 0  # buckets as (own depth, prefix)
-    buckets = {(0, 0)}
-    while True:
-        over = [(own, p) for own, p in buckets if own < depth and sums[own][p] > capacity]
-        if not over:
+    held = np.zeros(1 << depth, np.int64)
+    held[np.fromiter(prefix_bytes.keys(), np.int64, len(prefix_bytes))] = np.fromiter(prefix_bytes.values(), np.int64, len(prefix_bytes))
+    slots, d = np.zeros(1, np.int64), 0  # the one bucket
+    while d < depth:
+        size = held.reshape(1 << d, -1).sum(1)
+        over = np.bincount(slots, size) > capacity
+        whole = np.bincount(slots) == 1  # buckets whose own depth is the directory's
+        if not (over & whole).any():
             break
-        if any(own == d for own, _ in over):
-            d += 1
-        for own, p in over:
-            buckets.remove((own, p))
-            buckets |= {(own + 1, 2 * p), (own + 1, 2 * p + 1)}
-    number = {b: i for i, b in enumerate(sorted(buckets, key=lambda b: (b[1] << (depth - b[0]), b[0])))}
-    at = []
-    for slot in range(1 << d):
-        own = next(own for own in range(d + 1) if (own, slot >> (d - own)) in number)
-        at.append(number[own, slot >> (d - own)])
-    return at
+        slots, d = np.repeat(slots, 2), d + 1
+        upper = (np.arange(len(slots)) % 2 == 1) & over[slots] & whole[slots]
+        slots = np.unique(2 * slots + upper, return_inverse=True)[1]
+    return slots
 
 
 def _prefix(depth: int):
@@ -156,10 +150,12 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     """The index of what ``keyed`` gave, as a table of shared files: one row for each different text."""
     spark = rows.sparkSession
     entries = rows.filter(F.col("body").isNotNull())
+    total = entries.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    max_depth = min(max_depth, max(0, (2 * total // capacity).bit_length()) + 2)
     held = entries.groupBy(_prefix(max_depth).alias("p")).agg(F.sum(F.octet_length("body")).alias("b"))
     slots = directory({r.p: r.b for r in held.collect()}, max_depth, capacity)  # at most 2**max_depth rows
     depth = len(slots).bit_length() - 1
-    slot_table = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
+    slot_table = spark.createDataFrame(pd.DataFrame({"slot": np.arange(len(slots)), "bucket": slots.astype(np.int32)}))  # a few MB at most
     dealt = (
         entries.withColumn("slot", _prefix(depth))
         .join(F.broadcast(slot_table), "slot")

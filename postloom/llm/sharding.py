@@ -3,11 +3,13 @@
 Records hash into a fixed number of virtual slots, bytes are added up a slot, and a small versioned table maps slots to
 shards. Rebalancing edits that table and moves whole slots; records never hash anew. Only DataFrame functions are used.
 
-The slot table has at most ``n_slots`` rows whatever the input, so the map is built in one row and broadcast. Records
-themselves are shuffled once, by virtual slot, for their place in the shard.
+A slot that holds far more records than its share, as all records of one id or without an id meet in one, is *hot*: its
+records are dealt to further slots, numbered from ``n_slots`` on, by a key of their own. So the slot table has at most
+``n_slots + n_slots / HOT`` rows whatever the input; the map is built in one row and broadcast. Records themselves are
+shuffled once, by virtual slot, for their place in the shard, and no slot holds more than about ``HOT`` shares.
 
 Defined cases: a null text counts as empty (size 1, CRC of no bytes); a null id hashes as the empty string; repeated rows
-are records of their own and take neighbouring places; an empty table has an empty map and result; other columns of the
+are records of their own; equal keys take places in any order; an empty table has an empty map and result; other columns of the
 input are not looked at, whatever their names.
 """
 
@@ -20,6 +22,8 @@ from pyspark.sql.window import Window as W
 from .common import materialize
 
 SLOTS = 4096
+HOT = 8  # shares of all records from which a slot is hot
+FEW = 64  # records that make no slot hot
 
 
 def virtual_slot(key: Column, n_slots: int = SLOTS) -> Column:
@@ -29,16 +33,29 @@ def virtual_slot(key: Column, n_slots: int = SLOTS) -> Column:
 
 
 def sized(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot: all that later steps need, so the texts are read once."""
+    """doc_id, size, text_crc32, virtual_slot and a key of the row: all that later steps need, so the texts are read once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", "text").select(
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         virtual_slot(F.col("doc_id"), n_slots).alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
+def cooled(records: DataFrame, n_slots: int = SLOTS) -> DataFrame:
+    """The records (a table) with those of hot slots dealt to further slots."""
+    counts = records.groupBy("virtual_slot").agg(F.count("*").alias("n"))
+    share = counts.agg(F.sum("n").alias("total"))
+    limit = F.greatest(HOT * F.ceil(F.col("total") / n_slots), F.lit(FEW))
+    hot = counts.crossJoin(F.broadcast(share)).filter(F.col("n") > limit).select("virtual_slot", F.ceil(F.col("n") / limit).alias("parts"))
+    before = F.sum("parts").over(W.partitionBy().orderBy("virtual_slot")) - F.col("parts")  # n_slots / HOT rows at most
+    hot = hot.withColumn("first", F.lit(n_slots) + before)
+    dealt = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))
+    return records.join(F.broadcast(hot), "virtual_slot", "left").withColumn("virtual_slot", F.coalesce(dealt, "virtual_slot").cast("int")).drop("parts", "first")
+
+
 def slot_bytes(records: DataFrame) -> DataFrame:
     return records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows"))
 
@@ -93,7 +110,7 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     the rank within the own one. A sort holds one virtual slot, never a shard."""
     before = F.sum("n_rows").over(W.partitionBy("shard").orderBy("virtual_slot")) - F.col("n_rows")
     small = slot_map.select("map_version", "virtual_slot", "shard", before.alias("before"))
-    rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
+    rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "row")) - 1
     return (
         records.withColumn("rank", rank)
         .join(F.broadcast(small), "virtual_slot")
@@ -104,7 +121,7 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS) -> DataFrame:
     """Puts whole documents into shards of near-equal bytes; see the contract of op9 for the columns."""
-    records = materialize(sized(docs, n_slots), "shard-records")
+    records = materialize(cooled(materialize(sized(docs, n_slots), "shard-rows"), n_slots), "shard-records")
     slot_map = materialize(balanced_map(slot_bytes(records), n_shards), "slot-map")
     return place(records, slot_map).select(
         "doc_id",

@@ -259,6 +259,17 @@ def test_directory_doubles():
     slots = exact_dedup.directory({0: 50, 1: 60, 2: 1, 7: 1}, 3, 100)
     assert len(slots) == 8 and slots[0] != slots[1] and slots[4] == slots[7]
     assert exact_dedup.directory({0: 10**9}, 3, 100)[0] == 0  # one hot key can't be split for ever
+    assert len(exact_dedup.directory({k: 1 for k in range(8)}, 3, 100)) == 1 and len(exact_dedup.directory({}, 3, 100)) == 1
+    r = np.random.default_rng(2)
+    held = dict(enumerate(r.integers(0, 60, 256).tolist()))
+    slots = exact_dedup.directory(held, 8, 200)
+    step, size = 256 // len(slots), defaultdict(int)
+    for k, b in held.items():
+        size[int(slots[k // step])] += b
+    assert max(size.values()) <= 200 and all(sum(s == b for s in slots.tolist()) in (1, 2, 4, 8, 16) for b in size)
+    for b in size:  # no bucket was split without need: its parent held too much
+        own = [k for k in range(256) if slots[k // step] == b]
+        assert sum(held[k] for k in range(own[0] // (2 * len(own)) * 2 * len(own), own[0] // (2 * len(own)) * 2 * len(own) + 2 * len(own))) > 200
 
 
 def shingle_set(t, k):
@@ -510,6 +521,22 @@ def test_shards_are_even_and_grow_into_the_new_one_only(spark):
     assert len(load) == 9 and max(load) - min(load) < 0.05 * max(load)
 
 
+def test_sharding_of_a_hot_id(spark):
+    """A third of the rows without an id and a third of one id: shards are even all the same, and places gapless."""
+    docs = spark.range(30_000).select(F.when(F.col("id") % 3 == 1, 7).when(F.col("id") % 3 == 2, F.col("id")).cast("long").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    rows = sharding.shard(docs).collect()
+    load, slots, held = defaultdict(int), defaultdict(list), defaultdict(int)
+    for r in rows:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        held[r.virtual_slot] += 1
+    assert len(rows) == 30_000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len(load) == 8 and max(load.values()) < 1.02 * min(load.values()) and max(held.values()) < 120
+    one = sharding.balanced_map(sharding.slot_bytes(sharding.cooled(sharding.sized(docs).checkpoint())))
+    moved = one.select("virtual_slot", F.col("shard").alias("was")).join(sharding.grow(one, 8), "virtual_slot").filter("was <> shard").select("shard").distinct().collect()
+    assert [r.shard for r in moved] == [8]
+
+
 def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     P = pytest.importorskip("public_tokenizers")
