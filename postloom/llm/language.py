@@ -1,11 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The model is a matrix of log-probabilities (languages by bins), fitted on a bounded sample of rows with a language, chosen
-by a hash of their id; it has a fixed size and goes to the tasks with the function. Scoring adds, for whole texts, the
+by a hash of their id; it has a row of 128 kB a language and is broadcast. Scoring adds, for whole texts, the
 columns of all their n-grams, for many documents at once in numpy.
 
 Defined cases: a null or empty text, or one without letters, is ``und`` with score 0; repeated rows each have their result;
-rows without a language don't teach; without any row that teaches everything is ``und``; an empty table gives an empty
+of equal posteriors the language that sorts first wins; rows without a language don't teach; without any row that teaches everything is ``und``; an empty table gives an empty
 result; other columns are not looked at.
 """
 
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, smooth: float = 0.5) -> Model:
     taught = materialize(docs, "language-sample").coalesce(16)  # bounded: some sample documents
     sums: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
-    for r in taught.mapInArrow(count, "lang string, n long, bins binary").toLocalIterator():
+    for r in taught.mapInArrow(count, "lang string, n long, bins binary").collect():  # 16 rows of 256 kB a language, at most
         sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.bins, np.int64)
         rows[r.lang] = rows.get(r.lang, 0) + r.n
     names = sorted(sums)
@@ -124,9 +124,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, smooth: float = 0.5) -> Model:
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``'s columns, lang_pred and score (the posterior probability)."""
     n_keep = len(keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables()
+        tables, model = _tables(), shared.value
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             data, off = text_bytes(batch.column(n_keep))

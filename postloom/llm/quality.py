@@ -10,12 +10,13 @@ only marks that go with lower grades (a chi-square test over different texts) ha
 short text isn't poor for want of praise, one insult in a long text counts as much as in a short one, and rare words, which
 make up most of any text, add no noise.
 
-The model is fitted on a bounded sample of labelled documents (their ids are chosen by hash and broadcast, so no text is
-shuffled); it has a fixed size and goes to the tasks with the function.
+The model is fitted on a bounded sample of labelled documents (``SAMPLE``; their ids are chosen by hash and broadcast, so no
+text is shuffled). At most ``MARKS`` marks, the clearest ones, have a weight: the model has a fixed size and is broadcast.
 
 Defined cases: a null or empty text has the marks of an empty text only; labels with a null, and labels without a document,
 are not used; several labels of one id count as one, the worst grade; without any usable label every document gets the
-highest grade with probability 1; repeated rows each have a result; an empty table gives an empty result; other columns are
+highest grade with probability 1; repeated rows each have a result; of equally clear marks the
+smaller numbers have a weight; a document of probability ``LEAST`` is kept; an empty table gives an empty result; other columns are
 not looked at.
 """
 
@@ -30,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RunHash, chunks, materialize, mix, text_bytes, word_runs
+from .common import chunks, coded_words, hash_words, materialize, mix, text_bytes
 
 BITS = 32
 GRADES = 3
 SAMPLE = 16_000  # labelled documents, about, that the model is fitted on
+MARKS = 4096  # that may have a weight
 LEAST = 0.5  # tail probability from which a document is kept
 _CHUNK = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -45,38 +47,45 @@ _OTHER = ~_WORD
 _OTHER[[0x20, *range(0x09, 0x0E)]] = False
 
 
+def _starts(held: pa.Array, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` (8 or less) bytes of words."""
+    data, off = text_bytes(held)
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    spare = (8 - np.minimum(np.diff(off), size)).astype(np.uint64) * np.uint64(8)
+    return mix(((eight[off[:-1]] << spare) >> spare) * np.uint64(0xA0761D6478BD642F) + np.uint64(size))
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(marks, offsets): for each text its set of marks, as numbers below ``2**BITS``."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
     share = lambda part, whole: (part / np.maximum(whole, 1))
-    start, end, first = word_runs(data, offsets, _WORD)
-    words = RunHash(_LOWER[data]).of(start, end)
-    s2, e2, f2 = word_runs(data, offsets, _OTHER)
-    signs = RunHash(data).of(s2, e2)
-    signs = mix(signs ^ np.uint64(0x5851F42D4C957F2D))
     down = np.uint64(64 - BITS)
-    starts = [mix(RunHash(_LOWER[data]).of(start, np.minimum(start + k, end)) + np.uint64(k)) for k in (4, 5, 6)]
-    words = np.stack([words, *starts], axis=1)
-    sets, lengths = [], np.zeros(n, np.int64)
+
+    def kinds(of: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """(text, number) of each different word of each text, the words by number, and how many a text has in all."""
+        code, held, first = coded_words(of, offsets, inside)
+        pairs = np.unique(np.repeat(np.arange(n), np.diff(first)) * max(len(held), 1) + code)
+        return pairs // max(len(held), 1), pairs % max(len(held), 1), held, np.diff(first)
+
+    doc, word, held, n_words = kinds(_LOWER[data], _WORD)
+    marks = np.stack([hash_words(held), *(_starts(held, k) for k in (4, 5, 6))], axis=1)
+    doc2, sign, held2, _ = kinds(data, _OTHER)
+    signs = mix(hash_words(held2) ^ np.uint64(0x5851F42D4C957F2D))
     upper = share(count((data >= 0x41) & (data <= 0x5A)), size)
     other = share(count(_OTHER[data]), size)
     digit = share(count((data >= 0x30) & (data <= 0x39)), size)
-    n_words = np.diff(first)
-    different = np.array([len(np.unique(words[first[i] : first[i + 1], 0])) for i in range(n)], np.int64)
-    repeated = 1 - share(different, n_words)
+    repeated = 1 - share(np.bincount(doc, minlength=n), n_words)
     # the share of repeats that is usual grows with the length, so the two go together
     long = np.minimum(np.log2(n_words + 1).astype(np.int64), 15)
     step = lambda x, k: np.minimum((x * k).astype(np.int64), k - 1)
     shape = [(2, step(upper, 20)), (3, step(other, 40)), (4, step(digit, 20)), (5, step(repeated, 20) * 16 + long)]
     shape = np.stack([mix(v.astype(np.uint64) * np.uint64(64) + np.uint64(k)) for k, v in shape], axis=1)
-    for i in range(n):
-        marks = np.concatenate([words[first[i] : first[i + 1]].ravel(), signs[f2[i] : f2[i + 1]], shape[i]])
-        marks = np.unique((marks >> down).astype(np.uint32))
-        sets.append(marks)
-        lengths[i] = len(marks)
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(lengths)])
+    all_ = np.concatenate([marks[word].ravel(), signs[sign], shape.ravel()]) >> down
+    of = np.concatenate([np.repeat(doc, marks.shape[1]), doc2, np.repeat(np.arange(n), shape.shape[1])]).astype(np.uint64)
+    own = np.unique((of << np.uint64(BITS)) | all_)
+    return own.astype(np.uint32), np.searchsorted(own >> np.uint64(BITS), np.arange(n + 1, dtype=np.uint64))
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -141,7 +150,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return usable.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
-def telling_marks(rows: DataFrame, least: float = 15.0, share: float = 0.25, most: int = 4096) -> np.ndarray:
+def telling_marks(rows: DataFrame, least: float = 15.0, share: float = 0.25, most: int = MARKS) -> np.ndarray:
     """The marks that may have a weight, sorted: those which higher grades have less than ``share`` times as often as all
     have, with a chi-square of ``least``; at most the ``most`` clearest ones. rows: grade, marks."""
     seen = {r.grade: r.n for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # a row a grade
@@ -203,6 +212,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in ("expected_grade", "tail_probability")]
     docs = docs.select(*kept)
     at_text = kept.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +220,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             tails = []
             for i, j in chunks(off, _CHUNK):
                 marks, at = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                tails.append(model.tails(model.scores(marks, at)))
+                tails.append(shared.value.tails(shared.value.scores(marks, at)))
             tails = np.concatenate([*tails, np.zeros((0, GRADES - 1))])
             columns = [*batch.columns, pa.array(tails.sum(1)), pa.array(tails[:, -1])]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "expected_grade", "tail_probability"])

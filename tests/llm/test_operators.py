@@ -660,6 +660,92 @@ def test_language(spark):
     assert {r.lang_pred for r in language.op4_language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_is_counted_naive_bayes(spark):
+    """Posteriors against plain counting of n-grams; extra columns and ties do no harm."""
+    r = np.random.default_rng(5)
+    letters = {"aa": "abcdé", "bb": "cdefß", "cc": "aeiouçz"}
+    rows = [(i, "".join(r.choice(list(letters[k] + " .1"), r.integers(1, 40))), k, k, 1.0) for i in range(200) for k in [list(letters)[i % 3]]]
+    rows += [(500, "Éé ß", None, "x", 0.0), (501, "1 2", "aa", "x", 0.0), (None, "abc", "aa", "x", 0.0), (7, "abc", "cc", "x", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+
+    def grams(t):
+        words = "".join(c.lower() if c.isalpha() else " " for c in t)
+        plain = re.sub(" +", " ", words.lstrip(" "))
+        return [plain[a : a + n] for n in language.ORDERS for a in range(len(plain) - n + 1)]
+
+    def place(g):
+        x = np.array([ord(c) for c in g], np.uint32)
+        return int(language._grams(x, np.array([0, len(x)]), len(x))[0][0])
+
+    counts, rows_of = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for i, t, lang, *_ in rows:
+        if lang and not held(i):
+            rows_of[lang] += 1
+            for g in grams(t):
+                counts[lang][place(g)] += 1
+    size, total = 1 << language.BITS, sum(rows_of.values())
+    for x in language.op4_language(docs).collect():
+        text = [t for i, t, *_ in rows if i == x.doc_id]
+        assert x.held_out == held(x.doc_id)
+        options = []
+        for t in text:
+            own = {k: math.log(rows_of[k] / total) + sum(math.log((counts[k][place(g)] + 0.5) / (sum(counts[k].values()) + 0.5 * size)) for g in grams(t)) for k in sorted(rows_of)}
+            best = max(own, key=own.get)
+            options.append(("und", 0.0) if not any(c.isalpha() for c in t) else (best, 1 / sum(math.exp(v - own[best]) for v in own.values())))
+        assert any(x.lang_pred == k and abs(x.score - p) < 1e-3 for k, p in options), (text, x, options)
+
+
+def test_quality_is_the_likeliest_under_its_bounds():
+    """The loss, worked out anew from its definition, has no downhill direction at the solution."""
+    r = np.random.default_rng(4)
+    n, k = 120, 8
+    x = (r.random((n, k)) < 0.4).astype(float)
+    latent = x @ np.array([-3.0, -2, -1, 0, 0, 0.5, -0.2, 0]) + r.logistic(size=n) + 1.5
+    grade = np.digitize(latent, [-1.0, 0.5])
+    model = quality.solve(np.arange(k, dtype=np.uint32), [np.flatnonzero(v).astype(np.int32) for v in x], grade, rounds=4000, rate=0.02)
+    weight = n / np.bincount(grade, minlength=3)[grade]
+    weight = weight / weight.sum()
+
+    def loss(w, t):
+        total = 0.5e-5 * (w**2).sum()
+        for i in range(n):
+            s = x[i] @ w
+            below = [0.0, *(1 / (1 + math.exp(-(b - s))) for b in t), 1.0]
+            total -= weight[i] * math.log(below[grade[i] + 1] - below[grade[i]])
+        return total
+
+    w, t, h = model.weights, model.thresholds, 1e-5
+    assert t[0] < t[1] and (w <= 0).all() and (w < -0.5).any() and (w == 0).any()
+    for j in range(k):
+        e = np.eye(k)[j] * h
+        slope = (loss(w + e, t) - loss(w - e, t)) / (2 * h)
+        assert abs(slope) < 2e-3 if w[j] < -1e-3 else slope < 2e-3  # a weight at its bound may only want to grow
+    for j in range(2):
+        e = np.eye(2)[j] * h
+        assert abs(loss(w, t + e) - loss(w, t - e)) / (2 * h) < 2e-3
+
+
+def test_quality_features_are_sets_of_words_and_signs():
+    """Marks against sets worked out text by text; texts in one batch don't touch each other."""
+    texts = ["", "Hello hello, world!", "hello world ! ,", "  ", "aaaa aaaaa aaaaaa", "x" * 200, "né 12 $$$ -- né", "Hello"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    marks, at = quality.features(data, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    for i, t in enumerate(texts):
+        own = quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+        assert own.tolist() == marks[at[i] : at[i + 1]].tolist() == sorted(set(own.tolist()))
+        w = {x.lower() for x in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t)}
+        starts = {(k, x.encode()[:k]) for x in w for k in (4, 5, 6)}
+        signs = set(re.findall("[^0-9A-Za-z\x80-\U0010ffff\x20\t-\r]+", t))
+        assert len(own) == len(w) + len(starts) + len(signs) + 4
+
+
+def test_quality_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "good text", 5, "x", 2.0), (None, None, None, None, None)], "doc_id long, text string, grade int, marks string, expected_grade double")
+    labels = spark.createDataFrame([(1, 1, 0, "t"), (1, 0, 0, "t")], "doc_id long, quality int, toxic int, text string")
+    assert {r.doc_id: r.kept for r in quality.op7_quality(docs, labels).collect()} == {1: True, None: True}
+
+
 def test_quality(spark):
     def text(kind):
         w = words(60)
