@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, coded_words, ids_of, materialize, ranges, text_bytes
+from .common import NULL_ID, chunks, coded_words, distinct, ids_of, materialize, ranges, text_bytes
 
 WINDOW = 10
 GAP = 64  # free places between documents: more than any slop
@@ -133,12 +133,12 @@ def _searched(items: list[tuple[str | None, str | None]], window: int, slop: int
                 for phrase, start, where in matches(phrases, row["terms"].values, first, places, slop):
                     np.add.at(hit, np.maximum(start, 0), 1)
                     np.subtract.at(hit, np.maximum(start + phrases.size[phrase], 0), 1)
-                    held.append(np.unique((np.searchsorted(base, where, "right") - 1) * len(items) + phrases.item[phrase]))
+                    held.append(distinct((np.searchsorted(base, where, "right") - 1) * len(items) + phrases.item[phrase]))
                 hits = np.flatnonzero(np.cumsum(hit) > 0)
                 lo, hi = np.searchsorted(hits, base), np.searchsorted(hits, base + sizes)
                 listed = [(hits[lo[d] : hi[d]] - base[d]).tolist() if hi[d] > lo[d] else [] for d in range(len(ids))]
                 names: list[set[str]] = [set() for _ in range(len(ids))]
-                for pair in np.unique(np.concatenate(held)).tolist():
+                for pair in distinct(np.concatenate(held)).tolist():
                     if (name := phrases.names[pair % len(items)]) is not None:
                         names[pair // len(items)].add(name)
                 yield pa.RecordBatch.from_arrays(

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import NULL_ID, chunks, coded_words, hash_words, ids_of, materialize, mix, numbered, partitions, ranges, text_bytes
+from .common import NULL_ID, chunks, coded_words, distinct, hash_words, ids_of, materialize, mix, numbered, partitions, ranges, text_bytes
 from .components import components
 
 _SPACE = np.zeros(256, bool)
@@ -85,7 +85,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
             kinds = len(seen)
         kind, kinds = kind * base + np.where(k < size, code[at + k] + 1, 0), kinds * base
     seen, where, kind = np.unique(kind, return_index=True, return_inverse=True)
-    own = np.unique(doc * len(seen) + kind)
+    own = distinct(doc * len(seen) + kind)
     word = hash_words(held)
     at, size = at[where], size[where]
     hashes = mix(size.astype(np.uint64))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, coded_words, hash_words, materialize, mix, text_bytes
+from .common import chunks, coded_words, distinct, hash_words, materialize, mix, text_bytes
 
 BITS = 32
 GRADES = 3
@@ -66,7 +66,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     def kinds(of: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """(text, number) of each different word of each text, the words by number, and how many a text has in all."""
         code, held, first = coded_words(of, offsets, inside)
-        pairs = np.unique(np.repeat(np.arange(n), np.diff(first)) * max(len(held), 1) + code)
+        pairs = distinct(np.repeat(np.arange(n), np.diff(first)) * max(len(held), 1) + code)
         return pairs // max(len(held), 1), pairs % max(len(held), 1), held, np.diff(first)
 
     doc, word, held, n_words = kinds(_LOWER[data], _WORD)
@@ -84,7 +84,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     shape = np.stack([mix(v.astype(np.uint64) * np.uint64(64) + np.uint64(k)) for k, v in shape], axis=1)
     all_ = np.concatenate([marks[word].ravel(), signs[sign], shape.ravel()]) >> down
     of = np.concatenate([np.repeat(doc, marks.shape[1]), doc2, np.repeat(np.arange(n), shape.shape[1])]).astype(np.uint64)
-    own = np.unique((of << np.uint64(BITS)) | all_)
+    own = distinct((of << np.uint64(BITS)) | all_)
     return own.astype(np.uint32), np.searchsorted(own >> np.uint64(BITS), np.arange(n + 1, dtype=np.uint64))
 
 
