@@ -378,12 +378,13 @@ def i13_source_grounding(spark, sf):
     return K.source_grounding(items, texts).select("doc", "bullet_index", "probe")
 
 
-@query(f"""WITH {_BOTH}, o AS (SELECT doc, list(DISTINCT {_KEY.format('bullet')}) AS a FROM v_base GROUP BY doc), n AS (SELECT doc, list(DISTINCT {_KEY.format('bullet')}) AS b FROM (SELECT * FROM v_new UNION ALL SELECT * FROM v_base WHERE doc % 2 = 0) GROUP BY doc), j AS (SELECT coalesce(o.doc, n.doc) AS doc, coalesce(a, []) AS a, coalesce(b, []) AS b FROM o FULL JOIN n ON o.doc = n.doc)
-SELECT doc, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INTEGER) AS dropped, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS INTEGER) AS kept, CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS INTEGER) AS added FROM j""")
+@query(f"""WITH {_BOTH}, o AS (SELECT doc, list(k ORDER BY i, k) AS a FROM (SELECT doc, {_KEY.format('bullet')} AS k, min(bullet_index) AS i FROM v_base GROUP BY ALL) GROUP BY doc), n AS (SELECT doc, list(k ORDER BY i, k) AS b FROM (SELECT doc, {_KEY.format('bullet')} AS k, min(bullet_index) AS i FROM (SELECT * FROM v_new UNION ALL SELECT * FROM v_base WHERE doc % 2 = 0) GROUP BY ALL) GROUP BY doc),
+j AS (SELECT coalesce(o.doc, n.doc) AS doc, coalesce(a, []) AS a, coalesce(b, []) AS b FROM o FULL JOIN n ON o.doc = n.doc), d AS (SELECT doc, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INTEGER) AS dropped, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS INTEGER) AS kept,
+CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS INTEGER) AS added, list_filter(a, lambda x: list_contains(b, x)) <> list_filter(b, lambda x: list_contains(a, x)) AS reordered FROM j) SELECT *, dropped + added + CAST(reordered AS INTEGER) AS changes FROM d""")
 def g03_bullet_diff(spark, sf):
     base = V_.bullets(spark, sf, "user")
     new = V_.bullets(spark, sf, "assistant").unionByName(base.filter("doc % 2 = 0"))
-    return K.bullet_diff(base, new).select("doc", "dropped", "kept", "added")
+    return K.bullet_diff(base, new).select("doc", "dropped", "kept", "added", "reordered", "changes")
 
 
 @query(f"WITH {V_.bullets_sql('v_new', 'assistant')} SELECT doc, count(*) FILTER (bullet_index % 4 = 0) AS high, count(*) FILTER (bullet_index % 4 = 1) AS medium, count(*) FILTER (bullet_index % 4 = 2) AS low, count(*) FILTER (bullet_index % 4 = 3) AS unknown FROM v_new GROUP BY doc")
