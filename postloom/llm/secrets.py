@@ -3,9 +3,10 @@
 Three fixed patterns give the base spans. Besides, values that stand in a credential context (a credential word, a
 separator, a value) get a guess cost: the cheapest segmentation of the value into dictionary words, dates, repeats,
 sequences, keyboard walks and brute-force spans, found by dynamic programming and given as log10 of the guesses. Values that
-cost at least ``least`` are reported as spans of kind ``guess``.
+cost at least ``least`` are reported as spans of kind ``guess``. The dictionary is ranked: first the words that passwords
+are made of, then the ``DICTIONARY`` most frequent words of the corpus itself, counted over all documents.
 
-Each document is read on its own and whole, so there is no shuffle. The minimum is over all segmentations: spans of bounded
+Each document is read on its own and whole; only word counts are shuffled. The minimum is over all segmentations: spans of bounded
 length (words, dates) are tried one by one, and for spans of any length (repeats, sequences, walks) the price grows with the
 logarithm of the length, so the best start for each end comes from a stack of candidates that overtake each other once. The
 time is linear in the value.
@@ -20,10 +21,14 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks, coded_words, text_bytes
+
 # Fixed values of the base kinds, in the order in which spans at one place are listed.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters or more
@@ -61,6 +66,9 @@ _YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12]\d
 DATE = re.compile(rf"{_YEAR}([-/._]?){_MONTH}\1{_DAY}|{_DAY}([-/._]?){_MONTH}\2{_YEAR}|{_YEAR}")
 DATE_LENGTHS = (4, 6, 7, 8, 9, 10)
 TURN = 0.7  # log10 of the guesses for each straight part of a walk
+DICTIONARY = 20_000  # words of the corpus that count as words; a broadcast of some 300 kB
+SHORTEST, LONGEST = 3, 20  # letters of such a word
+SEEN = 10  # times that it occurs at least
 LEAST = 9.0  # log10 of the guesses from which a value counts as a secret
 JOINT = math.log10(2)  # for each further span of a segmentation
 
@@ -176,21 +184,49 @@ def _way(s: str, k: int) -> tuple[float, float]:
     return y1 - y0, x1 - x0
 
 
-def find(text: str, least: float = LEAST) -> list[dict]:
+_LETTER = np.zeros(256, bool)
+_LETTER[0x61:0x7B] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def frequent_words(docs: DataFrame, text: str = "text", n: int = DICTIONARY) -> list[str]:
+    """The most frequent words (runs of the letters a to z, in lower case) of all texts, the most frequent first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = text_bytes(batch.column(0))
+            for i, j in chunks(off, 4 << 20):
+                code, held, _ = coded_words(_LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], _LETTER)
+                size = pc.binary_length(held).to_numpy()
+                fit = np.flatnonzero((size >= SHORTEST) & (size <= LONGEST))
+                count = np.bincount(code, minlength=len(held))[fit]
+                yield pa.RecordBatch.from_arrays([held.take(pa.array(fit)).cast(pa.binary()).cast(pa.string()), pa.array(count)], names=["word", "n"])
+
+    counts = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.filter(F.col("n") >= SEEN).orderBy(F.col("n").desc(), "word").limit(n).collect()]
+
+
+def ranked(words: list[str]) -> dict[str, int]:
+    """The guesses that each word takes: the password words first, then ``words``."""
+    return {w: i + 1 for i, w in reversed(list(enumerate([*WORDS, *words])))}
+
+
+def find(text: str, least: float = LEAST, ranks: dict[str, int] = RANK, longest: int = LONGEST_WORD) -> list[dict]:
     """All spans of a text by start, then kind as listed. Base spans cover the whole match, ``guess`` spans the value."""
     spans = []
     low = text.lower()
     if any(w in low for w in _BASE_WORDS):
         for m in ASSIGN.finditer(text):
             if m.end(1) - m.start(1) >= 8:
-                spans.append({"kind": "assign", "start": m.start(), "end": m.end(), "log10_guesses": segmentation(m[1])[0]})
+                spans.append({"kind": "assign", "start": m.start(), "end": m.end(), "log10_guesses": segmentation(m[1], ranks, longest)[0]})
     if "AKIA" in text:
         spans += [{"kind": "access", "start": m.start(), "end": m.end(), "log10_guesses": None} for m in ACCESS.finditer(text)]
     spans += [{"kind": "hex", "start": m.start(), "end": m.end(), "log10_guesses": None} for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".:!?)]}")
-            if len(value) >= 6 and (cost := segmentation(value)[0]) >= least:
+            if len(value) >= 6 and (cost := segmentation(value, ranks, longest)[0]) >= least:
                 spans.append({"kind": "guess", "start": m.start(1), "end": m.start(1) + len(value), "log10_guesses": cost})
     spans.sort(key=lambda s: (s["start"], KINDS.index(s["kind"])))
     return spans
@@ -199,13 +235,17 @@ def find(text: str, least: float = LEAST) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("log10_guesses", pa.float64())]))
 
 
-def scan(df: DataFrame, keep: list[str], text: str = "text", least: float = LEAST) -> DataFrame:
-    """``keep``'s columns and ``secrets``: array of (kind, start, end, log10_guesses), places in code points."""
+def scan(df: DataFrame, keep: list[str], text: str = "text", least: float = LEAST, words: list[str] = ()) -> DataFrame:
+    """``keep``'s columns and ``secrets``: array of (kind, start, end, log10_guesses), places in code points. ``words``: of
+    the dictionary, beside those of passwords."""
     n = len(keep)
+    ranks = ranked(list(words))
+    shared = df.sparkSession.sparkContext.broadcast((ranks, max(map(len, ranks))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, longest = shared.value
         for batch in batches:
-            found = pa.array([find(t.as_py() or "", least) for t in batch.column(n)], _SPANS)
+            found = pa.array([find(t.as_py() or "", least, ranks, longest) for t in batch.column(n)], _SPANS)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], found], names=[*keep, "secrets"])
 
     picked = df.select(*keep, F.col(text).alias("_text"))
@@ -220,7 +260,7 @@ def _listed(spans: Column) -> Column:
 
 def op1_secrets(docs: DataFrame) -> DataFrame:
     """The contract of op1: counts of base kinds, digest of base spans, all spans; with the costliest value's cost."""
-    found = scan(docs, ["doc_id"])
+    found = scan(docs, ["doc_id"], words=frequent_words(docs))
     of = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id",

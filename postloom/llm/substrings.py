@@ -390,7 +390,8 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
     blocks = blocks_of(docs, name, block)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n = min(MAX_BUCKETS, max(4 * partitions(spark), -(-total // BUCKET)))
-    chosen = blocks.orderBy(F.xxhash64("block")).select("ids", "ends", "body").limit(max(SAMPLE, -(-n // PER_BLOCK)))  # 40 at most
+    some = blocks.select("block").orderBy(F.xxhash64("block")).limit(max(SAMPLE, -(-n // PER_BLOCK))).collect()  # 40 numbers at most
+    chosen = blocks.filter(F.col("block").isin([r.block for r in some])).select("ids", "ends", "body")
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
