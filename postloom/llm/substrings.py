@@ -16,11 +16,12 @@ early:
    tokens of more than ``PART`` in all are *hot* (a list of at most a few for each bucket).
 3. Each block sends the suffixes of shared tokens, as runs of text, each different run once with its smallest and largest
    document. The bucket sorts the suffixes of its runs by multikey quicksort over words of 8 bytes, going on only with
-   suffixes that are still tied, and finds the smallest document for each different head. A hot token straddles the
-   splitters: its suffixes go one by one, each different head of a block once, to the bucket of a hash of the whole head.
-4. Equal heads that lie in different parts of a bucket, or in different buckets, do not exist, since tokens and heads are cut
-   as wholes: so comparing neighbours across a boundary always finds different heads, and is left out.
-5. Each block takes those answers, marks the suffixes whose head has a smaller document, and cuts what they cover.
+   suffixes that are still tied, and finds the smallest document for each different head. A bucket is sorted in parts cut
+   between tokens, and tokens never straddle a splitter, so neighbours across a boundary differ and need no comparison.
+4. A hot token goes another way, as its suffixes may be in every block: each different head of a block is one row, and the
+   smallest document of a head is a partial minimum, so a head crosses the network once a task. A join takes it back to the
+   blocks; Spark splits the rows of a hot head there.
+5. Each block takes the answers, marks the suffixes whose head has a smaller document, and cuts what they cover.
 
 Hashes choose anchors and bring candidates together; runs that have equal hashes are merged only if their bytes are equal.
 A task holds a bucket: about BUCKET bytes of text, and more than that only above ``MAX_BUCKETS`` buckets (16 TB of text).
@@ -135,12 +136,6 @@ class Block:
         self.hi = np.where(mine[of], self.lo, hi)
         self.token, self.doc = self.token[of], self.doc[of]
 
-    def buckets(self, segments: np.ndarray, hot: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-        """Where segments go: by token, or, of a hot token, by their whole head."""
-        token, lo = self.token[segments] & ~np.uint64(1), self.lo[segments]
-        head = self.hash.of(lo, lo + self.size) % np.uint64(len(splitters) + 1)
-        return np.where(within(token, hot), head.astype(np.int64), np.searchsorted(splitters, token, "right"))
-
     def suffixes(self, tokens: np.ndarray) -> np.ndarray:
         """How many suffixes of different runs the block has for each of its ``tokens``, in their order."""
         if not len(tokens):
@@ -420,14 +415,31 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
             np.minimum.at(least, number, b.ids[b.doc])
             np.maximum.at(most, number, b.ids[b.doc])
             token = b.token & ~np.uint64(1)
-            at = np.minimum(np.searchsorted(shared, token[first]), len(shared) - 1)
-            live = np.flatnonzero(shared[at] == token[first])
-            for bucket, places in _dealt(b.buckets(first[live], hot, splitters)):
+            live = np.flatnonzero(within(token[first], shared) & ~within(token[first], hot))
+            for bucket, places in _dealt(np.searchsorted(splitters, token[first[live]], "right")):
                 k = live[places]
                 lo, length = b.lo[first[k]], b.hi[first[k]] + size - b.lo[first[k]]
                 parts = (b.token[first[k]], length.astype(np.int32), least[k], most[k] - least[k], k.astype(np.int64), b.data[ranges(lo, length)])
                 yield _one(bucket=bucket, block=key, **dict(zip(("tokens", "lengths", "least", "most", "numbers", "data"), map(_zip, parts))))
 
+    def hot_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            b = Block(r["ids"], r["ends"], r["body"], size)
+            b.split(hot)
+            first, number = b.runs()
+            least, most = np.full(len(first), NULL_ID), np.full(len(first), np.iinfo(np.int64).min)
+            np.minimum.at(least, number, b.ids[b.doc])
+            np.maximum.at(most, number, b.ids[b.doc])
+            mine = np.flatnonzero(within(b.token[first] & ~np.uint64(1), hot))
+            heads = b.data[ranges(b.lo[first[mine]], np.full(len(mine), size))]
+            heads = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(np.arange(0, len(heads) + 1, size, dtype=np.int32)), pa.py_buffer(heads)])
+            yield pa.RecordBatch.from_arrays([heads, pa.array(np.full(len(mine), r["block"])), *(pa.array(x) for x in (mine, least[mine], most[mine]))], names=["head", "block", "number", "least", "most"])
+
+    def hot_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            number = np.array(r["numbers"], np.int64)
+            yield _one(block=r["block"], data=_zip(np.stack([number, np.zeros_like(number), np.ones_like(number), np.array(r["small"], np.int64)])))
+
     def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             data, b = r["data"], Block(r["ids"], r["ends"], r["body"], size)
@@ -476,6 +488,12 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
     hot = np.sort(np.concatenate([*found, np.zeros(0, np.uint64)]))
     runs = _met(blocks, shared, "inner").mapInArrow(sent_runs, _RUNS)
     answers = materialize(by_bucket(runs).mapInArrow(_answers(size), "block long, data binary"), "answers")
+    if len(hot):
+        heads = materialize(_met(blocks, shared.filter("block >= 0"), "inner").mapInArrow(hot_heads, "head binary, block long, number long, least long, most long"), "hot-heads")
+        smallest = heads.groupBy("head").agg(F.min("least").alias("small"), F.max("most").alias("large")).filter("small < large").select("head", "small")
+        told = heads.join(smallest, "head").filter("small < most").groupBy("block").agg(F.collect_list(F.struct("number", "small")).alias("x"))  # a block's own
+        told = told.select("block", F.col("x.number").alias("numbers"), F.col("x.small").alias("small"))
+        answers = answers.unionByName(materialize(told.mapInArrow(hot_answers, "block long, data binary"), "hot-answers"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return _met(blocks, answers, "left").mapInArrow(cut_blocks, schema)
 

@@ -377,25 +377,31 @@ def test_substrings_of_hot_tokens(spark, block):
         assert found(substrings.cut(frame(spark, rows), block=block, part=part), *columns) == want
 
 
-def test_hot_token_is_dealt_to_many_buckets():
+def test_hot_tokens_are_split_into_heads():
     line = "Licensed under the terms of the common licence. "
     texts = [(line + " ".join(words(12))).encode()[:110] for _ in range(400)]
     ends = np.cumsum([len(t) for t in texts])
-    splitters = np.sort(rng.integers(0, 2**63, 99, dtype=np.uint64) >> np.uint64(5))
     b = substrings.Block(substrings._zip(np.arange(400)), substrings._zip(ends), substrings._zip(b"".join(texts)), 50)
     tokens = b.tokens()
     count = b.suffixes(tokens)
     hot = np.sort(tokens[count > 1000] & ~np.uint64(1))
     assert len(hot) and sum(count) == sum(b.hi[b.runs()[0]] - b.lo[b.runs()[0]] + 1)
+    leads = {bytes(b.data[i : i + 4]) for i in range(len(b.data) - 50)}
+    assert all(int(t >> np.uint64(32)).to_bytes(4, "big") in leads for t in tokens)  # tokens sort as leading bytes do
     b.split(hot)
     first, number = b.runs()
     mine = first[substrings.within(b.token[first] & ~np.uint64(1), hot)]
-    bucket = b.buckets(mine, hot, splitters)
-    assert np.bincount(bucket).max() < 0.1 * len(mine)
-    by_head = {}
-    for k, to in zip(mine, bucket):
-        assert b.lo[k] == b.hi[k] and by_head.setdefault(bytes(b.data[b.lo[k] : b.lo[k] + 50]), to) == to
-    assert len(by_head) == len(mine)  # each different head of the block goes once
+    heads = {bytes(b.data[b.lo[k] : b.lo[k] + 50]) for k in mine}
+    assert all(b.lo[k] == b.hi[k] for k in mine) and len(heads) == len(mine)  # each different head of the block goes once
+
+
+def test_merges_are_verified():
+    """Runs of one key are merged only where their bytes are equal."""
+    data = np.frombuffer((thue_morse(2048) + thue_morse(2048, True) + thue_morse(2048) + "a" * 10).encode(), np.uint8)
+    begin, size = np.array([0, 2048, 4096, 1, 4097]), np.array([2048, 2048, 2048, 9, 9])
+    first, number = substrings.merged(np.zeros(5, np.uint64), data, begin, size)
+    assert number[0] == number[2] and len({number[0], number[1], number[3]}) == 3
+    assert [bytes(data[begin[first[n]] : begin[first[n]] + size[first[n]]]) for n in number] == [bytes(data[a : a + n]) for a, n in zip(begin, size)]
 
 
 def test_substrings_of_nothing(spark):
