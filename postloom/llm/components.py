@@ -54,3 +54,5 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = materialize(edges, "cc-edges")
+        if edges.isEmpty():
+            return labels

@@ -326,7 +326,9 @@ def near_dedup(docs: DataFrame, s: Settings = Settings(), row: str | None = None
     links = _confirm(best.filter(fits).select(F.col("p.a").alias("a"), F.col("id").alias("b")), texts, s)
     labels = materialize(components(links), "near-labels")
     more = materialize(_strays(groups.select("a", "id", "n"), labels, texts, s), "near-stray-links")
-    labels = components(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("v", "id")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more))
+    labels = labels.withColumnRenamed("v", "id")
 
     named = own.select("sha", "id", "doc_id").join(_led(own, labels), "id", "left")
     named = named.select("sha", F.coalesce("lead_id", "doc_id").alias("component_id"), F.coalesce("lead", "id").alias("lead"))
