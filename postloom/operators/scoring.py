@@ -174,6 +174,7 @@ def reason() -> Column:
     return F.array_join(parts, "; ")
 
 
+# The forms of a salary range.
 SALARY = [r"\$\s*\d{2,3}[,kK]\s*-\s*\$?\s*\d{2,3}[,kK]", r"\$\s*\d{2,3},?\d{0,3}\s*(?:to|-|–)\s*\$\s*\d{2,3}"]
 
 

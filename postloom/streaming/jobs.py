@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, IntegerType, StringType, StructField, StructType
 
 from ..operators import tracking as TR
 from ..operators.joins import only_new
@@ -31,7 +31,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT.append(path)
+    return path
+
+
+_LEFT: list[str] = []  # folders made in this session
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the folders made so far. Call it when what was read from them has been used."""
+    while _LEFT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_LEFT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _with(schema: StructType, name: str, kind: DataType) -> StructType:
+    return StructType([*schema.fields, StructField(name, kind)])
 
 
 def start(df: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", **trigger):
@@ -47,7 +63,7 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
 
     start(df, write, f"{out}/checkpoint", mode).awaitTermination()
-    schema = df.schema.add("batch", "integer")
+    schema = _with(df.schema, "batch", IntegerType())
     return spark.read.schema(schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows")
 
 
@@ -76,8 +92,8 @@ def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table at ``path``, its part as column ``p``; empty where there is none yet."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema.add("p", "string"))
-    return spark.read.schema(schema.add("p", "string")).parquet(path)
+        return spark.createDataFrame([], _with(schema, "p", StringType()))
+    return spark.read.schema(_with(schema, "p", StringType())).parquet(path)
 
 
 def _replace(rows: DataFrame, path: str, stage: str) -> None:

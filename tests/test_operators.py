@@ -90,3 +90,49 @@ def test_too_many_policies_fail(spark):
 
     with pytest.raises(ValueError):
         joins.small(spark.range(5), most=3)
+
+
+def test_release_deletes_what_jobs_left(spark, tmp_path):
+    from postloom.streaming import jobs
+
+    jobs.release(spark)
+    path = jobs.shared_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    jobs.release(spark)
+    jobs.release(spark)
+    assert not (tmp_path.parent / path).exists()
+
+
+def test_seen_table_is_compacted(spark, monkeypatch):
+    """Many batches: a key counts once, whatever was written anew in between; a repeated batch changes nothing."""
+    from postloom.streaming import jobs
+
+    monkeypatch.setattr(jobs, "COMPACT", 3)
+    out = jobs.shared_dir(spark, "seen")
+    write = jobs.dedup_batch(f"{out}/seen", f"{out}/new")
+    batch = lambda b: spark.createDataFrame([(f"{k:04x}", str(b), f"{k:04x}") for k in range(7 * b, 7 * b + 14)], "key string, scraped_at string, source_id string")
+    for b in (0, 1, 2, 2, 3, 4, 4, 5):
+        write(batch(b), b)
+    new = spark.read.parquet(f"{out}/new")
+    assert new.count() == new.select("key").distinct().count() == 7 * 5 + 14
+    assert {r.batch: r["count"] for r in new.groupBy("batch").count().collect()} == {0: 14, 1: 7, 2: 7, 3: 7, 4: 7, 5: 7}
+    seen = spark.read.parquet(f"{out}/seen")
+    assert seen.count() == seen.select("key").distinct().count() == 49
+
+
+def test_status_and_upsert_batches(spark):
+    from postloom.streaming import jobs
+
+    out = jobs.shared_dir(spark, "keyed")
+    rows = spark.createDataFrame([(f"{k:02x}" * 32, "NEW", None) for k in range(40)], "key string, status string, status_updated_at timestamp")
+    jobs.keyed_table(rows, f"{out}/t")
+    calls = lambda *x: spark.createDataFrame([(f"{a}:{f'{k:02x}' * 8}", "2024-01-01") for a, k in x], "data string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    write = jobs.status_batch(f"{out}/t", rows.schema)
+    for n, b in enumerate([calls(("applied", 3), ("nothing", 4)), calls(("offer", 3), ("skip", 5), ("offer", 99)), calls(("offer", 3), ("skip", 5))]):
+        write(b, n)
+    got = {r.key[:2]: r.status for r in jobs.read_keyed(spark, f"{out}/t", rows.schema).collect()}
+    assert len(got) == 40 and {k: v for k, v in got.items() if v != "NEW"} == {"03": "OFFER", "05": "SKIPPED"}
+    up = jobs.upsert_batch(f"{out}/t", rows.schema, "key")
+    up(spark.createDataFrame([("03" * 32, "NEW", None), ("ffff", "NEW", None)], rows.schema), 0)
+    got = {r.key[:2]: r.status for r in jobs.read_keyed(spark, f"{out}/t", rows.schema).collect()}
+    assert len(got) == 41 and {k: v for k, v in got.items() if v != "NEW"} == {"05": "SKIPPED"}
