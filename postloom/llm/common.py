@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 _LEFT: list[tuple[str, str]] = []  # what operators wrote in this session: ("path" or "table", name)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that operators wrote to the shared folder so far. Call it when their results have been used."""
-    while _LEFT:
-        kind, name = _LEFT.pop()
+def drop(spark: SparkSession, held: list[tuple[str, str]]) -> None:
+    """Delete what is listed."""
+    while held:
+        kind, name = held.pop()
         if kind == "table":
             spark.sql(f"DROP TABLE IF EXISTS `{name}`")
             continue
@@ -43,6 +45,20 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that operators wrote to the shared folder so far. Call it when their results have been used."""
+    drop(spark, _LEFT)
+
+
+@contextmanager
+def scratch(held: list[tuple[str, str]]) -> Iterator[None]:
+    """Lists in ``held`` what operators write inside, for ``drop``."""
+    mark = len(_LEFT)
+    yield
+    held.extend(_LEFT[mark:])
+    del _LEFT[mark:]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to a table in the shared folder and read it back.
 

@@ -785,3 +785,22 @@ def test_quality(spark):
     assert all(0 <= r.tail_probability <= 1 and r.tail_probability <= r.expected_grade <= 2 for r in out.values())
     assert quality.op7_quality(empty(spark), labels).count() == 0
     assert all(r.kept for r in quality.op7_quality(docs, labels.limit(0)).collect())
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from postloom.llm import common
+
+    common.release(spark)
+    held = []
+    with common.scratch(held):
+        assert substrings.cut(frame(spark, [(1, "x" * 60), (2, "x" * 60)])).count() == 2
+    kept = common.materialize(spark.range(3), "kept")
+    tables = [n for kind, n in held if kind == "table"]
+    paths = [Path(n.removeprefix("file:")) for kind, n in held if kind == "path"]
+    assert tables and all(spark.catalog.tableExists(n) for n in tables) and paths and all(p.exists() for p in paths)
+    common.drop(spark, held)
+    assert not any(spark.catalog.tableExists(n) for n in tables) and not any(p.exists() for p in paths)
+    assert kept.count() == 3
+    common.release(spark)
