@@ -3,42 +3,63 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns of
 ``documents``. ``run`` cuts lineage between stages with a table in the shared folder. A stage that drops rows first writes
 its input with a key for each row, decides on that key and drops by it, so null and repeated ids do no harm.
+
+A stage's result must be written before the next stage is begun: each stage first drops the scratch tables of the one before,
+so the shared folder holds those of one stage at a time.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from postloom.llm.common import materialize, numbered, read
-
+from postloom.llm.common import drop, materialize, numbered, read, scratch
 
 ROW = "_row"
+_HELD: list[tuple[str, str]] = []  # scratch tables of the last stage
+
+
+def stage(f):
+    """A stage that drops the last one's scratch tables, and lists its own."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _HELD)
+        with scratch(_HELD):
+            return f(spark, docs, sf_dir)
+
+    return run
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select(ROW), ROW, "left_anti").drop(ROW)
 
 
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for the highest grade."""
     scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
     return scored.filter(F.col("tail_probability") >= quality.LEAST).select(*docs.columns)
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest document of each text, white space aside."""
     rows = numbered(docs, ROW, "rows")
     return _without(rows, exact_dedup.extra(rows, ROW))
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more on shingles of five words."""
     rows = numbered(docs, ROW, "rows")
     return _without(rows, near_dedup.near_dedup(rows, near_dedup.Settings(), ROW).filter(~F.col("kept")))
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     rows = numbered(docs, ROW, "rows")
@@ -46,6 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _without(rows, found.filter("contaminated").withColumnRenamed("doc_id", ROW))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences and their places."""
     return packing.op2_packing(docs)
@@ -64,8 +86,8 @@ ORACLE_SQL = None  # a fitted classifier, MinHash and a tokenizer have no SQL; s
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if stage is not pack:
+    for name, work in STAGES:
+        docs = work(spark, docs, sf_dir)
+        if work is not pack:
             docs = materialize(docs, name.replace(" ", "-").lower())
     return docs
