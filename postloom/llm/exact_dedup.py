@@ -153,7 +153,8 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     total = entries.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     max_depth = min(max_depth, max(0, (2 * total // capacity).bit_length()) + 2)
     held = entries.groupBy(_prefix(max_depth).alias("p")).agg(F.sum(F.octet_length("body")).alias("b"))
-    slots = directory({r.p: r.b for r in held.collect()}, max_depth, capacity)  # at most 2**max_depth rows
+    held = held.toPandas()  # at most 2**max_depth rows of two numbers
+    slots = directory(dict(zip(held["p"].tolist(), held["b"].tolist())), max_depth, capacity)
     depth = len(slots).bit_length() - 1
     slot_table = spark.createDataFrame(pd.DataFrame({"slot": np.arange(len(slots)), "bucket": slots.astype(np.int32)}))  # a few MB at most
     dealt = (
