@@ -424,6 +424,8 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
 
     def hot_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
+            if not within(hot, np.sort(np.concatenate([_unzip(d, np.uint64) for d in r["data"]]))).any():
+                continue
             b = Block(r["ids"], r["ends"], r["body"], size)
             b.split(hot)
             first, number = b.runs()
@@ -431,9 +433,12 @@ def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOC
             np.minimum.at(least, number, b.ids[b.doc])
             np.maximum.at(most, number, b.ids[b.doc])
             mine = np.flatnonzero(within(b.token[first] & ~np.uint64(1), hot))
-            heads = b.data[ranges(b.lo[first[mine]], np.full(len(mine), size))]
-            heads = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(np.arange(0, len(heads) + 1, size, dtype=np.int32)), pa.py_buffer(heads)])
-            yield pa.RecordBatch.from_arrays([heads, pa.array(np.full(len(mine), r["block"])), *(pa.array(x) for x in (mine, least[mine], most[mine]))], names=["head", "block", "number", "least", "most"])
+            windows = np.lib.stride_tricks.sliding_window_view(b.data, size)
+            for k in range(0, len(mine), 1 << 16):
+                own = mine[k : k + (1 << 16)]
+                heads = np.ascontiguousarray(windows[b.lo[first[own]]]).reshape(-1)
+                heads = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(0, len(heads) + 1, size, dtype=np.int32)), pa.py_buffer(heads)])
+                yield pa.RecordBatch.from_arrays([heads, pa.array(np.full(len(own), r["block"])), *(pa.array(x) for x in (own, least[own], most[own]))], names=["head", "block", "number", "least", "most"])
 
     def hot_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
