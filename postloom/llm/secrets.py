@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, coded_words, text_bytes
+from .common import chunks, coded_words, materialize, text_bytes
 
 # Fixed values of the base kinds, in the order in which spans at one place are listed.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -191,7 +191,8 @@ _LOWER[0x41:0x5B] += 0x20
 
 
 def frequent_words(docs: DataFrame, text: str = "text", n: int = DICTIONARY) -> list[str]:
-    """The most frequent words (runs of the letters a to z, in lower case) of all texts, the most frequent first."""
+    """The most frequent words (runs of the letters a to z, in lower case) of all texts, the most frequent first: those of the
+    highest steps of frequency (eight for each doubling) that have ``n`` words at most together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +205,14 @@ def frequent_words(docs: DataFrame, text: str = "text", n: int = DICTIONARY) ->
                 yield pa.RecordBatch.from_arrays([held.take(pa.array(fit)).cast(pa.binary()).cast(pa.string()), pa.array(count)], names=["word", "n"])
 
     counts = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.filter(F.col("n") >= SEEN).orderBy(F.col("n").desc(), "word").limit(n).collect()]
+    counts = materialize(counts.filter(F.col("n") >= SEEN).withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "word-counts")
+    left, least = n, 1 << 20
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("k")).collect(), reverse=True):  # 512 rows at most
+        if r.k > left:
+            break
+        left, least = left - r.k, r.step
+    chosen = counts.filter(F.col("step") >= least).select("word", "n").collect()  # n rows at most
+    return [r.word for r in sorted(chosen, key=lambda r: (-r.n, r.word))]
 
 
 def ranked(words: list[str]) -> dict[str, int]:

@@ -151,6 +151,10 @@ def test_words_of_the_corpus_are_cheap(spark):
         for w in re.findall("[a-z]+", (t or "").lower()):
             want[w] += 3 <= len(w) <= 20
     assert secrets.frequent_words(docs, n=4) == sorted((w for w in want if want[w] >= 10), key=lambda w: (-want[w], w))[:4]
+    many = frame(spark, [(i, " ".join(["ab" + chr(97 + i)] * (10 + 5 * i))) for i in range(20)])
+    assert secrets.frequent_words(many, n=20) == ["ab" + chr(97 + i) for i in range(19, -1, -1)]
+    assert secrets.frequent_words(many, n=5) == ["ab" + chr(97 + i) for i in range(19, -1, -1)][: len(secrets.frequent_words(many, n=5))]
+    assert 0 < len(secrets.frequent_words(many, n=5)) <= 5 and secrets.frequent_words(empty(spark)) == []
     got = found(secrets.op1_secrets(docs), "doc_id", "n_guess")
     assert got[9] == (0,) and got[10] == (1,)  # a word that occurs once is no word of the corpus
     kinds = lambda t, words: [s["kind"] for s in secrets.find(t, ranks=secrets.ranked(words), longest=20)]
