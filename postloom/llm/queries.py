@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, secrets, sharding, substrings
+from . import audit, decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, secrets, sharding, substrings
 from .common import read
 
 
@@ -46,7 +46,11 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"), near_dedup.Settings(words=3, percent=85, bands=28, rows=6))
 
 
-_ALL = (op1_secrets, op2_packing, op3_pii, op4_language, op5_suffix_dedup, op6_exact_dedup, op7_quality, op8_decontaminate, op9_sharding, op10_near_dedup)
+def op11_audit(spark, sf_dir):
+    return audit.op11_audit(read(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_secrets, op2_packing, op3_pii, op4_language, op5_suffix_dedup, op6_exact_dedup, op7_quality, op8_decontaminate, op9_sharding, op10_near_dedup, op11_audit)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
     "op6_exact_dedup": """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS n FROM documents),
@@ -72,4 +76,14 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT doc_id, doc_id AS v FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.v = e.a), m AS (SELECT doc_id, min(v) AS component_id FROM r GROUP BY doc_id)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON m.doc_id = n.doc_id""",
+    "op11_audit": """WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY lang, source, term),
+k AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING sum(docs) >= 10), v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d), c AS MATERIALIZED (SELECT g.lang, g.source, k.term, CAST(coalesce(t.n, 0) AS HUGEINT) AS n, k.n AS n_lang FROM g JOIN k USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS MATERIALIZED (SELECT c.lang, c.source, c.term, c.n, CAST(1 + 1000000000 * (c.n + 2) // (s.n + 2 * v.v) AS BIGINT) AS p, CAST(1 + 1000000000 * (c.n_lang + 2) // (v.n + 2 * v.v) AS BIGINT) AS q FROM c JOIN s USING (lang, source) JOIN v ON v.lang = c.lang),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM r) WHERE part = 'pair' OR k <= 10""",
 }
