@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, secrets, sharding, substrings
+from . import audit, decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, secrets, sharding, substrings, vector_codes
 from .common import read
 
 
@@ -50,8 +50,14 @@ def op11_audit(spark, sf_dir):
     return audit.op11_audit(read(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_secrets, op2_packing, op3_pii, op4_language, op5_suffix_dedup, op6_exact_dedup, op7_quality, op8_decontaminate, op9_sharding, op10_near_dedup, op11_audit)
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.op12_vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_secrets, op2_packing, op3_pii, op4_language, op5_suffix_dedup, op6_exact_dedup, op7_quality, op8_decontaminate, op9_sharding, op10_near_dedup, op11_audit, op12_vector_codes)
 QUERIES = {f.__name__: f for f in _ALL}
+_ROUND = """c{k} AS MATERIALIZED (SELECT part, e, dim, coalesce((s - ((s % m + m) % m)) // m, x) AS x FROM {before} LEFT JOIN (SELECT part, e, dim, sum(x) AS s, count(*) AS m FROM p JOIN (
+SELECT r, part, min(struct_pack(d := d, e := e)).e AS e FROM (SELECT r, part, e, sum((p.x - c.x) * (p.x - c.x)) AS d FROM p JOIN {before} c USING (part, dim) GROUP BY r, part, e) GROUP BY r, part) USING (r, part) GROUP BY part, e, dim) USING (part, e, dim)),"""
 SQL: dict[str, str] = {
     "op6_exact_dedup": """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS n FROM documents),
 g AS (SELECT t, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM d GROUP BY t)
@@ -86,4 +92,12 @@ x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) /
 r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
 UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM r) WHERE part = 'pair' OR k <= 10""",
+    "op12_vector_codes": f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, i // w AS part, i % w AS dim, v[i + 1] AS x FROM (SELECT r, v, len(v) // 8 AS w, unnest(range(len(v))) AS i FROM v)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS e, dim, x FROM p WHERE r <= 16),
+{chr(10).join(_ROUND.format(k=k, before=f"c{k - 1}") for k in range(1, 7))}
+a AS (SELECT r, part, min(struct_pack(d := d, e := e)) AS m FROM (SELECT r, part, e, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS d FROM p JOIN c6 c USING (part, dim) GROUP BY r, part, e) GROUP BY r, part),
+o AS (SELECT r, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, dim)) FROM c6) AS codebooks_sha256 FROM v JOIN o USING (r)""",
 }
