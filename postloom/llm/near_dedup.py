@@ -55,6 +55,7 @@ _LOWER[0x41:0x5B] += 0x20
 _CHUNK = 2 << 20
 _BLOCK = 1 << 16  # shingles, about, of a block of strays or members
 _BLOCK_ROWS = 256  # rows, about, of such a block
+_BYTES = 64  # bytes of text that weigh as much as a shingle, so a block has 4 MB at most, or one text
 _SALT_ROWS = 256  # comparisons of one pivot that go to one task
 
 
@@ -181,7 +182,7 @@ def _compared(s: Settings):
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """(a, b) of candidates -> the links: those whose full sets are similar enough."""
     n = partitions(pairs.sparkSession)
     rank = F.row_number().over(W.partitionBy("a", "part").orderBy("b")) - 1
@@ -267,8 +268,9 @@ def _crossed(s: Settings):
     return run
 
 
-def _strays(groups: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Links of groups (a, id, n) that hold several components."""
+def mixed_blocks(groups: DataFrame, labels: DataFrame, weights: DataFrame, s: Settings) -> DataFrame:
+    """(a, size, i, j, stray, id, component): groups (a, id, n) that hold several components, dealt to blocks of strays by blocks
+    of members. ``weights`` (id, weight): what a row takes of a block's ``_BLOCK`` besides its shingles."""
     labelled = groups.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     held = labelled.groupBy("a", "component").agg(F.count("*").alias("c"))
     held = held.groupBy("a").agg(F.count("*").alias("components"), F.max(F.struct("c", "component")).alias("top"))
@@ -276,11 +278,13 @@ def _strays(groups: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings)
     held = materialize(held, "near-held")  # a table by itself, so that the join can split the rows of a hot pivot
     # sizes fall into bands; a pair that is similar enough lies in one band or in two neighbouring ones
     width = math.log(100 / s.percent) * (1 + 1e-9)
-    mixed = labelled.join(held, "a").select("a", "id", "component", (F.col("component") != F.col("main")).alias("stray"), "n", F.floor(F.log("n") / width).alias("size"))
+    mixed = labelled.join(held, "a").join(weights, "id").select(
+        "a", "id", "component", (F.col("component") != F.col("main")).alias("stray"), F.greatest("n", "weight").alias("weight"), F.floor(F.log("n") / width).alias("size")
+    )
     mixed = materialize(mixed, "near-mixed")
     about = F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1))
-    strays = mixed.filter("stray").select("a", "id", "component", "n", about.alias("size"))
-    cut = lambda c: F.greatest(F.ceil(F.sum("n") / _BLOCK), F.ceil(F.count("*") / _BLOCK_ROWS)).cast("int").alias(c)
+    strays = mixed.filter("stray").select("a", "id", "component", "weight", about.alias("size"))
+    cut = lambda c: F.greatest(F.ceil(F.sum("weight") / _BLOCK), F.ceil(F.count("*") / _BLOCK_ROWS)).cast("int").alias(c)
     blocks = mixed.groupBy("a", "size").agg(cut("members")).join(strays.groupBy("a", "size").agg(cut("strays")), ["a", "size"])
     blocks = materialize(blocks, "near-blocks")
     own = lambda by: F.pmod(F.xxhash64("id"), F.col(by)).cast("int")
@@ -288,7 +292,13 @@ def _strays(groups: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings)
     cols = ["a", "size", "i", "j", "stray", "id", "component"]
     strays = strays.join(blocks, ["a", "size"]).select("a", "size", "id", "component", own("strays").alias("i"), F.lit(True).alias("stray"), every("members").alias("j"))
     members = mixed.join(blocks, ["a", "size"]).select("a", "size", "id", "component", own("members").alias("j"), F.lit(False).alias("stray"), every("strays").alias("i"))
-    dealt = strays.select(*cols).unionByName(members.select(*cols)).join(texts.hint("merge"), "id").select(*cols, "text")
+    return strays.select(*cols).unionByName(members.select(*cols))
+
+
+def strays(groups: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links of groups (a, id, n) that hold several components. Blocks are bounded by shingles and by bytes of text."""
+    weights = texts.select("id", F.ceil(F.octet_length("text") / _BYTES).alias("weight"))
+    dealt = mixed_blocks(groups, labels, weights, s).join(texts.hint("merge"), "id").select("a", "size", "i", "j", "stray", "id", "component", "text")
     dealt = dealt.repartition(partitions(groups.sparkSession), "a", "size", "i", "j").sortWithinPartitions("a", "size", "i", "j")
     return dealt.mapInArrow(_crossed(s), "a long, b long")
 
@@ -303,33 +313,34 @@ def _led(own: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(ends.join(leads, "component").select("id", "lead_id", "lead"), "near-leads")
 
 
-def near_dedup(docs: DataFrame, s: Settings = Settings(), row: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (see the contract of op10), and ``row`` where the caller has keys of rows."""
-    docs = docs.select(F.col(row).alias("row"), "doc_id", "text") if row else numbered(docs.select("doc_id", "text"), "row", "near-rows")
-    signed, own = classes(docs, s)
-    bucket = ["band", "value"]
-    bands = own.select("id", "n", F.posexplode("bands").alias("band", "value"))
-    shared = bands.groupBy(*bucket).agg(F.count("*").alias("c")).filter("c > 1")
-    company = F.sum("c").over(W.partitionBy("id"))  # a row a band
-    members = bands.join(shared, bucket).withColumn("company", company).drop("c")
-    members = materialize(members, "near-members")
+def grouped(members: DataFrame, bucket: list[str], name: str) -> DataFrame:
+    """Members (``bucket``, id, n) of buckets -> groups (a, id, n, na, ca, together): each bucket's pivot is the member with the
+    most company; ``together``: the buckets that a member shares with the pivot."""
+    shared = members.groupBy(*bucket).agg(F.count("*").alias("c")).filter("c > 1")
+    company = F.sum("c").over(W.partitionBy("id"))  # a row a bucket
+    members = members.join(shared, bucket).withColumn("company", company).drop("c")
+    members = materialize(members, f"{name}-members")
     top = members.groupBy(*bucket).agg(F.max(F.struct("company", (-F.col("id")).alias("minus"), "n")).alias("p"))
     top = top.select(*bucket, (-F.col("p.minus")).alias("a"), F.col("p.n").alias("na"), F.col("p.company").alias("ca"))
     groups = members.join(top, bucket).groupBy("a", "id").agg(F.first("n").alias("n"), F.first("na").alias("na"), F.first("ca").alias("ca"), F.count("*").alias("together"))
-    groups = materialize(groups, "near-groups")
-    texts = docs.select(F.col("row").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(groups.select("id").distinct().hint("merge"), "id")
-    texts = materialize(texts, "near-texts")
+    return materialize(groups, f"{name}-groups")
+
 
+def best_pivots(groups: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): each member with the pivot that it shares most with, where their sizes allow the similarity."""
     best = groups.filter("a <> id").groupBy("id").agg(F.max_by(F.struct("a", "n", "na"), F.struct("together", "ca", "a")).alias("p"))
     fits = 100 * F.least("p.n", "p.na") >= s.percent * F.greatest("p.n", "p.na")
-    links = _confirm(best.filter(fits).select(F.col("p.a").alias("a"), F.col("id").alias("b")), texts, s)
-    labels = materialize(components(links), "near-labels")
-    more = materialize(_strays(groups.select("a", "id", "n"), labels, texts, s), "near-stray-links")
-    if not more.isEmpty():
-        labels = components(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more))
-    labels = labels.withColumnRenamed("v", "id")
+    return best.filter(fits).select(F.col("p.a").alias("a"), F.col("id").alias("b"))
+
 
+def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(id, text) of the rows ``ids`` (id): a table."""
+    texts = docs.select(F.col("row").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return materialize(texts.join(ids.select("id").distinct().hint("merge"), "id"), name)
+
+
+def by_row(signed: DataFrame, own: DataFrame, labels: DataFrame, row: str | None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (and ``row``) of every row from the labels (id, component) of classes."""
     named = own.select("sha", "id", "doc_id").join(_led(own, labels), "id", "left")
     named = named.select("sha", F.coalesce("lead_id", "doc_id").alias("component_id"), F.coalesce("lead", "id").alias("lead"))
     filled = signed.filter("n > 0").join(named, "sha").select("row", "doc_id", "n", "component_id", "lead")
@@ -342,3 +353,17 @@ def near_dedup(docs: DataFrame, s: Settings = Settings(), row: str | None = None
         back(F.col("component_id")).alias("component_id"),
         (F.col("row") == F.col("lead")).alias("kept"),
     )
+
+
+def near_dedup(docs: DataFrame, s: Settings = Settings(), row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (see the contract of op10), and ``row`` where the caller has keys of rows."""
+    docs = docs.select(F.col(row).alias("row"), "doc_id", "text") if row else numbered(docs.select("doc_id", "text"), "row", "near-rows")
+    signed, own = classes(docs, s)
+    groups = grouped(own.select("id", "n", F.posexplode("bands").alias("band", "value")), ["band", "value"], "near")
+    texts = texts_of(docs, groups, "near-texts")
+    links = confirm(best_pivots(groups, s), texts, s)
+    labels = materialize(components(links), "near-labels")
+    more = materialize(strays(groups.select("a", "id", "n"), labels, texts, s), "near-stray-links")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return by_row(signed, own, labels.withColumnRenamed("v", "id"), row)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, secrets, sharding, substrings, vector_codes
+from . import audit, decontaminate, exact_dedup, jaccard_join, language, near_dedup, packing, pii, quality, secrets, sharding, substrings, vector_codes
 from .common import read
 
 
@@ -54,7 +54,11 @@ def op12_vector_codes(spark, sf_dir):
     return vector_codes.op12_vector_codes(read(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op1_secrets, op2_packing, op3_pii, op4_language, op5_suffix_dedup, op6_exact_dedup, op7_quality, op8_decontaminate, op9_sharding, op10_near_dedup, op11_audit, op12_vector_codes)
+def op13_jaccard_join(spark, sf_dir):
+    return jaccard_join.op13_jaccard_join(read(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_secrets, op2_packing, op3_pii, op4_language, op5_suffix_dedup, op6_exact_dedup, op7_quality, op8_decontaminate, op9_sharding, op10_near_dedup, op11_audit, op12_vector_codes, op13_jaccard_join)
 QUERIES = {f.__name__: f for f in _ALL}
 _ROUND = """c{k} AS MATERIALIZED (SELECT part, e, dim, coalesce((s - ((s % m + m) % m)) // m, x) AS x FROM {before} LEFT JOIN (SELECT part, e, dim, sum(x) AS s, count(*) AS m FROM p JOIN (
 SELECT r, part, min(struct_pack(d := d, e := e)).e AS e FROM (SELECT r, part, e, sum((p.x - c.x) * (p.x - c.x)) AS d FROM p JOIN {before} c USING (part, dim) GROUP BY r, part, e) GROUP BY r, part) USING (r, part) GROUP BY part, e, dim) USING (part, e, dim)),"""
@@ -100,4 +104,9 @@ c0 AS MATERIALIZED (SELECT part, r - 1 AS e, dim, x FROM p WHERE r <= 16),
 a AS (SELECT r, part, min(struct_pack(d := d, e := e)) AS m FROM (SELECT r, part, e, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS d FROM p JOIN c6 c USING (part, dim) GROUP BY r, part, e) GROUP BY r, part),
 o AS (SELECT r, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a GROUP BY r)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, dim)) FROM c6) AS codebooks_sha256 FROM v JOIN o USING (r)""",
+    "op13_jaccard_join": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS g FROM w), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT doc_id, doc_id AS v FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.v = e.a), m AS (SELECT doc_id, min(v) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM m LEFT JOIN n ON m.doc_id = n.doc_id""",
 }
