@@ -195,7 +195,7 @@ def boundary(own: DataFrame, listed: DataFrame, s: Join) -> int:
 
 @lru_cache
 def _left_out(n: int, k: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k)
+    return np.array(list(combinations(range(n), k)), np.int64).reshape(math.comb(n, k), k)
 
 
 def _subsets(s: Join, most: int):

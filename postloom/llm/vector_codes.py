@@ -18,8 +18,8 @@ every part goes to its nearest entry, every entry becomes the floor of the mean
 Vectors are never shuffled; only sums and, for the errors of labels, partial sums are.
 
 Defined cases: rows whose vector is null, or holds a null, NaN or infinite component, are dropped; vectors shorter than the
-longest kept one count as filled up with zeros, and all as filled up to a multiple of ``parts`` (so empty vectors have length 0
-and error 0); with fewer kept vectors than entries a codebook has as many as there are vectors; repeated rows count each, and
+longest kept one count as filled up with zeros, and all as filled up to a multiple of ``parts`` (so an empty vector is one of
+zeros); with fewer kept vectors than entries a codebook has as many as there are vectors; repeated rows count each, and
 the first entries are taken in the order of vec_id (null last), then vector; labels that are null belong together; an empty table
 gives an empty result; integers so large that a squared distance might pass 63 bits are refused with an error; other columns are
 not looked at.
@@ -69,7 +69,7 @@ def integers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def longest(vectors: DataFrame, column: str, parts: int) -> int:
-    """The length of the longest kept vector, up to a multiple of ``parts``."""
+    """The length of the longest kept vector, up to a multiple of ``parts``, which is the least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = 0
@@ -81,7 +81,7 @@ def longest(vectors: DataFrame, column: str, parts: int) -> int:
         yield pa.RecordBatch.from_arrays([pa.array([most])], names=["n"])
 
     most = vectors.select(column).mapInArrow(run, "n long").agg(F.max("n")).first()[0] or 0
-    return -(-most // parts) * parts
+    return max(1, -(-most // parts)) * parts
 
 
 def first_entries(vectors: DataFrame, key: str, column: str, width: int, parts: int, entries: int) -> np.ndarray:
