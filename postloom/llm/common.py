@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 NULL_ID = np.iinfo(np.int64).max  # a row without an id sorts after every row that has one
 
@@ -50,11 +51,16 @@ def release(spark: SparkSession) -> None:
     drop(spark, _LEFT)
 
 
+def keep(held: list[tuple[str, str]]) -> None:
+    """Leave what is listed to ``release``."""
+    _LEFT.extend(held)
+
+
 @contextmanager
-def scratch(held: list[tuple[str, str]]) -> Iterator[None]:
+def scratch(held: list[tuple[str, str]]) -> Iterator[list[tuple[str, str]]]:
     """Lists in ``held`` what operators write inside, for ``drop``."""
     mark = len(_LEFT)
-    yield
+    yield held
     held.extend(_LEFT[mark:])
     del _LEFT[mark:]
 
@@ -105,6 +111,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off
 
 
+def integer_ids(docs: DataFrame) -> DataFrame:
+    """``docs``, if its ids are integers."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be an integer column, not {kind.simpleString()}")
+    return docs
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     """Row ids as int64; null: ``NULL_ID``."""
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, coded_words, distinct, ids_of, materialize, ranges, text_bytes
+from .common import NULL_ID, chunks, coded_words, distinct, ids_of, integer_ids, materialize, ranges, text_bytes
 
 WINDOW = 10
 GAP = 64  # free places between documents: more than any slop
@@ -173,7 +173,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
 
 def op8_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The contract of op8: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = search(build_index(docs), items)
+    found = search(build_index(integer_ids(docs)), items)
     return found.select(
         "doc_id",
         "n_words",

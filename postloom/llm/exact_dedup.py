@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, ids_of, materialize, partitions, text_bytes
+from .common import NULL_ID, chunks, ids_of, integer_ids, materialize, partitions, text_bytes
 
 CAPACITY = 1 << 20  # bytes of a bucket
 MAX_DEPTH = 20
@@ -170,7 +170,7 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 def dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256 (see the contract of op6)."""
-    rows = materialize(keyed(docs), "exact-keys")
+    rows = materialize(keyed(integer_ids(docs)), "exact-keys")
     index = build_index(rows, capacity, max_depth)
     back = lambda c: F.when(c == int(NULL_ID), None).otherwise(c)
     found = rows.select("doc_id", "key", "sha").join(index.select("key", "sha", "n", "keep_id"), ["key", "sha"])

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, distinct, ids_of, materialize, mix, numbered, partitions, text_bytes
+from .common import chunks, distinct, ids_of, integer_ids, materialize, mix, numbered, partitions, text_bytes
 from .components import components
 from .near_dedup import Settings, best_pivots, by_row, confirm, grouped, mixed_blocks, sequences, shingles, strays, texts_of
 
@@ -300,7 +300,7 @@ def sieved_groups(groups: DataFrame, labels: DataFrame, own: DataFrame, s: Join)
 
 def jaccard_join(docs: DataFrame, s: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: every document with the smallest doc_id that links reach from it."""
-    docs = numbered(docs.select("doc_id", "text"), "row", "jaccard-rows")
+    docs = numbered(integer_ids(docs).select("doc_id", "text"), "row", "jaccard-rows")
     signed, own = classes(docs, s)
     listed = lists(own, s)
     most = boundary(own, listed, s) if s.boundary is None else s.boundary

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import NULL_ID, chunks, coded_words, distinct, hash_words, ids_of, materialize, mix, numbered, partitions, ranges, text_bytes
+from .common import NULL_ID, chunks, coded_words, distinct, hash_words, ids_of, integer_ids, materialize, mix, numbered, partitions, ranges, text_bytes
 from .components import components
 
 _SPACE = np.zeros(256, bool)
@@ -357,6 +357,7 @@ def by_row(signed: DataFrame, own: DataFrame, labels: DataFrame, row: str | None
 
 def near_dedup(docs: DataFrame, s: Settings = Settings(), row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (see the contract of op10), and ``row`` where the caller has keys of rows."""
+    docs = integer_ids(docs)
     docs = docs.select(F.col(row).alias("row"), "doc_id", "text") if row else numbered(docs.select("doc_id", "text"), "row", "near-rows")
     signed, own = classes(docs, s)
     groups = grouped(own.select("id", "n", F.posexplode("bands").alias("band", "value")), ["band", "value"], "near")

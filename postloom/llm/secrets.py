@@ -3,10 +3,11 @@
 Three fixed patterns give the base spans. Besides, values that stand in a credential context (a credential word, a
 separator, a value) get a guess cost: the cheapest segmentation of the value into dictionary words, dates, repeats,
 sequences, keyboard walks and brute-force spans, found by dynamic programming and given as log10 of the guesses. Values that
-cost at least ``least`` are reported as spans of kind ``guess``. The dictionary is ranked: first the words that passwords
-are made of, then the ``DICTIONARY`` most frequent words of the corpus itself, counted over all documents.
+cost at least ``least`` are reported as spans of kind ``guess``. The dictionary is ranked: the words that passwords are made of,
+then, for callers that have one, words of their own. The corpus under test gives none: a secret that leaked into many documents
+would become a word of it and hide itself. ``frequent_words`` makes such a dictionary from another, trusted corpus.
 
-Each document is read on its own and whole; only word counts are shuffled. The minimum is over all segmentations: spans of bounded
+Each document is read on its own and whole, so what is found in a text does not depend on other documents. The minimum is over all segmentations: spans of bounded
 length (words, dates) are tried one by one, and for spans of any length (repeats, sequences, walks) the price grows with the
 logarithm of the length, so the best start for each end comes from a stack of candidates that overtake each other once. The
 time is linear in the value.
@@ -66,7 +67,7 @@ _YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12]\d
 DATE = re.compile(rf"{_YEAR}([-/._]?){_MONTH}\1{_DAY}|{_DAY}([-/._]?){_MONTH}\2{_YEAR}|{_YEAR}")
 DATE_LENGTHS = (4, 6, 7, 8, 9, 10)
 TURN = 0.7  # log10 of the guesses for each straight part of a walk
-DICTIONARY = 20_000  # words of the corpus that count as words; a broadcast of some 300 kB
+DICTIONARY = 20_000  # words of a trusted corpus that count as words; a broadcast of some 300 kB
 SHORTEST, LONGEST = 3, 20  # letters of such a word
 SEEN = 10  # times that it occurs at least
 LEAST = 9.0  # log10 of the guesses from which a value counts as a secret
@@ -268,7 +269,7 @@ def _listed(spans: Column) -> Column:
 
 def op1_secrets(docs: DataFrame) -> DataFrame:
     """The contract of op1: counts of base kinds, digest of base spans, all spans; with the costliest value's cost."""
-    found = scan(docs, ["doc_id"], words=frequent_words(docs))
+    found = scan(docs, ["doc_id"])
     of = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id",

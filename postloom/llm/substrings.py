@@ -41,10 +41,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LEFT, NULL_ID, RunHash, chunks, ids_of, materialize, partitions, ranges, shared_dir, text_bytes
+from .common import _LEFT, NULL_ID, RunHash, chunks, ids_of, integer_ids, materialize, partitions, ranges, shared_dir, text_bytes
 
 SIZE = 50
 TOKEN = 20
@@ -65,15 +66,16 @@ def _unzip(b: bytes, kind=np.uint8) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, name: str = "text", block: int = BLOCK) -> DataFrame:
-    """block (a number), n_bytes, ids, ends, body: some documents each."""
+    """block (a number), n_bytes, ids, ends, body: some documents each. Numbers are by task and place, so a repeated task gives
+    its blocks the same ones; ``docs`` has to come in the same order then, as a table does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng()
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, (data, off) = ids_of(batch.column(0)), text_bytes(batch.column(1))
             for i, j in chunks(off, block):
                 part = data[off[i] : off[j]]
-                row = [pa.array([int(rng.integers(2**63))]), pa.array([len(part)])]
+                row, number = [pa.array([number]), pa.array([len(part)])], number + 1
                 row += [pa.array([_zip(x)], pa.binary()) for x in (ids[i:j], off[i + 1 : j + 1] - off[i], part)]
                 yield pa.RecordBatch.from_arrays(row, names=["block", "n_bytes", "ids", "ends", "body"])
 
@@ -382,7 +384,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def cut(docs: DataFrame, name: str = "text", size: int = SIZE, block: int = BLOCK, texts: bool = False, part: int = PART) -> DataFrame:
     """Of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also kept (binary)."""
     spark = docs.sparkSession
-    blocks = blocks_of(docs, name, block)
+    blocks = blocks_of(integer_ids(docs), name, block)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n = min(MAX_BUCKETS, max(4 * partitions(spark), -(-total // BUCKET)))
     some = blocks.select("block").orderBy(F.xxhash64("block")).limit(max(SAMPLE, -(-n // PER_BLOCK))).collect()  # 40 numbers at most

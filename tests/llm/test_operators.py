@@ -155,12 +155,24 @@ def test_words_of_the_corpus_are_cheap(spark):
     assert secrets.frequent_words(many, n=20) == ["ab" + chr(97 + i) for i in range(19, -1, -1)]
     assert secrets.frequent_words(many, n=5) == ["ab" + chr(97 + i) for i in range(19, -1, -1)][: len(secrets.frequent_words(many, n=5))]
     assert 0 < len(secrets.frequent_words(many, n=5)) <= 5 and secrets.frequent_words(empty(spark)) == []
-    got = found(secrets.op1_secrets(docs), "doc_id", "n_guess")
-    assert got[9] == (0,) and got[10] == (1,)  # a word that occurs once is no word of the corpus
+    n = lambda df: {r.doc_id: len([x for x in r.secrets if x.kind == "guess"]) for r in df.collect()}
+    got = n(secrets.scan(docs, ["doc_id"], words=secrets.frequent_words(docs)))
+    assert got[9] == 0 and got[10] == 1
+    got = n(secrets.scan(docs, ["doc_id"]))
+    assert got[9] == 1 and got[10] == 1  # without a dictionary of one's own a long word is no cheap one
     kinds = lambda t, words: [s["kind"] for s in secrets.find(t, ranks=secrets.ranked(words), longest=20)]
     assert kinds("credentials: xqzvkjwpmtrb", ["neverending"]) == ["guess"] and kinds("credentials: neverending", ["neverending"]) == []
 
 
+def test_secrets_do_not_hide_by_being_repeated(spark):
+    """A leaked value is found in each document, however many hold it."""
+    text = "credentials: xqzvkjwpmtrb and more"
+    alone = found(secrets.op1_secrets(frame(spark, [(0, text)])), "n_guess", "spans", "max_log10_guesses")
+    for n in (9, 10, 12, 1000):
+        got = secrets.op1_secrets(frame(spark, [(i, text) for i in range(n)])).select("n_guess", "spans", "max_log10_guesses")
+        assert got.count() == n and {r[0]: tuple(r)[1:] for r in got.distinct().collect()} == alone and list(alone) == [1]
+
+
 def test_weak_values_are_no_secrets():
     kinds = lambda t: [s["kind"] for s in secrets.find(t)]
     assert kinds("password is aaaaaaaaaadmin1") == [] and kinds("Authorization: Bearer xK9mP2vLqT77zR") == ["guess"]
@@ -408,6 +420,19 @@ def test_merges_are_verified():
     assert [bytes(data[begin[first[n]] : begin[first[n]] + size[first[n]]]) for n in number] == [bytes(data[a : a + n]) for a, n in zip(begin, size)]
 
 
+def test_blocks_keep_their_numbers_when_a_task_is_repeated(spark):
+    docs = frame(spark)
+    once, again = (sorted((r.block, r.n_bytes, bytes(r.ids)) for r in substrings.blocks_of(docs, block=500).collect()) for _ in range(2))
+    assert once == again and len({b for b, _, _ in once}) == len(once) > 10
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for work in (substrings.op5_suffix_dedup, exact_dedup.dedup, near_dedup.near_dedup, lambda d: decontaminate.op8_decontaminate(d, docs)):
+        with pytest.raises(TypeError, match="doc_id must be an integer"):
+            work(docs)
+
+
 def test_substrings_of_nothing(spark):
     assert substrings.cut(empty(spark)).count() == 0
 

@@ -69,6 +69,19 @@ def test_run(spark, tmp_path):
     assert len({r.doc_id for r in out}) < len(ROWS) + 80
 
 
+def test_runs_do_not_disturb_each_other(spark, tmp_path):
+    """A result that is not read yet outlives another run, and stages that are called by themselves."""
+    sf = folder(spark, tmp_path)
+    once = corpus_pipeline.run(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    packed = corpus_pipeline.pack(spark, docs, sf)
+    kept = corpus_pipeline.keep_quality(spark, docs, sf)
+    again = corpus_pipeline.run(spark, sf)
+    assert kept.count() and packed.count() >= docs.count()
+    n = once.count()
+    assert n and n == again.count() == once.count()
+
+
 def test_stages_take_an_empty_table(spark, tmp_path):
     sf = folder(spark, tmp_path)
     docs = frame(spark).selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars").limit(0)
