@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 ``documents``. ``run`` cuts lineage between stages with a table in the shared folder. A stage that drops rows first writes
 its input with a key for each row, decides on that key and drops by it, so null and repeated ids do no harm.
 
-A stage's result must be written before the next stage is begun: each stage first drops the scratch tables of the one before,
-so the shared folder holds those of one stage at a time.
+``run`` deletes what a stage left in the shared folder once that stage's output is written; what the packed result itself reads
+stays until ``postloom.llm.common.release``. So any number of runs may go on in a session. Whoever calls the stages of ``STAGES``
+one by one writes each result before going on: the second to the last stage delete what the one before them left. A first stage
+deletes nothing, and nothing of a last stage is deleted.
 """
 
 from __future__ import annotations
@@ -16,22 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from postloom.llm.common import drop, materialize, numbered, read, scratch
+from postloom.llm.common import drop, keep, materialize, numbered, read, scratch
 
 ROW = "_row"
-_HELD: list[tuple[str, str]] = []  # scratch tables of the last stage
+_HELD: list[tuple[str, str]] = []  # what the last stage left, where stages are called one by one
 
 
 def stage(f):
-    """A stage that drops the last one's scratch tables, and lists its own."""
+    """A stage that may be called by itself; ``run`` calls the function inside."""
 
     @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    def work(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if f.__name__ == STAGES[0][1].__name__:
+            _HELD.clear()  # of another series of calls, whose result may still be read
         drop(spark, _HELD)
-        with scratch(_HELD):
-            return f(spark, docs, sf_dir)
+        with scratch([] if f.__name__ == STAGES[-1][1].__name__ else _HELD) as own:
+            out = f(spark, docs, sf_dir)
+        keep(own if own is not _HELD else [])
+        return out
 
-    return run
+    return work
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -85,9 +91,13 @@ ORACLE_SQL = None  # a fitted classifier, MinHash and a tokenizer have no SQL; s
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, work in STAGES:
-        docs = work(spark, docs, sf_dir)
-        if work is not pack:
-            docs = materialize(docs, name.replace(" ", "-").lower())
-    return docs
+    docs, before = read(spark, sf_dir, "documents"), []
+    for name, work in STAGES[:-1]:
+        with scratch([]) as own:
+            out = work.__wrapped__(spark, docs, sf_dir)
+        with scratch([]) as written:
+            docs = materialize(out, name.replace(" ", "-").lower())
+        drop(spark, own + before)
+        before = written
+    keep(before)
+    return STAGES[-1][1].__wrapped__(spark, docs, sf_dir)
