@@ -10,17 +10,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DataType, IntegerType, StringType, StructField, StructType
 
 from ..operators import tracking as TR
 from ..operators.joins import only_new
+from .keyed import Runs
 
 
-PREFIX = 2  # leading signs of a key that name its part of a keyed table
-COMPACT = 32  # batches after which the parts of an append-only table are written anew
+COMPACT = 8  # runs of a keyed table that are merged into one
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -77,60 +77,49 @@ def score_stream(postings: DataFrame, score: Callable[[DataFrame], DataFrame], o
     return start(score(postings).filter(F.col("score") >= least), write, checkpoint, processingTime=f"{seconds} seconds")
 
 
-# ---- keyed tables: Parquet parts by the leading signs of the key, so a batch reads and writes the parts it touches -----
+# ---- keyed tables (see keyed.py): a batch adds a run, and opens the files that may hold its keys ---------------------------
 
 
-def _part(key: str) -> Column:
-    return F.substring(key, 1, PREFIX)
-
-
-def _touched(rows: DataFrame, key: str) -> list[str]:
-    return [r.p for r in rows.select(_part(key).alias("p")).distinct().collect()]  # at most 16**PREFIX
-
-
-def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The table at ``path``, its part as column ``p``; empty where there is none yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], _with(schema, "p", StringType()))
-    return spark.read.schema(_with(schema, "p", StringType())).parquet(path)
-
-
-def _replace(rows: DataFrame, path: str, stage: str) -> None:
-    """The parts that ``rows`` (with ``p``) belong to become ``rows``. They may be read from ``path``, so they are staged."""
-    rows.write.mode("overwrite").parquet(stage)
-    staged = rows.sparkSession.read.schema(rows.schema).parquet(stage)
-    staged.repartition("p").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("p").parquet(path)
+def _stream_of(spark: SparkSession) -> str:
+    """The id of the streaming query that calls, if one does: a stream with a new checkpoint counts its batches anew."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
 def dedup_batch(seen_path: str, new_path: str) -> Callable[[DataFrame, int], None]:
-    """Permanent dedup: first-wins rows of unseen keys go to the seen table and on. A batch reads the parts that its keys are
-    in. A repeated batch does not count its own rows as seen; that it appends them again does no harm, and every ``COMPACT``
-    batches the table is written anew."""
-    schema = StructType().add("key", "string").add("batch", "integer")
+    """Permanent dedup: first-wins rows of unseen keys go on, and their keys to the seen table. New rows are written first; the
+    seen table takes the keys and the batch's number in one step, so a batch that fails anywhere before is done again from the
+    same state, and one that was done is not done again."""
+    schema = StructType().add("key", "string")
 
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        known = _read(spark, seen_path, schema).filter((F.col("batch") < batch) & F.col("p").isin(_touched(rows, "key")))
+        seen = Runs(spark, seen_path, schema, fan=COMPACT, unique=True, linger=False)
+        source = f"{new_path} {_stream_of(spark)}".strip()
+        if seen.done(source, batch):
+            return
+        rows = rows.persist()
+        known = seen.lookup(rows.select("key"), rows.count())
         only_new(rows, known).write.mode("overwrite").parquet(f"{new_path}/batch={batch}")
-        new = spark.read.parquet(f"{new_path}/batch={batch}").select("key", F.lit(batch).alias("batch"), _part("key").alias("p"))
-        new.repartition("p").write.mode("append").partitionBy("p").parquet(seen_path)
-        if batch % COMPACT == COMPACT - 1:
-            whole = _read(spark, seen_path, schema).groupBy("key", "p").agg(F.min("batch").alias("batch"))
-            _replace(whole.select("key", "batch", "p"), seen_path, f"{seen_path}-stage")
+        new = spark.read.parquet(f"{new_path}/batch={batch}").select("key")
+        seen.append(new, new.count(), source, batch)
+        rows.unpersist()
 
     return write
 
 
 def upsert_batch(path: str, schema: StructType, key: str = "dedup_id", order: str | None = None, preserve: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
-    """Keyed upsert of a batch: the last row of a key (by ``order``) replaces the old one as a whole."""
+    """Keyed upsert of a batch: the last row of a key (by ``order``) replaces the old one as a whole. Old rows are looked up only
+    for columns that keep their value. A repeated batch adds the same rows again."""
 
     def write(rows: DataFrame, batch: int) -> None:
         if order:
             rows = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        new = rows.select(*schema.names)
-        old = _read(rows.sparkSession, path, schema).filter(F.col("p").isin(_touched(new, key))).drop("p")
-        _replace(TR.upsert(old, new, key, preserve).withColumn("p", _part(key)), path, f"{path}-stage")
+        table = Runs(rows.sparkSession, path, schema, key, fan=COMPACT)
+        new = rows.select(*schema.names).persist()
+        n = new.count()
+        old = table.lookup(new.select(key), n) if preserve else rows.sparkSession.createDataFrame([], schema)
+        table.append(TR.upsert(old, new, key, preserve), n, "upsert", batch)
+        new.unpersist()
 
     return write
 
@@ -139,20 +128,23 @@ def status_batch(path: str, schema: StructType) -> Callable[[DataFrame, int], No
     """Callbacks (data, ts) change rows of a keyed table of postings (column key); unknown actions and ids are ignored."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        calls = TR.parse_callbacks(rows)
-        old = _read(rows.sparkSession, path, schema).filter(F.col("p").isin(_touched(calls, "short_id")))
-        _replace(TR.apply_status(old, calls), path, f"{path}-stage")
+        table = Runs(rows.sparkSession, path, schema, fan=COMPACT)
+        calls = TR.parse_callbacks(rows).persist()
+        changed = TR.apply_status(table.lookup(calls.select("short_id"), calls.count()), calls).persist()
+        table.append(changed, changed.count(), "status", batch)
+        changed.unpersist()
+        calls.unpersist()
 
     return write
 
 
 def keyed_table(df: DataFrame, path: str, key: str = "key") -> None:
     """A table that ``upsert_batch`` and ``status_batch`` can change."""
-    df.withColumn("p", _part(key)).repartition("p").write.partitionBy("p").parquet(path)
+    Runs(df.sparkSession, path, df.schema, key).append(df, df.count())
 
 
-def read_keyed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return _read(spark, path, schema).drop("p")
+def read_keyed(spark: SparkSession, path: str, schema: StructType, key: str = "key") -> DataFrame:
+    return Runs(spark, path, schema, key).table()
 
 
 def ttl_dedup(df: DataFrame, key: list[str], at: str = "ts", days: int = 30) -> DataFrame:
