@@ -518,5 +518,6 @@ l AS (SELECT company, streak, ts FROM s QUALIFY row_number() OVER (PARTITION BY
 SELECT company, CAST(streak AS BIGINT) AS streak, CASE WHEN streak < 3 THEN 'closed' WHEN epoch_ms(ts) + 30000 < (SELECT epoch_ms(max(ts)) FROM v_obs) THEN 'half_open' ELSE 'open' END AS state FROM l""")
 def j08_health(spark, sf):
     """All outcomes as a stream, then the timers that are due by the last watermark."""
-    rows = jobs.drain(jobs.fetch_health(_events(spark, sf).select("company", "ts", "event_id", "ok")), "health")
+    with jobs.rocksdb(spark):
+        rows = jobs.drain(jobs.fetch_health(_events(spark, sf).select("company", "ts", "event_id", "ok")), "health")
     return rows.groupBy("company").agg(F.max_by(F.struct("streak", "state"), "batch").alias("r")).select("company", "r.*")

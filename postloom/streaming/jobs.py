@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DataType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
 from ..operators import tracking as TR
 from ..operators.joins import only_new
@@ -170,34 +172,89 @@ def fan_out_sinks(sinks: dict[str, Callable[[DataFrame], DataFrame]], out: str)
     return write
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, as ``fetch_health`` needs; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+class _Behind:
+    """Of outcomes in any order: the last success, and the failures behind it."""
+
+    def __init__(self):
+        self.good, self.failed, self.limit = None, [], 1 << 12
+
+    def add(self, ts: np.ndarray, number: np.ndarray, ok: np.ndarray) -> None:
+        if ok.any():
+            at = np.lexsort([number[ok], ts[ok]])[-1]
+            best = (int(ts[ok][at]), int(number[ok][at]))
+            self.good = max(self.good or best, best)
+        self.failed.append((ts[~ok], number[~ok]))
+        if sum(len(t) for t, _ in self.failed) > self.limit:
+            self.limit = 2 * len(self.left()) + (1 << 12)
+
+    def left(self) -> np.ndarray:
+        """The times of the failures behind the last success; others are forgotten."""
+        ts, number = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*self.failed, (np.zeros(0, np.int64),) * 2))
+        if self.good:
+            keep = (ts > self.good[0]) | ((ts == self.good[0]) & (number > self.good[1]))
+            ts, number = ts[keep], number[keep]
+        self.failed = [(ts, number)]
+        return ts
+
+
+class Health(StatefulProcessor):
+    """A company's streak of failures and the time of the last one, in milliseconds: all that is kept between batches."""
+
+    def __init__(self, failures: int, cooldown: int):
+        self.failures, self.cooldown = failures, 1000 * cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("streak", StructType().add("streak", "long").add("last", "long"))
+
+    def _said(self, key: tuple, streak: int, state: str) -> pd.DataFrame:
+        return pd.DataFrame({"company": [key[0]], "streak": [streak], "state": [state]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        streak, last = self.value.get() if self.value.exists() else (0, 0)
+        seen = _Behind()
+        for batch in rows:
+            seen.add(batch["ts"].to_numpy("datetime64[us]").astype(np.int64), batch["event_id"].to_numpy(np.int64), batch["ok"].to_numpy(bool))
+        failed = seen.left()
+        if seen.good:
+            streak, last = 0, 0
+        if len(failed):
+            streak, last = streak + len(failed), max(last, int(failed.max()) // 1000)
+        self.value.update((int(streak), int(last)))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if streak >= self.failures:
+            self.handle.registerTimer(last + self.cooldown + 1)
+        yield self._said(key, int(streak), "open" if streak >= self.failures else "closed")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._said(key, int(self.value.get()[0]), "half_open")
+
+    def close(self) -> None:
+        pass
+
+
 def fetch_health(df: DataFrame, failures: int = 3, cooldown: int = 30, late: str = "0 seconds") -> DataFrame:
-    """Live state of each company from a stream of outcomes (company, ts, event_id, ok): streak and state after each batch.
+    """Live state of each company from a stream of outcomes (company, ts, event_id, ok): streak and state after each batch. Start
+    it inside ``rocksdb``.
 
     A company is open from ``failures`` failures in a row on; a timer in event time makes it half_open once the watermark is
-    more than ``cooldown`` seconds past its last failure; a success closes it. The state is two numbers a company. Of a batch's
-    rows a task keeps only the failures behind the last success seen so far.
+    more than ``cooldown`` seconds past its last failure; a success closes it, and a failure then opens it again. The state is
+    two numbers a company. A batch's rows come in any order, so while it runs a task holds 16 bytes for each failure of one company
+    behind its last success in the batch; the source's rate bounds the batch.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, last = state.get if state.exists else (0, 0)
-        if state.hasTimedOut:
-            name = "half_open"
-        else:
-            good, failed = None, []
-            for rows in batches:
-                at = pd.MultiIndex.from_arrays([rows["ts"], rows["event_id"]])
-                ok = at[rows["ok"].to_numpy(bool)]
-                if len(ok) and (good is None or ok.max() > good):
-                    good = ok.max()
-                failed = [x for x in [*failed, *at[~rows["ok"].to_numpy(bool)]] if good is None or x > good]
-            streak = len(failed) + (0 if good is not None else streak)
-            last = int(max(failed)[0].timestamp() * 1000) if failed else 0 if good is not None else last
-            name = "open" if streak >= failures else "closed"
-        state.update((int(streak), last))
-        if name == "open":
-            # a timer can't lie in the past; one that does fires with the next step of the watermark
-            state.setTimeoutTimestamp(max(last + cooldown * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"company": [key[0]], "streak": [streak], "state": [name]})
-
-    df = df.withWatermark("ts", late)
-    return df.groupBy("company").applyInPandasWithState(step, "company string, streak long, state string", "streak long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return df.withWatermark("ts", late).groupBy("company").transformWithStateInPandas(
+        Health(failures, cooldown), "company string, streak long, state string", "Append", "EventTime"
+    )

@@ -103,3 +103,47 @@ def test_a_stream_starts_where_it_ended(spark, tmp_path):
     add([20])
     run("other")
     assert [r.source_id for r in spark.read.parquet(f"{out}/other").collect()] == ["20"]
+
+
+def test_fetch_health_by_timers(spark, tmp_path):
+    """Three failures open, 30 seconds of event time half-open, then a failure opens and a success closes; over restarts."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    out, data = jobs.shared_dir(spark, "health"), str(tmp_path / "in")
+    schema = "company string, ts timestamp, event_id long, ok boolean"
+
+    def said(*rows):
+        df = spark.createDataFrame([(c, second, i, ok) for i, (c, second, ok) in enumerate(rows)], "company string, second long, event_id long, ok boolean")
+        df.select("company", F.timestamp_seconds("second").alias("ts"), "event_id", "ok").coalesce(1).write.mode("append").parquet(data)
+        got = []
+        with jobs.rocksdb(spark):
+            jobs.start(jobs.fetch_health(spark.readStream.schema(schema).parquet(data)), lambda df, n: got.extend(tuple(r) for r in df.collect()), f"{out}/checkpoint").awaitTermination()
+        return got
+
+    assert sorted(said(("a", 100, False), ("a", 101, False), ("b", 100, True), ("a", 99, True))) == [("a", 2, "closed"), ("b", 0, "closed")]
+    got = said(("a", 103, False), ("b", 104, False))
+    assert sorted(got) == [("a", 3, "open"), ("b", 1, "closed")]
+    got = said(("b", 133, True))  # 30 seconds are not more than 30
+    assert got == [("b", 0, "closed")]
+    got = said(("b", 134, True))
+    assert got == [("b", 0, "closed"), ("a", 3, "half_open")]
+    assert said(("a", 140, False)) == [("a", 4, "open")]
+    got = said(("b", 200, True))
+    assert got[-1] == ("a", 4, "half_open")
+    assert said(("a", 201, True), ("a", 202, False)) == [("a", 1, "closed")]
+    assert not [r for r in said(("b", 400, True)) if r[0] == "a"]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_failures_behind_the_last_success():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in (1, 50, 20_000):
+        ts, ok = r.integers(0, n, n), r.random(n) < 0.001
+        number = r.permutation(n)
+        seen = jobs._Behind()
+        for k in range(0, n, 777):
+            seen.add(ts[k : k + 777], number[k : k + 777], ok[k : k + 777])
+        rows = sorted(zip(ts.tolist(), number.tolist(), ok.tolist()))
+        last = max((i for i, x in enumerate(rows) if x[2]), default=-1)
+        assert sorted(seen.left().tolist()) == [x[0] for x in rows[last + 1 :]]
