@@ -54,12 +54,6 @@ def strip_html(c: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(c, r"<[^>]*(>|$)", " "), ">", ""))
 
 
-def html_text(c: Column) -> Column:
-    """Text nodes joined by line ends, three or more of them made two."""
-    nodes = F.filter(F.transform(F.split(c, r"<[^>]*>"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.regexp_replace(F.array_join(nodes, "\n"), r"\n{3,}", "\n\n")
-
-
 def trim_html(c: Column, limit: int = 60_000) -> Column:
     """Scripts, styles and comments become spaces, white space is collapsed, the rest is cut at ``limit``."""
     for tag in ("script", "style"):

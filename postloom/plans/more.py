@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import automaton as AU
+from ..functions import html as HT
 from ..functions import text as T
 from ..functions import time as TM
 from ..operators import aggregates as A
@@ -57,9 +59,33 @@ def h02_named_dates(spark, sf):
     return V_.post(spark, sf).select("source_id", F.date_format(millis, "yyyy-MM-dd").alias("from_millis"), F.date_format(TM.parse_named(raw), "yyyy-MM-dd").alias("from_name"))
 
 
-@query("SELECT page_id, regexp_replace(array_to_string(list_filter(list_transform(string_split_regex(html, '<[^>]*>'), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM pages")
+# Comments, whole scripts and styles, and tags with their quoted attributes end a text node; then references are replaced.
+_NO_TEXT = "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<[a-z/!](?:[^''\">]|\"[^\"]*\"|''[^'']*'')*>"
+_NODE = "CASE WHEN regexp_full_match(x, '[ \\n\\t\\f\\r]+') THEN CASE WHEN contains(x, chr(10)) THEN chr(10) ELSE ' ' END ELSE x END"
+_PLAIN = f"regexp_replace({_NODE}, '&amp($|[^A-Za-z0-9;.-])', chr(2) || '\\1', 'g')"  # one without its semicolon
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("eacute", "é"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    _PLAIN = f"replace({_PLAIN}, '&{_name};', '{_sign}')"
+_PLAIN = f"replace({_PLAIN}, chr(2), '&')"
+
+
+@query(f"""WITH p AS (SELECT page_id, page_id % 3 = 0 AS odd, html FROM pages), h AS (SELECT page_id, CASE WHEN odd THEN '<!-- a > b --><p title="x>y">R&amp;D caf&eacute;<script>if (1<2) {{}}</script> ' || html ELSE html END AS html FROM p)
+SELECT page_id, trim(regexp_replace(array_to_string(list_transform(list_filter(string_split(regexp_replace(html, '{_NO_TEXT}', chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: {_PLAIN}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM h""")
 def h05_html_text(spark, sf):
-    return V_.table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+    """Pages, every third one with a comment, a quoted bracket, references and a script besides."""
+    odd = F.concat(F.lit('<!-- a > b --><p title="x>y">R&amp;D caf&eacute;<script>if (1<2) {}</script> '), "html")
+    page = F.when(F.col("page_id") % 3 == 0, odd).otherwise(F.col("html"))
+    return V_.table(spark, sf, "pages").select("page_id", HT.html_text(page).alias("text"))
+
+
+@query(f"""WITH {V_.POST}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^\\x00-\\x60\\x7B-\\x7F]{{4,}}')) AS term FROM benchmark),
+h AS (SELECT source_id, min(term) AS first, CAST(count(*) AS INTEGER) AS n FROM (SELECT source_id, lower(description_text) AS d FROM v_post) p JOIN v ON contains(p.d, v.term) GROUP BY source_id)
+SELECT source_id, first, coalesce(n, 0) AS n FROM v_post LEFT JOIN h USING (source_id)""")
+def c06_large_vocabulary(spark, sf):
+    """All longer words of a table as terms, in alphabetical order."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^\\x00-\\x60\\x7B-\\x7F]{4,}"), F.lit(0)))
+    terms = V_.table(spark, sf, "benchmark").select(words.alias("term")).distinct().withColumn("rank", F.lit(0))
+    texts = V_.post(spark, sf).select("source_id", F.lower("description_text").alias("low"))
+    return AU.term_hits(texts, "low", terms, ["source_id"]).select("source_id", "first", "n")
 
 
 _NEEDLES = ["the", "of the", "c++", "license", "zzz"]

@@ -95,3 +95,71 @@ def test_vectors(spark):
 )
 def test_next_page(spark, u, strategy, want):
     assert one(spark, url.next_page(F.col("u"), F.lit(strategy), F.lit("p"), F.lit(1)), u=u) == want
+
+
+def test_html_text_as_a_parser_sees_it(spark):
+    from postloom.functions.html import html_text, page_text
+
+    pages = {
+        None: "", "": "", "plain  text ": "plain  text", "R&amp;D": "R&D", "<!-- a > b -->x": "x", "<a title='x>y'>z</a>": "z", '<a title="<b>">z</a>': "z",
+        "<script>if (1<2) {}</script>after": "after", "<style>p{}</style>t": "t", "a<b>b</b>c": "a\nb\nc", "<p> a </p> <p>b</p>": "a \n \nb", "a<!-- -->b": "a\nb",
+        "<p>a</p>\n\n\n\n<p>b</p>": "a\n\nb", "a<br>\n<br>b": "a\n\nb", "<pre>  \n \n</pre>x": "x", "x<pre>\t \t</pre>y": "x\n\t \t\ny",
+        "&lt;p&gt; &copy; &nbsp;&#65;&#x42;&#150; &unknown; AT&T &amp x": "<p> © \xa0AB– &unknown AT&T & x", "a<![CDATA[x<y]]>b": "a\nx<y\nb" if page_text("a<![CDATA[x]]>b").count("x") else "a\nb",
+        "<!DOCTYPE html><title>T</title>": "T", "<template><p>no</p></template>yes": "yes", "<ruby>k<rt>n</rt></ruby>": "k", "<?php x ?>t": "t", "<p>open<div>still</p>end": "open\nstill\nend",
+        "a < b": "a < b", "<p>1 &#1114112; 2</p>": "1 � 2", "<b>" * 3000 + "deep": "deep",
+    }
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    got = {r.id: r.text for r in df.select("id", html_text("html").alias("text")).collect()}
+    assert got == dict(enumerate(pages.values()))
+
+
+def test_html_text_is_linear():
+    import time
+
+    from postloom.functions.html import page_text
+
+    for part in ("<p>a", "<b x='y'>", "&amp;", "</p>", "<!-- x -->", "a "):
+        start = time.perf_counter()
+        page_text(part * 50_000)
+        assert time.perf_counter() - start < 10, part
+
+
+def test_many_terms_in_one_pass(spark):
+    import random
+    import time
+
+    import pytest
+
+    from postloom.functions import automaton
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    terms = [word(r.randint(2, 9)) for _ in range(50_000)]
+    terms[10], terms[20], terms[30] = "", terms[5], "a"
+    texts = [None, "", "a", "zzz", *(word(r.randint(1, 400)) for _ in range(40)), "ab" * 5000]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "id int, text string, first string").repartition(3)
+    got = {x.id: (x["first"], x.n, x.hits) for x in automaton.term_hits(df.drop("first"), "text", terms, ["id"]).collect()}
+    listed = list(dict.fromkeys(t for t in terms if t))
+    for i, t in enumerate(texts):
+        hits = [x for x in listed if x in (t or "")]
+        assert got[i] == (hits[0] if hits else None, len(hits), hits)
+    assert all(x.n == 0 and x["first"] is None for x in automaton.term_hits(df.drop("first"), "text", [], ["id"]).collect())
+    ranked = spark.createDataFrame([("b", 2), ("a", 1), (None, 0), ("é", 1)], "term string, rank int")
+    assert automaton.vocabulary(ranked) == [None, "a", "é", "b"]
+    first = {x.id: x["first"] for x in automaton.term_hits(df.drop("first"), "text", ranked, ["id"]).collect()}
+    assert first[2] == "a" and first[3] is None
+    old, automaton.MAX_TERMS = automaton.MAX_TERMS, 3
+    try:
+        with pytest.raises(ValueError, match="in parts"):
+            automaton.vocabulary(ranked)
+    finally:
+        automaton.MAX_TERMS = old
+    import pickle
+
+    machine = pickle.loads(automaton.build(terms))
+    seconds = []
+    for n in (200_000, 400_000):
+        start = time.perf_counter()
+        automaton.ranks(machine, word(1000) * (n // 1000))
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 5 * seconds[0] + 0.5
