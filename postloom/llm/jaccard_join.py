@@ -52,6 +52,7 @@ from .near_dedup import Settings, best_pivots, by_row, confirm, grouped, mixed_b
 STEP = 0.8  # each threshold of the hash, of the one before
 MOST = 40  # the largest boundary
 COMPARE = 16  # a comparison's cost, in subsets or list entries
+ROWS = 1 << 11  # rows of a block of bitmaps, which is 512 kB at most
 _LIMITS = np.array([int(2**63 * STEP**k) - 1 for k in range(190)], np.int64)
 _CHUNK = 2 << 20
 
@@ -289,8 +290,8 @@ def _sieved_blocks(s: Join):
 
 def sieved_groups(groups: DataFrame, labels: DataFrame, own: DataFrame, s: Join) -> DataFrame:
     """The members (a, id, n) of groups that may link with one of another component of their group."""
-    weights = own.select("id", F.lit(0).cast("long").alias("weight"))
-    dealt = mixed_blocks(groups, labels, weights, s).join(own.select("id", "n", "bits").hint("merge"), "id")
+    weights = own.select("id", F.ceil((F.octet_length("bits") + 64) / 8).alias("weight"))
+    dealt = mixed_blocks(groups, labels, weights, s, ROWS).join(own.select("id", "n", "bits").hint("merge"), "id")
     dealt = dealt.select("a", "size", "i", "j", "stray", "id", "component", "n", "bits").repartition(partitions(groups.sparkSession), "a", "size", "i", "j")
     return dealt.sortWithinPartitions("a", "size", "i", "j").mapInArrow(_sieved_blocks(s), "a long, id long, n long").distinct()
 

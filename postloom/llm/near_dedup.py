@@ -224,8 +224,9 @@ def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray
 
 
 def _crossed(s: Settings):
-    """Rows (a, size, i, j, stray, id, component, text), sorted by the first four -> the links between strays and members of
-    other components. A block's rows are cut into parts of bounded size, so a product's matrices are small."""
+    """Rows (a, size, i, j, stray, id, component, text), sorted by the first four -> links between strays and members that join
+    the components which any of the block's links join: fewer than there are components. A block's rows are cut into parts of
+    bounded size, so a product's matrices are small."""
 
     def parts(ids, components, sets):
         at, size = 0, 0
@@ -238,7 +239,13 @@ def _crossed(s: Settings):
             yield ids[at:], components[at:], sets[at:]
 
     def crossed(rows: list[tuple]) -> pa.RecordBatch:
-        a, b = [], []
+        a, b, above = [], [], {}
+
+        def root(c: int) -> int:
+            while above.get(c, c) != c:
+                above[c] = c = above.get(above[c], above[c])
+            return c
+
         data, off = text_bytes(pa.array([r[3] for r in rows], pa.string()))
         kinds, at, _ = shingles(data, off, s.words)
         sets = [kinds[x:z] for x, z in zip(at[:-1], at[1:])]
@@ -249,8 +256,13 @@ def _crossed(s: Settings):
         for ids, components, own in sides[0]:
             for ids2, components2, other in sides[1]:
                 x, y = np.nonzero(linked(own, other, s.percent) & (components[:, None] != components2[None, :]))
-                a += ids[x].tolist()
-                b += ids2[y].tolist()
+                _, first = np.unique(np.stack([components[x], components2[y]]), axis=1, return_index=True)
+                for k in first.tolist():
+                    p, q = root(int(components[x[k]])), root(int(components2[y[k]]))
+                    if p != q:
+                        above[p] = q
+                        a.append(int(ids[x[k]]))
+                        b.append(int(ids2[y[k]]))
         return _links(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +280,9 @@ def _crossed(s: Settings):
     return run
 
 
-def mixed_blocks(groups: DataFrame, labels: DataFrame, weights: DataFrame, s: Settings) -> DataFrame:
+def mixed_blocks(groups: DataFrame, labels: DataFrame, weights: DataFrame, s: Settings, rows: int) -> DataFrame:
     """(a, size, i, j, stray, id, component): groups (a, id, n) that hold several components, dealt to blocks of strays by blocks
-    of members. ``weights`` (id, weight): what a row takes of a block's ``_BLOCK`` besides its shingles."""
+    of members. ``weights`` (id, weight): what a row takes of a block's ``_BLOCK``; a block has about ``rows`` rows at most."""
     labelled = groups.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     held = labelled.groupBy("a", "component").agg(F.count("*").alias("c"))
     held = held.groupBy("a").agg(F.count("*").alias("components"), F.max(F.struct("c", "component")).alias("top"))
@@ -279,12 +291,12 @@ def mixed_blocks(groups: DataFrame, labels: DataFrame, weights: DataFrame, s: Se
     # sizes fall into bands; a pair that is similar enough lies in one band or in two neighbouring ones
     width = math.log(100 / s.percent) * (1 + 1e-9)
     mixed = labelled.join(held, "a").join(weights, "id").select(
-        "a", "id", "component", (F.col("component") != F.col("main")).alias("stray"), F.greatest("n", "weight").alias("weight"), F.floor(F.log("n") / width).alias("size")
+        "a", "id", "component", (F.col("component") != F.col("main")).alias("stray"), "weight", F.floor(F.log("n") / width).alias("size")
     )
     mixed = materialize(mixed, "near-mixed")
     about = F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1))
     strays = mixed.filter("stray").select("a", "id", "component", "weight", about.alias("size"))
-    cut = lambda c: F.greatest(F.ceil(F.sum("weight") / _BLOCK), F.ceil(F.count("*") / _BLOCK_ROWS)).cast("int").alias(c)
+    cut = lambda c: F.greatest(F.ceil(F.sum("weight") / _BLOCK), F.ceil(F.count("*") / rows)).cast("int").alias(c)
     blocks = mixed.groupBy("a", "size").agg(cut("members")).join(strays.groupBy("a", "size").agg(cut("strays")), ["a", "size"])
     blocks = materialize(blocks, "near-blocks")
     own = lambda by: F.pmod(F.xxhash64("id"), F.col(by)).cast("int")
@@ -297,8 +309,9 @@ def mixed_blocks(groups: DataFrame, labels: DataFrame, weights: DataFrame, s: Se
 
 def strays(groups: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Links of groups (a, id, n) that hold several components. Blocks are bounded by shingles and by bytes of text."""
-    weights = texts.select("id", F.ceil(F.octet_length("text") / _BYTES).alias("weight"))
-    dealt = mixed_blocks(groups, labels, weights, s).join(texts.hint("merge"), "id").select("a", "size", "i", "j", "stray", "id", "component", "text")
+    sizes = groups.groupBy("id").agg(F.first("n").alias("n"))
+    weights = texts.join(sizes, "id").select("id", F.greatest("n", F.ceil(F.octet_length("text") / _BYTES)).alias("weight"))
+    dealt = mixed_blocks(groups, labels, weights, s, _BLOCK_ROWS).join(texts.hint("merge"), "id").select("a", "size", "i", "j", "stray", "id", "component", "text")
     dealt = dealt.repartition(partitions(groups.sparkSession), "a", "size", "i", "j").sortWithinPartitions("a", "size", "i", "j")
     return dealt.mapInArrow(_crossed(s), "a long, b long")
 
