@@ -62,7 +62,7 @@ def _shown(df: DataFrame, dated: bool = True) -> DataFrame:
     return df.select(*_OUT, F.date_format("posted_at", "yyyy-MM-dd").alias("posted") if dated else F.lit(None).cast("string").alias("posted"))
 
 
-def _expected(source: str, desc: str = "''", url: str = "url", location: str = "location", department: str = "department", remote: str = "contains(lower(location), 'remote')", posted: str = "strftime(posted_at, '%Y-%m-%d')", where: str = "true") -> str:
+def _expected(source: str, desc: str = "''", url: str = "url", location: str = "location", department: str = "department", remote: str = "false", posted: str = "strftime(posted_at, '%Y-%m-%d')", where: str = "true") -> str:
     return f"WITH {V_.POST} SELECT company, '{source}' AS source, source_id, title, {desc} AS description_text, {url} AS url, {location} AS location, {department} AS department, {remote} AS remote, {posted} AS posted FROM v_post WHERE {where}"
 
 
@@ -72,12 +72,18 @@ def a03_greenhouse(spark, sf):
     return _shown(P.normalize_greenhouse(_pages(V_.post(spark, sf), row, _jobs("jobs"))))
 
 
-@query(_expected("lever", "CASE WHEN doc_id % 2 = 0 AND description_text <> '' THEN description_text ELSE " + _STRIP.replace("'</p>'", "'</p> more'") + " END", location="CASE WHEN doc_id % 3 = 0 THEN 'Elsewhere' ELSE location END", remote="doc_id % 3 <> 0 AND contains(lower(location), 'remote')", where="title <> ''"))
+_BOTH = _STRIP.replace("'</p>'", "'</p>more<b> text</b>'")
+_COUNTRY = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN contains(location, ', ') THEN split_part(location, ', ', 2) ELSE '' END"
+_SOME_DAYS = "CASE WHEN doc_id % 5 <> 0 THEN strftime(posted_at, '%Y-%m-%d') END"
+
+
+@query(_expected("lever", f"CASE WHEN doc_id % 2 = 0 AND description_text <> '' THEN description_text ELSE {_BOTH} END", location="CASE WHEN doc_id % 3 = 0 THEN 'Elsewhere' ELSE location END", posted=_SOME_DAYS))
 def a04_lever(spark, sf):
+    """The text of both HTML parts, end to end, where there is no plain one; a time of 0 is none."""
     i = F.col("doc_id")
     place = F.when(i % 3 == 0, "").otherwise(F.col("location"))
-    row = F.struct(F.col("source_id").alias("id"), F.col("title").alias("text"), _body().alias("description"), F.lit("more").alias("additional"), F.when(i % 2 == 0, F.col("description_text")).otherwise("").alias("descriptionPlain"), F.col("url").alias("hostedUrl"), (F.unix_seconds("posted_at") * 1000).alias("createdAt"), F.struct(place.alias("location"), F.col("department").alias("team"), F.array(F.lit("Elsewhere")).alias("allLocations")).alias("categories"))
-    return _shown(P.normalize_lever(_pages(V_.post(spark, sf).filter("title <> ''"), row), first_location=True))
+    row = F.struct(F.col("source_id").alias("id"), F.col("title").alias("text"), _body().alias("description"), F.lit("more<b> text</b>").alias("additional"), F.when(i % 2 == 0, F.col("description_text")).otherwise("").alias("descriptionPlain"), F.col("url").alias("hostedUrl"), F.when(i % 5 == 0, 0).otherwise(F.unix_seconds("posted_at") * 1000).alias("createdAt"), F.struct(place.alias("location"), F.col("department").alias("team"), F.array(F.lit("Elsewhere")).alias("allLocations")).alias("categories"))
+    return _shown(P.normalize_lever(_pages(V_.post(spark, sf), row), first_location=True))
 
 
 @query(_expected("ashby", _STRIP, location="CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'Remote' WHEN doc_id % 2 = 0 THEN '' ELSE location END", remote="doc_id % 3 = 0"))
@@ -87,43 +93,54 @@ def a05_ashby(spark, sf):
     return _shown(P.normalize_ashby(_pages(V_.post(spark, sf), row, _jobs("jobs"))))
 
 
-@query(_expected("smartrecruiters", url="'https://jobs.smartrecruiters.com/' || company || '/' || source_id", location="CASE WHEN remote THEN 'Remote' ELSE split_part(location, ', ', 1) || CASE WHEN contains(location, ', ') THEN ', ' || split_part(location, ', ', 2) ELSE '' END END", remote="remote"))
+@query(_expected("smartrecruiters", url="'https://jobs.smartrecruiters.com/' || company || '/' || source_id", location=f"CASE WHEN remote THEN 'Remote' ELSE trim(split_part(location, ', ', 1) || ', ' || {_COUNTRY}) END", remote="remote", posted=_SOME_DAYS))
 def a06_smartrecruiters(spark, sf):
-    city, country = F.substring_index("location", ", ", 1), F.when(F.contains("location", F.lit(", ")), F.substring_index("location", ", ", -1)).otherwise("")
-    row = F.struct(F.col("source_id").alias("id"), F.col("title").alias("name"), F.struct(city.alias("city"), country.alias("country"), "remote").alias("location"), F.struct(F.col("department").alias("label")).alias("department"), _iso().alias("releasedDate"))
+    """Empty countries leave the comma; dates with a time are none."""
+    i = F.col("doc_id")
+    country = F.when((i % 7 != 0) & F.contains("location", F.lit(", ")), F.substring_index("location", ", ", -1)).otherwise("")
+    day = F.when(i % 5 == 0, _iso()).otherwise(F.date_format("posted_at", "yyyy-MM-dd"))
+    row = F.struct(F.col("source_id").alias("id"), F.col("title").alias("name"), F.struct(F.substring_index("location", ", ", 1).alias("city"), country.alias("country"), "remote").alias("location"), F.struct(F.col("department").alias("label")).alias("department"), day.alias("releasedDate"))
     return _shown(P.normalize_smartrecruiters(_pages(V_.post(spark, sf), row, _jobs("content"))))
 
 
-@query(_expected("workday", url="'https://' || company || '.myworkdayjobs.com/job/' || source_id", department="NULL", posted="NULL").replace("source_id, title", "CASE WHEN doc_id % 4 = 0 THEN '/job/' || source_id ELSE source_id END AS source_id, title"))
+@query(_expected("workday", "CASE WHEN doc_id % 6 = 0 AND description_text <> '' THEN description_text ELSE title END", url="'https://' || company || '.wd5.myworkdayjobs.com/en-US/Careers/job/' || source_id", department="NULL", posted="CASE WHEN doc_id % 5 = 0 THEN strftime(posted_at, '%Y-%m-%d') END").replace("source_id, title", "CASE WHEN doc_id % 4 = 0 THEN '/job/' || source_id ELSE source_id END AS source_id, title"))
 def a07_workday(spark, sf):
-    ids = F.when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("source_id"))
-    row = F.struct("title", F.concat(F.lit("/job/"), F.col("source_id")).alias("externalPath"), F.lit("today").alias("postedOn"), F.col("location").alias("locationsText"), ids.alias("bulletFields"))
-    raw = _pages(V_.post(spark, sf), row, _jobs("jobPostings")).withColumn("board_rank", F.lit(0))
-    again = raw.withColumns({"board_rank": F.lit(1), "board_id": F.lit("second")})
-    return _shown(P.normalize_workday(raw.unionByName(again)), False)
+    """Two boards that hold the same rows; some dates are ISO, some texts are given."""
+    i = F.col("doc_id")
+    ids = F.when(i % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("source_id"))
+    row = F.struct("title", F.concat(F.lit("/job/"), F.col("source_id")).alias("externalPath"), F.when(i % 5 == 0, _iso()).otherwise("Posted 3 Days Ago").alias("postedOn"), F.col("location").alias("locationsText"), ids.alias("bulletFields"), F.struct(F.when(i % 6 == 0, F.col("description_text")).alias("text")).alias("jobDescription"))
+    raw = _pages(V_.post(spark, sf), row, _jobs("jobPostings")).withColumns({"board_rank": F.lit(0), "workday_tenant": F.col("company"), "workday_board": F.lit("Careers")})
+    again = raw.withColumns({"board_rank": F.lit(1), "workday_board": F.lit("second")})
+    return _shown(P.normalize_workday(raw.unionByName(again)))
 
 
-@query(_expected("apple", "trim(title || ' ' || department)", url="'https://jobs.apple.com/en-us/details/' || source_id", location="location || '; Cupertino'", department="nullif(department, '')", remote="remote", where="title <> ''"))
+@query(_expected("apple", "title || '. Team: ' || department || '. ' || CASE WHEN doc_id % 2 = 0 THEN description_text ELSE '' END", url="'https://jobs.apple.com/en-us/details/' || source_id || '/some-slug'", location="CASE WHEN doc_id % 4 = 0 THEN 'Cupertino' ELSE location || ', Zürich' END"))
 def a08_apple(spark, sf):
-    row = F.struct(F.col("source_id").alias("positionId"), F.col("title").alias("postingTitle"), F.col("remote").alias("homeOffice"), F.struct(F.col("department").alias("teamName")).alias("team"), F.date_format("posted_at", "MMM d, yyyy").alias("postingDate"), F.array(F.struct(F.col("location").alias("name")), F.struct(F.lit("Cupertino").alias("name"))).alias("locations"))
-    return _shown(P.normalize_apple(_pages(V_.post(spark, sf).filter("title <> ''"), row, _jobs("searchResults"))))
+    """The home office, where one is named, else all locations."""
+    i = F.col("doc_id")
+    row = F.struct(F.col("source_id").alias("positionId"), F.col("title").alias("postingTitle"), F.lit("some-slug").alias("transformedPostingTitle"), F.when(i % 2 == 0, F.col("description_text")).alias("postingDescription"), F.when(i % 4 == 0, "Cupertino").otherwise("").alias("homeOffice"), F.struct(F.col("department").alias("teamName")).alias("team"), F.date_format("posted_at", "MMM d, yyyy").alias("postingDate"), F.array(F.struct(F.col("location").alias("name")), F.struct(F.lit("Zürich").alias("name"))).alias("locations"))
+    return _shown(P.normalize_apple(_pages(V_.post(spark, sf), row, _jobs("searchResults"))))
 
 
-@query(_expected("google", _STRIP, url="CASE WHEN doc_id % 2 = 0 THEN 'https://careers.google.com/jobs/results/' || source_id ELSE url END", location="location || '; Zürich'", department="NULL"))
+@query(_expected("google", _STRIP, url="CASE WHEN doc_id % 2 = 0 THEN 'https://careers.google.com/jobs/results/' || source_id ELSE url END", location="location || ', Zürich'", department="CASE WHEN doc_id % 3 = 0 THEN department END", posted=_SOME_DAYS))
 def a09_google(spark, sf):
-    row = F.struct(F.col("source_id").alias("id"), "title", _body().alias("description"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("url")).alias("apply_url"), F.array(F.col("location"), F.lit("Zürich")).alias("locations"), _iso().alias("date"))
+    i = F.col("doc_id")
+    day = F.when(i % 5 == 0, _iso()).otherwise(F.date_format("posted_at", "yyyy-MM-dd"))
+    row = F.struct(F.col("source_id").alias("id"), "title", _body().alias("description"), F.when(i % 2 == 0, "").otherwise(F.col("url")).alias("apply_url"), F.array(F.col("location"), F.lit("Zürich")).alias("locations"), F.when(i % 3 == 0, F.col("department")).alias("department"), day.alias("date"))
     return _shown(P.normalize_google(_pages(V_.post(spark, sf), row, _jobs("jobs"))))
 
 
 @query(_expected("amazon", _STRIP, url="'https://www.amazon.jobs/en/' || source_id"))
 def a10_amazon(spark, sf):
-    row = F.struct(F.col("doc_id").alias("id_icims"), "title", F.concat(F.lit("/en/"), F.col("source_id")).alias("job_path"), F.col("location").alias("normalized_location"), F.col("department").alias("category"), _body().alias("description"), F.date_format("posted_at", "MMMM d, yyyy").alias("posted_date"))
+    row = F.struct(F.col("doc_id").alias("id_icims"), "title", F.concat(F.lit("/en/"), F.col("source_id")).alias("job_path"), F.col("location").alias("normalized_location"), F.lit("no team").alias("category"), F.col("department").alias("team"), _body().alias("description"), F.date_format("posted_at", "MMMM d, yyyy").alias("posted_date"))
     return _shown(P.normalize_amazon(_pages(V_.post(spark, sf), row, _jobs("jobs"))))
 
 
-@query(_expected("meta", _STRIP, url="CASE WHEN doc_id % 2 = 0 THEN 'https://www.metacareers.com/jobs/' || source_id ELSE url END", posted="NULL", where="doc_id // 100 % 2 = 0"))
+@query(_expected("meta", _STRIP, url="CASE WHEN doc_id % 2 = 0 THEN 'https://www.metacareers.com/jobs/' || source_id || '/' ELSE url END", location="location || ', Zürich'", department="CASE WHEN doc_id % 3 = 0 THEN '' ELSE department END", posted="NULL", where="doc_id // 100 % 2 = 0"))
 def a11_meta(spark, sf):
-    row = F.struct(F.col("source_id").alias("id"), "title", F.array("location").alias("locations"), F.array("department").alias("teams"), _body().alias("description"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("url")).alias("url"))
+    i = F.col("doc_id")
+    teams = F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("department", F.lit("second")))
+    row = F.struct(F.col("source_id").alias("id"), "title", F.array("location", F.lit("Zürich")).alias("locations"), teams.alias("teams"), _body().alias("description"), F.when(i % 2 == 0, "").otherwise(F.col("url")).alias("url"))
     ok = lambda rows: F.struct(F.struct(F.struct(rows.alias("results")).alias("job_search")).alias("data"))
     bad = lambda rows: F.struct(F.struct(F.struct(rows.alias("results")).alias("job_search")).alias("data"), F.array(F.struct(F.lit("limit").alias("message"))).alias("errors"))
     post = V_.post(spark, sf)
@@ -138,13 +155,13 @@ def a12_config_errors(spark, sf):
     return P.config_errors(c).select("name", "error")
 
 
-@query(f"WITH {V_.POST} SELECT source_id AS page, title, url, location, remote FROM v_post WHERE doc_id % 5 <> 4 AND title <> ''")
+@query(f"WITH {V_.POST} SELECT source_id AS page, title, url, location, remote FROM v_post WHERE doc_id % 5 <> 4")
 def a13_extracted(spark, sf):
     i = F.col("doc_id")
     one = F.to_json(F.struct("title", "url", "location", "remote"))
     many = F.concat(F.lit('{"jobs": ['), one, F.lit(', "no object"]}'))
     forms = F.when(i % 5 == 0, many).when(i % 5 == 1, F.concat(F.lit("<think>let me\nsee</think>\n```json\n"), many, F.lit("\n```"))).when(i % 5 == 2, F.concat(F.lit("["), one, F.lit("]"))).when(i % 5 == 3, F.concat(F.lit("Here it is: "), many, F.lit(" done"))).otherwise("nothing here")
-    raw = V_.post(spark, sf).filter("title <> ''").select(F.col("source_id").alias("page"), forms.alias("answer"))
+    raw = V_.post(spark, sf).select(F.col("source_id").alias("page"), forms.alias("answer"))
     return P.parse_extracted(raw, "answer").select("page", "title", "url", "location", "remote")
 
 

@@ -136,3 +136,24 @@ def test_status_and_upsert_batches(spark):
     up(spark.createDataFrame([("03" * 32, "NEW", None), ("ffff", "NEW", None)], rows.schema), 0)
     got = {r.key[:2]: r.status for r in jobs.read_keyed(spark, f"{out}/t", rows.schema).collect()}
     assert len(got) == 41 and {k: v for k, v in got.items() if v != "NEW"} == {"05": "SKIPPED"}
+
+
+def test_vendor_rows_on_awkward_payloads(spark):
+    """Blank and absent fields, as vendors send them."""
+    raw = lambda payload: spark.createDataFrame([("c", "b", payload)], "company string, board_id string, payload string")
+    only = lambda f, payload, **kw: [r.asDict() for r in f(raw(payload), **kw).collect()]
+    (r,) = only(payloads.normalize_lever, '[{"id": "1", "text": "", "description": "<p>abc", "additional": "def</p>", "createdAt": 0, "categories": {"location": "Remote"}}]')
+    assert (r["description_text"], r["description_html"], r["remote"], r["posted_at"], r["title"]) == ("abcdef", "<p>abcdef</p>", False, None, "")
+    place = lambda x: only(payloads.normalize_smartrecruiters, '{"content": [{"id": "1", "name": "n", "location": %s, "releasedDate": "2024-01-02T00:00:00Z"}]}' % x)[0]
+    assert [place(x)["location"] for x in ('{"city": "Rome"}', '{"country": "it"}', "{}", '{"city": "Rome", "country": "it"}', '{"city": "Rome", "remote": true}')] == ["Rome,", ", it", ",", "Rome, it", "Remote"]
+    assert place("{}")["posted_at"] is None and place("{}")["url"] == "https://jobs.smartrecruiters.com/b/1"
+    (r,) = only(payloads.normalize_workday, '{"jobPostings": [{"title": "t", "externalPath": "/job/x", "postedOn": "2024-01-02T03:04:05+01:00", "locationsText": "Remote", "bulletFields": [""]}]}')
+    assert (r["url"], r["source_id"], r["description_text"], r["remote"], str(r["posted_at"])) == ("https://b.wd5.myworkdayjobs.com/en-US/b/job/x", "/job/x", "t", False, "2024-01-02 02:04:05")
+    rows = only(payloads.normalize_apple, '{"searchResults": [{"positionId": "1", "postingTitle": "T", "transformedPostingTitle": "t-1", "homeOffice": "Oslo", "locations": [{"name": "A"}]}, {"positionId": "2", "locations": [{"name": "A"}, {"name": "B"}], "postingDate": "soon"}]}')
+    assert [(r["description_text"], r["url"], r["location"], r["posted_at"]) for r in rows] == [("T. Team: . ", "https://jobs.apple.com/en-us/details/1/t-1", "Oslo", None), (". Team: . ", "https://jobs.apple.com/en-us/details/2/", "A, B", None)]
+    (r,) = only(payloads.normalize_google, '{"jobs": [{"id": "7", "title": "t", "locations": ["Remote", "B"], "date": "2024-01-02"}]}')
+    assert (r["location"], r["remote"], r["url"], str(r["posted_at"])) == ("Remote, B", False, "https://careers.google.com/jobs/results/7", "2024-01-02 00:00:00")
+    (r,) = only(payloads.normalize_meta, '{"data": {"job_search": {"results": [{"id": "7", "title": "t", "locations": ["A", "B"], "teams": []}]}}}')
+    assert (r["url"], r["location"], r["department"]) == ("https://www.metacareers.com/jobs/7/", "A, B", "")
+    (r,) = only(payloads.normalize_amazon, '{"jobs": [{"id_icims": 7, "title": "t", "category": "x", "team": "y", "normalized_location": "Remote"}]}')
+    assert (r["url"], r["department"], r["remote"]) == ("https://www.amazon.jobs", "y", False)
