@@ -13,6 +13,19 @@ from .filters import role_class
 SUMMARY = ("applied", "screening", "interview", "offer", "rejected")
 
 
+SLICE = 1 << 20  # rows of a slice of time, about
+
+
+def time_slices(df: DataFrame, key: Column, place: Column, rows: int = SLICE) -> DataFrame:
+    """Adds ``_key`` (text, never null) and ``_slice``: each key's span of ``place`` (a whole number) in even slices, as many as its
+    rows need. The counts are partial sums."""
+    keyed = df.withColumns({"_key": F.to_json(F.struct(key.alias("k"))), "_place": place})
+    spans = keyed.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_place").alias("_lo"), F.max("_place").alias("_hi"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows)))
+    spans = spans.select("_key", "_lo", width.alias("_width"))
+    return keyed.join(spans, "_key").withColumn("_slice", F.floor((F.col("_place") - F.col("_lo")) / F.col("_width"))).drop("_place", "_lo", "_width")
+
+
 def application_summary(df: DataFrame) -> DataFrame:
     """Per person: total, counts by status, average score to two places (half away from zero, as decimals are rounded)."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
@@ -78,18 +91,33 @@ def latest(df: DataFrame, key: str, order: list[str], values: list[str]) -> Data
     return df.groupBy(key).agg(F.max(F.struct(*order, *values)).alias("r")).select(key, *(f"r.{v}" for v in values))
 
 
-def fetch_health(df: DataFrame, failures: int = 3, cooldown: int = 30, key: str = "company", at: str = "ts", tie: str = "event_id") -> DataFrame:
+def fetch_health(df: DataFrame, failures: int = 3, cooldown: int = 30, key: str = "company", at: str = "ts", tie: str = "event_id", rows: int = SLICE) -> DataFrame:
     """Adds streak (failures in a row so far), state_before and state at each outcome: open from ``failures`` on; half_open
     where the last failure of an open one lies more than ``cooldown`` seconds back; else closed. ``ok`` says whether the fetch
-    went well. The windows hold one company's outcomes in one task, sorted on disk where they are many."""
-    w = W.partitionBy(key).orderBy(at, tie)
-    df = df.withColumn("_island", F.sum(F.col("ok").cast("int")).over(w))
-    inside = W.partitionBy(key, "_island").orderBy(at, tie)
-    df = df.withColumn("streak", F.sum((~F.col("ok")).cast("int")).over(inside))
-    before, gap = F.lag("streak").over(w), F.unix_micros(F.col(at)) - F.unix_micros(F.lag(at).over(w))
-    state = F.when(~F.col("ok"), F.when(F.col("streak") >= failures, "open").otherwise("closed")).otherwise("closed")
-    probed = F.when((F.coalesce(before, F.lit(0)) >= failures) & (gap > cooldown * 1_000_000), "half_open").when(F.coalesce(before, F.lit(0)) >= failures, "open").otherwise("closed")
-    return df.withColumns({"state_before": probed, "state": state}).drop("_island")
+    went well.
+
+    A company's log is cut into slices of time of about ``rows`` outcomes. Windows run over one slice; what a slice leaves (its
+    open streak, its last time) is one row, and a prefix over these rows gives what each slice begins with. So a company with a
+    third of all rows is many slices. Outcomes of one instant are in one slice.
+    """
+    sliced = time_slices(df, F.col(key), F.unix_micros(at), rows)
+    own = ["_key", "_slice"]
+    w = W.partitionBy(*own).orderBy(at, tie)
+    sliced = sliced.withColumns({"_island": F.sum(F.col("ok").cast("int")).over(w), "_gap": F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))})
+    inside = W.partitionBy(*own, "_island").orderBy(at, tie)
+    sliced = sliced.withColumn("_local", F.sum((~F.col("ok")).cast("int")).over(inside))
+    ends = sliced.groupBy(*own).agg(F.max_by("_local", F.struct(at, tie)).alias("left"), F.max(F.col("ok").cast("int")).alias("good"), F.max(F.unix_micros(at)).alias("until"))
+    slices = W.partitionBy("_key").orderBy("_slice")  # a row a slice
+    ends = ends.withColumn("island", F.sum("good").over(slices))
+    ends = ends.withColumn("end", F.sum("left").over(W.partitionBy("_key", "island").orderBy("_slice")))
+    starts = ends.select(*own, F.lag("end").over(slices).alias("_carried"), F.lag("until").over(slices).alias("_until"))
+    out = sliced.join(starts, own)
+    out = out.withColumn("streak", F.col("_local") + F.when(F.col("_island") == 0, F.coalesce("_carried", F.lit(0))).otherwise(0))
+    before = F.coalesce(F.lag("streak").over(w), "_carried", F.lit(0))
+    gap = F.coalesce("_gap", F.unix_micros(at) - F.col("_until"))
+    state = F.when(~F.col("ok") & (F.col("streak") >= failures), "open").otherwise("closed")
+    probed = F.when((before >= failures) & (gap > cooldown * 1_000_000), "half_open").when(before >= failures, "open").otherwise("closed")
+    return out.withColumns({"state_before": probed, "state": state}).select(*df.columns, "streak", "state_before", "state")
 
 
 def recent(df: DataFrame, n: int, at: str = "first_seen_at") -> DataFrame:

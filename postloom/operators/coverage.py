@@ -74,6 +74,13 @@ def source_grounding(items: DataFrame, sources: DataFrame, head: int = 60) -> Da
     return items.withColumn("probe", probe).join(text, "doc", "left").filter(~F.contains(empty(F.col("_source")), F.col("probe"))).drop("_source")
 
 
+def skill_grounding(skills: DataFrame, sources: DataFrame) -> DataFrame:
+    """Skills (doc, skill) that don't occur in the document's source text (doc, text), whatever their case; white space counts as
+    it is. A document without a source has none of its skills."""
+    text = sources.select("doc", F.lower("text").alias("_source"))
+    return skills.join(text, "doc", "left").filter(~F.contains(empty(F.col("_source")), F.lower(empty(F.col("skill"))))).drop("_source")
+
+
 def resume_blob(bullets: DataFrame, plan: DataFrame, for_ats: bool = True) -> DataFrame:
     """A document's visible bullets as one text: a role's rewrites if it has some, else its kept bullets; without a plan
     entry all of them (recall form) or none (rendered form). plan: doc, role_index, keep array<int>, rewrites array<string>.

@@ -83,19 +83,46 @@ def not_in_set(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return df.join(members.select(key).distinct(), key, "left_anti")
 
 
+def grams(text: Column, sizes: list[int]) -> Column:
+    """All different runs of ``sizes`` signs."""
+
+    def runs(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(k)))
+
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
+
+def containing(texts: DataFrame, parts: DataFrame, text: str = "text", part: str = "part", size: int = 3) -> DataFrame:
+    """Rows of ``texts`` and ``parts`` (its other columns come along) where the text contains the part: an equi-join on a run of
+    signs, then an exact test. Of each part one run is the key, the one that the fewest parts have; blank parts are left out."""
+    held = parts.filter(F.length(part) > 0).withColumn("_k", F.least(F.length(part), F.lit(size)))
+    lengths = sorted(r[0] for r in held.select("_k").distinct().collect()) or [size]  # ``size`` numbers at most
+    runs = held.select(part, "_k").distinct().withColumn("_g", F.explode(grams(F.col(part), lengths))).filter(F.length("_g") == F.col("_k"))
+    often = runs.groupBy("_g").agg(F.count("*").alias("c"))
+    key = runs.join(often, "_g").groupBy(part).agg(F.min_by("_g", F.struct("c", "_g")).alias("_g"))
+    keyed = held.drop("_k").join(key, part)
+    return texts.withColumn("_g", F.explode(grams(F.col(text), lengths))).join(keyed, "_g").filter(F.contains(F.col(text), F.col(part))).drop("_g")
+
+
 def alias_lookup(names: DataFrame, aliases: DataFrame, name: str = "name", default: str = "default") -> DataFrame:
     """The value of the alias that equals a name, else of the first (by rank) that the name contains, else the default.
 
-    aliases: alias, value, rank. Equal names meet by a hash join; only the different names without an equal alias are searched
-    for each alias (at most ``MAX_SMALL``).
+    aliases: alias, value, rank. Equal names meet by an equi-join; the different names without an equal alias meet the aliases that
+    they contain by runs of signs (see ``containing``), so neither side need be small. A blank alias is in every name.
     """
-    table = small(aliases.select(F.lower("alias").alias("_alias"), "value", "rank"))
+    table = aliases.select(F.lower("alias").alias("_alias"), "value", "rank")
     low = F.lower(empty(F.col(name)))
-    distinct = names.select(name).distinct()
-    equal = distinct.join(table, low == F.col("_alias"))
-    rest = distinct.join(equal.select(name), name, "left_anti").join(table, F.contains(low, F.col("_alias")))
-    best = equal.unionByName(rest).groupBy(name).agg(F.min_by("value", "rank").alias("_value"))
-    return names.join(best, name, "left").select(*names.columns, F.coalesce("_value", F.lit(default)).alias("value"))
+    distinct = names.select(name).distinct().withColumn("_low", low)
+    equal = distinct.join(table, F.col("_low") == F.col("_alias")).select(name, "value", "rank")
+    rest = distinct.join(equal.select(name), name, "left_anti")
+    found = containing(rest, table, "_low", "_alias").select(name, "value", "rank")
+    best = equal.unionByName(found).groupBy(name).agg(F.min(F.struct("rank", "value")).alias("b"))
+    blank = table.filter("_alias = ''").agg(F.min(F.struct("rank", "value")).alias("b")).first().b  # one row
+    out = names.join(best, name, "left").join(equal.select(name).distinct().withColumn("_same", F.lit(True)), name, "left")
+    value = F.coalesce(F.col("b.value"), F.lit(default if blank is None else blank.value))
+    if blank is not None:
+        value = F.when(F.col("_same").isNull() & (F.col("b.rank") > blank.rank), blank.value).otherwise(value)
+    return out.select(*names.columns, value.alias("value"))
 
 
 def match_roles(base: DataFrame, new: DataFrame) -> DataFrame:

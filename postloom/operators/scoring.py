@@ -16,6 +16,7 @@ from ..functions import vector as V
 from ..functions.text import empty
 from ..functions.time import age_days
 from ..vocab import Vocabulary
+from .aggregates import SLICE, time_slices
 
 MAX_PROFILES = 1000  # the profile side of a fan-out is broadcast
 
@@ -182,11 +183,26 @@ def has_salary(low: Column) -> Column:
     return low.rlike(SALARY[0]) | low.rlike(SALARY[1])
 
 
-def repost_count(df: DataFrame, days: int = 90, at: str = "scraped_at", key: tuple[str, ...] = ("company", "title")) -> DataFrame:
-    """Adds repost_count: earlier sightings of the same company and title within ``days``."""
-    seconds = F.unix_seconds(F.col(at))
-    w = W.partitionBy(*key).orderBy(seconds).rangeBetween(-days * 86_400, -1)
-    return df.withColumn("repost_count", F.count("*").over(w))
+def repost_count(df: DataFrame, days: int = 90, at: str = "scraped_at", key: tuple[str, ...] = ("company", "title"), rows: int = SLICE) -> DataFrame:
+    """Adds repost_count: earlier sightings of the same company and title within ``days``; 0 where there is no time.
+
+    Sightings are counted by second first. The count of a second is the difference of two sums up to a place: the one before it, and
+    the one before its range. Sums are made in two levels, within slices of time and over whole slices, so no window holds more
+    than a slice of a key.
+    """
+    keyed = df.withColumns({"_own": F.to_json(F.struct(*key)), "_second": F.unix_seconds(F.col(at))})
+    seconds = keyed.filter("_second is not null").groupBy("_own", "_second").agg(F.count("*").alias("n"))
+    nothing = F.lit(0).cast("long")
+    probes = [seconds.select("_own", "_second", (F.col("_second") - back).alias("place"), F.lit(sign).alias("sign"), nothing.alias("n")) for back, sign in ((1, 1), (days * 86_400 + 1, -1))]
+    steps = seconds.select("_own", F.lit(None).cast("long").alias("_second"), F.col("_second").alias("place"), nothing.cast("int").alias("sign"), "n")
+    sliced = time_slices(steps.unionByName(probes[0]).unionByName(probes[1]), F.col("_own"), F.col("place"), rows)
+    whole = sliced.groupBy("_key", "_slice").agg(F.sum("n").alias("n"))
+    whole = whole.select("_key", "_slice", (F.sum("n").over(W.partitionBy("_key").orderBy("_slice")) - F.col("n")).alias("before"))
+    upto = W.partitionBy("_key", "_slice").orderBy("place").rangeBetween(W.unboundedPreceding, 0)
+    sums = sliced.withColumn("upto", F.sum("n").over(upto)).filter("sign <> 0").join(whole, ["_key", "_slice"])
+    counts = sums.groupBy("_own", "_second").agg(F.sum(F.col("sign") * (F.col("upto") + F.col("before"))).alias("_count"))
+    out = keyed.join(counts, ["_own", "_second"], "left")
+    return out.select(*df.columns, F.coalesce("_count", F.lit(0)).cast("long").alias("repost_count"))
 
 
 def legitimacy(df: DataFrame, as_of: Column, niche: list[str] | None = None) -> DataFrame:

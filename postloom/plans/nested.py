@@ -395,6 +395,16 @@ def i13_source_grounding(spark, sf):
     return K.source_grounding(items, texts).select("doc", "bullet_index", "probe")
 
 
+@query(f"""WITH {_BOTH}, t AS (SELECT doc, lower(string_agg(bullet, ' ' ORDER BY bullet_index)) AS text FROM v_base GROUP BY doc), i AS (SELECT doc, bullet_index, unnest(regexp_extract_all(CASE WHEN bullet_index % 2 = 0 THEN translate(bullet, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE bullet || 'zq' END, '[A-Za-z]+')) AS skill FROM v_base)
+SELECT DISTINCT doc, bullet_index, skill FROM i JOIN t USING (doc) WHERE NOT contains(text, lower(skill))""")
+def i13_skill_grounding(spark, sf):
+    b = V_.bullets(spark, sf, "user")
+    texts = b.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bullet_index", "bullet"))), lambda x: x["bullet"]), " ").alias("text"))
+    said = F.when(F.col("bullet_index") % 2 == 0, F.translate("bullet", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.concat(F.col("bullet"), F.lit("zq")))
+    skills = b.select("doc", "bullet_index", F.explode(F.array_distinct(F.regexp_extract_all(said, F.lit("[A-Za-z]+"), F.lit(0)))).alias("skill"))
+    return K.skill_grounding(skills, texts).select("doc", "bullet_index", "skill")
+
+
 @query(f"""WITH {_BOTH}, o AS (SELECT doc, list(k ORDER BY i, k) AS a FROM (SELECT doc, {_KEY.format('bullet')} AS k, min(bullet_index) AS i FROM v_base GROUP BY ALL) GROUP BY doc), n AS (SELECT doc, list(k ORDER BY i, k) AS b FROM (SELECT doc, {_KEY.format('bullet')} AS k, min(bullet_index) AS i FROM (SELECT * FROM v_new UNION ALL SELECT * FROM v_base WHERE doc % 2 = 0) GROUP BY ALL) GROUP BY doc),
 j AS (SELECT coalesce(o.doc, n.doc) AS doc, coalesce(a, []) AS a, coalesce(b, []) AS b FROM o FULL JOIN n ON o.doc = n.doc), d AS (SELECT doc, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INTEGER) AS dropped, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS INTEGER) AS kept,
 CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS INTEGER) AS added, list_filter(a, lambda x: list_contains(b, x)) <> list_filter(b, lambda x: list_contains(a, x)) AS reordered FROM j) SELECT *, dropped + added + CAST(reordered AS INTEGER) AS changes FROM d""")
