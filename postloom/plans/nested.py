@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,6 +233,16 @@ def a16_topic(spark, sf):
     return jobs.drain(TB.read_topic(spark, path, "source_id string, title string, text string"), "topic-rows").select("source_id", "title")
 
 
+@query(f"WITH {V_.POST} SELECT source_id, title FROM v_post WHERE posted_at >= TIMESTAMP '2024-01-24 06:00:00'")
+def a16_retention(spark, sf):
+    """Rows in a folder for each day; days beyond the retention are dropped as folders, and older messages in the stream."""
+    path, as_of = jobs.shared_dir(spark, "topic-days"), F.lit(V_.AS_OF).cast("timestamp")
+    TB.write_topic(V_.post(spark, sf).select("source_id", "title", "posted_at"), path, "posted_at")
+    TB.expire_topic(spark, path, date.fromisoformat(V_.AS_OF[:10]))
+    stream = TB.read_topic(spark, path, "source_id string, title string, posted_at timestamp", as_of, "posted_at")
+    return jobs.drain(stream, "topic-kept").select("source_id", "title")
+
+
 @query(f"WITH {V_.APP} SELECT id, person_id, status, CAST(CAST(id AS BIGINT) % 100 AS VARCHAR) AS company, CAST(NULL AS VARCHAR) AS notes FROM v_app")
 def a19_applications(spark, sf):
     """Applications written and read back with the columns of a schema: missing ones are null, others are cast or dropped."""

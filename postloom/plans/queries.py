@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions import embed as EM
 from ..functions import text as T
 from ..functions import time as TM
 from ..functions import url as U
@@ -565,6 +566,32 @@ def i02_similarity(spark, sf):
     return S.fan_out(e, p).select("vec_id", "pid", F.bround(S.embedding_score(F.col("embedding"), F.col("pv")), 6).alias("score"))
 
 
+_COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]) / 0.85"
+
+
+@query(f"SELECT e.vec_id, p.vec_id AS pid, round_even(least(1, {_COSINE}), 6) AS score FROM embeddings e JOIN embeddings p ON p.vec_id % 5 = 0 AND p.vec_id < 500 AND {_COSINE} >= 0.4")
+def i02_blocked(spark, sf):
+    """Every vector with a hundred profiles as matrix products; pairs below the gate are never rows."""
+    e = V_.table(spark, sf, "embeddings")
+    profiles = e.filter("vec_id % 5 = 0 AND vec_id < 500").select(F.col("vec_id").alias("pid"), "embedding")
+    return EM.similar(e, "embedding", profiles, "pid", "embedding", ["vec_id"], 0.4).select("vec_id", "pid", F.bround("embedding_score", 6).alias("score"))
+
+
+_LETTERS = "list_transform(range(26), lambda k: CAST(length({0}) - length(replace({0}, chr(CAST(97 + k AS INTEGER)), '')) AS DOUBLE))"
+
+
+@query(f"""WITH {V_.POST}, {V_.PROFILE}, a AS (SELECT source_id, {_LETTERS.format("lower(regexp_replace(title || ' at ' || company || chr(10) || chr(10) || left(description_text, 1500), '^\\s+|\\s+$', '', 'g'))")} AS v FROM v_post),
+b AS (SELECT person_id, {_LETTERS.format("lower(profile_summary || chr(10) || chr(10) || 'Core skills: ' || array_to_string(core_skills, ', '))")} AS w FROM v_profile)
+SELECT source_id, person_id, round_even(greatest(0, least(1, list_cosine_similarity(v, w) / 0.85)), 6) AS score FROM a, b""")
+def k02_embedder(spark, sf):
+    """Postings and profiles through a model, and their similarity."""
+    embed = EM.embedder(EM.sign_counts)
+    postings = V_.post(spark, sf).select("source_id", embed(S.embed_text()).alias("vector"))
+    profiles = V_.profiles(spark).select("person_id", embed(S.profile_text()).alias("profile_vector"))
+    found = EM.similar(postings, "vector", profiles, "person_id", "profile_vector", ["source_id"])
+    return found.select("source_id", "person_id", F.bround("embedding_score", 6).alias("score"))
+
+
 @query(f"WITH {V_.POST} SELECT source_id, regexp_replace(title || ' at ' || company || chr(10) || chr(10) || left(description_text, 1500), '^\\s+|\\s+$', '', 'g') AS text FROM v_post")
 def i01_embed_text(spark, sf):
     return V_.post(spark, sf).select("source_id", S.embed_text().alias("text"))

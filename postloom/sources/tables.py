@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import empty, non_empty
 from ..operators.filters import conform
 from . import schemas as S
+from .reports import ReportSource, qualified
 
 TOPIC_LIMIT = 512 * 1024  # bytes of a message
 RETENTION_DAYS = 7
+TOPIC_FILES = 8  # of a day that one write adds, at most
 
 
 def company_registry(raw: DataFrame) -> DataFrame:
@@ -72,13 +75,40 @@ def topic_messages(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value")).filter(F.octet_length("value") <= TOPIC_LIMIT)
 
 
-def read_topic(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A topic kept as a folder of text files, as a stream."""
-    return topic_rows(spark.readStream.text(path), schema)
-
-
-def write_topic(df: DataFrame, path: str) -> None:
-    topic_messages(df).write.mode("append").text(path)
+def read_topic(spark: SparkSession, path: str, schema: str, as_of=None, at: str | None = None, files: int | None = None, clean: str | None = None) -> DataFrame:
+    """A topic kept as a folder of text files, as a stream. ``as_of`` and ``at`` (the column of a message's time): messages older
+    than the retention at that time are dropped, in the stream. ``files`` bounds what a batch takes. ``clean``: a folder that
+    files go to once a later batch is done with them, or ``delete``."""
+    source = spark.readStream.option("recursiveFileLookup", "true")
+    if files:
+        source = source.option("maxFilesPerTrigger", files)
+    if clean:
+        source = source.option("cleanSource", "delete") if clean == "delete" else source.option("cleanSource", "archive").option("sourceArchiveDir", clean)
+    return topic_rows(source.text(path), schema, as_of, at)
+
+
+def write_topic(df: DataFrame, path: str, at: str | None = None) -> None:
+    """Appends messages; ``at``: into a folder for each day of that column, which ``expire_topic`` can drop."""
+    if at is None:
+        topic_messages(df).write.mode("append").text(path)
+        return
+    day = F.coalesce(F.date_format(F.col(at), "yyyy-MM-dd"), F.lit("none"))
+    rows = df.select(day.alias("day"), F.to_json(F.struct(*df.columns)).alias("value")).filter(F.octet_length("value") <= TOPIC_LIMIT)
+    rows.repartition("day", F.pmod(F.xxhash64("value"), F.lit(TOPIC_FILES))).write.mode("append").partitionBy("day").text(path)
+
+
+def expire_topic(spark: SparkSession, path: str, as_of: date) -> list[str]:
+    """Deletes the folders of days that lie whole before the retention; returns the days."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    first = (as_of - timedelta(days=RETENTION_DAYS)).isoformat()
+    gone = []
+    for x in fs.listStatus(root) if fs.exists(root) else []:
+        name = x.getPath().getName()
+        if re.fullmatch(r"day=\d{4}-\d{2}-\d{2}", name) and name.removeprefix("day=") < first:
+            fs.delete(x.getPath(), True)
+            gone.append(name.removeprefix("day="))
+    return sorted(gone)
 
 
 def read_applications(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -94,26 +124,15 @@ def report_documents(df: DataFrame, dedup_id: str = "dedup_id", text: str = "rep
 
 
 def write_reports(df: DataFrame, root: str, dedup_id: str = "dedup_id", text: str = "report") -> None:
-    """Each report as the file ``<root>/<dedup_id>/report.md``, written by the tasks; a repeated task writes the same files.
-    ``root`` may be on any file system that Arrow opens by its address."""
-    from pyarrow import fs
-
-    address = root if "://" in root or root.startswith("file:") else f"file://{root}"
-    address = "file://" + address.removeprefix("file:") if address.startswith("file:") and not address.startswith("file://") else address
-
-    def write(rows: Iterator[Row]) -> None:
-        files, base = fs.FileSystem.from_uri(address)
-        for row in rows:
-            folder = f"{base}/{row[0]}"
-            files.create_dir(folder, recursive=True)
-            with files.open_output_stream(f"{folder}/report.md") as out:
-                out.write((row[1] or "").encode())
-
-    df.select(dedup_id, text).foreachPartition(write)
+    """Each report as the file ``<root>/<dedup_id>/report.md``, all of them or, where the job fails, none (see ``reports.py``).
+    ``root`` may be on any file system that Arrow opens; without a scheme it is on the session's default one."""
+    spark = df.sparkSession
+    spark.dataSource.register(ReportSource)
+    df.select(F.col(dedup_id).alias("id"), F.col(text).alias("text")).write.format(ReportSource.name()).mode("append").save(qualified(spark, root))
 
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
-    """dedup_id, path and report of what ``write_reports`` wrote."""
+    """dedup_id, path and report of what ``write_reports`` wrote; Spark reads no empty files, so an empty report is no row."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "report.md").option("recursiveFileLookup", "true").load(root)
     own = F.element_at(F.split("path", "/"), -2)
     return rows.select(own.alias("dedup_id"), F.concat(F.lit("local:"), own, F.lit("/report.md")).alias("path"), F.col("content").cast("string").alias("report"))

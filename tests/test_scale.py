@@ -77,3 +77,105 @@ def test_skills_are_grounded_in_the_source(spark):
     skills = spark.createDataFrame([(1, "Spark"), (1, "Go Lang"), (1, ""), (2, "x"), (1, None)], "doc int, skill string")
     sources = spark.createDataFrame([(1, "SPARK and go  lang")], "doc int, text string")
     assert sorted((r.doc, r.skill) for r in coverage.skill_grounding(skills, sources).collect()) == [(1, "Go Lang"), (2, "x")]
+
+
+# ---- similarity, reports, topics -------------------------------------------------------------------------------------
+
+
+def test_similarity_in_blocks_equals_the_pairwise_form(spark, monkeypatch):
+    from postloom.functions import embed
+
+    monkeypatch.setattr(embed, "BLOCK", 64)
+    r = random.Random(7)
+    vec = lambda: [r.gauss(0, 1) for _ in range(5)]
+    rows = [(i, vec(), "x") for i in range(40)] + [(40, [0.0] * 5, "x"), (41, None, "x"), (42, [1.0], "x")]
+    df = spark.createDataFrame(rows, "id int, vector array<double>, pid string").repartition(3)
+    profiles = spark.createDataFrame([(i, vec()) for i in range(50)] + [(50, [0.0] * 5), (51, None)], "person int, pv array<double>")
+    pairs = scoring.fan_out(df.filter("id < 41"), profiles.filter("person < 51"))
+    want = {(x.id, x.person): x.s for x in pairs.select("id", "person", scoring.embedding_score(F.col("vector"), F.col("pv")).alias("s")).collect()}
+    got = {(x.id, x.person): x.embedding_score for x in embed.similar(df, "vector", profiles, "person", "pv", ["id", "pid"]).collect()}
+    assert {k for k in got if k[0] < 41} == set(want) and all(abs(got[k] - s) < 1e-9 for k, s in want.items())
+    assert all(got[42, p] == 0 for p in range(51)) and not [k for k in got if k[0] == 41]
+    gated = embed.similar(df, "vector", profiles, "person", "pv", ["id"], 0.7)
+    assert {(x.id, x.person) for x in gated.collect()} == {k for k, s in want.items() if s >= 0.7}
+    assert embed.similar(df, "vector", profiles.limit(0), "person", "pv", ["id"]).count() == 0
+    monkeypatch.setattr(embed, "MAX_PROFILES", 3)
+    with pytest.raises(ValueError, match="in parts"):
+        embed.similar(df, "vector", profiles, "person", "pv", ["id"])
+
+
+def test_a_model_is_loaded_once_a_task(spark, tmp_path):
+    from postloom.functions import embed
+
+    def load():
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).touch()
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        df = spark.range(100).coalesce(2).select("id", F.when(F.col("id") % 9 > 0, F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("t"))
+        got = {r.id: list(r.v) for r in df.select("id", embed.embedder(load)("t").alias("v")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: [float(i if i % 9 else 0), 1.0] for i in range(100)} and len(list(tmp_path.iterdir())) <= 2
+
+
+def test_reports_are_all_there_or_none(spark, tmp_path):
+    from postloom.sources import reports, tables
+
+    root = tmp_path / "r"
+    df = spark.createDataFrame([(f"id{i}", f"text {i} é") for i in range(20)] + [("empty", None)], "dedup_id string, report string").repartition(4)
+    for _ in range(2):
+        tables.write_reports(df, str(root))
+    assert sorted(p.name for p in root.iterdir()) == sorted(["empty", *(f"id{i}" for i in range(20))])
+    assert (root / "id3" / "report.md").read_text() == "text 3 é" and (root / "empty" / "report.md").read_text() == ""
+    assert {r.dedup_id: r.report for r in tables.read_reports(spark, str(root)).collect()} == {r.dedup_id: r.report for r in df.collect() if r.report}
+    other = tmp_path / "failed"
+    late = df.withColumn("report", F.when(F.col("dedup_id") == "id7", F.raise_error(F.lit("lost"))).otherwise(F.col("report")))
+    for bad in (late, df.withColumn("dedup_id", F.when(F.col("dedup_id") == "id7", "../up").otherwise(F.col("dedup_id")))):
+        with pytest.raises(Exception):
+            tables.write_reports(bad, str(other))
+        assert not other.exists() or not list(other.iterdir())
+    assert reports.qualified(spark, "/some/where") == "file:/some/where" and reports.qualified(spark, "file:///x") == "file:/x"
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.here.link./r", f"file://{tmp_path}")
+    old = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://here/")
+    try:
+        assert reports.qualified(spark, "/r/x") == "viewfs://here/r/x"  # without a scheme: the default file system, never the local disk
+    finally:
+        conf.set("fs.defaultFS", old)
+
+
+def test_topic_retention_and_clean_up(spark, tmp_path):
+    from datetime import date
+
+    from postloom.sources import tables
+    from postloom.streaming import jobs
+
+    path, out, old = str(tmp_path / "topic"), jobs.shared_dir(spark, "kept"), str(tmp_path / "old")
+    as_of = F.lit("2024-01-31 06:00:00").cast("timestamp")
+
+    def add(*days):
+        rows = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "id int, at string")
+        tables.write_topic(rows.withColumn("at", F.to_timestamp("at")), path, "at")
+
+    def read(**kw):
+        got = []
+        stream = tables.read_topic(spark, path, "id int, at timestamp", as_of, "at", **kw)
+        jobs.start(stream, lambda df, n: got.append(sorted(str(r["at"])[:10] for r in df.collect())), f"{out}/checkpoint").awaitTermination()
+        return got
+
+    add("2024-01-10", "2024-01-24 05:00:00", "2024-01-24 07:00:00", "2024-01-31")
+    assert sum(read(), []) == ["2024-01-24", "2024-01-31"]
+    assert read() == []  # a restart repeats nothing
+    add("2024-01-30", "2024-01-29", "2024-01-28")
+    got = read(files=1, clean=old)
+    assert sorted(sum(got, [])) == ["2024-01-28", "2024-01-29", "2024-01-30"] and max(map(len, got)) == 1
+    assert tables.expire_topic(spark, path, date(2024, 1, 31)) == ["2024-01-10"]
+    assert not (tmp_path / "topic" / "day=2024-01-10").exists()
+    add("2024-01-27")
+    assert read(clean="delete") == [["2024-01-27"]]
+    assert tables.expire_topic(spark, str(tmp_path / "none"), date(2024, 1, 31)) == []
