@@ -179,3 +179,36 @@ def test_topic_retention_and_clean_up(spark, tmp_path):
     add("2024-01-27")
     assert read(clean="delete") == [["2024-01-27"]]
     assert tables.expire_topic(spark, str(tmp_path / "none"), date(2024, 1, 31)) == []
+
+
+# ---- YAML files ------------------------------------------------------------------------------------------------------
+
+
+def test_registries_profiles_and_targets_from_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from postloom.sources import yaml_files
+
+    put = lambda name, text: ((tmp_path / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / name).write_text(text))
+    put("c/wrapped.yaml", "companies:\n  - {name: A, ats: Greenhouse, board_id: a, tier: 0}\n  - {name: B, ats: nobody, tier: 3, workday_tenant: flat, workday: {tenant: nested}}\n  - just text\n")
+    put("c/flat.yaml", "- name: C\n  ats: custom\n  custom: {scraper_module: x.y.mod, params: {a: text, n: 3}}\n")
+    put("c/sub/one.yaml", "name: D\nats: workday\nactive: true\ntier: 1\nworkday: {board: W}\nworkday_board: old\ncustom_module: own\ncustom: {scraper_module: p.q}\n")
+    put("c/sub/off.yaml", "name: E\nats: lever\n")
+    put("c/bad.yaml", "companies: [unclosed\n")
+    put("c/number.yaml", "42\n")
+    put("c/empty.yaml", "companies:\n")
+    got = {r.name: r for r in yaml_files.read_companies(spark, str(tmp_path / "c")).collect()}
+    assert set(got) == {"A", "B", "C", "D"}
+    assert (got["A"].tier, got["A"].ats, got["B"].ats, got["B"].tier, got["B"].workday_tenant) == (2, "greenhouse", "unknown", 3, "nested")
+    assert (got["C"].custom_module, got["C"].custom_params) == ("mod", {"a": "text"})
+    assert (got["D"].tier, got["D"].verified, got["D"].workday_board, got["D"].custom_module) == (2, True, "W", "own")
+    errors = yaml_files.read_yaml(spark, str(tmp_path / "c"), "companies").filter("error is not null").collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in errors) == ["bad.yaml", "number.yaml", "wrapped.yaml"]
+    put("t/a.yaml", "targets:\n  - {name: A, url: first, max_pages: 3}\n  - {name: ''}\n  - {name: A, url: last}\n")
+    (t,) = yaml_files.read_targets(spark, str(tmp_path / "t")).collect()
+    assert (t.name, t.url, t.max_pages) == ("A", "last", None)
+    put("p/ann/profile.yaml", "name: Ann\nskills: [a, b]\n")
+    put("p/ann/skills.yaml", "skills: [c]\n")
+    put("p/bob/profile.yaml", "name: Bob\nskills: [d]\n")
+    put("p/cid/profile.yaml", "name: Cid\n")
+    got = {r.person_id: r.skills for r in yaml_files.read_profiles(spark, str(tmp_path / "p")).collect()}
+    assert got == {"ann": ["c"], "bob": ["d"], "cid": []}
