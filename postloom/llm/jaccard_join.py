@@ -5,12 +5,12 @@ pair is left to chance. Sets of sizes n and m link just when they have ``overlap
 
 1. One pass over the texts numbers shingles and hashes them. Documents of one word sequence (SHA-256) are one class, and only
    classes go on.
-2. *Inverted lists* (for pairs with a large set). Sets that link have a common token among the first ``prefix(n)`` of each, in
-   any order of tokens that all share; the order here is rarest first. Only tokens below a threshold of the hash, the set's
-   universe, are counted and ordered: thresholds are powers of ``STEP``, and a set takes the lowest that leaves ``enough(n)`` of
-   its tokens. Then each set that it links with has a whole prefix left there too. So a set posts its prefix at its own level
-   and at each lower one that still leaves it a whole prefix, and of any pair both post at one level. A token that only one set
-   has needs no posting.
+2. *Inverted lists* (for pairs with a large set). The keys of the lists are segments: hashing deals a set's tokens to more
+   segments than linked sets can have tokens that only one of them has, so linked sets agree in one segment at least, token by
+   token. (Lists of single tokens, rarest first, were tried: unrelated sets met in ever more of them as the corpus grew.) The number
+   of segments goes by classes of size, one factor of similarity wide; a set posts its segments for its own class and for the
+   next smaller one, so any pair that may link posts the same division. There are some segments to spare, so blank ones
+   need not be posted, but by sets that have more blank ones than that.
 3. *Boundary.* The costs of both ways are known for each small size: the subsets that its sets have, and the list entries that
    their scans read. The boundary up to which sets are light is the one of least cost.
 4. *Subsets* (for pairs of light sets). A light set gives all its subsets of ``overlap(n, m)`` tokens for each size m that it may
@@ -21,8 +21,8 @@ pair is left to chance. Sets of sizes n and m link just when they have ``overlap
 6. Comparisons first look at small bitmaps (the parity of tokens by hash): where they differ in more places than the sets may, no
    link is possible. What is left is confirmed on whole texts, by exact numbers of words and shingles.
 
-The smallest sets and those of one length have bounded work; a token in a third of all documents is one list, whose members
-meet its pivot in salted tasks and each other in blocks. A worker holds a text a few times over, so the longest text sets its
+The smallest sets and those of one length have bounded work; a list that a third of all documents are in meets its pivot in salted
+tasks and itself in blocks. A worker holds a text a few times over, so the longest text sets its
 memory. doc_id is an integer. Hashes have 63 bits and only propose; a pair could be missed only if two shingles of one light set
 agreed in all of them.
 
@@ -49,11 +49,9 @@ from .common import chunks, distinct, ids_of, integer_ids, materialize, mix, num
 from .components import components
 from .near_dedup import Settings, best_pivots, by_row, confirm, grouped, mixed_blocks, sequences, shingles, strays, texts_of
 
-STEP = 0.8  # each threshold of the hash, of the one before
 MOST = 40  # the largest boundary
 COMPARE = 16  # a comparison's cost, in subsets or list entries
 ROWS = 1 << 11  # rows of a block of bitmaps, which is 512 kB at most
-_LIMITS = np.array([int(2**63 * STEP**k) - 1 for k in range(190)], np.int64)
 _CHUNK = 2 << 20
 
 
@@ -69,14 +67,23 @@ def overlap(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix(n, percent: int):
-    return n + 1 + -percent * n // 100
+def size_class(n: int, percent: int) -> int:
+    """Classes of size: sets that link are in one class or in two neighbouring ones."""
+    return int(math.log(n) / _width(percent) + 1e-12)
 
 
-def enough(n: int, percent: int) -> int:
-    """Tokens of a set of size n that leave any linked set at least its prefix among the tokens of one universe."""
-    ends = (-(-percent * n // 100), n, 100 * n // percent)  # a linear bound: its greatest value is at an end
-    return max(n - overlap(n, m, percent) + prefix(m, percent) for m in ends) + 1
+def _width(percent: int) -> float:
+    return math.log(100 / percent) * (1 + 1e-9)
+
+
+@lru_cache(1 << 12)
+def segments(c: int, percent: int) -> tuple[int, int]:
+    """(segments, spare) of class ``c``: ``spare`` more, and one, than tokens that only one of two linked sets has, where the
+    smaller one is of this class."""
+    largest = math.ceil(math.exp((c + 1) * _width(percent)))
+    differ = (100 - percent) * (largest + 100 * largest // percent) // (100 + percent)
+    spare = differ // 10 + 1
+    return differ + 1 + spare, spare
 
 
 def sizes_with(n: int, percent: int) -> range:
@@ -84,7 +91,20 @@ def sizes_with(n: int, percent: int) -> range:
     return range(-(-percent * n // 100), 100 * n // percent + 1)
 
 
-# ---- universes and bitmaps ------------------------------------------------------------------------------------------
+# ---- segments and bitmaps -------------------------------------------------------------------------------------------
+
+
+def postings(tokens: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """The keys of a set's lists: its segments for its class of size and for the next smaller one."""
+    out, words = [], mix(tokens.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+    for c in range(max(0, (own := size_class(n, percent)) - 1), own + 1):
+        parts, spare = segments(c, percent)
+        where = (tokens >> 8) % parts
+        total = mix(np.arange(parts, dtype=np.uint64) + (np.uint64(c + 1) << np.uint64(40)))
+        blank = np.bincount(where, minlength=parts) == 0
+        np.add.at(total, where, words)
+        out.append(mix(total if blank.sum() > spare else total[~blank]).view(np.int64))
+    return np.concatenate(out)
 
 
 def bitmap(tokens: np.ndarray, n: int) -> bytes:
@@ -107,20 +127,16 @@ def _signed(s: Join):
                 part, size = (data[off[i] : off[j]], off[i : j + 1] - off[i]), j - i
                 kinds, at, hashes = shingles(*part, s.words)
                 hashes = (hashes >> np.uint64(1)).astype(np.int64)
-                levels, universes, left, bits = np.zeros(size, np.int64), [], [], []
+                small, posted, bits = [], [], []
                 for k, n in enumerate(np.diff(at).tolist()):
                     tokens = distinct(hashes[kinds[at[k] : at[k + 1]]])
-                    need = enough(n, s.percent)
-                    if n > MOST and len(tokens) >= need:
-                        levels[k] = np.searchsorted(-_LIMITS, -tokens[need - 1], "left") - 1
-                    below = np.searchsorted(tokens, _LIMITS[levels[k] :])
                     bits.append(bitmap(tokens, n))
-                    universes.append(tokens[: below[0]] if n else tokens)
-                    left.append(below[below >= prefix(n, s.percent)] if n else below[:0])
-                listed = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *xs]))) for xs in (universes, left)]
+                    small.append(tokens if n <= MOST else tokens[:0])
+                    posted.append(postings(tokens, n, s.percent) if n else tokens)
+                listed = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *xs]))) for xs in (small, posted)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j]), own_rows.slice(i, size), pa.array(np.diff(at)), pa.array(sequences(*part), pa.binary()), pa.array(levels), *listed, pa.array(bits, pa.binary())],
-                    names=["doc_id", "row", "n", "sha", "level", "universe", "left", "bits"],
+                    [pa.array(ids[i:j]), own_rows.slice(i, size), pa.array(np.diff(at)), pa.array(sequences(*part), pa.binary()), *listed, pa.array(bits, pa.binary())],
+                    names=["doc_id", "row", "n", "sha", "tokens", "posted", "bits"],
                 )
 
     return run
@@ -128,50 +144,23 @@ def _signed(s: Join):
 
 def classes(docs: DataFrame, s: Join) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): row, doc_id, n, sha; and of each different word sequence sha, n, doc_id (its smallest), id (the row that
-    has it), level, universe (its tokens there), left (how many at this level and the next ones), bits."""
-    signed = docs.select("doc_id", "text", "row").mapInArrow(_signed(s), "doc_id long, row long, n long, sha binary, level long, universe array<long>, left array<long>, bits binary")
+    has it), tokens (of small sets), posted (keys of its lists), bits."""
+    signed = docs.select("doc_id", "text", "row").mapInArrow(_signed(s), "doc_id long, row long, n long, sha binary, tokens array<long>, posted array<long>, bits binary")
     signed = materialize(signed, "jaccard-signed")
     own = signed.filter("n > 0").groupBy("sha", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     own = own.select("sha", "n", "first.doc_id", F.col("first.row").alias("id"))
-    own = own.join(signed.filter("n > 0").select(F.col("row").alias("id"), "level", "universe", "left", "bits"), "id")
+    own = own.join(signed.filter("n > 0").select(F.col("row").alias("id"), "tokens", "posted", "bits"), "id")
     return signed.select("row", "doc_id", "n", "sha"), materialize(own, "jaccard-classes")
 
 
 # ---- inverted lists -------------------------------------------------------------------------------------------------
 
 
-def _postings(s: Join):
-    """(id, n, level, left, shared) -> (level, token, id, n); shared: (count, token) of the universe's tokens that others have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            shared = batch.column(4)
-            counts, tokens = (x.to_numpy() for x in shared.flatten().flatten())
-            bounds = np.concatenate([[0], np.cumsum(shared.value_lengths().to_numpy())])
-            for k, (own, n, level, left) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
-                count, token = counts[bounds[k] : bounds[k + 1]], tokens[bounds[k] : bounds[k + 1]]
-                order = np.lexsort([token, count])
-                token = token[order]
-                for at, size in enumerate(left, level):
-                    held = token[token < _LIMITS[at]]
-                    held = held[: max(0, prefix(n, s.percent) - (size - len(held)))]  # tokens of its own come first
-                    for x, v in zip(out, (at, held, own, n)):
-                        x.append(v if v is held else np.full(len(held), v, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], names=["level", "token", "id", "n"])
-
-    return run
-
-
-def lists(own: DataFrame, s: Join) -> DataFrame:
-    """The inverted lists that have several members: level, token, id, n, c (the list's length)."""
-    tokens = own.select("id", F.explode("universe").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = tokens.join(counts, "token").groupBy("id").agg(F.collect_list(F.struct("c", "token")).alias("shared"))  # of one text
-    posted = own.select("id", "n", "level", "left").join(shared, "id").mapInArrow(_postings(s), "level long, token long, id long, n long")
-    posted = materialize(posted, "jaccard-postings")
-    lengths = posted.groupBy("level", "token").agg(F.count("*").alias("c")).filter("c > 1")
-    return materialize(posted.join(lengths, ["level", "token"]), "jaccard-lists")
+def lists(own: DataFrame) -> DataFrame:
+    """The inverted lists that have several members: segment, id, n, c (the list's length)."""
+    posted = own.select("id", "n", F.explode("posted").alias("segment"))
+    lengths = posted.groupBy("segment").agg(F.count("*").alias("c")).filter("c > 1")
+    return materialize(posted.join(lengths, "segment"), "jaccard-lists")
 
 
 # ---- subsets --------------------------------------------------------------------------------------------------------
@@ -189,7 +178,8 @@ def boundary(own: DataFrame, listed: DataFrame, s: Join) -> int:
 
     def cost(x: int) -> int:
         light = sum(c * subsets_of(n, s.percent, x) for n, c in sets.items() if n <= x)
-        return light + sum(c for n, c in read.items() if n >= sizes_with(x + 1, s.percent)[0])
+        posts = lambda n: sum(segments(c, s.percent)[0] for c in range(max(0, size_class(n, s.percent) - 1), size_class(n, s.percent) + 1))
+        return light + sum(c * posts(n) + read.get(n, 0) for n, c in sets.items() if n >= sizes_with(x + 1, s.percent)[0])
 
     return min(range(MOST + 1), key=cost)
 
@@ -200,13 +190,13 @@ def _left_out(n: int, k: int) -> np.ndarray:
 
 
 def _subsets(s: Join, most: int):
-    """(id, n, universe) of light sets -> (p, q, x, y, id, n): 128 bits for each subset that it may share with a set such that
+    """(id, n, tokens) of light sets -> (p, q, x, y, id, n): 128 bits for each subset that it may share with a set such that
     the smaller of the two has size p and the larger q."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, n, universe in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                tokens = np.array(universe, np.uint64)
+            for own, n, held in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                tokens = np.array(held, np.uint64)
                 words = np.stack([mix(tokens), mix(tokens ^ np.uint64(0x9E3779B97F4A7C15))])
                 total = words.sum(1)
                 for m in sizes_with(n, s.percent):
@@ -223,7 +213,7 @@ def _subsets(s: Join, most: int):
 def stars(own: DataFrame, s: Join, most: int) -> DataFrame:
     """(a, b): pairs of light sets with a common subset of the size that links them; ``a``: the smallest that has it."""
     key = ["p", "q", "x", "y"]
-    held = own.filter(F.col("n") <= most).select("id", "n", "universe").mapInArrow(_subsets(s, most), "p long, q long, x long, y long, id long, n long")
+    held = own.filter(F.col("n") <= most).select("id", "n", "tokens").mapInArrow(_subsets(s, most), "p long, q long, x long, y long, id long, n long")
     held = materialize(held, "jaccard-subsets")
     lead = held.groupBy(*key).agg(F.min(F.struct("n", "id")).alias("lead"), F.count("*").alias("c")).filter("c > 1 AND lead.n = p")
     return held.join(lead.select(*key, F.col("lead.id").alias("a")), key).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
@@ -303,10 +293,10 @@ def jaccard_join(docs: DataFrame, s: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: every document with the smallest doc_id that links reach from it."""
     docs = numbered(integer_ids(docs).select("doc_id", "text"), "row", "jaccard-rows")
     signed, own = classes(docs, s)
-    listed = lists(own, s)
+    listed = lists(own)
     most = boundary(own, listed, s) if s.boundary is None else s.boundary
-    heavy = listed.filter(F.col("n") >= sizes_with(most + 1, s.percent)[0]).select("level", "token", "id", "n")
-    groups = grouped(heavy, ["level", "token"], "jaccard")
+    heavy = listed.filter(F.col("n") >= sizes_with(most + 1, s.percent)[0]).select("segment", "id", "n")
+    groups = grouped(heavy, ["segment"], "jaccard")
     pairs = sieved(best_pivots(groups, s), own, s)
     if most:
         pairs = pairs.unionByName(stars(own, s, most)).distinct()

@@ -204,10 +204,27 @@ def test_jaccard_join_of_null_and_repeated_ids(spark):
 
 @pytest.mark.parametrize("percent", [80, 90, 95])
 def test_bounds_of_the_join(percent):
-    for n in range(1, 120):
-        fit = [m for m in range(1, 200) if any(100 * o >= percent * (n + m - o) for o in range(min(n, m) + 1))]
+    for n in range(1, 150):
+        fit = [m for m in range(1, 250) if any(100 * o >= percent * (n + m - o) for o in range(min(n, m) + 1))]
         assert fit == list(jaccard_join.sizes_with(n, percent))
         for m in fit:
             o = min(o for o in range(min(n, m) + 1) if 100 * o >= percent * (n + m - o))
-            assert o == jaccard_join.overlap(n, m, percent) and o >= n - jaccard_join.prefix(n, percent) + 1
-            assert jaccard_join.enough(n, percent) - (n - o) >= jaccard_join.prefix(m, percent)
+            assert o == jaccard_join.overlap(n, m, percent)
+            c, d = sorted(jaccard_join.size_class(x, percent) for x in (n, m))
+            parts, spare = jaccard_join.segments(c, percent)
+            assert d - c <= 1 and n + m - 2 * o < parts - spare
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_list(percent):
+    """Sets at the very bound of the similarity, with a blank segment for every token that differs, too."""
+    r = np.random.default_rng(8)
+    for n in (1, 2, 9, 10, 19, 20, 50, 100, 333, 1000):
+        for m in {*list(jaccard_join.sizes_with(n, percent))[:: max(1, n // 20)], n}:
+            o = jaccard_join.overlap(n, m, percent)
+            for spread in (2**63 - 1, 2**20):  # tokens in all segments, and in few
+                tokens = np.array(sorted({int(x) for x in r.integers(0, spread, 3 * (n + m))}))
+                pick = r.permutation(tokens)[: n + m - o]
+                a, b = np.sort(pick[:n]), np.sort(pick[n - o :])
+                assert len(b) == m and len(np.intersect1d(a, b)) == o
+                assert len(np.intersect1d(jaccard_join.postings(a, n, percent), jaccard_join.postings(b, m, percent)))
