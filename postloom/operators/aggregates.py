@@ -16,6 +16,11 @@ SUMMARY = ("applied", "screening", "interview", "offer", "rejected")
 SLICE = 1 << 20  # rows of a slice of time, about
 
 
+def longest_log(df: DataFrame, *keys: Column) -> int:
+    """The rows of the key that has most: partial sums, one number to the driver."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def time_slices(df: DataFrame, key: Column, place: Column, rows: int = SLICE) -> DataFrame:
     """Adds ``_key`` (text, never null) and ``_slice``: each key's span of ``place`` (a whole number) in even slices, as many as its
     rows need. The counts are partial sums."""
@@ -96,10 +101,13 @@ def fetch_health(df: DataFrame, failures: int = 3, cooldown: int = 30, key: str
     where the last failure of an open one lies more than ``cooldown`` seconds back; else closed. ``ok`` says whether the fetch
     went well.
 
-    A company's log is cut into slices of time of about ``rows`` outcomes. Windows run over one slice; what a slice leaves (its
-    open streak, its last time) is one row, and a prefix over these rows gives what each slice begins with. So a company with a
-    third of all rows is many slices. Outcomes of one instant are in one slice.
+    Where no company has more than ``rows`` outcomes, windows run over whole logs. Else logs are cut into slices of time of about
+    ``rows`` outcomes. Windows run over one slice; what a slice leaves (its open streak, its last time) is one row, and a prefix
+    over these rows gives what each slice begins with. So a company with a third of all rows is many slices. Outcomes of one
+    instant are in one slice.
     """
+    if longest_log(df, F.col(key)) <= rows:
+        return _health_of_logs(df, failures, cooldown, key, at, tie)
     sliced = time_slices(df, F.col(key), F.unix_micros(at), rows)
     own = ["_key", "_slice"]
     w = W.partitionBy(*own).orderBy(at, tie)
@@ -120,6 +128,17 @@ def fetch_health(df: DataFrame, failures: int = 3, cooldown: int = 30, key: str
     return out.withColumns({"state_before": probed, "state": state}).select(*df.columns, "streak", "state_before", "state")
 
 
+def _health_of_logs(df: DataFrame, failures: int, cooldown: int, key: str, at: str, tie: str) -> DataFrame:
+    """``fetch_health`` by windows over whole logs."""
+    w = W.partitionBy(key).orderBy(at, tie)
+    out = df.withColumn("_island", F.sum(F.col("ok").cast("int")).over(w))
+    out = out.withColumn("streak", F.sum((~F.col("ok")).cast("int")).over(W.partitionBy(key, "_island").orderBy(at, tie)))
+    before, gap = F.coalesce(F.lag("streak").over(w), F.lit(0)), F.unix_micros(F.col(at)) - F.unix_micros(F.lag(at).over(w))
+    state = F.when(~F.col("ok") & (F.col("streak") >= failures), "open").otherwise("closed")
+    probed = F.when((before >= failures) & (gap > cooldown * 1_000_000), "half_open").when(before >= failures, "open").otherwise("closed")
+    return out.withColumns({"state_before": probed, "state": state}).drop("_island")
+
+
 def recent(df: DataFrame, n: int, at: str = "first_seen_at") -> DataFrame:
     return df.orderBy(F.col(at).desc(), "key").limit(n)
 

@@ -16,7 +16,7 @@ from ..functions import vector as V
 from ..functions.text import empty
 from ..functions.time import age_days
 from ..vocab import Vocabulary
-from .aggregates import SLICE, time_slices
+from .aggregates import SLICE, longest_log, time_slices
 
 MAX_PROFILES = 1000  # the profile side of a fan-out is broadcast
 
@@ -186,10 +186,13 @@ def has_salary(low: Column) -> Column:
 def repost_count(df: DataFrame, days: int = 90, at: str = "scraped_at", key: tuple[str, ...] = ("company", "title"), rows: int = SLICE) -> DataFrame:
     """Adds repost_count: earlier sightings of the same company and title within ``days``; 0 where there is no time.
 
-    Sightings are counted by second first. The count of a second is the difference of two sums up to a place: the one before it, and
+    Where no key has more than ``rows`` sightings, a window counts them. Else they are counted by second first. The count of a second is the difference of two sums up to a place: the one before it, and
     the one before its range. Sums are made in two levels, within slices of time and over whole slices, so no window holds more
     than a slice of a key.
     """
+    if longest_log(df, *map(F.col, key)) <= rows:
+        w = W.partitionBy(*key).orderBy(F.unix_seconds(F.col(at))).rangeBetween(-days * 86_400, -1)
+        return df.withColumn("repost_count", F.when(F.col(at).isNull(), 0).otherwise(F.count("*").over(w)).cast("long"))
     keyed = df.withColumns({"_own": F.to_json(F.struct(*key)), "_second": F.unix_seconds(F.col(at))})
     seconds = keyed.filter("_second is not null").groupBy("_own", "_second").agg(F.count("*").alias("n"))
     nothing = F.lit(0).cast("long")
