@@ -31,3 +31,8 @@ def test_google_dates_with_a_time_and_absent_departments_are_none(spark):
     payload = '{"jobs": [{"id": "1", "date": "2024-01-02T03:04:05Z"}, {"id": "2", "date": "2024-01-02", "department": "d"}]}'
     out = payloads.normalize_google(spark.createDataFrame([("c", "b", payload)], "company string, board_id string, payload string"))
     assert {r["source_id"]: (r["department"], r["posted_at"] is None) for r in out.collect()} == {"1": (None, True), "2": ("d", False)}
+
+
+def test_smartrecruiters_keeps_every_date_and_country(spark, sf):
+    for t, g in both(spark, sf, "a06_smartrecruiters"):
+        assert (g["posted"], g["location"]) == (str(t["posted_at"].date()), "Remote" if t["remote"] else t["location"])
