@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.text import empty, non_empty
 from ..operators.filters import conform
+from . import reports
 from . import schemas as S
-from .reports import ReportSource, qualified
 
 TOPIC_LIMIT = 512 * 1024  # bytes of a message
 RETENTION_DAYS = 7
@@ -126,13 +126,9 @@ def report_documents(df: DataFrame, dedup_id: str = "dedup_id", text: str = "rep
 def write_reports(df: DataFrame, root: str, dedup_id: str = "dedup_id", text: str = "report") -> None:
     """Each report as the file ``<root>/<dedup_id>/report.md``, all of them or, where the job fails, none (see ``reports.py``).
     ``root`` may be on any file system that Arrow opens; without a scheme it is on the session's default one."""
-    spark = df.sparkSession
-    spark.dataSource.register(ReportSource)
-    df.select(F.col(dedup_id).alias("id"), F.col(text).alias("text")).write.format(ReportSource.name()).mode("append").save(qualified(spark, root))
+    reports.write(df.select(F.col(dedup_id).cast("string").alias("id"), F.col(text).cast("string").alias("text")), root)
 
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
-    """dedup_id, path and report of what ``write_reports`` wrote; Spark reads no empty files, so an empty report is no row."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "report.md").option("recursiveFileLookup", "true").load(root)
-    own = F.element_at(F.split("path", "/"), -2)
-    return rows.select(own.alias("dedup_id"), F.concat(F.lit("local:"), own, F.lit("/report.md")).alias("path"), F.col("content").cast("string").alias("report"))
+    """dedup_id, path and report of what ``write_reports`` wrote; an empty report is no row."""
+    return reports.read(spark, root).select(F.col("id").alias("dedup_id"), F.concat(F.lit("local:"), "id", F.lit("/report.md")).alias("path"), F.col("content").cast("string").alias("report"))

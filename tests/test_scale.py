@@ -149,6 +149,25 @@ def test_reports_are_all_there_or_none(spark, tmp_path):
         conf.set("fs.defaultFS", old)
 
 
+def test_reports_are_met_by_tasks_only(spark, tmp_path, monkeypatch):
+    from postloom.sources import reports, tables
+
+    monkeypatch.setattr(reports, "FILES", 64, raising=False)
+    root, old = str(tmp_path / "r"), tmp_path / "r" / "old"
+    old.mkdir(parents=True)
+    (old / "report.md").write_text("there before")
+    df = spark.range(300).select(F.concat(F.lit("id"), "id").alias("dedup_id"), F.concat(F.lit("text "), "id").alias("report")).repartition(3)
+    tables.write_reports(df, root)
+    tables.write_reports(df.limit(0), root)
+    tables.write_reports(spark.createDataFrame([("id7", "new"), ("twice", "a"), ("twice", "a")], df.schema).repartition(3), root)
+    (tmp_path / "r" / "id9" / "report.md").unlink()
+    got = tables.read_reports(spark, root)
+    want = {f"id{i}": f"text {i}" for i in range(300) if i != 9} | {"id7": "new", "twice": "a", "old": "there before"}
+    assert sorted((r.dedup_id, r.path, r.report) for r in got.collect()) == sorted((k, f"local:{k}/report.md", v) for k, v in want.items())
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == sorted({*want, "id9"})
+    assert len(got.inputFiles()) < 50  # the driver lists no reports
+
+
 def test_topic_retention_and_clean_up(spark, tmp_path):
     from datetime import date
 
